@@ -131,53 +131,54 @@ def bk_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[n
             at = node[np.repeat(lo - np.cumsum(m) + m, m) + np.arange(len(q))]
 
 
-def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Labels after linking i and j: the least index reachable by the links so far."""
-    while True:
-        a, b = label[i], label[j]
-        if (a == b).all():
-            return label
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-
-
-def _spanning(shard: np.ndarray, fp: np.ndarray, radius: int) -> pa.RecordBatch:
+def spanning_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the links of bk_links as many as join their components, none more: each hooks the larger root
+    of its two components to the smaller."""
     label = np.arange(len(fp))
     for i, j in bk_links(shard, fp, radius):
-        label = merge(label, i, j)
-    own = np.flatnonzero(label != np.arange(len(fp)))
-    return pa.RecordBatch.from_arrays([pa.array(fp[own].view(np.int64)), pa.array(fp[label[own]].view(np.int64))], names=["a", "b"])
+        while True:
+            a, b = label[i], label[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            root, first = np.unique(np.maximum(a, b), return_index=True)
+            yield i[first], j[first]
+            label[root] = np.minimum(a, b)[first]
+            while not ((up := label[label]) == label).all():
+                label = up
 
 
-def near_links(fps: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """(a, b): edges with the same components as all pairs of the distinct bigints `fp` within the radius.
+def search_shards(keyed: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT, spanning: bool = True) -> DataFrame:
+    """(a, b): links between nodes of a shard. keyed: (t, k, fp, node) and, unless spanning, group.
 
-    Every such pair is found; of the links in a shard a spanning forest is returned, so the output does
-    not grow with the square of a group of copies.
+    Spanning: with the same components as all pairs within the radius; the output does not grow with the
+    square of a group of copies. Else all pairs of different groups.
     """
-    keyed = shard_keys(fps, *block_plan(fps.count(), radius))
     parts = keyed.groupBy("t", "k").count().filter(F.col("count") > shard_limit).select("t", "k", F.ceil(F.col("count") / shard_limit).cast("int").alias("c"))
-    cut = ["t", "k", "i", "j"]
+    cut, rest = ["t", "k", "i", "j"], keyed.columns[2:]
     if parts.isEmpty():
         keyed = keyed.withColumns({"i": F.lit(0), "j": F.lit(0)})
     else:  # each part of a large shard meets each other part
-        own = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
+        own = F.pmod(F.xxhash64("node"), F.col("c")).cast("int")
         keyed = keyed.join(parts, ["t", "k"], "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("p", own)
-        keyed = keyed.withColumn("o", F.explode(F.expr("sequence(0, c - 1)"))).select("t", "k", "fp", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"))
+        keyed = keyed.withColumn("o", F.explode(F.expr("sequence(0, c - 1)"))).select("t", "k", *rest, F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"))
+
+    def search(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        change = np.any([c[1:] != c[:-1] for c in (table.column(x).to_numpy() for x in cut)], axis=0)
+        shard, fp = np.concatenate(([0], np.cumsum(change))), table.column("fp").to_numpy().view(np.uint64)
+        node = table.column("node").combine_chunks()
+        group = None if spanning else table.column("group").combine_chunks().dictionary_encode().indices.to_numpy()
+        for i, j in spanning_links(shard, fp, radius) if spanning else bk_links(shard, fp, radius):
+            if group is not None:
+                apart = group[i] != group[j]
+                i, j = i[apart], j[apart]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
-
-        def search(table: pa.Table) -> pa.RecordBatch:
-            cols = [table.column(c).to_numpy() for c in cut]
-            change = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-            return _spanning(np.concatenate(([0], np.cumsum(change))), table.column("fp").to_numpy().view(np.uint64), radius)
-
         for b in batches:
             held.append(b)
             rows += b.num_rows
@@ -186,13 +187,19 @@ def near_links(fps: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT) -> D
                 tail = np.all([table.column(c).to_numpy() == table.column(c)[-1].as_py() for c in cut], axis=0)
                 whole = rows - int(tail.sum())
                 if whole:
-                    yield search(table.slice(0, whole))
+                    yield from search(table.slice(0, whole))
                 held = table.slice(whole).to_batches()
                 rows -= whole
         if rows:
-            yield search(pa.Table.from_batches(held))
+            yield from search(pa.Table.from_batches(held))
+
+    kind = keyed.schema["node"].dataType.simpleString()
+    return keyed.repartition(*cut).sortWithinPartitions(*cut, "fp").mapInArrow(run, f"a {kind}, b {kind}")
 
-    return keyed.repartition(*cut).sortWithinPartitions(*cut, "fp").mapInArrow(run, "a bigint, b bigint")
+
+def near_links(fps: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """(a, b): edges with the same components as all pairs of the distinct bigints `fp` within the radius."""
+    return search_shards(shard_keys(fps, *block_plan(fps.count(), radius)).withColumn("node", F.col("fp")), radius, shard_limit)
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,3 +217,105 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, id_col: st
     named = cc.join(names, "component").select(F.col("node").alias("fp"), "component_id")
     names = materialize(known.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-names")
     return ids.join(names, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+#: For copies by similarity: words of a shingle, least Jaccard similarity, and bits within which a pair of that
+#: similarity lies (expected 10 of 64 differ, seldom over 16).
+WIDTH, SIMILARITY, WIDE_RADIUS = 5, 0.8, 18
+#: Minimum hashes of a text. Texts of that similarity share none of them once in ten million pairs.
+MIN_HASHES = 10
+#: Ends of candidate links: so many are broadcast, more are joined by a shuffle.
+BROADCAST_ENDS = 500_000
+_MULTIPLIERS = np.array([xxhash.xxh64_intdigest(f"minimum {i}", 42) | 1 for i in range(MIN_HASHES)], np.uint64)
+
+
+def shingle_hashes(words: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """Distinct hashes of the shingles, sorted; of fewer words than width all together; none: empty."""
+    if not words:
+        return np.empty(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = list(accumulate(len(w) + 1 for w in words))
+    starts = [0, *ends]
+    n = max(1, len(words) - width + 1)
+    return np.unique(np.fromiter((digest(joined[s : e - 1], 42) for s, e in zip(starts, ends[len(words) - n :])), np.uint64, n))
+
+
+def _signature(text: bytes) -> tuple[bytes, int, list[int]]:
+    """Of a text: digest of its words, SimHash of its distinct shingles and their minimum hashes."""
+    words = text.lower().split()
+    h = shingle_hashes(words)
+    node = xxhash.xxh128_digest(b" ".join(words))
+    if not len(h):
+        return node, 0, [0] * MIN_HASHES
+    lanes = np.add.reduceat(_LANES[h.view(np.uint8).reshape(-1, 8)], np.arange(0, len(h), 255), axis=0)
+    counts = lanes.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    fp = np.packbits(counts * 2 > len(h), bitorder="little").view(np.int64)[0]
+    mixed = [int((h * m ^ (h >> np.uint64(29))).min().view(np.int64)) for m in _MULTIPLIERS]
+    return node, int(fp), mixed
+
+
+def _verified(links: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, ok): distinct links with whether the exact similarity of their texts reaches SIMILARITY."""
+    links = materialize(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(known.select("node", "least"), "node").filter("least is not null")
+    ends = materialize(ends, "near-ends")
+    if ends.count() <= BROADCAST_ENDS:
+        ends = F.broadcast(ends)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, "t"):
+            words = [t.lower().split() for t in raw_texts(b.column("t"))]
+            node = b.column("node").to_pylist()  # another row of the same id may have another text
+            own = [i for i, w in enumerate(words) if xxhash.xxh128_digest(b" ".join(w)) == node[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in own], pa.binary()), pa.array([shingle_hashes(words[i]).tobytes() for i in own], pa.binary())], names=["node", "s"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(text_slices(batches, "x"), "y"):
+            ok = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    shingled = materialize(docs.join(ends, F.col("doc_id") == F.col("least")).select("node", "t").mapInArrow(sets, "node binary, s binary"), "near-sets")
+    pairs = links.join(shingled.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(shingled.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    return materialize(pairs.mapInArrow(compare, "a binary, b binary, ok boolean"), "near-verified")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """(doc_id, component_id) of every row: texts whose sets of WIDTH-word shingles have a Jaccard
+    similarity of SIMILARITY or more are linked; component_id is the least doc_id reachable.
+
+    A shard has the fingerprints of the texts that share a minimum hash. Its BK-tree gives the candidates,
+    and the exact sets decide. First a spanning forest of the candidates is decided; where a link of it
+    fails, all candidates between what is still apart are. Texts of the same words (A-Z lower-cased, any
+    white space) are one node; null and empty texts are one too. Rows without doc_id are linked to texts
+    of the same words alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, "t"):
+            node, fp, least = zip(*map(_signature, raw_texts(b.column("t"))))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node, pa.binary()), pa.array(fp, pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "h"])
+
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ids = materialize(docs.mapInArrow(run, f"doc_id {kind}, node binary, fp bigint, h array<bigint>"), "near-ids")
+    known = materialize(ids.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("fp", "h")).alias("s")).select("node", "least", "s.*"), "near-distinct")
+    keyed = known.select(F.posexplode("h").alias("t", "k"), "fp", "node")
+    links = _verified(search_shards(keyed, WIDE_RADIUS, shard_limit), known, docs)
+    good = links.filter("ok").select("a", "b")
+    failed = links.filter("not ok")
+    if not failed.isEmpty():
+        candidate = materialize(connected_components(links), "near-candidates")
+        doubtful = candidate.join(candidate.join(failed.select(F.col("a").alias("node")), "node").select("component").distinct(), "component")
+        sure = connected_components(good).withColumnRenamed("component", "group")
+        members = materialize(doubtful.select("node").join(sure, "node", "left").select("node", F.coalesce("group", "node").alias("group")), "near-doubtful")
+        again = search_shards(keyed.join(members, "node").select("t", "k", "fp", "node", "group"), WIDE_RADIUS, shard_limit, spanning=False)
+        good = good.union(_verified(again, known, docs).filter("ok").select("a", "b"))
+    cc = materialize(connected_components(good), "near-components")
+    names = cc.join(known.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    named = cc.join(names, "component").select("node", "component_id")
+    names = materialize(known.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "near-names")
+    return ids.select("doc_id", "node").join(names, "node").select("doc_id", "component_id")

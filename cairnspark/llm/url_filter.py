@@ -83,6 +83,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = Non
     if edges is None:
         out = parsed.join(matched, ["host", "path"], "left").withColumn("component", F.concat("host", "path")).withColumn("spread", F.lit(False))
     else:
+        edges = materialize(edges.select("a", "b").distinct(), "url-links")
         ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
         # Targets of links need not be pages; rules are matched for them too.
         cut = ends.select(F.regexp_extract("node", "^([^/]*)", 1).alias("host"), F.regexp_extract("node", "^[^/]*(.*)$", 1).alias("path"))
