@@ -38,11 +38,19 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the least doc_id. Rows of one doc_id are
-    one document; rows without doc_id are told apart by their groups alone."""
-    groups = simhash.near_duplicates(docs, radius=4, width=4)
+    """One document of each group of texts that are similar to 0.8 or more in words by five: the one of the
+    least doc_id. Rows of one doc_id are one document. Of rows without doc_id one of each text stays, if no
+    row with doc_id has that text."""
+    groups = simhash.similar_documents(docs)
     keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id").select(docs.columns).dropDuplicates(["doc_id"])
+    kept = docs.join(keep, "doc_id").select(docs.columns).dropDuplicates(["doc_id"])
+    nameless = docs.filter("doc_id is null")
+    if nameless.isEmpty():
+        return kept
+    text = F.coalesce(F.col("text"), F.lit(""))
+    named = docs.filter("doc_id is not null").select(F.xxhash64(text).alias("_h"), F.md5(text).alias("_m"))
+    own = nameless.withColumns({"_h": F.xxhash64(text), "_m": F.md5(text)}).dropDuplicates(["_h", "_m"])
+    return kept.unionByName(own.join(named, ["_h", "_m"], "left_anti").select(docs.columns))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
