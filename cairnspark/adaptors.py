@@ -4,10 +4,13 @@ other SQL engines read alike, so that the queries and the SQL that checks them s
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -115,16 +118,30 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(*(f"{e} AS {c}" for c, e in NOTES.items()))
 
 
+#: Graph tables written so far, by the session's application and the driver's folder.
+_STORES: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
+    """A graph table from the store: built from the driver's tables on first use in a session, then read."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORES:
+        path = f"{shared_dir(spark)}/graph-{name}-{uuid.uuid4().hex}"
+        _views(spark, sf_dir, sql, _ALL).write.parquet(path)
+        _STORES[key] = path
+    return spark.read.parquet(_STORES[key])
+
+
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _views(spark, sf_dir, f"WITH {NODES_SQL} SELECT *, '' AS params, '' AS return_type FROM nodes", _ALL)
+    return _stored(spark, sf_dir, "nodes", f"WITH {NODES_SQL} SELECT *, '' AS params, '' AS return_type FROM nodes")
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _views(spark, sf_dir, f"WITH {EDGES_SQL} SELECT * FROM edges", _ALL)
+    return _stored(spark, sf_dir, "edges", f"WITH {EDGES_SQL} SELECT * FROM edges")
 
 
 def graph_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _views(spark, sf_dir, f"WITH {FILES_SQL} SELECT * FROM files", _ALL)
+    return _stored(spark, sf_dir, "files", f"WITH {FILES_SQL} SELECT * FROM files")
 
 
 def one_target(spark: SparkSession, node_id: str) -> DataFrame:
