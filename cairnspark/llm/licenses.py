@@ -193,7 +193,7 @@ class Rule:
 
 def _compile(pattern: str) -> re.Pattern[bytes]:
     """Letters and digits must not continue a match; a blank stands for any white space and marks around line ends."""
-    text = pattern.replace("V", r"(?:licen[sc]e,? )?(?:\(?(?:version|ver\.?|v\.?) ?)?").replace(" ", r"[\s#*/;-]+")
+    text = pattern.replace("[- ]", " ").replace("V", r"(?:licen[sc]e,? )?(?:\(?(?:version|ver\.?|v\.?) ?)?").replace(" ", r"[\s#*/;-]+")
     text = text.replace(r"[\s#*/;-]+)?", r"[\s#*/;-]*)?").replace(r"[\s#*/;-]+?", r"[\s#*/;-]*")
     return re.compile(rb"(?<![0-9a-z\x80-\xff])(?:" + text.encode() + rb")(?![0-9a-z\x80-\xff])", re.S)
 
@@ -219,6 +219,8 @@ def rules() -> list[Rule]:
         for name in re.split(r" ; ", names):
             key = _keyword(name).decode()
             rows.append((label, sure, rf"(?:{name}) ?licen[sc]e", key or "licen"))
+            if "V" in name:  # "name license, version n" stands for itself
+                rows.append((label, sure, name.replace("V", r"licen[sc]e,? (?:\(?(?:version|ver\.?|v\.?) ?)?"), key or "licen"))
             rows.append((label, sure, rf"(?:under|licen[sc]ed?:?|terms of) (?:the )?(?:{name})", key or "licen"))
         tag = re.escape(label)
         rows.append((label, TAG, rf"spdx-license-identifier: ?{tag}(?:-only|-or-later)?", "spdx-license"))

@@ -115,13 +115,13 @@ def messages(e: np.ndarray, first: np.ndarray, step: np.ndarray, start: float) -
 
 
 def _odds(p: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
-    """Log-odds that some token is toxic: noisy-or of the marginals over a twentieth, or else the largest."""
+    """Log-odds that some token is toxic: noisy-or of the marginals over a fifth, or else the largest."""
     out = np.full(len(doc_ends), -20.0)
     s = 0
     for d, e in enumerate(doc_ends):
         if e > s:
             own = p[s:e]
-            hot = own[own > 0.05]
+            hot = own[own > 0.2]
             none = -np.log1p(-np.minimum(hot, 1 - 1e-9)).sum() if len(hot) else -np.log1p(-min(own.max(), 1 - 1e-9))
             out[d] = np.clip(np.log(np.expm1(np.clip(none, 1e-9, 30))), -20, 20)
         s = e
@@ -170,7 +170,9 @@ def fit(docs: list[tuple[bytes, int]], rounds: int = 40, rate: float = 0.4, l2:
     first = chains(words, ends)
     vocab = {w: i for i, w in enumerate(dict.fromkeys(words))}
     ids = np.fromiter(map(vocab.__getitem__, words), np.int64, len(words))
-    at = np.array([_features(w) if w != _BREAK else (BUCKETS,) * _WIDTH for w in vocab])
+    # One clean word in five is shown without features, so that the bias learns what an unknown word is.
+    blank = [w == _BREAK or (marks.isdisjoint(_stems(w)) and zlib.crc32(w, 5) % 5 == 0) for w in vocab]
+    at = np.array([(BUCKETS,) * _WIDTH if x else _features(w) for w, x in zip(vocab, blank)])
     rest = np.setdiff1d(np.arange(len(words)), first, assume_unique=True)
     pairs = np.bincount(gold[rest - 1] * 2 + gold[rest], minlength=4)
     theta = np.zeros(BUCKETS + 1 + 5)
