@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import raw_texts, text_slices, unit_hash, with_fields
 
 #: Labelled rows of a class that are learned from, and the longest text among them, at most.
-TRAIN_PER_CLASS, TRAIN_CHARS = 1500, 200_000
+TRAIN_PER_CLASS, TRAIN_CHARS = 800, 50_000
 BUCKETS = 1 << 18
 #: A feature marks toxic tokens from this G-statistic and this ratio of document rates on.
 LEAST_G, LEAST_RATIO = 20.0, 8.0
@@ -114,7 +114,7 @@ def messages(e: np.ndarray, first: np.ndarray, step: np.ndarray, start: float) -
     return x, y
 
 
-def _odds(p: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
+def _evidence(p: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
     """Log-odds that some token is toxic: noisy-or of the marginals over a fifth, or else the largest."""
     out = np.full(len(doc_ends), -20.0)
     s = 0
@@ -128,6 +128,10 @@ def _odds(p: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
 def _tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     words: list[bytes] = []
     ends = np.empty(len(texts), np.int64)
@@ -137,18 +141,23 @@ def _tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return words, ends
 
 
-def token_labels(docs: list[tuple[list[bytes], int]]) -> set[bytes]:
-    """Stems (of lower-cased words) that mark toxic tokens, from documents' words and labels."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    n = [0, 0]
-    for words, y in docs:
-        n[y] += 1
-        seen[y].update({s for w in set(words) for s in _stems(w)})
-    marks = set()
-    share = n[1] / max(1, n[0] + n[1])
-    for s, a in seen[1].items():
-        c = seen[0][s]
-        if a < 3 or a * n[0] < LEAST_RATIO * (c + 0.5) * n[1]:
+def token_labels(docs: list[tuple[bytes, int]]) -> set[bytes]:
+    """Stems that mark toxic tokens, from texts and labels. Only stems of three toxic texts or more are
+    looked for in the clean ones."""
+    n = Counter(y for _, y in docs)
+    toxic: Counter = Counter()
+    for t, y in docs:
+        if y:
+            toxic.update({s for w in set(tokens(t)) for s in _stems(w)})
+    toxic = Counter({s: a for s, a in toxic.items() if a >= 3})
+    clean: Counter = Counter()
+    for t, y in docs:
+        if not y:
+            clean.update({s for w in set(tokens(t)) for s in _stems(w) if s in toxic})
+    share, marks = n[1] / max(1, n[0] + n[1]), set()
+    for s, a in toxic.items():
+        c = clean[s]
+        if a * n[0] < LEAST_RATIO * (c + 0.5) * n[1]:
             continue
         g = 2 * (a * np.log(a / ((a + c) * share)) + (c * np.log(c / ((a + c) * (1 - share))) if c else 0))
         if g >= LEAST_G:
@@ -158,22 +167,34 @@ def token_labels(docs: list[tuple[list[bytes], int]]) -> set[bytes]:
 
 def fit(docs: list[tuple[bytes, int]], rounds: int = 40, rate: float = 0.4, l2: float = 1e-3) -> Chain | None:
     """docs: texts and labels, in a fixed order. None if there is nothing to tell toxic from clean."""
-    split = [(tokens(t), y) for t, y in docs]
-    marks = token_labels([(w, y) for w, y in split])
-    tagged = [(w, y, [y == 1 and x != _BREAK and not marks.isdisjoint(_stems(x)) for x in w]) for w, y in split]
-    use = [(w, y, z) for w, y, z in tagged if w and (y == 0 or any(z))]
-    if not any(y for _, y, _ in use) or all(y for _, y, _ in use):
+    marks = token_labels(docs)
+    vocab: dict[bytes, int] = {_BREAK: 0}
+    marked, parts, gold_parts, ends = [False], [], [], []
+    seen = set()
+    for t, y in docs:  # words as numbers, so that the texts' words aren't held
+        words = tokens(t)
+        for w in words:
+            if w not in vocab:
+                vocab[w] = len(vocab)
+                marked.append(not marks.isdisjoint(_stems(w)))
+        own = np.fromiter(map(vocab.__getitem__, words), np.int32, len(words))
+        tag = np.fromiter((y == 1 and marked[i] for i in own), bool, len(own))
+        if len(own) and (not y or tag.any()):
+            parts.append(own)
+            gold_parts.append(tag)
+            ends.append(len(own))
+            seen.add(y)
+    if seen != {0, 1}:
         return None
-    words = [x for w, _, _ in use for x in w]
-    ends = np.cumsum([len(w) for w, _, _ in use])
-    gold = np.array([x for _, _, z in use for x in z], bool)
-    first = chains(words, ends)
-    vocab = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    ids = np.fromiter(map(vocab.__getitem__, words), np.int64, len(words))
+    ids, gold, ends = np.concatenate(parts), np.concatenate(gold_parts), np.cumsum(ends)
+    start_ = np.zeros(len(ids) + 1, bool)
+    start_[0] = start_[ends] = True
+    start_[1:] |= ids == 0
+    first = np.flatnonzero(start_[:-1])
+    rest = np.flatnonzero(~start_[:-1])
     # One clean word in five is shown without features, so that the bias learns what an unknown word is.
-    blank = [w == _BREAK or (marks.isdisjoint(_stems(w)) and zlib.crc32(w, 5) % 5 == 0) for w in vocab]
+    blank = [w == _BREAK or (not m and zlib.crc32(w, 5) % 5 == 0) for w, m in zip(vocab, marked)]
     at = np.array([(BUCKETS,) * _WIDTH if x else _features(w) for w, x in zip(vocab, blank)])
-    rest = np.setdiff1d(np.arange(len(words)), first, assume_unique=True)
     pairs = np.bincount(gold[rest - 1] * 2 + gold[rest], minlength=4)
     theta = np.zeros(BUCKETS + 1 + 5)
     theta[BUCKETS + 1 :] = [-3.0, -1.0, 0.0, 0.0, -1.0]  # bias, steps, start
@@ -192,25 +213,27 @@ def fit(docs: list[tuple[bytes, int]], rounds: int = 40, rate: float = 0.4, l2:
         g = np.empty_like(theta)
         g[: BUCKETS + 1] = np.bincount(at.ravel(), weights=np.repeat(per_word, _WIDTH), minlength=BUCKETS + 1)
         g[-5], g[-4:-1], g[-1] = err.sum(), (expected - pairs)[1:], err[first].sum()
-        g = g / len(use) + l2 * theta
+        g = g / len(ends) + l2 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g  # Adam
         theta -= rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-6)
     w = theta[: BUCKETS + 1].astype(np.float32)
     w[BUCKETS] = 0
     chain = Chain(w, float(theta[-5]), theta[-4:-1].copy(), float(theta[-1]))
-    all_words, all_ends = _tokens([t for t, _ in docs])
-    s = _odds(marginals(chain, all_words, all_ends), all_ends)
+    s = []
+    for k in range(0, len(docs), 100):
+        own, own_ends = _tokens([t for t, _ in docs[k : k + 100]])
+        s.append(_evidence(marginals(chain, own, own_ends), own_ends))
+    s = np.column_stack([np.concatenate(s), np.ones(len(docs))])
     y = np.array([y for _, y in docs], float)
-    a, b = 1.0, 0.0
+    prior, weight = np.array([1.0, 0.0]), np.array([0.5, 0.1])
+    a = prior.copy()
     for _ in range(50):  # Newton steps on the penalised log-likelihood
-        q = 1 / (1 + np.exp(-(a * s + b)))
+        q = _sigmoid(s @ a)
         h = np.maximum(q * (1 - q), 1e-6)
-        grad = np.array([((q - y) * s).sum() + 0.5 * (a - 1), (q - y).sum() + 0.1 * b])
-        hess = np.array([[(h * s * s).sum() + 0.5, (h * s).sum()], [(h * s).sum(), h.sum() + 0.1]])
-        move = np.linalg.solve(hess, grad)
-        move *= min(1.0, 2.0 / max(1e-9, np.abs(move).max()))
-        a, b = a - move[0], b - move[1]
-    chain.platt = (float(a), float(b))
+        move = np.linalg.solve(s.T @ (s * h[:, None]) + np.diag(weight), s.T @ (q - y) + weight * (a - prior))
+        a -= move * min(1.0, 2.0 / max(1e-9, np.abs(move).max()))
+    chain.platt = tuple(a.tolist())
+    chain.cache.clear()
     return chain
 
 
@@ -256,7 +279,7 @@ def score(docs: DataFrame, chain: Chain | None, text_col: str = "text") -> DataF
                 texts = raw_texts(b.column(text_col))
                 words, ends = _tokens(texts)
                 p = marginals(model, words, ends)
-                s = 1 / (1 + np.exp(-np.clip(model.platt[0] * _odds(p, ends) + model.platt[1], -40, 40)))
+                s = _sigmoid(_evidence(p, ends) * model.platt[0] + model.platt[1])
                 hot = np.flatnonzero(p >= SPAN_AT)
                 for d in np.unique(np.searchsorted(ends, hot, "right")):
                     first = ends[d - 1] if d else 0
