@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from .storage import shared_dir
 
@@ -125,11 +126,15 @@ _STORES: dict[tuple[str, str, str], str] = {}
 def _stored(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
     """A graph table from the store: built from the driver's tables on first use in a session, then read."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _STORES:
-        path = f"{shared_dir(spark)}/graph-{name}-{uuid.uuid4().hex}"
-        _views(spark, sf_dir, sql, _ALL).write.parquet(path)
-        _STORES[key] = path
-    return spark.read.parquet(_STORES[key])
+    if key in _STORES:
+        try:
+            return spark.read.parquet(_STORES[key])
+        except AnalysisException:  # somebody has emptied the folder: built anew
+            pass
+    path = f"{shared_dir(spark)}/graph-{name}-{uuid.uuid4().hex}"
+    _views(spark, sf_dir, sql, _ALL).write.parquet(path)
+    _STORES[key] = path
+    return spark.read.parquet(path)
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

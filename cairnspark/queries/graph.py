@@ -8,7 +8,7 @@ from ..adaptors import GRAPH_SQL, graph_edges, graph_files, graph_nodes, one_tar
 from ..functions import paths
 from ..operators import graph_joins as gj
 from ..operators import graph_tables as gt
-from ..plans import betweenness, closures, components, flow, gaps, impact, louvain
+from ..plans import betweenness, closures, components, flow, gaps, impact, louvain, resolve
 
 G = f"WITH RECURSIVE {GRAPH_SQL}, dep AS (SELECT * FROM edges WHERE kind NOT IN ('contains', 'documents')) "
 TARGET = "supplier:1"
@@ -144,6 +144,36 @@ def _replaced(s, d):
 
 
 
+def _code(s, d):
+    """Suppliers as Java files of a class with a method each: names recur, packages are few."""
+    k = table(s, d, "supplier").select(F.col("s_suppkey").alias("k"))
+    path, name = F.concat(F.lit("src/s"), F.col("k").cast("string"), F.lit(".java")), F.concat(F.lit("S"), (F.col("k") % 40).cast("string"))
+    method = F.concat(name, F.lit(".m"), (F.col("k") % 30).cast("string"))
+    node = lambda kind, n: k.select(F.concat(path, F.lit("::"), n).alias("id"), F.lit(kind).alias("kind"), n.alias("name"), path.alias("path"), F.lit("").alias("return_type"))
+    package = lambda x: F.concat(F.lit("p"), (x % 7).cast("string"))
+    files = k.select(path.alias("path"), F.lit("java").alias("language"), package(F.col("k")).alias("package"), F.array(F.concat(package(F.col("k") * 3), F.lit(".*"))).alias("imports"))
+    ref = lambda kind, n, to: k.select(F.concat(path, F.lit("::"), n).alias("from_id"), F.lit(kind).alias("kind"), to.alias("name"), F.lit(1).alias("line"), F.lit("").alias("recv"))
+    refs = ref("extends", name, F.concat(F.lit("S"), ((F.col("k") + 1) % 40).cast("string"))).unionByName(ref("calls", method, F.concat(F.lit("m"), ((F.col("k") + 5) % 30).cast("string"))))
+    return node("class", name).unionByName(node("function", method)), files, refs
+
+
+def _resolved_imports(s, d):
+    n, f, _ = _code(s, d)
+    return resolve.import_edges(n, f)
+
+
+def _resolved_classes(s, d):
+    return resolve.resolve_classes(*_code(s, d))
+
+
+def _resolved_calls(s, d):
+    n, f, r = _code(s, d)
+    return resolve.resolve_calls(n, f, r, s.createDataFrame([], "from_id string, to_id string"))
+
+
+_CODE = "WITH c AS (SELECT s_suppkey AS k, 'src/s' || CAST(s_suppkey AS STRING) || '.java' AS path, 'S' || CAST(s_suppkey % 40 AS STRING) AS name, 'm' || CAST(s_suppkey % 30 AS STRING) AS m, 'p' || CAST(s_suppkey % 7 AS STRING) AS pkg, 'p' || CAST(s_suppkey * 3 % 7 AS STRING) AS imp, 'S' || CAST((s_suppkey + 1) % 40 AS STRING) AS up, 'm' || CAST((s_suppkey + 5) % 30 AS STRING) AS callee FROM supplier) "
+
+
 QUERIES = {
     "impact": (lambda s, d: _impact(s, d).select("node_id", "depth"), _reach(TARGET, 2, "to_id", "from_id") + "SELECT id AS node_id, CAST(depth AS INT) AS depth FROM hits"),
     "impact_down": (lambda s, d: _impact(s, d, 2, "down", "order:7").select("node_id", "depth"), _reach("order:7", 2, "from_id", "to_id") + "SELECT id AS node_id, CAST(depth AS INT) AS depth FROM hits"),
@@ -233,4 +263,19 @@ QUERIES = {
         lambda s, d: gt.status(graph_files(s, d).withColumn("status", F.when(F.col("size") % 3000 == 0, "failed").otherwise("ok")), *_graph(s, d)),
         G + "SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM files WHERE size % 3000 = 0) AS failed, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges",
     ),
+    "resolve_imports": (_resolved_imports, _CODE + "SELECT DISTINCT a.path AS from_id, b.path AS to_id, 'imports' AS kind, 'exact' AS confidence FROM c a JOIN c b ON b.pkg = a.imp WHERE a.path <> b.path"),
+    "resolve_inheritance": (
+        _resolved_classes,
+        _CODE
+        + """, fq AS (SELECT pkg, name, min(path || '::' || name) AS id FROM c GROUP BY 1, 2), cand AS (SELECT k, fq.id, 2 AS rule FROM c JOIN fq ON fq.pkg = c.pkg AND fq.name = c.up UNION SELECT k, fq.id, 4 FROM c JOIN fq ON fq.pkg = c.imp AND fq.name = c.up UNION SELECT a.k, b.path || '::' || b.name, 5 FROM c a JOIN c b ON b.name = a.up),
+best AS (SELECT *, min(rule) OVER (PARTITION BY k) AS top FROM cand), cnt AS (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM best WHERE rule = top)
+SELECT c.path || '::' || c.name AS from_id, id AS to_id, 'extends' AS kind, CASE WHEN rule < 4 THEN 'exact' WHEN n = 1 THEN 'high' ELSE 'low' END AS confidence FROM cnt JOIN c USING (k) WHERE (rule < 5 OR n <= 5) AND id <> c.path || '::' || c.name""",
+    ),
+    "resolve_calls": (
+        _resolved_calls,
+        _CODE
+        + """, cand AS (SELECT a.k, b.path || '::' || b.name || '.' || b.m AS id, CASE WHEN b.pkg = a.pkg OR b.pkg = a.imp THEN 1 ELSE 2 END AS seen FROM c a JOIN c b ON b.m = a.callee), r AS (SELECT k, id, 1 AS rule FROM cand WHERE seen = 1 UNION ALL SELECT k, id, 2 FROM cand),
+best AS (SELECT *, min(rule) OVER (PARTITION BY k) AS top FROM r), cnt AS (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM best WHERE rule = top)
+SELECT c.path || '::' || c.name || '.' || c.m AS from_id, id AS to_id, 'calls' AS kind, CASE WHEN n > 1 THEN 'low' WHEN rule = 1 THEN 'high' ELSE 'medium' END AS confidence FROM cnt JOIN c USING (k) WHERE n <= 5""",
+    ),
 }

@@ -191,7 +191,7 @@ SELECT imported, count(*) AS n, CAST(sum(revision) AS BIGINT) AS revisions FROM
     ),
     "notes_secrets": (
         lambda s, d: ops.secret_records(notes(s, d)).select("id", "excluded"),
-        N + r"SELECT id, regexp_matches(content, 'AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*PRIVATE KEY-----|(?i:\b(?:api[_-]?key|secret|token|passw(?:or)?d)\b\s*[:=]\s*[""'']?[A-Za-z0-9_/+-]{8,})') AS excluded FROM notes".replace('""', '"'),
+        N + r"""SELECT id, regexp_matches(content, 'AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*PRIVATE KEY-----|(?i:\b(?:api[_-]?key|secret|token|passw(?:or)?d)\b\s*[:=]\s*["'']?[A-Za-z0-9_/+-]{8,})') AS excluded FROM notes""",
     ),
     "notes_relate": (
         _relate,
