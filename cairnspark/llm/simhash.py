@@ -26,6 +26,8 @@ SHARD_LIMIT = 20_000
 SHARD_AIM = 256
 #: Fingerprints that a task searches at once, and (query, node) pairs at once.
 FOREST, FRONTIER = 100_000, 1_000_000
+#: The same where shingles come along, and the size of a shard that is then searched in parts.
+EXACT_FOREST, EXACT_LIMIT = 5_000, 4_000
 
 _LANES = (((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8)).view(np.uint64).ravel()
 
@@ -149,12 +151,38 @@ def spanning_links(shard: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[t
                 label = up
 
 
-def search_shards(keyed: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT, spanning: bool = True) -> DataFrame:
-    """(a, b): links between nodes of a shard. keyed: (t, k, fp, node) and, unless spanning, group.
+def _exact_links(shard: np.ndarray, fp: np.ndarray, group: np.ndarray, sets: list[np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that join different groups of a shard: every pair within the radius whose groups are still apart
+    is compared exactly, and those that are similar enough join them."""
+    _, label = np.unique(np.stack([shard, group]), axis=1, return_inverse=True)
+    label, size = label.ravel().copy(), np.array([len(x) for x in sets])
+    for i, j in bk_links(shard, fp, radius):
+        fit = np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j]) - 1e-9
+        i, j = i[fit], j[fit]
+        found = []
+        while True:
+            apart = np.flatnonzero(label[i] != label[j])
+            if not len(apart):
+                break
+            i, j = i[apart], j[apart]
+            for n, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+                if _similar(sets[x], sets[y]):
+                    found.append((x, y))
+                    label[label == label[x]] = label[y]
+                    break
+            else:
+                break
+            i, j = i[n + 1 :], j[n + 1 :]
+        if found:
+            yield tuple(np.array(found, np.int64).T)
+
 
-    Spanning: with the same components as all pairs within the radius; the output does not grow with the
-    square of a group of copies. Else all pairs of different groups.
+def search_shards(keyed: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT, exact: bool = False) -> DataFrame:
+    """(a, b): links between nodes of a shard with the same components as all pairs within the radius, or, if
+    exact, as those of them that are similar enough; the output does not grow with the square of a group of
+    copies. keyed: (t, k, fp, node) and, if exact, group, whose nodes are joined already, and s, the shingles.
     """
+    forest = EXACT_FOREST if exact else FOREST
     parts = keyed.groupBy("t", "k").count().filter(F.col("count") > shard_limit).select("t", "k", F.ceil(F.col("count") / shard_limit).cast("int").alias("c"))
     cut, rest = ["t", "k", "i", "j"], keyed.columns[2:]
     if parts.isEmpty():
@@ -168,11 +196,12 @@ def search_shards(keyed: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT,
         change = np.any([c[1:] != c[:-1] for c in (table.column(x).to_numpy() for x in cut)], axis=0)
         shard, fp = np.concatenate(([0], np.cumsum(change))), table.column("fp").to_numpy().view(np.uint64)
         node = table.column("node").combine_chunks()
-        group = None if spanning else table.column("group").combine_chunks().dictionary_encode().indices.to_numpy()
-        for i, j in spanning_links(shard, fp, radius) if spanning else bk_links(shard, fp, radius):
-            if group is not None:
-                apart = group[i] != group[j]
-                i, j = i[apart], j[apart]
+        if exact:
+            group = table.column("group").combine_chunks().dictionary_encode().indices.to_numpy()
+            links = _exact_links(shard, fp, group, [np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()], radius)
+        else:
+            links = spanning_links(shard, fp, radius)
+        for i, j in links:
             if len(i):
                 yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], names=["a", "b"])
 
@@ -182,7 +211,7 @@ def search_shards(keyed: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT,
         for b in batches:
             held.append(b)
             rows += b.num_rows
-            if rows >= FOREST:  # all but the last shard are whole
+            if rows >= forest:  # all but the last shard are whole
                 table = pa.Table.from_batches(held)
                 tail = np.all([table.column(c).to_numpy() == table.column(c)[-1].as_py() for c in cut], axis=0)
                 whole = rows - int(tail.sum())
@@ -254,10 +283,14 @@ def _signature(text: bytes) -> tuple[bytes, int, list[int]]:
     return node, int(fp), mixed
 
 
-def _verified(links: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, ok): distinct links with whether the exact similarity of their texts reaches SIMILARITY."""
-    links = materialize(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(known.select("node", "least"), "node").filter("least is not null")
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9
+
+
+def _shingled(nodes: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, s): the shingle hashes of the texts of some nodes that have a doc_id."""
+    ends = nodes.select("node").distinct().join(known.select("node", "least"), "node").filter("least is not null")
     ends = materialize(ends, "near-ends")
     if ends.count() <= BROADCAST_ENDS:
         ends = F.broadcast(ends)
@@ -269,16 +302,19 @@ def _verified(links: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
             own = [i for i, w in enumerate(words) if xxhash.xxh128_digest(b" ".join(w)) == node[i]]
             yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in own], pa.binary()), pa.array([shingle_hashes(words[i]).tobytes() for i in own], pa.binary())], names=["node", "s"])
 
+    return materialize(docs.join(ends, F.col("doc_id") == F.col("least")).select("node", "t").mapInArrow(sets, "node binary, s binary"), "near-sets")
+
+
+def _verified(links: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, ok): distinct links with whether the exact similarity of their texts reaches SIMILARITY."""
+    links = materialize(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
+    shingled = _shingled(links.select(F.col("a").alias("node")).union(links.select("b")), known, docs)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(text_slices(batches, "x"), "y"):
-            ok = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9)
+            ok = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
-    shingled = materialize(docs.join(ends, F.col("doc_id") == F.col("least")).select("node", "t").mapInArrow(sets, "node binary, s binary"), "near-sets")
     pairs = links.join(shingled.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(shingled.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     return materialize(pairs.mapInArrow(compare, "a binary, b binary, ok boolean"), "near-verified")
 
@@ -288,8 +324,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     similarity of SIMILARITY or more are linked; component_id is the least doc_id reachable.
 
     A shard has the fingerprints of the texts that share a minimum hash. Its BK-tree gives the candidates,
-    and the exact sets decide. First a spanning forest of the candidates is decided; where a link of it
-    fails, all candidates between what is still apart are. Texts of the same words (A-Z lower-cased, any
+    and the exact sets decide. First a spanning forest of the candidates is decided; where a link of
+    it fails, every candidate between the groups at its ends, and others such, is decided in its shard. Texts of the same words (A-Z lower-cased, any
     white space) are one node; null and empty texts are one too. Rows without doc_id are linked to texts
     of the same words alone.
     """
@@ -306,15 +342,16 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = known.select(F.posexplode("h").alias("t", "k"), "fp", "node")
     links = _verified(search_shards(keyed, WIDE_RADIUS, shard_limit), known, docs)
     good = links.filter("ok").select("a", "b")
-    failed = links.filter("not ok")
-    if not failed.isEmpty():
-        candidate = materialize(connected_components(links), "near-candidates")
-        doubtful = candidate.join(candidate.join(failed.select(F.col("a").alias("node")), "node").select("component").distinct(), "component")
-        sure = connected_components(good).withColumnRenamed("component", "group")
-        members = materialize(doubtful.select("node").join(sure, "node", "left").select("node", F.coalesce("group", "node").alias("group")), "near-doubtful")
-        again = search_shards(keyed.join(members, "node").select("t", "k", "fp", "node", "group"), WIDE_RADIUS, shard_limit, spanning=False)
-        good = good.union(_verified(again, known, docs).filter("ok").select("a", "b"))
     cc = materialize(connected_components(good), "near-components")
+    group = lambda end: cc.select(F.col("node").alias(end), F.col("component").alias(f"g{end}"))
+    failed = links.filter("not ok").join(group("a"), "a", "left").join(group("b"), "b", "left").select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b")).filter("a <> b")
+    failed = materialize(failed.distinct(), "near-failed")
+    if not failed.isEmpty():
+        zone = failed.select(F.col("a").alias("group")).union(failed.select("b")).distinct()
+        members = materialize(zone.join(cc, F.col("group") == F.col("component"), "left").select(F.coalesce("node", "group").alias("node"), "group"), "near-doubtful")
+        own = keyed.join(members, "node").join(_shingled(members, known, docs), "node").select("t", "k", "fp", "node", "group", "s")
+        again = search_shards(own, WIDE_RADIUS, min(shard_limit, EXACT_LIMIT), exact=True)
+        cc = materialize(connected_components(good.union(again)), "near-components")
     names = cc.join(known.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
     named = cc.join(names, "component").select("node", "component_id")
     names = materialize(known.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "near-names")
