@@ -87,19 +87,19 @@ def _junit(s, d):
 
 
 def _mutants(s, d):
-    l = table(s, d, "lineitem").filter("l_orderkey % 10 = 0")  # noqa: E741
+    l = table(s, d, "lineitem")  # noqa: E741
     return l.select(F.concat(F.lit("k"), (F.col("l_suppkey") % 9).cast("string")).alias("tool"), F.col("l_partkey").cast("string").alias("file"), F.col("l_linenumber").alias("line"), F.lit("").alias("description"), (F.col("l_quantity") > 20).alias("killed"))
 
 
 def _go_mutants(s, d):
-    l = table(s, d, "lineitem").filter("l_orderkey % 10 = 0")  # noqa: E741
+    l = table(s, d, "lineitem")  # noqa: E741
     row = F.concat(F.when(F.col("l_quantity") > 20, "FAIL").otherwise("PASS"), F.lit(' "src/p'), F.col("l_partkey").cast("string"), F.lit(".go."), F.col("l_linenumber").cast("string"), F.lit('" with checksum abc'))
     t = l.groupBy((F.col("l_suppkey") % 9).cast("string").alias("path")).agg(F.array_join(F.collect_list(row), "\n").alias("text"))
     return cov.mutation_score(reports.go_mutants(t), "path").withColumn("score", F.round("score", 6))
 
 
 def _ts_mutants(s, d):
-    l = table(s, d, "lineitem").filter("l_orderkey % 10 = 0")  # noqa: E741
+    l = table(s, d, "lineitem")  # noqa: E741
     row = F.format_string('{"mutatorName":"M","status":"%s","location":{"start":{"line":%d}}}', F.when(F.col("l_quantity") > 20, "Killed").when(F.col("l_quantity") > 15, "Timeout").otherwise("NoCoverage"), "l_linenumber")
     t = l.groupBy((F.col("l_suppkey") % 9).cast("string").alias("path")).agg(F.array_join(F.collect_list(row), ",").alias("m")).select("path", F.concat(F.lit('{"files":{"a.ts":{"mutants":['), "m", F.lit("]}}}")).alias("text"))
     return cov.mutation_score(reports.typescript_mutants(t), "path").withColumn("score", F.round("score", 6))

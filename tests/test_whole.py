@@ -24,3 +24,21 @@ def test_reports_are_written_from_all_parts(spark, many_parts, name, lines):
     got = sorted(tuple(r)[1:] for r in QUERIES[name][0](spark, many_parts).collect())
     want = duckdb.sql(f"SELECT CAST(sum({lines}) AS BIGINT), CAST(coalesce(sum({lines}) FILTER (p_partkey % 3 > 0), 0) AS BIGINT) FROM '{many_parts}/part.parquet' GROUP BY p_brand").fetchall()
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize(("name", "key", "least"), [("mutation_scores", "'k' || CAST(l_suppkey % 9 AS STRING)", 20), ("read_go_mutants", "CAST(l_suppkey % 9 AS STRING)", 20), ("read_typescript_mutants", "CAST(l_suppkey % 9 AS STRING)", 15)])
+def test_mutants_are_all_line_items(spark, sf, name, key, least):
+    got = {r[0]: (r["total"], r["killed"], r["score"]) for r in QUERIES[name][0](spark, sf).collect()}
+    want = duckdb.sql(f"SELECT {key}, count(*), count(*) FILTER (l_quantity > {least}), round(avg(CAST(l_quantity > {least} AS INT)), 6) FROM '{sf}/lineitem.parquet' GROUP BY 1").fetchall()
+    assert got == {k: tuple(x) for k, *x in want}
+
+
+def test_mutation_gate_is_over_all_line_items(spark, tmp_path):
+    # Tool k1 passes over all rows and fails over every tenth order, k2 the other way round.
+    rows = [(k, 1 if k % 10 else 2, 1, 1, q) for k in range(1, 41) for q in [30 if k % 10 else 10]]
+    rows += [(k, 2, 1, 2, 10) for k in range(1, 41) if k % 10] + [(k, 1, 1, 2, 10) for k in range(10, 41, 10)] + [(k, 2, 1, 3, 30) for k in range(10, 41, 10)]
+    pq.write_table(pa.table(dict(zip(("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_quantity"), map(list, zip(*rows))))), tmp_path / "lineitem.parquet")
+    got = {r["tool"]: r["passed"] for r in QUERIES["mutation_gate"][0](spark, str(tmp_path)).collect()}
+    want = duckdb.sql(f"SELECT 'k' || CAST(l_suppkey % 9 AS STRING), avg(CAST(l_quantity > 20 AS INT)) >= 0.6 FROM '{tmp_path}/lineitem.parquet' GROUP BY 1").fetchall()
+    tenth = duckdb.sql(f"SELECT 'k' || CAST(l_suppkey % 9 AS STRING), avg(CAST(l_quantity > 20 AS INT)) >= 0.6 FROM '{tmp_path}/lineitem.parquet' WHERE l_orderkey % 10 = 0 GROUP BY 1").fetchall()
+    assert got == dict(want) != dict(tenth)
