@@ -1,6 +1,6 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
-A rule is a regular expression with a label, a priority and the keywords without which it cannot match. An
+A rule is a regular expression with a label, a priority and keywords: without any of them it cannot match. An
 automaton finds the keywords of all rules in one pass over a text, and only rules whose keywords occur are
 run. Detections are taken by priority, then length, then place; one that lies within a detection already
 taken is suppressed.
@@ -209,31 +209,40 @@ def _keyword(name: str) -> bytes:
     return max(kept, key=len, default="").encode()
 
 
+def _keywords(name: str) -> tuple[str, ...]:
+    """Literal runs of which every match of a name holds one: of a name that is one choice, a run of each branch."""
+    choice = re.fullmatch(r"\(\?:([^()]*)\)", name)
+    found = tuple(_keyword(n).decode() for n in (choice[1].split("|") if choice else [name]))
+    if not all(found):
+        raise ValueError(f"no keyword in the license name {name}")
+    return found
+
+
 def rules() -> list[Rule]:
     """All rules in order. Of each name: a notice before the word license, one after "licensed under",
     its tag as a package field, and its address on the usual license sites."""
-    rows: list[tuple[str, int, str, str]] = []
+    rows: list[tuple[str, int, str, tuple[str, ...]]] = []
     for line in NAMES.strip().splitlines():
         label, names = (x.strip() for x in line.split("|", 1))
         sure = VERSION if re.search(r"\d", label) else FAMILY
         for name in re.split(r" ; ", names):
-            key = _keyword(name).decode()
-            rows.append((label, sure, rf"(?:{name}) ?licen[sc]e", key or "licen"))
+            keys = _keywords(name)
+            rows.append((label, sure, rf"(?:{name}) ?licen[sc]e", keys))
             if "V" in name:  # "name license, version n" stands for itself
-                rows.append((label, sure, name.replace("V", r"licen[sc]e,? (?:\(?(?:version|ver\.?|v\.?) ?)?"), key or "licen"))
-            rows.append((label, sure, rf"(?:under|licen[sc]ed?:?|terms of) (?:the )?(?:{name})", key or "licen"))
+                rows.append((label, sure, name.replace("V", r"licen[sc]e,? (?:\(?(?:version|ver\.?|v\.?) ?)?"), keys))
+            rows.append((label, sure, rf"(?:under|licen[sc]ed?:?|terms of) (?:the )?(?:{name})", keys))
         tag = re.escape(label)
-        rows.append((label, TAG, rf"spdx-license-identifier: ?{tag}(?:-only|-or-later)?", "spdx-license"))
-        rows.append((label, TAG, rf"license[\"']?[:=] ?[\"']{tag}[\"']", label))
-        rows.append((label, TAG, rf"(?:opensource\.org/licenses?|spdx\.org/licenses|choosealicense\.com/licenses)/{tag}(?:\.html|\.php)?", label))
+        rows.append((label, TAG, rf"spdx-license-identifier: ?{tag}(?:-only|-or-later)?", ("spdx-license",)))
+        rows.append((label, TAG, rf"license[\"']?[:=] ?[\"']{tag}[\"']", (label,)))
+        rows.append((label, TAG, rf"(?:opensource\.org/licenses?|spdx\.org/licenses|choosealicense\.com/licenses)/{tag}(?:\.html|\.php)?", (label,)))
     for line in PHRASES.strip().splitlines():
         label, pattern, key = (x.strip() for x in line.split(" | "))
-        rows.append((label, PHRASE, pattern, key))
+        rows.append((label, PHRASE, pattern, (key,)))
     out = []
-    for n, (label, priority, pattern, key) in enumerate(rows):
+    for n, (label, priority, pattern, keys) in enumerate(rows):
         # A blank of a keyword may be other white space in a text: its longest word is looked for.
-        word = max(key.split(), key=len)
-        out.append(Rule(n, label, priority, _compile(pattern), (word.encode(),)))
+        words = tuple(dict.fromkeys(max(key.split(), key=len).encode() for key in keys))
+        out.append(Rule(n, label, priority, _compile(pattern), words))
     return out
 
 
