@@ -1,8 +1,8 @@
-"""Benchmark decontamination by SimHash over item-sized windows.
+"""Benchmark decontamination by weighted similarity of item-sized windows.
 
-Every window of a document as long as an item (in words) that holds a shingle of some item is fingerprinted.
-Blocks of the fingerprints are looked up in a multi-index of the items of that length; all within the
-radius agree with the window in a block, so they are found. Exact weighted-shingle similarity decides.
+Words of a document that begin a shingle of some item are found by hash, with the items that have it. Of each
+item whose shingles there weigh enough, the similarity of every window as long as the item (in words) is taken
+from running sums; those that may reach SIMILARITY are decided exactly. No window is left to chance.
 """
 
 from __future__ import annotations
@@ -13,15 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import raw_texts, text_slices
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Bits in which a window may differ from an item, and blocks of the index: one more block than bits.
-RADIUS, BLOCKS = 15, 16
 #: Characters of benchmark text that one pass over the documents takes; a larger benchmark takes more passes.
 PASS_CHARS = 8_000_000
 _CLASS = bytes(i if i >= 0x80 or 0x61 <= i <= 0x7A or 0x30 <= i <= 0x39 else i + 32 if 0x41 <= i <= 0x5A else 32 for i in range(256))
@@ -51,20 +48,6 @@ def similarity(a: list[bytes], b: list[bytes], weight: dict[bytes, float], other
     return both / all_ if all_ else 0.0
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64) * 2 - 1
-
-
-def _pack(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 1e-9, axis=1, bitorder="little").view(np.uint64).ravel()
-
-
-def _blocks(fps: np.ndarray) -> np.ndarray:
-    """fingerprints x BLOCKS: the value of each block."""
-    size = 64 // BLOCKS
-    return ((fps[:, None] >> np.arange(0, 64, size, dtype=np.uint64)) & np.uint64((1 << size) - 1)).astype(np.int64)
-
-
 def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
 
@@ -93,33 +76,24 @@ class Items:
         df = Counter(s for bag in self.bags for s in set(bag))
         self.other = float(np.log(1 + len(self.bags)))
         self.weight = {s: float(np.log(1 + len(self.bags) / n)) for s, n in df.items()}
-        fps = np.array([_pack((_bits(self._hash(bag)) * self._weights(bag)[:, None]).sum(axis=0)[None])[0] for bag in self.bags], np.uint64)
         lengths = np.array([len(w) for w in self.words], np.int64)
         self.longest = int(lengths.max()) if len(lengths) else 0
-        top = max(self.weight.values(), default=1.0)
-        #: By length in words: items, fingerprints, the index (of block and value, the items that have it)
-        #: and how many known shingles a window must hold to reach SIMILARITY with any of the items.
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, int]] = {}
-        for n in np.unique(lengths).tolist():
-            own = np.flatnonzero(lengths == n)
-            index = np.zeros((BLOCKS, 1 << 64 // BLOCKS, len(own)), bool)
-            index[np.arange(BLOCKS), _blocks(fps[own]), np.arange(len(own))[:, None]] = True
-            least = min(self._weights(self.bags[i]).sum() for i in own)
-            self.by_length[n] = (own, fps[own], index, max(1, int(np.ceil(SIMILARITY * least / top - 1e-6))))
-        #: By shingle width: hashes of the items' shingles, and a table of those hashes' first bits. Python's
-        #: hash differs from one process to another, so this is made in each worker.
-        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for k in sorted({min(WIDTH, n) for n in self.by_length}):
-            h = np.unique(np.concatenate([_roll(_hashes(w), k) for w in self.words if min(WIDTH, len(w)) == k]))
+        self.total = np.array([sum(self.weight[x] for x in bag) for bag in self.bags])
+        #: By shingle width: distinct hashes of the items' shingles, a table of those hashes' first bits, weights
+        #: of the shingles, and for each hash from begin[h] to begin[h + 1] the items that have it and how often.
+        #: Python's hash differs from one process to another, so this is made in each worker.
+        self.known: dict[int, tuple[np.ndarray, ...]] = {}
+        for k in sorted({min(WIDTH, n) for n in lengths.tolist()}):
+            own = [i for i, w in enumerate(self.words) if min(WIDTH, len(w)) == k]
+            every = np.concatenate([_roll(_hashes(self.words[i]), k) for i in own])
+            item = np.repeat(own, [len(self.bags[i]) for i in own])
+            h, number = np.unique(every, return_inverse=True)
+            weight = np.zeros(len(h))
+            weight[number] = [self.weight[x] for i in own for x in self.bags[i]]
+            pairs, times = np.unique(np.stack([number, item]), axis=1, return_counts=True)
             table = np.zeros(1 << 20, bool)
             table[h >> np.uint64(44)] = True
-            self.known[k] = (h, table)
-
-    def _hash(self, bag: list[bytes]) -> np.ndarray:
-        return np.array([xxhash.xxh64_intdigest(s, 7) for s in bag], np.uint64)
-
-    def _weights(self, bag: list[bytes]) -> np.ndarray:
-        return np.array([self.weight.get(s, self.other) for s in bag])
+            self.known[k] = (h, table, weight, np.searchsorted(pairs[0], np.arange(len(h) + 1)), pairs[1], times)
 
     def scan(self, docs: list[list[bytes]]) -> Iterator[tuple[int, list[tuple[int, float, int, int]]]]:
         """For each document with leaks its index and (item, similarity, first word, words) of the best
@@ -127,46 +101,71 @@ class Items:
         h = np.concatenate([_hashes(w) for w in docs]) if docs else np.empty(0, np.uint64)
         ends = np.cumsum([len(w) for w in docs])
         hits: dict[int, np.ndarray] = {}
-        for k, (known, table) in self.known.items():
+        numbers: dict[int, np.ndarray] = {}
+        for k, (known, table, *_) in self.known.items():
             r = _roll(h, k)
             at = np.flatnonzero(table[r >> np.uint64(44)])
-            at = at[known[np.minimum(np.searchsorted(known, r[at]), len(known) - 1)] == r[at]]
-            d = np.searchsorted(ends, at, "right")
-            hits[k] = at[at + k <= ends[d]] if len(at) else at  # not across documents
+            which = np.minimum(np.searchsorted(known, r[at]), len(known) - 1)
+            held = known[which] == r[at]
+            at, which = at[held], which[held]
+            held = at + k <= ends[np.searchsorted(ends, at, "right")]  # not across documents
+            hits[k], numbers[k] = at[held], which[held]
         every = np.unique(np.concatenate(list(hits.values()))) if hits else np.empty(0, np.int64)
         for d in np.unique(np.searchsorted(ends, every, "right")).tolist():
             first = int(ends[d]) - len(docs[d])
             best: dict[int, tuple[float, int, int]] = {}
-            own = {k: x[np.searchsorted(x, first) : np.searchsorted(x, ends[d])] - first for k, x in hits.items()}
+            own = {}
+            for k, x in hits.items():
+                part = slice(np.searchsorted(x, first), np.searchsorted(x, ends[d]))
+                own[k] = x[part] - first, numbers[k][part]
             mine = every[np.searchsorted(every, first) : np.searchsorted(every, ends[d])] - first
             for group in np.split(mine, np.flatnonzero(np.diff(mine) > self.longest) + 1):  # no window holds hits so far apart
                 lo, hi = max(0, int(group[0]) - self.longest), min(len(docs[d]), int(group[-1]) + self.longest + WIDTH)
-                self._windows(docs[d][lo:hi], {k: x[(x >= lo) & (x < hi)] - lo for k, x in own.items()}, lo, best)
+                for k, (x, number) in own.items():
+                    part = slice(np.searchsorted(x, lo), np.searchsorted(x, hi - k, "right"))
+                    self._windows(docs[d][lo:hi], k, x[part] - lo, number[part], lo, best)
             if best:
                 yield d, [(i, *best[i]) for i in sorted(best)]
 
-    def _windows(self, words: list[bytes], hits: dict[int, np.ndarray], offset: int, best: dict[int, tuple[float, int, int]]) -> None:
-        sums: dict[int, np.ndarray] = {}
-        for n, (own, fps, index, need) in self.by_length.items():
-            k, count = min(WIDTH, n), len(words) - n + 1
-            if count <= 0 or len(hits[k]) < need:
-                continue
-            start = np.arange(count)
-            start = start[np.searchsorted(hits[k], start + n - k, "right") - np.searchsorted(hits[k], start, "left") >= need]
-            if not len(start):
+    def _windows(self, words: list[bytes], k: int, at: np.ndarray, number: np.ndarray, offset: int, best: dict[int, tuple[float, int, int]]) -> None:
+        """Windows of some words whose known shingles of k words, by number, begin at the places `at`."""
+        _, _, weight, begin, items, times = self.known[k]
+        m = begin[number + 1] - begin[number]
+        row = np.repeat(begin[number] - np.cumsum(m) + m, m) + np.arange(m.sum())  # rows of (hash, item) at each place
+        place, heavy = np.repeat(at, m), np.repeat(weight[number], m)
+        own, which = np.unique(items[row], return_inverse=True)
+        enough = np.bincount(which, heavy, len(own)) >= SIMILARITY * self.total[own] - 1e-6
+        order = np.argsort(which, kind="stable")
+        cuts = np.searchsorted(which[order], np.arange(len(own) + 1))
+        sums: np.ndarray | None = None
+        for j in np.flatnonzero(enough).tolist():
+            i, mine = int(own[j]), order[cuts[j] : cuts[j + 1]]
+            n = len(self.words[i])
+            span, count = n - k + 1, len(words) - n + 1
+            if count <= 0:
                 continue
-            if k not in sums:
-                bag = shingles(words, k)
-                sums[k] = np.vstack([np.zeros(64), np.cumsum(_bits(self._hash(bag)) * self._weights(bag)[:, None], axis=0)])
-            fp = _pack(sums[k][start + n - k + 1] - sums[k][start])
-            w, i = np.nonzero(index[np.arange(BLOCKS), _blocks(fp)].any(axis=1))
-            near = np.bitwise_count(fp[w] ^ fps[i]) <= RADIUS
-            bags: dict[int, list[bytes]] = {}
-            for w, i in zip(w[near].tolist(), own[i[near]].tolist()):
-                s = int(start[w])
-                if s not in bags:
-                    bags[s] = shingles(words[s : s + n], k)
-                sim = similarity(bags[s], self.bags[i], self.weight, self.other)
+            # What a window has in common with the item changes where a known shingle enters or leaves it.
+            p, w = place[mine], heavy[mine]
+            held: Counter[int] = Counter()
+            change = np.zeros(count + 1)
+            events = sorted([(max(0, x - span + 1), 1, r, t, v) for x, r, t, v in zip(p.tolist(), row[mine].tolist(), times[row[mine]].tolist(), w.tolist())] + [(x + 1, 0, r, t, v) for x, r, t, v in zip(p.tolist(), row[mine].tolist(), times[row[mine]].tolist(), w.tolist())])
+            for s, enters, r, t, v in events:
+                if s >= count:
+                    break
+                if enters:
+                    change[s] += v * (held[r] < t)
+                    held[r] += 1
+                else:
+                    held[r] -= 1
+                    change[s] -= v * (held[r] < t)
+            both = np.cumsum(change[:count])
+            if sums is None:
+                each = np.full(len(words) - k + 1, self.other)
+                each[at] = weight[number]
+                sums = np.concatenate(([0.0], np.cumsum(each)))
+            all_ = sums[span : span + count] - sums[:count] + self.total[i] - both
+            for s in np.flatnonzero(both >= SIMILARITY * all_ - 1e-6).tolist():
+                sim = similarity(shingles(words[s : s + n], k), self.bags[i], self.weight, self.other)
                 if sim >= SIMILARITY and (i not in best or (sim, -s - offset) > (best[i][0], -best[i][1])):
                     best[i] = (sim, s + offset, n)
 

@@ -1,6 +1,8 @@
 """Cases in which the training-data operators once left out part of their results."""
 
-from cairnspark.llm import licenses
+import random
+
+from cairnspark.llm import decontam, licenses
 
 
 def samples(tree):
@@ -46,3 +48,34 @@ def test_names_of_one_choice_are_found_without_the_word_license():
     s = licenses.Scanner()
     for text, label in (("released under the wtfpl", "wtfpl"), ("distributed under the 3-clause bsd", "bsd-3-clause"), ("under simplified bsd", "bsd-2-clause"), ("under the old bsd", "bsd-4-clause"), ("under zero-clause bsd", "0bsd"), ("under the free public", "0bsd")):
         assert label in {r.label for _, _, r in s.detections(text.encode())}
+
+
+def test_every_window_of_enough_similarity_is_a_leak():
+    r = random.Random(2)
+    items = [[f"w{r.randrange(10**6)}".encode() for _ in range(59)] for _ in range(1500)]
+    docs = []
+    for w in items:  # one word changed: 50 of 60 shingles are shared
+        w = list(w)
+        w[r.randrange(5, 54)] = b"changed"
+        docs.append([b"before"] * 7 + w + [b"after"] * 7)
+    idx = decontam.Items(list(range(len(items))), items)
+    found = {d: leaks for d, leaks in idx.scan(docs)}
+    assert [d for d in range(len(docs)) if d not in found] == []
+    assert not list(idx.scan([[f"x{i}".encode() for i in range(500)]])) and not list(idx.scan([]))
+    assert all(len(x) == 1 and x[0][0] == d and x[0][2:] == (7, 59) and x[0][1] >= 0.8 for d, x in found.items())
+
+
+def test_windows_equal_brute_force_with_repeats():
+    r = random.Random(3)
+    items = [[r.choice((b"a", b"b")) for _ in range(n)] for n in (1, 3, 5, 6, 9, 14, 14, 30)]
+    docs = [[r.choice((b"a", b"b", b"b", b"c")[: 2 + i % 3]) for _ in range(r.randrange(50))] for i in range(60)] + [items[7] * 2, [b"a"] * 40, []]
+    idx = decontam.Items(list(range(len(items))), items)
+    want = {}
+    for d, w in enumerate(docs):
+        for k, own in enumerate(idx.words):
+            n = len(own)
+            sim = max(((decontam.similarity(decontam.shingles(w[s : s + n]), idx.bags[k], idx.weight, idx.other), -s) for s in range(len(w) - n + 1)), default=(0, 0))
+            if sim[0] >= 0.8:
+                want[d, k] = round(sim[0], 6)
+    assert {(d, k): round(x, 6) for d, leaks in idx.scan(docs) for k, x, _, _ in leaks} == want
+    assert len(want) > 100
