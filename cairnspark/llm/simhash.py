@@ -303,7 +303,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids = materialize(docs.mapInArrow(run, f"doc_id {kind}, node binary, fp bigint, h array<bigint>"), "near-ids")
     known = materialize(ids.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("fp", "h")).alias("s")).select("node", "least", "s.*"), "near-distinct")
-    keyed = known.select(F.posexplode("h").alias("t", "k"), "fp", "node")
+    # A nameless text cannot be read again by its id, so its links can't be decided: it must not stand between others.
+    keyed = known.filter("least is not null").select(F.posexplode("h").alias("t", "k"), "fp", "node")
     links = _verified(search_shards(keyed, WIDE_RADIUS, shard_limit), known, docs)
     good = links.filter("ok").select("a", "b")
     failed = links.filter("not ok")

@@ -2,7 +2,7 @@
 
 import random
 
-from cairnspark.llm import decontam, licenses
+from cairnspark.llm import decontam, licenses, simhash
 
 
 def samples(tree):
@@ -79,3 +79,19 @@ def test_windows_equal_brute_force_with_repeats():
                 want[d, k] = round(sim[0], 6)
     assert {(d, k): round(x, 6) for d, leaks in idx.scan(docs) for k, x, _, _ in leaks} == want
     assert len(want) > 100
+
+
+def test_a_nameless_text_does_not_part_its_neighbours(spark):
+    # Two named texts of similarity 0.8 or more, and one without id between them in every shard.
+    r = random.Random(6)
+    rows = []
+    for g in range(20):
+        w = [f"g{g}w{r.randrange(10**6)}" for _ in range(150)]
+        for i, at in enumerate((40, None, 100)):
+            t = list(w)
+            if at:
+                t[at] = f"other{i}"
+            rows.append((None if at is None else 2 * g + i // 2, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(docs).collect() if x["doc_id"] is not None}
+    assert got == {d: d - d % 2 for d in range(40)}
