@@ -1,5 +1,7 @@
 """Queries against the whole of their tables, by SQL or plain Python over all rows."""
 
+from collections import defaultdict
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -42,3 +44,32 @@ def test_mutation_gate_is_over_all_line_items(spark, tmp_path):
     want = duckdb.sql(f"SELECT 'k' || CAST(l_suppkey % 9 AS STRING), avg(CAST(l_quantity > 20 AS INT)) >= 0.6 FROM '{tmp_path}/lineitem.parquet' GROUP BY 1").fetchall()
     tenth = duckdb.sql(f"SELECT 'k' || CAST(l_suppkey % 9 AS STRING), avg(CAST(l_quantity > 20 AS INT)) >= 0.6 FROM '{tmp_path}/lineitem.parquet' WHERE l_orderkey % 10 = 0 GROUP BY 1").fetchall()
     assert got == dict(want) != dict(tenth)
+
+
+@pytest.mark.parametrize("name", ["note_similarity", "umbrella_free_tokens"])
+def test_notes_are_read_whole(spark, sf, name):
+    run, sql = QUERIES[name]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    whole = sql.replace("substr(content, 1, 300) AS content", "content")
+    assert whole != sql
+    want = con.sql(whole).df()
+    got = run(spark, sf).toPandas()[list(want.columns)]
+    key = lambda df: sorted(tuple(f"{x:.5f}" if isinstance(x, float) else str(x) for x in r) for r in df.itertuples(index=False))
+    assert key(got) == key(want)
+
+
+def test_notes_are_grouped_by_their_later_text(spark, tmp_path):
+    # Twelve notes in three groups whose members share words behind character 300 only; none is a skill.
+    ids = [i for i in range(40) if i % 8 != 5 and i % 11][:12]
+    letters = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    text = lambda i, g: " ".join(f"own{letters(1000 * i + k)}" for k in range(120, 160)) + " " + " ".join(f"shared{letters(1000 * g + k)}" for k in range(100, 300))
+    texts = [text(i, n % 3 + 7) for n, i in enumerate(ids)]
+    assert all(t.index("shared") > 300 for t in texts)
+    pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": texts, "source": ["web"] * len(ids)}), tmp_path / "documents.parquet")
+    own = {f"doc-{i}": n % 3 for n, i in enumerate(ids)}
+    groups = defaultdict(set)
+    for r in QUERIES["note_communities"][0](spark, str(tmp_path)).collect():
+        groups[r["community"]].add(own[r["id"]])
+    assert sorted(map(sorted, groups.values())) == [[0], [1], [2]]
+    assert [r["size"] for r in QUERIES["note_clusters"][0](spark, str(tmp_path)).collect()] == [4, 4, 4]
