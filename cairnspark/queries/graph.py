@@ -54,11 +54,7 @@ _DOMAIN = ", dom AS (SELECT n.id, CASE WHEN n.kind = 'external' THEN 'external'
 _CROSS = _DOMAIN + ", x AS (SELECT e.*, a.d AS fd, b.d AS td FROM dep e JOIN dom a ON a.id = e.from_id JOIN dom b ON b.id = e.to_id WHERE a.d <> b.d AND a.d <> 'external' AND b.d <> 'external'), sh AS (SELECT fd, td, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY fd) AS BIGINT) AS o FROM x GROUP BY fd, td)"
 
 
-def _small_calls(s, d):
-    """Calls among suppliers: a graph with cycles."""
-    return graph_edges(s, d).filter("kind = 'calls' and from_id like 'supplier:%'")
-
-
+#: In the SQL only: calls among suppliers. The queries read the whole graph.
 _CALLS = G + ", c AS (SELECT from_id, to_id FROM edges WHERE kind = 'calls' AND starts_with(from_id, 'supplier:')) "
 _MUTUAL = _CALLS + ", reach(a, b) AS (SELECT from_id, to_id FROM c UNION SELECT r.a, c.to_id FROM reach r JOIN c ON c.from_id = r.b), ids AS (SELECT from_id AS id FROM c UNION SELECT to_id FROM c), scc AS (SELECT i.id, least(i.id, coalesce(min(x.b), i.id)) AS component FROM ids i LEFT JOIN reach x ON x.a = i.id AND EXISTS (SELECT 1 FROM reach y WHERE y.a = x.b AND y.b = x.a) GROUP BY i.id)"
 _BETWEEN = _CALLS + """, ids AS (SELECT from_id AS id FROM c UNION SELECT to_id FROM c), walk(s, v, d) AS (SELECT id, id, 0 FROM ids UNION SELECT w.s, c.to_id, w.d + 1 FROM walk w JOIN c ON c.from_id = w.v WHERE w.d < 60), dist AS (SELECT s, v, min(d) AS d FROM walk GROUP BY s, v),
@@ -206,13 +202,13 @@ QUERIES = {
         lambda s, d: gj.domain_shares(graph_edges(s, d), gj.node_domains(graph_nodes(s, d), graph_files(s, d))).withColumn("share", F.round("share", 6)),
         G + _CROSS + " SELECT fd AS from_domain, td AS to_domain, n, o AS out, round(n / o, 6) AS share FROM sh",
     ),
-    "strong_components": (lambda s, d: components.strong_components(_small_calls(s, d)), _MUTUAL + " SELECT id, component FROM scc"),
-    "cycles": (lambda s, d: components.cycles(_small_calls(s, d)).select("component", "size"), _MUTUAL + " SELECT component, count(*) AS size FROM scc GROUP BY 1 HAVING count(*) > 1"),
-    "cyclic_core": (lambda s, d: components.core_of(_small_calls(s, d), TARGET), _MUTUAL + f" SELECT id, component FROM scc WHERE component = (SELECT component FROM scc WHERE id = '{TARGET}') AND (SELECT count(*) FROM scc WHERE component = (SELECT component FROM scc WHERE id = '{TARGET}')) > 1"),
-    "betweenness": (lambda s, d: betweenness.bridge_scores(_small_calls(s, d)).withColumn("score", F.round("score", 4)), _BETWEEN + " SELECT id, round(CAST(score AS DOUBLE), 4) AS score FROM score"),
-    "top_bridges": (lambda s, d: betweenness.top_bridges(_small_calls(s, d), 10).withColumn("score", F.round("score", 4)), _BETWEEN + " SELECT id, round(CAST(score AS DOUBLE), 4) AS score FROM score WHERE score > 0 ORDER BY round(score, 6) DESC, id LIMIT 10"),
+    "strong_components": (lambda s, d: components.strong_components(graph_edges(s, d)), _MUTUAL + " SELECT id, component FROM scc"),
+    "cycles": (lambda s, d: components.cycles(graph_edges(s, d)).select("component", "size"), _MUTUAL + " SELECT component, count(*) AS size FROM scc GROUP BY 1 HAVING count(*) > 1"),
+    "cyclic_core": (lambda s, d: components.core_of(graph_edges(s, d), TARGET), _MUTUAL + f" SELECT id, component FROM scc WHERE component = (SELECT component FROM scc WHERE id = '{TARGET}') AND (SELECT count(*) FROM scc WHERE component = (SELECT component FROM scc WHERE id = '{TARGET}')) > 1"),
+    "betweenness": (lambda s, d: betweenness.bridge_scores(graph_edges(s, d)).withColumn("score", F.round("score", 4)), _BETWEEN + " SELECT id, round(CAST(score AS DOUBLE), 4) AS score FROM score"),
+    "top_bridges": (lambda s, d: betweenness.top_bridges(graph_edges(s, d), 10).withColumn("score", F.round("score", 4)), _BETWEEN + " SELECT id, round(CAST(score AS DOUBLE), 4) AS score FROM score WHERE score > 0 ORDER BY round(score, 6) DESC, id LIMIT 10"),
     "chokepoints": (
-        lambda s, d: betweenness.chokepoints(_small_calls(s, d), graph_nodes(s, d)).select("id", "is_chokepoint"),
+        lambda s, d: betweenness.chokepoints(graph_edges(s, d), graph_nodes(s, d)).select("id", "is_chokepoint"),
         _BETWEEN + ", pos AS (SELECT id, round(score, 6) AS score FROM score WHERE score > 0), ord AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS k, count(*) OVER () AS n FROM pos), cut AS (SELECT score AS least FROM ord WHERE k = greatest(0, least(n - 1, CAST(floor(n * 0.95) AS BIGINT)))) SELECT id, score >= least AS is_chokepoint FROM pos, cut",
     ),
     "ancestors": (_closure, _UP + "SELECT source, id, CAST(min(depth) AS INT) AS depth FROM anc GROUP BY 1, 2"),

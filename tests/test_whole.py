@@ -1,12 +1,13 @@
 """Queries against the whole of their tables, by SQL or plain Python over all rows."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict, deque
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from cairnspark.adaptors import EDGES_SQL
 from cairnspark.queries import all_queries
 
 QUERIES = all_queries()
@@ -73,3 +74,72 @@ def test_notes_are_grouped_by_their_later_text(spark, tmp_path):
         groups[r["community"]].add(own[r["id"]])
     assert sorted(map(sorted, groups.values())) == [[0], [1], [2]]
     assert [r["size"] for r in QUERIES["note_clusters"][0](spark, str(tmp_path)).collect()] == [4, 4, 4]
+
+
+@pytest.fixture(scope="module")
+def edges(sf):
+    con = duckdb.connect()
+    for t in ("nation", "region", "supplier", "customer", "part", "orders", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return con.sql(f"WITH {EDGES_SQL} SELECT from_id, to_id, kind FROM edges").fetchall()
+
+
+def reached(to, v):
+    seen, todo = {v}, [v]
+    while todo:
+        for w in to[todo.pop()]:
+            if w not in seen:
+                seen.add(w)
+                todo.append(w)
+    return seen
+
+
+def test_components_are_of_all_dependency_edges(spark, sf, edges):
+    out, back = defaultdict(set), defaultdict(set)
+    for a, b, kind in edges:
+        if kind not in ("contains", "documents"):
+            out[a].add(b)
+            back[b].add(a)
+    want = {}
+    for v in sorted(set(out) | set(back)):
+        if v not in want:
+            want |= dict.fromkeys(reached(out, v) & reached(back, v), v)
+    assert dict(map(tuple, QUERIES["strong_components"][0](spark, sf).select("id", "component").collect())) == want
+    sizes = {c: n for c, n in Counter(want.values()).items() if n > 1}
+    assert dict(map(tuple, QUERIES["cycles"][0](spark, sf).select("component", "size").collect())) == sizes
+    core = {v for v in want if want[v] == want["supplier:1"]} if want["supplier:1"] in sizes else set()
+    assert {r["id"] for r in QUERIES["cyclic_core"][0](spark, sf).collect()} == core
+
+
+def test_bridges_are_of_all_calls(spark, sf, edges):
+    to = defaultdict(set)
+    for a, b, kind in edges:
+        if kind == "calls":
+            to[a].add(b)
+    nodes = sorted(set(to) | {b for x in to.values() for b in x})
+    want = dict.fromkeys(nodes, 0.0)
+    for s in nodes[:100]:
+        dist, paths, order, todo = {s: 0}, Counter({s: 1}), [], deque([s])
+        while todo:
+            v = todo.popleft()
+            order.append(v)
+            for w in to[v]:
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    todo.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] += paths[v]
+        delta = Counter()
+        for v in reversed(order):
+            delta[v] = sum(paths[v] / paths[w] * (1 + delta[w]) for w in to[v] if dist[w] == dist[v] + 1)
+            if v != s:
+                want[v] += delta[v]
+    got = dict(map(tuple, QUERIES["betweenness"][0](spark, sf).select("id", "score").collect()))
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-3 for v in want)
+    top = [tuple(r) for r in QUERIES["top_bridges"][0](spark, sf).select("id", "score").collect()]
+    assert [x for _, x in top] == pytest.approx(sorted(want.values(), reverse=True)[:10], abs=1e-3)
+    positive = sorted(x for x in want.values() if x > 0)
+    least = positive[max(0, min(len(positive) - 1, int(len(positive) * 0.95)))]
+    marks = dict(map(tuple, QUERIES["chokepoints"][0](spark, sf).select("id", "is_chokepoint").collect()))
+    assert marks.keys() == {v for v in want if want[v] > 0}
+    assert all(marks[v] == (want[v] >= least) for v in marks if abs(want[v] - least) > 1e-9)
