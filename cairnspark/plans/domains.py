@@ -190,13 +190,9 @@ def clustered_domain_map(files: DataFrame, edges: DataFrame, weighted: DataFrame
         big = group.groupBy("community").agg(F.count("*").alias("n")).filter(F.col("n") > limits.max_files).select("community")
         own = group.join(big, "community", "left_semi")
         inner = weighted.join(own.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(own.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b").filter("ca = cb")
-        parts = None
-        for r in big.limit(1000).toLocalIterator():  # communities over the limit: few
-            c = F.lit(r["community"])
-            sub = louvain(own.filter(F.col("community") == c).select("id"), inner.filter(F.col("ca") == c).select("a", "b", "weight"))
-            parts = sub if parts is None else parts.unionByName(sub)
-        if parts is None:
+        if big.isEmpty():
             break
+        parts = louvain(own.select("id"), inner.select("a", "b", "weight", "ca"), by="ca")
         finer = materialize(group.join(big, "community", "left_anti").select("id", "community").unionByName(parts.select("id", "community")), "communities")
         if finer.join(group, ["id", "community"], "left_anti").isEmpty():
             break

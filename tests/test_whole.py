@@ -1,13 +1,16 @@
 """Queries against the whole of their tables, by SQL or plain Python over all rows."""
 
+import random
 from collections import Counter, defaultdict, deque
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from cairnspark.adaptors import EDGES_SQL
+from cairnspark.plans import domains, louvain
 from cairnspark.queries import all_queries
 
 QUERIES = all_queries()
@@ -143,3 +146,22 @@ def test_bridges_are_of_all_calls(spark, sf, edges):
     marks = dict(map(tuple, QUERIES["chokepoints"][0](spark, sf).select("id", "is_chokepoint").collect()))
     assert marks.keys() == {v for v in want if want[v] > 0}
     assert all(marks[v] == (want[v] >= least) for v in marks if abs(want[v] - least) > 1e-9)
+
+
+def test_more_than_a_thousand_large_communities_keep_their_files(spark):
+    n = 1005
+    files = spark.range(3 * n).selectExpr("concat('f', id) AS path", "concat('p.q', id % 5) AS package", "1L AS size")
+    pairs = spark.range(n).selectExpr("explode(array(struct(3 * id AS x, 3 * id + 1 AS y), struct(3 * id AS x, 3 * id + 2 AS y), struct(3 * id + 1 AS x, 3 * id + 2 AS y))) AS e").selectExpr("concat('f', e.x) AS a", "concat('f', e.y) AS b", "1L AS weight")
+    none = spark.createDataFrame([], "from_id string, to_id string")
+    got = [r["path"] for r in domains.clustered_domain_map(files, none, pairs, domains.Limits(max_files=2)).collect()]
+    assert sorted(got) == sorted(f"f{i}" for i in range(3 * n))
+
+
+def test_graphs_are_clustered_apart_as_alone(spark):
+    r = random.Random(4)
+    rows = [(f"g{g}n{a}", f"g{g}n{b}", r.randrange(1, 5 * g + 3), g) for g in range(4) for a in range(12) for b in range(a) if r.random() < 0.3]
+    edges = spark.createDataFrame(rows, "a string, b string, weight long, g int")
+    nodes = lambda e: e.selectExpr("a AS id").union(e.select("b")).distinct()
+    got = {tuple(x) for x in louvain.louvain(nodes(edges), edges, by="g").collect()}
+    alone = [edges.filter(F.col("g") == g).drop("g") for g in range(4)]
+    assert got == {tuple(x) for e in alone for x in louvain.louvain(nodes(e), e).collect()}
