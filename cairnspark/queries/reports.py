@@ -59,7 +59,7 @@ def _istanbul(s, d):
 
 
 def _xml_sql(file: str) -> str:
-    return f"SELECT {file} AS file, count(*) AS known, count(*) FILTER (p_partkey % 3 > 0) AS covered FROM part WHERE p_partkey <= 2000 GROUP BY 1"
+    return f"SELECT {file} AS file, count(*) AS known, count(*) FILTER (p_partkey % 3 > 0) AS covered FROM part GROUP BY 1"
 
 
 def _formats(s, d):
@@ -110,7 +110,7 @@ def _matched(s, d):
 
 
 def _red(s, d):
-    c = _cases(s, d).filter("class < 'org.x.T3'")
+    c = _cases(s, d)
     new = s.range(0, 50).select(F.concat(F.lit("test/org/x/T"), F.col("id").cast("string"), F.lit(".java")).alias("file"))
     return cov.cases_of_files(c, new).groupBy("file").agg(F.count("*").alias("cases"), F.bool_or(F.col("status").isin("fail", "error")).alias("red"))
 
@@ -151,16 +151,16 @@ QUERIES = {
     "read_go_coverage": (_go, _GO),
     "read_cobertura": (_cobertura, _xml_sql("p_brand || '.py'")),
     "read_jacoco": (_jacoco, _xml_sql("'org/x/' || p_brand || '.java'")),
-    "read_istanbul": (_istanbul, "SELECT p_brand || '.ts' AS file, CAST(sum(1 + p_partkey % 2) AS BIGINT) AS known, CAST(sum(CASE WHEN p_partkey % 3 > 0 THEN 1 + p_partkey % 2 ELSE 0 END) AS BIGINT) AS covered FROM part WHERE p_partkey <= 2000 GROUP BY 1"),
+    "read_istanbul": (_istanbul, "SELECT p_brand || '.ts' AS file, CAST(sum(1 + p_partkey % 2) AS BIGINT) AS known, CAST(sum(CASE WHEN p_partkey % 3 > 0 THEN 1 + p_partkey % 2 ELSE 0 END) AS BIGINT) AS covered FROM part GROUP BY 1"),
     "coverage_formats": (_formats, "SELECT CASE doc_id % 5 WHEN 0 THEN 'go' WHEN 1 THEN 'cobertura' WHEN 2 THEN 'jacoco' WHEN 3 THEN 'istanbul' ELSE '' END AS format, count(*) AS n FROM documents GROUP BY 1"),
     "read_junit": (_junit, f"SELECT 'org.x.T' || CAST(o_custkey % 50 AS STRING) AS class, {_STATUS} AS status, count(*) AS n FROM orders GROUP BY 1, 2"),
-    "mutation_scores": (lambda s, d: cov.mutation_score(_mutants(s, d)).withColumn("score", F.round("score", 6)), "SELECT 'k' || CAST(l_suppkey % 9 AS STRING) AS tool, count(*) AS total, count(*) FILTER (l_quantity > 20) AS killed, round(avg(CAST(l_quantity > 20 AS INT)), 6) AS score FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1"),
-    "mutation_gate": (lambda s, d: cov.mutation_gate(cov.mutation_score(_mutants(s, d)), 0.6).select("tool", "passed"), "SELECT 'k' || CAST(l_suppkey % 9 AS STRING) AS tool, avg(CAST(l_quantity > 20 AS INT)) >= 0.6 AS passed FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1"),
-    "read_go_mutants": (_go_mutants, "SELECT CAST(l_suppkey % 9 AS STRING) AS path, count(*) AS total, count(*) FILTER (l_quantity > 20) AS killed, round(avg(CAST(l_quantity > 20 AS INT)), 6) AS score FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1"),
-    "read_typescript_mutants": (_ts_mutants, "SELECT CAST(l_suppkey % 9 AS STRING) AS path, count(*) AS total, count(*) FILTER (l_quantity > 15) AS killed, round(avg(CAST(l_quantity > 15 AS INT)), 6) AS score FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1"),
+    "mutation_scores": (lambda s, d: cov.mutation_score(_mutants(s, d)).withColumn("score", F.round("score", 6)), "SELECT 'k' || CAST(l_suppkey % 9 AS STRING) AS tool, count(*) AS total, count(*) FILTER (l_quantity > 20) AS killed, round(avg(CAST(l_quantity > 20 AS INT)), 6) AS score FROM lineitem GROUP BY 1"),
+    "mutation_gate": (lambda s, d: cov.mutation_gate(cov.mutation_score(_mutants(s, d)), 0.6).select("tool", "passed"), "SELECT 'k' || CAST(l_suppkey % 9 AS STRING) AS tool, avg(CAST(l_quantity > 20 AS INT)) >= 0.6 AS passed FROM lineitem GROUP BY 1"),
+    "read_go_mutants": (_go_mutants, "SELECT CAST(l_suppkey % 9 AS STRING) AS path, count(*) AS total, count(*) FILTER (l_quantity > 20) AS killed, round(avg(CAST(l_quantity > 20 AS INT)), 6) AS score FROM lineitem GROUP BY 1"),
+    "read_typescript_mutants": (_ts_mutants, "SELECT CAST(l_suppkey % 9 AS STRING) AS path, count(*) AS total, count(*) FILTER (l_quantity > 15) AS killed, round(avg(CAST(l_quantity > 15 AS INT)), 6) AS score FROM lineitem GROUP BY 1"),
     "test_cases_of_files": (
         _red,
-        f"SELECT 'test/org/x/T' || CAST(o_custkey % 50 AS STRING) || '.java' AS file, count(*) AS cases, bool_or({_STATUS} IN ('fail', 'error')) AS red FROM orders WHERE 'org.x.T' || CAST(o_custkey % 50 AS STRING) < 'org.x.T3' GROUP BY 1",
+        f"SELECT 'test/org/x/T' || CAST(o_custkey % 50 AS STRING) || '.java' AS file, count(*) AS cases, bool_or({_STATUS} IN ('fail', 'error')) AS red FROM orders GROUP BY 1",
     ),
     "scenarios": (_scenarios, "SELECT DISTINCT conv_id AS path, '@s' || CAST(turn AS STRING) AS tag, 'turn ' || CAST(turn AS STRING) AS title FROM (SELECT conv_id, turn FROM conversations)"),
     "missing_scenarios": (_missing, "SELECT DISTINCT 's' || CAST(turn AS STRING) AS tag FROM conversations WHERE turn NOT IN (SELECT turn FROM conversations WHERE role = 'user' AND turn < 3)"),
