@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Used only where the session names no shared folder, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints"
 #: Text bytes that a worker turns into Python objects at once.
 SLICE_BYTES = 4 << 20
 
@@ -28,8 +28,14 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or our own where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session, whose driver
+    and executors are one process, gets a folder of its own; a cluster must name one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.gettempdir()}/cairnspark-{spark.sparkContext.applicationId}"
+    return folder.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +43,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of materialized tables that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
+    """df (a materialized table), marked for broadcast if it has at most so many rows; else a shuffle joins it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, with lines put before those that a column has already (in any case of letters)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """df with its columns of those names (in any case of letters) called otherwise, and the columns that select df's
+    own again."""
+    clash = [c for c in df.columns if c.lower() in {n.lower() for n in names}]
+    new = dict(zip(clash, fresh([*df.columns, *names, *(f"input_{n}" for n in names)], *(f"own_{c}" for c in clash))))
+    return df.withColumnsRenamed(new), [F.col(f"`{new.get(c, c)}`").alias(c) for c in df.columns]
 
 
 def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
