@@ -2,14 +2,15 @@
 
 A page becomes a list of text blocks in page order. A block's features are its word count and link
 density, those of its neighbours, and what its containers say of it. The tree (CART, Gini impurity) is
-trained on TRAINING, a small table of labelled pages.
+trained on a small table of labelled pages: TRAINING, written by hand, and pages made by rule from the
+kinds of boilerplate and containers, with blocks of 1 to 100 words of every kind.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, with_fields
+from .common import fresh, text_slices, with_fields
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"  # comment
+    r"|<(?:svg|math|iframe|object|template|select|textarea|noscript)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"  # closed in itself
     r"|<(?P<raw>script|style|noscript|template|textarea|select|svg|math|iframe|object|head)\b[^>]*>.*?(?:</(?P=raw)\s*>|(?=<body\b)|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*(?:>|\Z)"  # declarations, processing instructions, odd closing tags
@@ -40,12 +42,16 @@ _MAIN = frozenset("article main".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLE_BOILER = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 _HINT_BOILER = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification notices "
-    "pagination pager popup promo promotion related recommended replies reply respondents response responses respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification notifications "
+    "pagination pager paywall popup promo promotion promotions recommended recommendations related replies reply respond respondents response responses share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
 _HINT_MAIN = frozenset("article content entry main post story body text".split())
+#: Words after which the word before them says what an element is: a sidebar-content is a sidebar.
+_GENERIC = frozenset("area articles bar block body box button buttons card column container content entries group icon icons image inner item items left link links list main outer page pages panel posts right row section site slot stories text title top unit wrap wrapper".split())
+#: Words that turn round the meaning of the next one: a page with-sidebar is none.
+_NEGATION = frozenset("has hide is no not show with without".split())
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_main", "in_boiler", "boiler_hint", "list_or_cell", "heading")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "main", "main_gap", "boilerplate", "list_or_cell", "heading")
 
 
 @dataclass
@@ -55,34 +61,48 @@ class Block:
     label: int | None = None
 
 
-def _marks(name: str, attrs: str, in_main: int) -> tuple[int, int, int, int | None]:
-    """Of an element: main, boilerplate by kind, boilerplate by name, label in a training page."""
-    main, boiler, hint, label = int(name in _MAIN), int(name in _BOILER), 0, None
+def _kind(token: str) -> int:
+    """What a class or id says of its element: -1 boilerplate, 1 main text, 0 neither. Its last word that isn't
+    generic decides, as in a compound noun: a cookie-notice is a notice, a social-history a history."""
+    words = [x.lower() for x in _HINT_SPLIT.split(token) if x and not x.isdigit()]
+    k = len(words) - 1
+    while k > 0 and words[k] in _GENERIC:
+        k -= 1
+    if k < 0 or (k and words[k - 1] in _NEGATION):
+        return 0
+    return -1 if words[k] in _HINT_BOILER else int(words[k] in _HINT_MAIN)
+
+
+def _marks(name: str, attrs: str, in_main: int) -> tuple[int, int, int | None]:
+    """Of an element: main (2 by kind, 1 by name), boilerplate by kind or name, label in a training page."""
+    main, boiler, label = 2 * (name in _MAIN), int(name in _BOILER), None
+    if name == "header" and in_main:  # an article's own header holds its title
+        boiler = 0
     if attrs:
-        words: set[str] = set()
+        kinds: set[int] = set()
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                words.update(x.lower() for x in _HINT_SPLIT.split(value) if x)
+                kinds.update(_kind(x) for x in value.split() if not (in_main and x.lower().endswith("header")))
             elif key == "role":
                 boiler |= value.lower() in _ROLE_BOILER
-                main |= value.lower() in ("main", "article")
+                main = max(main, 2 * (value.lower() in ("main", "article")))
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                hint = 1
+                boiler = 1
             elif key == "data-y":
                 label = int(value)
-        if words & (_HINT_BOILER - {"header"} if in_main else _HINT_BOILER):
-            hint = 1
-        elif words & _HINT_MAIN:
-            main = 1
-    return main, boiler, hint, label
+        if -1 in kinds:
+            boiler = 1
+        elif 1 in kinds:
+            main = max(main, 1)
+    return main, boiler, label
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page. White space in a block is one space; character references are decoded once."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int, int | None]] = [("", 0, 0, 0, None)]
-    para: tuple[int, int, int, int | None] = (0, 0, 0, None)  # of the paragraph or heading that is open
+    stack: list[tuple[str, int, int, int | None]] = [("", 0, 0, None)]
+    para: tuple[int, int, int | None] = (0, 0, None)  # of the paragraph or heading that is open
     parts: list[str] = []
     linked = links = heading = 0
 
@@ -93,8 +113,8 @@ def blocks(page: str) -> list[Block]:
             top = stack[-1]
             words = text.count(" ") + 1
             cell = int(any(x[0] in ("li", "td", "th") for x in stack))
-            marks = [max(x, y) for x, y in zip(top[1:4], para)]
-            out.append(Block(text, [min(words, 200), min(1.0, linked / words), 0, 0, 0, 0, *marks, cell, heading], para[3] if para[3] is not None else top[4]))
+            main, boiler = (max(x, y) for x, y in zip(top[1:3], para))
+            out.append(Block(text, [min(words, 200), min(1.0, linked / words), 0, 0, 0, 0, main, 0, boiler, cell, heading], para[2] if para[2] is not None else top[3]))
         parts.clear()
         linked = 0
 
@@ -113,7 +133,7 @@ def blocks(page: str) -> list[Block]:
             parts.append(" ")
         elif name in _BLOCK:
             flush()
-            links, heading, para = 0, int(name in _HEADING and not m["close"]), (0, 0, 0, None)
+            links, heading, para = 0, int(name in _HEADING and not m["close"]), (0, 0, None)
             up = stack[-1]
             if m["close"]:
                 if name in _CONTAINER:
@@ -122,21 +142,21 @@ def blocks(page: str) -> list[Block]:
                             del stack[i:]
                             break
             elif name in _CONTAINER:
-                own = _marks(name, m["attrs"], up[1])
-                if name == "header" and up[1] and not up[2]:  # an article's own header holds its title
-                    own = (own[0], 0, *own[2:])
-                stack.append((name, *(max(x, y) for x, y in zip(own[:3], up[1:4])), own[3] if own[3] is not None else up[4]))
+                main, boiler, label = _marks(name, m["attrs"], up[1])
+                inherited = 0 if name == "main" and not boiler else up[2]  # the main element lies in no sidebar
+                stack.append((name, max(main, up[1]), max(boiler, inherited), label if label is not None else up[3]))
             elif m["attrs"] and name != "html":
                 para = _marks(name, m["attrs"], up[1])
                 if name == "body":
-                    stack[0], para = ("", 0, 0, 0, para[3]), (0, 0, 0, None)
+                    stack[0], para = ("", 0, 0, para[2]), (0, 0, None)
     flush()
+    most = max((b.features[6] for b in out if not b.features[8]), default=0)
     for i, b in enumerate(out):
         if i:
             b.features[2:4] = out[i - 1].features[:2]
         if i + 1 < len(out):
             b.features[4:6] = out[i + 1].features[:2]
-    return out
+        b.features[7] = max(0, most - b.features[6])
     return out
 
 
@@ -176,11 +196,54 @@ TRAINING = (
 )
 
 
+#: Words of a block in the made pages.
+LENGTHS = (1, 2, 3, 5, 8, 13, 21, 34, 55, 100)
+# Kinds of boilerplate, of containers of the main text, and of short lines beside links.
+AROUND = (
+    "<nav>{t}</nav>", "<nav><ul>{links}</ul></nav>", "<header><p>{t}</p></header>", "<footer><p>{t}</p></footer>", "<aside><p>{t}</p></aside>", "<div class=ad>{t}</div>", '<div class="cookie-notice"><p>{t}</p></div>',
+    "<div class=sidebar><p>{t}</p></div>", "<section id=comments><p>{t}</p></section>", "<form><p>{t}</p></form>", "<div class=newsletter>{t}</div>", "<div role=navigation>{t}</div>", "<ul class=menu>{links}</ul>", "<div class=related-posts><ul>{links}</ul></div>",
+)
+WITHIN = ("<div class=ad>{t}</div>", "<aside>{t}</aside>", "<div class=share-links>{links}</div>", "<form>{t}</form>", "<section class=comments><p>{t}</p></section>", "<footer>{t}</footer>")
+CONTAINERS = ("<article data-y=1>{}</article>", "<main data-y=1>{}</main>", "<div class=content data-y=1>{}</div>", "<div role=main data-y=1>{}</div>", "{}")
+BARE = ("<p>{links}</p><p>{t}</p>", "<div>{t}</div><div>{links}</div>", "<p>{t}</p><ul>{links}</ul>")
+
+
+def made_pages() -> list[str]:
+    """Labelled pages by rule: every container with boilerplate of every kind and blocks of every length around and
+    in it. Where a container holds the main text, plain blocks outside are not of it; where none does, plain blocks
+    are, but for links and short lines beside them."""
+    pages = []
+    for i in range(len(LENGTHS) * len(CONTAINERS)):
+        container, at = CONTAINERS[i % len(CONTAINERS)], i // len(CONTAINERS)
+
+        def fill(template: str, k: int, at: int = at) -> str:
+            n = LENGTHS[(at + k) % len(LENGTHS)]
+            return template.format(t=" ".join(["word"] * n), links=" ".join(f"<li><a href=/{x}>word</a></li>" if "<ul" in template else f"<a href=/{x}>word</a>" for x in range(max(2, n // 4))))
+
+        bare = container == "{}"
+        around = [fill(AROUND[(at + 3 * k) % len(AROUND)], 3 * k + i) for k in range(6)]
+        within = [fill(x, k) for k, x in enumerate(WITHIN)]
+        body = [f"<h1 data-y=1>{fill('{t}', at % 3)}</h1>", *(f"<p data-y=1>{fill('{t}', k)}</p>" for k in range(10)), f"<ul data-y=1><li>{fill('{t}', 1)}</li><li>{fill('{t}', 4)}</li></ul>", f"<p data-y=1>{fill('{t}', 5)} <a href=/x>word</a></p>"]
+        if bare:  # at the ends a paragraph stands beside links; a short one there would be no main text
+            body.insert(4, fill("<p data-y=1>{t}</p>", 3 - at + (at + 2) % 7) + fill("<p>{links}</p>", at) + fill("<p data-y=1>{t}</p>", 3 - at + (at + 5) % 7) + fill("<p data-y=1>{t}</p>", at % 3 - at))
+            first = f"<h1 data-y=1>{fill('{t}', at % 3 - at)}</h1>" if at % 2 else ""
+            body = [f"{first}<p data-y=1>{fill('{t}', -at + 3 + at % 7)}</p>", *body[1:], f"<p data-y=1>{fill('{t}', -at + 3 + (at + 3) % 7)}</p>"]
+        else:
+            body.insert(1 + at, f"<div data-y=0>{fill('<div class=share-links>{links}</div>', at)}</div>")
+        inner = "".join(body[:5]) + f"<div data-y=0>{within[at % len(within)]}</div>" + "".join(body[5:9]) + f"<div data-y=0>{within[(at + 1) % len(within)]}</div>" + "".join(body[9:])
+        # Short lines, of at most three words, stand beside links where no container tells what is main.
+        plain = [fill(x, -at + at % 3) for x in BARE] if bare else [fill("<p>{t}</p>", 2), fill("<div>{t}</div>", 6), fill("<p>{links}</p>", 4)]
+        pages.append(f"<body data-y=0>{''.join(around[:3])}{plain[1]}{container.format(inner)}{plain[0]}{plain[2]}{''.join(around[3:])}</body>")
+    return pages
+
+
 class Tree:
-    """A binary decision tree by Gini impurity, grown until leaves are pure or max_depth is reached."""
+    """A binary decision tree by Gini impurity, grown until leaves are pure, max_depth is reached or a leaf would
+    have fewer than least_leaf blocks."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, max_depth: int = 8) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, max_depth: int = 8, least_leaf: int = 3) -> None:
         self.feature, self.at, self.left, self.right, self.share = [], [], [], [], []
+        self.least = least_leaf
         self._grow(x, y, max_depth)
 
     def _grow(self, x: np.ndarray, y: np.ndarray, depth: int) -> int:
@@ -194,6 +257,8 @@ class Tree:
             values = np.unique(x[:, f])
             for cut in (values[1:] + values[:-1]) / 2:
                 low = x[:, f] <= cut
+                if min(low.sum(), (~low).sum()) < self.least:
+                    continue
                 impurity = y[low].var() * low.sum() + y[~low].var() * (~low).sum()
                 if impurity < best[0] - 1e-12:
                     best = (impurity, f, float(cut))
@@ -212,8 +277,9 @@ class Tree:
         return self.share[i] >= 0.5
 
 
-def train(pages: tuple[str, ...] = TRAINING) -> Tree:
-    rows = [b for p in pages for b in blocks(p)]
+def train(pages: Iterable[str] | None = None) -> Tree:
+    """pages: labelled, by default TRAINING and the made pages."""
+    rows = [b for p in ([*TRAINING, *made_pages()] if pages is None else pages) for b in blocks(p)]
     return Tree(np.array([b.features for b in rows], float), np.array([b.label or 0 for b in rows], float))
 
 
@@ -236,12 +302,13 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """
     pages = pages.withColumnsRenamed({c: f"input_{c}" for c in ("text", "n_chars") if c in pages.columns and c != html_col})
     keep = [c for c in pages.columns if c != html_col]
-    schema = with_fields(pages.select(*keep).schema, "text string, n_chars long")
+    markup = fresh(keep, "markup")[0]
+    schema = with_fields(pages.select(*(F.col(f"`{c}`") for c in keep)).schema, "text string, n_chars long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, "_html"):
-            texts = [main_text(t) for t in b.column("_html").to_pylist()]
+        for b in text_slices(batches, markup):
+            texts = [main_text(t) for t in b.column(markup).to_pylist()]
             cols = [*(b.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return pages.select(*keep, F.col(html_col).alias("_html")).mapInArrow(run, schema)
+    return pages.select(*(F.col(f"`{c}`") for c in keep), F.col(html_col).alias(markup)).mapInArrow(run, schema)
