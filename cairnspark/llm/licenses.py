@@ -9,6 +9,7 @@ taken is suppressed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, text_slices, with_fields
+from .common import fresh, raw_texts, text_slices, with_fields
 
 #: Phrases that are counted wherever their words stand consecutively, and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -271,9 +272,19 @@ class Scanner:
         found = [(m.start(), m.end(), r) for n in sorted(live) for r in (self.rules[n],) for m in r.pattern.finditer(low)]
         found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].number))
         kept: list[tuple[int, int, Rule]] = []
+        starts = sorted({a for a, _, _ in found})
+        reach = [0] * (len(starts) + 1)  # prefix maxima (a Fenwick tree) of the ends of kept detections, by start
         for s, e, r in found:
-            if not any(a <= s and e <= b for a, b, _ in kept):
+            at = bisect_left(starts, s) + 1
+            k, furthest = at, 0
+            while k:
+                furthest = max(furthest, reach[k])
+                k &= k - 1
+            if furthest < e:
                 kept.append((s, e, r))
+                while at <= len(starts):
+                    reach[at] = max(reach[at], e)
+                    at += at & -at
         return sorted(kept, key=lambda x: (x[0], x[1], x[2].number))
 
     def places(self, low: bytes) -> list[tuple[int, str]]:
@@ -304,13 +315,14 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
     docs = docs.withColumnsRenamed({c: f"input_{c}" for c in names if c in docs.columns and c != text_col})
     keep = [c for c in docs.columns if c != text_col]
+    own, whole_text = [F.col(f"`{c}`") for c in keep], fresh([*keep, *names], "whole_text")[0]
     kinds = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<label:string,start:long,end:long,rule:int,priority:int>>"
-    schema = with_fields(docs.select(*keep).schema, kinds)
+    schema = with_fields(docs.select(*own).schema, kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scanner()
-        for b in text_slices(batches, "_t"):
-            texts = raw_texts(b.column("_t"))
+        for b in text_slices(batches, whole_text):
+            texts = raw_texts(b.column(whole_text))
             whole = b"\0".join(texts) + b"\0"
             word = _WORD_BYTE[_LOW[np.frombuffer(whole, np.uint8)]]
             starts = np.flatnonzero(word & ~np.concatenate(([False], word[:-1])))
@@ -328,4 +340,4 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
             cols = [*(b.column(c) for c in keep), pa.array(np.diff(before)), *(pa.array(list(x), k) for x, k in zip(zip(*out), types))]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(*keep, F.col(text_col).alias("_t")).mapInArrow(run, schema)
+    return docs.select(*own, F.col(text_col).alias(whole_text)).mapInArrow(run, schema)
