@@ -73,21 +73,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _HOST = r"translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+_ATTR = r"""trim(regexp_extract(tag, '(?is)[\s"'']{0}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '"''')"""
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 
 OP1_SQL = rf"""
 WITH RECURSIVE rules(h, p, a) AS (VALUES {_RULE_ROWS}),
 parsed AS (SELECT page_id, html, coalesce({_HOST.format("url")}, '') AS host, coalesce({_PATH.format("url")}, '') AS path FROM pages),
-links AS (
-  SELECT host, path, unnest([
-    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t
+tags AS (
+  SELECT host, path, unnest(list_transform(list_filter(string_split(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>|<textarea\b.*?</textarea\s*>', ' ', 'g'), '<'),
+    lambda x: contains(x, '>') AND regexp_matches(x, '^(?i:link|meta)\s')), lambda x: string_split(x, '>')[1])) AS tag
   FROM parsed WHERE host <> '' AND html IS NOT NULL),
+attrs AS (
+  SELECT host, path, lower(tag[1:4]) AS kind, {_ATTR.format("rel")} AS rel, {_ATTR.format("href")} AS href, {_ATTR.format("http-equiv")} AS equiv, {_ATTR.format("content")} AS content FROM tags),
+links AS (
+  SELECT host, path, trim(replace(href, '&amp;', '&')) AS t FROM attrs WHERE kind = 'link' AND list_contains(string_split_regex(lower(trim(rel)), '\s+'), 'canonical')
+  UNION ALL SELECT host, path, regexp_extract(trim(replace(content, '&amp;', '&')), '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1) FROM attrs WHERE kind = 'meta' AND lower(trim(equiv)) = 'refresh'),
 whole AS (
-  SELECT host || path AS a, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t
-    ELSE 'http://' || host || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || t END AS u
+  SELECT host || path AS a, CASE WHEN regexp_matches(t, '^(?i:[a-z][a-z0-9+.-]*)://') THEN t WHEN regexp_matches(t, '^(?i:[a-z][a-z0-9+.-]*):') THEN NULL WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t
+    WHEN t[1] IN ('?', '#') THEN 'http://' || host || path || t ELSE 'http://' || host || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || t END AS u
   FROM links WHERE t <> ''),
-edges AS (SELECT DISTINCT a, b FROM (SELECT a, {_HOST.format("u")} || {_PATH.format("u")} AS b FROM whole) WHERE b <> '' AND a <> b),
+edges AS (SELECT DISTINCT a, b FROM (SELECT a, {_HOST.format("u")} || {_PATH.format("u")} AS b FROM whole WHERE {_HOST.format("u")} <> '') WHERE a <> b),
 ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(n, m) AS (SELECT a, a FROM ways UNION SELECT r.n, e.b FROM reach r JOIN ways e ON r.m = e.a),
 keys AS (SELECT host, path, host || path AS node FROM parsed UNION SELECT regexp_extract(a, '^([^/]*)', 1), regexp_extract(a, '^[^/]*(.*)$', 1), a FROM ways),

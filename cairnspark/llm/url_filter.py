@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, discard, fresh, materialize
 from .components import connected_components
 
 #: A rule table of at most so many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_RULES = 100_000
-_LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_TO = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+#: What holds no tags of the page: comments and the texts of scripts, styles, titles and text areas.
+_NO_TAGS = r"(?is)<!--.*?-->|<(script|style|title|textarea)\b.*?</\1\s*>"
+_TAGS = r"(?is)<((?:link|meta)\s[^>]*)>"
+_ABSOLUTE, _SCHEME = r"(?i)^[a-z][a-z0-9+.-]*://", r"(?i)^[a-z][a-z0-9+.-]*:"
 
 
 def url_host(url: Column) -> Column:
@@ -30,25 +30,61 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, quoted or not; empty without it. data-href is no href."""
+    found = [F.regexp_extract(tag, rf"(?is)[\s\"']{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", g) for g in (1, 2, 3)]
+    return F.concat(*found)
+
+
+def _decoded(value: Column) -> Column:
+    """Character references that URLs hold: numbers of ASCII characters and the common names."""
+
+    def one(part: Column, at: Column) -> Column:
+        ten, hexa = F.regexp_extract(part, "^([0-9]{1,7});?", 1), F.regexp_extract(part, "^[xX]([0-9a-fA-F]{1,6});?", 1)
+        code = F.when(ten != "", ten.cast("int")).when(hexa != "", F.conv(hexa, 16, 10).cast("int"))
+        rest = F.regexp_replace(part, "^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", "")
+        return F.when(at == 0, part).when(code.between(1, 127), F.concat(F.char(code), rest)).otherwise(F.concat(F.lit("&#"), part))
+
+    out = F.array_join(F.transform(F.split(value, "&#"), one), "")
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("sol", "/"), ("colon", ":"), ("quest", "?"), ("num", "#"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return F.trim(out)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without . and .. segments."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1).isin(".", "..")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a)).otherwise(F.concat(a, F.array(x))))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(F.when(last, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")).otherwise(path)
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): host+path of a page and of the target of its canonical link or its refresh redirect.
+    """(a, b): host+path of a page and of the target of each of its canonical links (rel may name other relations
+    too) and refresh redirects.
 
-    Targets may be absolute, //host/path, /path or relative to the page's folder. Pages without a URL,
-    and targets without a host, give no edge.
+    Targets may be absolute (a scheme and ://), //host/path, /path, relative to the page's folder, or a query or
+    fragment of the page itself; other schemes are no targets. Null pages and URLs, and targets without a host, give
+    no edge. base elements are not followed.
     """
-    here = pages.select(F.col(html).alias("h"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path")).filter("host <> '' and h is not null")
-    found = here.select(
-        "host",
-        "path",
-        F.explode(F.array(F.regexp_extract(F.regexp_extract("h", _LINK, 0), _HREF, 1), F.regexp_extract(F.regexp_extract("h", _META, 0), _TO, 1))).alias("to"),
-    ).filter("to <> ''")
+    here = pages.select(F.regexp_replace(F.col(html), _NO_TAGS, " ").alias("h"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path")).filter("host <> '' and h is not null")
+    tag = here.select("host", "path", F.explode(F.regexp_extract_all("h", F.lit(_TAGS), F.lit(1))).alias("tag"))
+    relations = F.split(F.lower(F.trim(_attribute(F.col("tag"), "rel"))), r"\s+")
+    canonical = F.col("tag").rlike(r"(?i)^link\s") & F.array_contains(relations, "canonical")
+    refresh = F.col("tag").rlike(r"(?i)^meta\s") & (F.lower(F.trim(_attribute(F.col("tag"), "http-equiv"))) == "refresh")
+    to = F.when(canonical, _decoded(_attribute(F.col("tag"), "href"))).when(refresh, F.regexp_extract(_decoded(_attribute(F.col("tag"), "content")), r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
+    found = tag.select("host", "path", to.alias("to")).filter("to <> ''")
     whole = (
-        F.when(F.col("to").contains("://"), F.col("to"))
+        F.when(F.col("to").rlike(_ABSOLUTE), F.col("to"))
+        .when(F.col("to").rlike(_SCHEME), F.lit(None))
         .when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to"))
         .when(F.col("to").startswith("/"), F.concat(F.lit("http://"), "host", "to"))
+        .when(F.col("to").rlike("^[?#]"), F.concat(F.lit("http://"), "host", "path", "to"))
         .otherwise(F.concat(F.lit("http://"), "host", F.regexp_replace(F.when(F.col("path") == "", "/").otherwise(F.col("path")), r"[^/]*$", ""), "to"))
     )
-    return found.select(F.concat("host", "path").alias("a"), F.concat(url_host(whole), url_path(whole)).alias("b")).filter("b <> '' and a <> b")
+    links = found.select(F.concat("host", "path").alias("a"), whole.alias("to")).filter("to is not null")
+    links = links.select("a", url_host(F.col("to")).alias("host"), url_path(F.col("to")).alias("path")).filter("host <> ''")
+    return links.select("a", F.concat("host", _without_dots(F.col("path"))).alias("b")).filter("a <> b")
 
 
 def match_rules(keys: DataFrame, rules: DataFrame) -> DataFrame:
@@ -75,13 +111,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = Non
     Any other URL is blocked if an alias of it is blocked by a rule, and allowed otherwise. Null URLs
     have an empty host and path and are allowed. Equal rows get equal results; nothing is dropped.
     """
-    clash = [c for c in pages.columns if c in ("host", "path", "rule", "action", "component", "verdict")]
+    clash = [c for c in pages.columns if c.lower() in ("host", "path", "rule", "action", "component", "verdict")]
     pages = pages.withColumnsRenamed({c: f"input_{c}" for c in clash})
     url = f"input_{url}" if url in clash else url
+    node, spread = fresh([*pages.columns, "host", "path", "rule", "action", "component"], "node", "spread")
     parsed = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
-    matched = materialize(match_rules(parsed.select("host", "path").distinct(), rules), "url-rules")
+    # Tables that grow with the pages are joined by merging, never broadcast.
+    matched = materialize(match_rules(parsed.select("host", "path").distinct(), rules), "url-rules").hint("merge")
+    out = parsed.join(matched, ["host", "path"], "left").withColumn(node, F.concat("host", "path"))
     if edges is None:
-        out = parsed.join(matched, ["host", "path"], "left").withColumn("component", F.concat("host", "path")).withColumn("spread", F.lit(False))
+        out = out.withColumns({"component": F.col(node), spread: F.lit(False)})
     else:
         edges = materialize(edges.select("a", "b").distinct(), "url-links")
         ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
@@ -89,9 +128,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = Non
         cut = ends.select(F.regexp_extract("node", "^([^/]*)", 1).alias("host"), F.regexp_extract("node", "^[^/]*(.*)$", 1).alias("path"))
         blocked = match_rules(cut, rules).filter("action = 'block'").select(F.concat("host", "path").alias("node"))
         cc = materialize(connected_components(edges), "url-components")
-        bad = cc.join(blocked, "node").select("component").distinct()
-        alias = materialize(cc.join(bad.withColumn("spread", F.lit(True)), "component", "left").select(F.col("node"), "component", F.coalesce("spread", F.lit(False)).alias("spread")), "url-aliases")
-        out = parsed.join(matched, ["host", "path"], "left").withColumn("node", F.concat("host", "path")).join(alias, "node", "left")
-        out = out.withColumn("component", F.coalesce("component", "node")).drop("node")
-    verdict = F.coalesce("action", F.when(F.col("spread"), "block").otherwise("allow"))
-    return out.withColumn("verdict", verdict).drop("action", "spread")
+        bad = materialize(cc.join(blocked, "node").select("component").distinct(), "url-blocked").hint("merge")
+        alias = cc.join(bad.withColumn(spread, F.lit(True)), "component", "left").select(F.col("node").alias(node), "component", F.coalesce(spread, F.lit(False)).alias(spread))
+        alias = materialize(alias, "url-aliases")
+        out = out.join(alias.hint("merge"), node, "left").withColumn("component", F.coalesce("component", node))
+        discard(cc)
+    verdict = F.coalesce("action", F.when(F.col(spread), "block").otherwise("allow"))
+    return out.withColumn("verdict", verdict).drop("action", spread, node)
