@@ -92,21 +92,32 @@ def chains(words: list[bytes], doc_ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first[:-1])
 
 
+#: A longer chain is taken in segments of so many tokens.
+SEGMENT = 1024
+
+
 def messages(e: np.ndarray, first: np.ndarray, step: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
     """Forward (with the token's own potential) and backward messages as log-odds of toxic, all chains at
-    once, one position of each at a time."""
+    once, one position of each at a time. Segments of long chains go side by side: what a segment does to a message
+    is a 2x2 matrix, the product of its tokens', and only these matrices are applied one after the other."""
     n = len(e)
     size = np.diff(np.append(first, n))
+    x_in, y_in = np.full(len(first), np.nan), np.zeros(len(first))
+    if n and size.max() > SEGMENT:
+        first, x_in, y_in = _segments(e, first, size, step, start)
+        size = np.diff(np.append(first, n))
     order = np.argsort(-size, kind="stable")
-    at, size = first[order], size[order]
+    at, size, x_in, y_in = first[order], size[order], x_in[order], y_in[order]
     a01, a10, a11 = np.exp(step)
     x, y = np.empty(n), np.zeros(n)
     live = np.searchsorted(-size, -np.arange(1, size[0] + 1 if n else 1), "right")
-    x[at] = e[at] + start
+    r = np.exp(np.nan_to_num(x_in))
+    x[at] = np.where(np.isnan(x_in), e[at] + start, np.clip(e[at] + np.log((a01 + a11 * r) / (1 + a10 * r)), -40, 40))
     for t in range(1, size[0] if n else 0):
         i = at[: live[t]] + t
         r = np.exp(x[i - 1])
         x[i] = np.clip(e[i] + np.log((a01 + a11 * r) / (1 + a10 * r)), -40, 40)
+    y[at + size - 1] = y_in
     for t in range((size[0] if n else 0) - 1, 0, -1):
         i = at[: live[t]] + t
         q = np.exp(np.clip(e[i] + y[i], -40, 40))
@@ -114,6 +125,46 @@ def messages(e: np.ndarray, first: np.ndarray, step: np.ndarray, start: float) -
     return x, y
 
 
+def _segments(e: np.ndarray, first: np.ndarray, size: np.ndarray, step: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First tokens of the segments of all chains, the forward message into each (nan into a chain's first) and the
+    backward message at each one's last token."""
+    a01, a10, a11 = np.exp(step)
+    count = -(-size // SEGMENT)
+    chain = np.repeat(np.arange(len(first)), count)
+    number = np.arange(len(chain)) - np.repeat(np.cumsum(count) - count, count)
+    at = first[chain] + number * SEGMENT
+    length = np.minimum(size[chain] - number * SEGMENT, SEGMENT)
+    order = np.argsort(-length, kind="stable")
+    live = np.searchsorted(-length[order], -np.arange(1, length.max() + 1), "right")
+    p = np.tile(np.eye(2), (len(at), 1, 1))
+    for t in range(length.max()):
+        own = order[: live[t]]
+        odds = np.exp(np.clip(e[at[own] + t], -40, 40))
+        clean = p[own, 0] + a10 * p[own, 1]
+        toxic = odds[:, None] * (a01 * p[own, 0] + a11 * p[own, 1])
+        if t == 0:  # a chain's first token has no move into it
+            head = number[own] == 0
+            clean[head], toxic[head] = [1.0, 0.0], np.stack([odds[head] * np.exp(start), np.zeros(head.sum())], axis=1)
+        new = np.stack([clean, toxic], axis=1)
+        p[own] = new / new.max(axis=(1, 2), keepdims=True)
+    x_in, y_in = np.full(len(at), np.nan), np.zeros(len(at))
+    ahead = np.tile([1.0, 0.0], (len(first), 1))
+    back = np.ones((len(first), 2))
+    begin = np.cumsum(count) - count
+    low, high = np.exp(-40.0), np.exp(40.0)
+    for k in range(int(count.max()) - 1):
+        c = np.flatnonzero(count > k + 1)
+        v = np.einsum("nij,nj->ni", p[begin[c] + k], ahead[c])
+        ahead[c] = v / v.max(axis=1, keepdims=True)
+        x_in[begin[c] + k + 1] = np.log(np.clip(ahead[c, 1] / np.maximum(ahead[c, 0], 1e-300), low, high))
+    for k in range(int(count.max()) - 1, 0, -1):
+        c = np.flatnonzero(count > k)
+        v = np.einsum("nji,nj->ni", p[begin[c] + k], back[c])
+        back[c] = v / v.max(axis=1, keepdims=True)
+        y_in[begin[c] + k - 1] = np.log(np.clip(back[c, 1] / np.maximum(back[c, 0], 1e-300), low, high))
+    return at, x_in, y_in
+
+
 def _evidence(p: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
     """Log-odds that some token is toxic: noisy-or of the marginals over a fifth, or else the largest."""
     out = np.full(len(doc_ends), -20.0)
