@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import fresh, materialize
 
 VIRTUAL_NODES = 128
 #: Cells of the ring, as powers of two, and rows of a cell that are aimed at.
 LEAST_CELLS, MOST_CELLS, CELL_ROWS = 12, 20, 20_000
-#: A cell of so many times the mean is numbered in so many parts.
-HOT, PARTS = 8, 64
+#: A cell of so many times the mean is numbered in parts of about so many rows.
+HOT, PART_ROWS = 8, 5_000
 
 
 def ring(shards: int, bits: int, virtual_nodes: int = VIRTUAL_NODES) -> list[tuple[int, int]]:
@@ -61,22 +61,27 @@ def assign(rows: DataFrame, key: list[str | Column], shards: int, capacity: list
     are equal are interchangeable. A cell crowded by equal keys is numbered in parts. A column named
     shard or slot is renamed input_<name>. Empty input gives empty output.
     """
-    rows = rows.withColumnsRenamed({c: f"input_{c}" for c in ("shard", "slot") if c in rows.columns})
-    keyed = materialize(rows.withColumn("_at", F.xxhash64(*key)), "shard-keys")
+    rows = rows.withColumnsRenamed({c: f"input_{c}" for c in rows.columns if c.lower() in ("shard", "slot")})
+    at, cell, part, tie, n, first, end, start = fresh([*rows.columns, "shard", "slot"], "at", "cell", "part", "tie", "n", "first", "end", "start")
+    # Once written, rows keep their ties: a cell's parts are the same in every scan.
+    keyed = materialize(rows.withColumns({at: F.xxhash64(*key), tie: F.xxhash64(F.monotonically_increasing_id())}), "shard-keys")
     total = keyed.count()
     bits = min(MOST_CELLS, max(LEAST_CELLS, (total // CELL_ROWS).bit_length()))
-    keyed = keyed.withColumn("_cell", F.shiftrightunsigned("_at", 64 - bits)).withColumn("_part", F.lit(0))
-    counts = {(r["_cell"], 0): r["count"] for r in keyed.groupBy("_cell").count().toLocalIterator()}
-    hot = [c for (c, _), n in counts.items() if n > HOT * (total / (1 << bits)) + 1000]
+    keyed = keyed.withColumn(cell, F.shiftrightunsigned(at, 64 - bits))
+    counts = {(r[cell], 0): r["count"] for r in keyed.groupBy(cell).count().toLocalIterator()}
+    hot = [(c, -(-n_ // PART_ROWS)) for (c, _), n_ in counts.items() if n_ > max(HOT * (total / (1 << bits)) + 1000, PART_ROWS)]
     if hot:
-        keyed = keyed.withColumn("_part", F.when(F.col("_cell").isin(hot), F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")).otherwise(0))
-        counts = {(r["_cell"], r["_part"]): r["count"] for r in keyed.groupBy("_cell", "_part").count().toLocalIterator()}
-    runs = place([(c, p, n) for (c, p), n in sorted(counts.items())], ring(shards, bits, virtual_nodes), capacity or even_capacities(total, shards))
-    plan = rows.sparkSession.createDataFrame(runs, "_cell long, _part int, _first long, _end long, shard int, _slot long")
-    number = F.row_number().over(Window.partitionBy("_cell", "_part").orderBy("_at", *[c for c in keyed.columns if not c.startswith("_")])) - 1
-    numbered = keyed.withColumn("_n", number)
-    placed = numbered.join(F.broadcast(plan), ["_cell", "_part"]).filter("_n >= _first and _n < _end")  # a run a cell, and one for each shard that fills
-    return placed.select(*rows.columns, "shard", (F.col("_slot") + F.col("_n") - F.col("_first")).cast("long").alias("slot"))
+        parts = rows.sparkSession.createDataFrame(hot, f"{cell} long, {part} int")  # of at most 2**MOST_CELLS / HOT cells
+        keyed = keyed.join(F.broadcast(parts), cell, "left").withColumn(part, F.coalesce(F.pmod(F.col(tie), F.col(part)), F.lit(0)).cast("int"))
+        counts = {(r[cell], r[part]): r["count"] for r in keyed.groupBy(cell, part).count().toLocalIterator()}
+    else:
+        keyed = keyed.withColumn(part, F.lit(0))
+    runs = place([(c, p, k) for (c, p), k in sorted(counts.items())], ring(shards, bits, virtual_nodes), capacity or even_capacities(total, shards))
+    plan = rows.sparkSession.createDataFrame(runs, f"{cell} long, {part} int, {first} long, {end} long, shard int, {start} long")
+    number = F.row_number().over(Window.partitionBy(cell, part).orderBy(at, *(F.col(f"`{c}`") for c in rows.columns), tie)) - 1
+    numbered = keyed.withColumn(n, number)
+    placed = numbered.join(F.broadcast(plan), [cell, part]).filter((F.col(n) >= F.col(first)) & (F.col(n) < F.col(end)))  # a run a cell, and one for each shard that fills
+    return placed.select(*(F.col(f"`{c}`") for c in rows.columns), "shard", (F.col(start) + F.col(n) - F.col(first)).cast("long").alias("slot"))
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:
