@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, text_slices
+from .common import materialize, raw_texts, text_slices, with_fields
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Characters of benchmark text that one pass over the documents takes; a larger benchmark takes more passes.
@@ -38,16 +39,23 @@ def shingles(words: list[bytes], width: int = WIDTH) -> list[bytes]:
 
 
 def similarity(a: list[bytes], b: list[bytes], weight: dict[bytes, float], other: float) -> float:
-    """Weighted Jaccard of two bags of shingles; `other` is the weight of shingles of no item."""
+    """Weighted Jaccard of two bags of shingles, a window's and an item's. `other` is the weight of shingles that
+    the item lacks, so a similarity does not depend on which other items are looked for beside it."""
     x, y = Counter(a), Counter(b)
     both = all_ = 0.0
     for s in x.keys() | y.keys():
-        w = weight.get(s, other)
+        w = weight.get(s, other) if s in y else other
         both += w * min(x[s], y[s])
         all_ += w * max(x[s], y[s])
     return both / all_ if all_ else 0.0
 
 
+def _digest(shingle: bytes) -> int:
+    """The same in every process."""
+    h = xxhash.xxh64_intdigest(shingle, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
 
@@ -64,18 +72,26 @@ def _roll(h: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass
 class Items:
-    """The items of a pass, indexed. weight: of each shingle, the rarer among items the larger."""
+    """The items of a pass, indexed. weight: of each shingle, the rarer among all items of the benchmark the larger.
+    shared: in how many items of the benchmark a shingle is, by digest, if in several; total_items: how many have
+    words. Without them the given items are the benchmark."""
 
     ids: list
     words: list[list[bytes]]
+    shared: dict[int, int] | None = None
+    total_items: int | None = None
 
     def __post_init__(self) -> None:
         keep = [i for i, w in enumerate(self.words) if w]
         self.ids, self.words = [self.ids[i] for i in keep], [self.words[i] for i in keep]
         self.bags = [shingles(w) for w in self.words]
-        df = Counter(s for bag in self.bags for s in set(bag))
-        self.other = float(np.log(1 + len(self.bags)))
-        self.weight = {s: float(np.log(1 + len(self.bags) / n)) for s, n in df.items()}
+        if self.shared is None:
+            df = Counter(s for bag in self.bags for s in set(bag))
+        else:
+            df = {s: self.shared.get(_digest(s), 1) for bag in self.bags for s in bag}
+        total = len(self.bags) if self.total_items is None else self.total_items
+        self.other = float(np.log(1 + total))
+        self.weight = {s: float(np.log(1 + total / n)) for s, n in df.items()}
         lengths = np.array([len(w) for w in self.words], np.int64)
         self.longest = int(lengths.max()) if len(lengths) else 0
         self.total = np.array([sum(self.weight[x] for x in bag) for bag in self.bags])
@@ -170,21 +186,30 @@ class Items:
                     best[i] = (sim, s + offset, n)
 
 
-def passes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", pass_chars: int = PASS_CHARS) -> Iterator[tuple[list, list[bytes]]]:
-    """The benchmark in portions of bounded size, as ids and texts; null texts are left out."""
+def passes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", pass_chars: int = PASS_CHARS) -> Iterator[tuple[list, list[str], dict[int, int], int]]:
+    """The benchmark in portions of bounded size: ids, texts, in how many items of the whole benchmark shingles of
+    the portion are (by digest, if in several), and how many items have words. Null texts are left out."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, "t"):
+            h = [list({_digest(x) for x in shingles(words_of(t))}) for t in raw_texts(b.column("t"))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h, pa.list_(pa.int64()))], names=["id", "t", "h"])
+
     rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter("t is not null")
-    total = rows.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
-    n = total // pass_chars + 1
+    rows = materialize(rows.mapInArrow(digests, with_fields(rows.schema, "h array<bigint>")), "leak-items")
+    size = rows.agg(F.sum(F.length("t")).alias("n"), F.count_if(F.size("h") > 0).alias("items")).first()
+    shared = materialize(rows.select(F.explode("h").alias("h")).groupBy("h").count().filter("count > 1"), "leak-shared")
+    n = (size["n"] or 0) // pass_chars + 1
     for p in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("id", "t"), F.lit(n)) == p).orderBy("id", "t").toArrow()
+        own = rows.filter(F.pmod(F.xxhash64("id", "t"), F.lit(n)) == p)
+        part = own.select("id", "t").orderBy("id", "t").toArrow()
         if part.num_rows:
-            yield part.column("id").to_pylist(), part.column("t").to_pylist()
+            known = own.select(F.explode("h").alias("h")).distinct().join(shared, "h").toArrow()  # of a pass: bounded
+            yield part.column("id").to_pylist(), part.column("t").to_pylist(), dict(zip(known.column("h").to_pylist(), known.column("count").to_pylist())), size["items"]
 
 
-def _indexed(cache: dict, ids: list, texts: list[bytes]) -> Items:
-    if "items" not in cache:
-        cache["items"] = Items(list(ids), [words_of(t.encode()) for t in texts])
-    return cache["items"]
+def _indexed(ids: list, texts: list[str], shared: dict[int, int], total: int) -> Items:
+    return Items(list(ids), [words_of(t.encode()) for t in texts], shared, total)
 
 
 LEAK = "doc_id {}, item_id {}, similarity double, first_word long, n_words long"
@@ -195,15 +220,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     the most similar window (the first of equals), if the weighted similarity is SIMILARITY or more.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased; items of fewer than WIDTH words are one shingle.
-    Null and empty texts and items without words have no leaks. Repeated rows and items each give theirs.
+    Null and empty texts and items without words have no leaks. Repeated rows and items each give theirs. A shingle's
+    weight counts the items of the whole benchmark that have it, whatever number of passes the benchmark takes.
     """
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     out = None
-    for ids, texts in passes(benchmark, item_col):
-        shared = docs.sparkSession.sparkContext.broadcast((ids, texts))  # PASS_CHARS at most
+    for portion in passes(benchmark, item_col):
+        shared = docs.sparkSession.sparkContext.broadcast(portion)  # PASS_CHARS at most
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = _indexed({}, *shared.value)
+            items = _indexed(*shared.value)
             for b in text_slices(batches, "t"):
                 found = [(d, *x) for d, leaks in items.scan([words_of(t) for t in raw_texts(b.column("t"))]) for x in leaks]
                 if found:
@@ -216,12 +242,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows of docs that hold no item, unchanged and unshuffled."""
-    for ids, texts in passes(benchmark, item_col):
-        shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
+    """The rows of docs that hold no item, unchanged and unshuffled: null and empty texts hold none, repeated rows all
+    stay or go, and other columns, whatever their names, are carried along."""
+    for portion in passes(benchmark, item_col):
+        shared = docs.sparkSession.sparkContext.broadcast(portion)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = _indexed({}, *shared.value)
+            items = _indexed(*shared.value)
             for b in text_slices(batches, text_col):
                 keep = np.ones(b.num_rows, bool)
                 keep[np.array([d for d, _ in items.scan([words_of(t) for t in raw_texts(b.column(text_col))])], np.int64)] = False
