@@ -54,6 +54,13 @@ def upsert_concepts(concepts: DataFrame, rows: DataFrame) -> DataFrame:
     return concepts.join(rows.select("name"), "name", "left_anti").select(concepts.columns).unionByName(rows.select(concepts.columns))
 
 
+def replace_concepts(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Concepts and their file links after both are replaced as a whole: a name once (the last description by order
+    of text), and no link of a concept that there is not."""
+    one = rows.groupBy("name").agg(*(F.max(c).alias(c) for c in rows.columns if c != "name")).select(rows.columns) if len(rows.columns) > 1 else rows.distinct()
+    return one, links.select("concept", "path").distinct().join(one.select(F.col("name").alias("concept")), "concept", "left_semi")
+
+
 def knowledge(concept_files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Skill nodes and documents edges of concepts and their files."""
     nodes = concept_files.select("concept").distinct().select(F.concat(F.lit("skill::"), "concept").alias("id"), F.lit("skill").alias("kind"), F.col("concept").alias("name"))
