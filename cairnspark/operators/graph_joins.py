@@ -89,7 +89,12 @@ def cross_domain(edges: DataFrame, domains: DataFrame) -> DataFrame:
 
 def domain_shares(edges: DataFrame, domains: DataFrame) -> DataFrame:
     """(from_domain, to_domain, n, out, share) of all edges between domains."""
-    n = cross_domain(edges, domains).groupBy("from_domain", "to_domain").agg(F.count("*").alias("n"))
+    return shares_of(cross_domain(edges, domains))
+
+
+def shares_of(cross: DataFrame) -> DataFrame:
+    """domain_shares of edges between domains."""
+    n = cross.groupBy("from_domain", "to_domain").agg(F.count("*").alias("n"))
     out = F.sum("n").over(Window.partitionBy("from_domain"))
     return n.withColumn("out", out).withColumn("share", F.col("n") / F.col("out"))
 

@@ -23,7 +23,7 @@ def call_trees(nodes: DataFrame, edges: DataFrame, entries: DataFrame, depth: in
     fan_out: followed callees of a node (0: all); truncated: the tree left some out.
     """
     calls = edges.filter("kind = 'calls'")
-    reach = impact(nodes, calls, entries, depth, "down").select(F.col("source").alias("entry"), F.col("node_id").alias("id"))
+    reach = impact(nodes, calls, entries, depth, "down", cap=None).select(F.col("source").alias("entry"), F.col("node_id").alias("id"))
     inside = reach.union(entries.select(F.col("id").alias("entry"), "id")).distinct()
     pairs = calls.select(F.col("from_id").alias("id"), F.col("to_id").alias("callee")).distinct().join(nodes.select(F.col("id").alias("callee")), "callee", "left_semi")
     methods = own_methods(nodes, edges)

@@ -9,7 +9,7 @@ from ..functions.paths import is_test_path
 from ..functions.text import complexity
 from ..operators.coverage import symbol_coverage
 from ..operators.graph_joins import fan_in, not_trivial
-from .impact import impact
+from .impact import reached
 
 
 def test_code(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def untested_gaps(nodes: DataFrame, edges: DataFrame, min_lines: int = 4, depth:
         c = c.filter((F.col("ratio") < 1) | (F.col("ratio").isNull() & ~F.col("tested")))
     else:
         c = c.filter("not tested").withColumn("ratio", F.lit(None).cast("double"))
-    blast = impact(nodes, edges, c.select("id"), depth, cap=5000).groupBy(F.col("source").alias("id")).agg(F.count("*").alias("blast"))
+    blast = reached(nodes, edges, c.select("id"), depth).select(F.col("source").alias("id"), F.col("n").alias("blast"))
     j = c.join(fan_in(edges), "id", "left").join(blast, "id", "left")
     weight = F.lit(1.0)
     if criticality is not None:

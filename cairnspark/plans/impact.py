@@ -18,13 +18,13 @@ def steps(edges: DataFrame, direction: str = "up") -> DataFrame:
     return dep.select(F.col(near).alias("at"), F.col(far).alias("peer"), "kind", "confidence", "from_id", "to_id")
 
 
-def impact(nodes: DataFrame, edges: DataFrame, sources: DataFrame, depth: int = 2, direction: str = "up", cap: int | None = None) -> DataFrame:
+def impact(nodes: DataFrame, edges: DataFrame, sources: DataFrame, depth: int = 2, direction: str = "up", cap: int | None = CAP) -> DataFrame:
     """(source, node_id, depth, via, confidence, ord) of all nodes within `depth` steps of each source (id).
 
     A source also starts from its file, if that is a node. Each node counts once, by the first edge in
     breadth-first order: the order of its parent, then of the edge (from, to, kind). ord is that order as
-    an array of texts. Unknown peers are passed over; starts are not reported. cap: so many nodes a source,
-    the first in breadth-first order; see truncated.
+    an array of texts. Unknown peers are passed over; starts are not reported. cap: so many nodes a source, the first
+    in breadth-first order, by default those of the tools (None: all); see truncated.
     """
     walk = steps(edges, direction)
     known = nodes.select(F.col("id").alias("node_id"))
@@ -49,6 +49,25 @@ def impact(nodes: DataFrame, edges: DataFrame, sources: DataFrame, depth: int =
     return hits
 
 
+def reached(nodes: DataFrame, edges: DataFrame, sources: DataFrame, depth: int = 2, direction: str = "up", cap: int | None = CAP) -> DataFrame:
+    """(source, n): how many nodes impact gives each source that reaches any. No order is needed for a number, so
+    the walk carries pairs (source, node) only."""
+    walk = steps(edges, direction).select("at", "peer").distinct()
+    known = nodes.select(F.col("id").alias("node_id"))
+    start = sources.select(F.col("id").alias("source"), F.col("id").alias("node_id")).distinct()
+    own_file = start.join(nodes.select(F.col("id").alias("node_id"), "path"), "node_id").filter("path <> '' and path <> node_id").select("source", F.col("path").alias("node_id")).join(known, "node_id", "left_semi")
+    start = frontier = start.unionByName(own_file)
+    seen = start
+    for d in range(1, depth + 1):
+        new = frontier.join(walk, F.col("node_id") == F.col("at")).select("source", F.col("peer").alias("node_id")).distinct().join(known, "node_id", "left_semi").join(seen, ["source", "node_id"], "left_anti").select("source", "node_id")
+        new = materialize(new, "reached")
+        if d < depth and new.isEmpty():
+            break
+        frontier, seen = new, seen.unionByName(new)
+    n = seen.groupBy("source").agg(F.count("*").alias("all")).join(start.groupBy("source").agg(F.count("*").alias("own")), "source").select("source", (F.col("all") - F.col("own")).alias("n")).filter("n > 0")
+    return n.withColumn("n", F.least("n", F.lit(cap).cast("long"))) if cap else n
+
+
 def truncated(uncapped: DataFrame, cap: int = CAP) -> DataFrame:
     """(source, truncated): whether more nodes are reached than the cap lets through."""
     return uncapped.groupBy("source").agg((F.count("*") > cap).alias("truncated"))
@@ -58,12 +77,13 @@ def surprises(nodes: DataFrame, edges: DataFrame, files: DataFrame, hits: DataFr
     """(source, from_id, to_id, from_domain, to_domain, score): dependencies within each source's radius between
     domains that are seldom linked: of the edges out of the first domain, `least` or more, a smaller share
     than the threshold lead to the second. score: 1 less that share."""
-    from ..operators.graph_joins import cross_domain, domain_shares, node_domains
+    from ..operators.graph_joins import cross_domain, node_domains, shares_of
 
-    domains = node_domains(nodes, files, depth)
-    rare = domain_shares(edges, domains).filter((F.col("out") >= least) & (F.col("share") < threshold)).select("from_domain", "to_domain", (1 - F.col("share")).alias("score"))
-    inside = hits.select("source", "node_id").union(hits.select("source", F.col("source").alias("node_id"))).distinct()
-    e = cross_domain(edges, domains).select("from_id", "to_id", "from_domain", "to_domain").distinct().join(rare, ["from_domain", "to_domain"])
+    # The edges between domains serve twice: for the shares, and for the pairs within the radius.
+    cross = materialize(cross_domain(edges, node_domains(nodes, files, depth)).select("from_id", "to_id", "from_domain", "to_domain"), "cross-domain")
+    rare = shares_of(cross).filter((F.col("out") >= least) & (F.col("share") < threshold)).select("from_domain", "to_domain", (1 - F.col("share")).alias("score"))
+    inside = materialize(hits.select("source", "node_id").union(hits.select("source", F.col("source").alias("node_id"))).distinct(), "inside")
+    e = cross.join(rare, ["from_domain", "to_domain"]).distinct()
     within = e.join(inside.withColumnRenamed("node_id", "from_id"), "from_id").join(inside.withColumnRenamed("node_id", "to_id"), ["source", "to_id"])
     return within.select("source", "from_id", "to_id", "from_domain", "to_domain", "score")
 

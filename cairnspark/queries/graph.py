@@ -23,12 +23,17 @@ def _impact(s, d, depth=2, direction="up", target=TARGET):
     return impact.impact(n, e, one_target(s, target), depth, direction)
 
 
-def _reach(target: str, depth: int, near: str, far: str) -> str:
-    """Levels of the reach from a target and its file, as nested tables; the first edge by (parent, edge)."""
+def _reach(target: str, near: str, far: str) -> str:
+    """The first 5,000 nodes within two steps of a target and its file, in breadth-first order: by the order of the
+    parent, then of the edge."""
+    step = "SELECT e.{far} AS id, p.r AS o, e.from_id, e.to_id, e.kind FROM {at} p JOIN dep e ON e.{near} = p.id WHERE e.{far} IN (SELECT id FROM nodes) AND e.{far} NOT IN (SELECT id FROM seed)"
+    first = "SELECT id, row_number() OVER (ORDER BY o, from_id, to_id, kind) AS r FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o, from_id, to_id, kind) AS n FROM ({step}) q) k WHERE n = 1"
+    one, two = (step.format(near=near, far=far, at=at) for at in ("seed", "l1"))
     return (
         G
-        + f""", r(id, d) AS (SELECT '{target}', 0 UNION SELECT path, 0 FROM nodes WHERE id = '{target}' AND path IN (SELECT id FROM nodes) UNION SELECT e.{far}, r.d + 1 FROM r JOIN dep e ON e.{near} = r.id WHERE r.d < {depth}),
-hits AS (SELECT r.id, min(d) AS depth FROM r JOIN nodes n ON n.id = r.id GROUP BY r.id HAVING min(d) > 0)"""
+        + f""", seed(id, r) AS (SELECT '{target}', 0 UNION SELECT path, 1 FROM nodes WHERE id = '{target}' AND path <> '' AND path <> id AND path IN (SELECT id FROM nodes)),
+l1 AS ({first.format(step=one)}), l2 AS ({first.format(step=two + f" AND e.{far} NOT IN (SELECT id FROM l1)")}),
+hits AS (SELECT id, depth FROM (SELECT id, depth, row_number() OVER (ORDER BY depth, r) AS n FROM (SELECT id, r, 1 AS depth FROM l1 UNION ALL SELECT id, r, 2 FROM l2) b) c WHERE n <= 5000)"""
     )
 
 
@@ -165,8 +170,8 @@ _CODE = "WITH c AS (SELECT s_suppkey AS k, 'src/s' || CAST(s_suppkey AS STRING)
 # The recursive SQL of strong components and betweenness does not end in useful time on the whole graph, so those
 # queries have none: tests/test_whole.py holds them against plain Python over all edges.
 QUERIES = {
-    "impact": (lambda s, d: _impact(s, d).select("node_id", "depth"), _reach(TARGET, 2, "to_id", "from_id") + "SELECT id AS node_id, CAST(depth AS INT) AS depth FROM hits"),
-    "impact_down": (lambda s, d: _impact(s, d, 2, "down", "order:7").select("node_id", "depth"), _reach("order:7", 2, "from_id", "to_id") + "SELECT id AS node_id, CAST(depth AS INT) AS depth FROM hits"),
+    "impact": (lambda s, d: _impact(s, d).select("node_id", "depth"), _reach(TARGET, "to_id", "from_id") + "SELECT id AS node_id, CAST(depth AS INT) AS depth FROM hits"),
+    "impact_down": (lambda s, d: _impact(s, d, 2, "down", "order:7").select("node_id", "depth"), _reach("order:7", "from_id", "to_id") + "SELECT id AS node_id, CAST(depth AS INT) AS depth FROM hits"),
     "impact_via": (
         lambda s, d: _impact(s, d, 1).select("node_id", "via", "confidence"),
         G + f", seed AS (SELECT '{TARGET}' AS id, 0 AS o UNION SELECT path, 1 FROM nodes WHERE id = '{TARGET}'), k AS (SELECT e.from_id AS node_id, e.kind AS via, e.confidence, row_number() OVER (PARTITION BY e.from_id ORDER BY o, e.from_id, e.to_id, e.kind) AS n FROM dep e JOIN seed ON e.to_id = seed.id WHERE e.from_id NOT IN (SELECT id FROM seed)) SELECT node_id, via, confidence FROM k WHERE n = 1",
@@ -178,19 +183,19 @@ QUERIES = {
     ),
     "impact_subsystems": (
         lambda s, d: gj.by_subsystem(_impact(s, d).select(F.col("node_id").alias("id")).join(graph_nodes(s, d), "id"), graph_files(s, d)),
-        _reach(TARGET, 2, "to_id", "from_id") + "SELECT coalesce(f.package, CASE WHEN contains(n.path, '/') THEN regexp_replace(n.path, '/[^/]*$', '') END, '(root)') AS subsystem, count(*) AS n FROM hits JOIN nodes n USING (id) LEFT JOIN files f ON f.path = n.path GROUP BY 1",
+        _reach(TARGET, "to_id", "from_id") + "SELECT coalesce(f.package, CASE WHEN contains(n.path, '/') THEN regexp_replace(n.path, '/[^/]*$', '') END, '(root)') AS subsystem, count(*) AS n FROM hits JOIN nodes n USING (id) LEFT JOIN files f ON f.path = n.path GROUP BY 1",
     ),
     "impact_skills": (
         lambda s, d: impact.affected_skills(*_graph(s, d), _impact(s, d)).select("id"),
-        _reach(TARGET, 2, "to_id", "from_id") + f"SELECT DISTINCT e.from_id AS id FROM (SELECT id FROM hits UNION SELECT '{TARGET}') h JOIN nodes n USING (id) JOIN edges e ON e.kind = 'documents' AND e.to_id = n.path",
+        _reach(TARGET, "to_id", "from_id") + f"SELECT DISTINCT e.from_id AS id FROM (SELECT id FROM hits UNION SELECT '{TARGET}') h JOIN nodes n USING (id) JOIN edges e ON e.kind = 'documents' AND e.to_id = n.path",
     ),
     "impact_tests": (
         lambda s, d: impact.affected_tests(*_graph(s, d), _impact(s, d)).select("id"),
-        _reach(TARGET, 2, "to_id", "from_id") + f"SELECT DISTINCT e.to_id AS id FROM (SELECT id FROM hits UNION SELECT '{TARGET}') h JOIN edges e ON e.kind = 'tested_by' AND e.from_id = h.id WHERE e.to_id IN (SELECT id FROM nodes)",
+        _reach(TARGET, "to_id", "from_id") + f"SELECT DISTINCT e.to_id AS id FROM (SELECT id FROM hits UNION SELECT '{TARGET}') h JOIN edges e ON e.kind = 'tested_by' AND e.from_id = h.id WHERE e.to_id IN (SELECT id FROM nodes)",
     ),
     "surprising_edges": (
         _surprises,
-        _reach(TARGET, 2, "to_id", "from_id") + _CROSS + f", ins AS (SELECT id FROM hits UNION SELECT '{TARGET}') SELECT DISTINCT x.from_id, x.to_id, x.fd AS from_domain, x.td AS to_domain, round(1 - n / o, 6) AS score FROM x JOIN sh ON sh.fd = x.fd AND sh.td = x.td WHERE o >= 5 AND n / o < 0.25 AND x.from_id IN (SELECT id FROM ins) AND x.to_id IN (SELECT id FROM ins)",
+        _reach(TARGET, "to_id", "from_id") + _CROSS + f", ins AS (SELECT id FROM hits UNION SELECT '{TARGET}') SELECT DISTINCT x.from_id, x.to_id, x.fd AS from_domain, x.td AS to_domain, round(1 - n / o, 6) AS score FROM x JOIN sh ON sh.fd = x.fd AND sh.td = x.td WHERE o >= 5 AND n / o < 0.25 AND x.from_id IN (SELECT id FROM ins) AND x.to_id IN (SELECT id FROM ins)",
     ),
     "domain_shares": (
         lambda s, d: gj.domain_shares(graph_edges(s, d), gj.node_domains(graph_nodes(s, d), graph_files(s, d))).withColumn("share", F.round("share", 6)),

@@ -77,23 +77,17 @@ def _body(column: str) -> Column:
     return F.regexp_replace(column, r"(?s)^\s*<\?xml.*?\?>|<!DOCTYPE[^>]*>", "")
 
 
-def junit(reports: DataFrame, key: str = "path", column: str = "text", levels: int = 3) -> DataFrame:
-    """(key, class, name, status): cases of nested suites down to `levels`. Status: fail before error before
-    skipped before pass."""
-    mark = "struct<_VALUE:string,_message:string>"
-    case = f"array<struct<_classname:string,_name:string,failure:array<{mark}>,error:array<{mark}>,skipped:array<{mark}>>>"
-    suite = f"struct<testcase:{case}>"
-    for _ in range(levels - 1):
-        suite = f"struct<testcase:{case},testsuite:array<{suite}>>"
-    # A lone suite is wrapped, so that both forms of a report read alike.
-    text = F.when(F.col(column).rlike(r"(?s)<testsuites[\s>]"), _body(column)).otherwise(F.concat(F.lit("<testsuites>"), _body(column), F.lit("</testsuites>")))
-    level = reports.select(key, F.explode(F.from_xml(text, f"testsuite array<{suite}>")["testsuite"]).alias("s"))
-    out = None
-    for depth in range(levels):
-        own = level.select(key, F.explode("s.testcase").alias("c"))
-        out = own if out is None else out.unionAll(own)
-        if depth + 1 < levels:
-            level = level.select(key, F.explode("s.testsuite").alias("s"))
+#: A test case with its body, if it isn't closed in itself. Quoted values may hold angle brackets.
+_CASE = r"""(?s)<testcase(?=[\s/>])[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+(?:(?<=/)>|>.*?</testcase\s*>)"""
+
+
+def junit(reports: DataFrame, key: str = "path", column: str = "text") -> DataFrame:
+    """(key, class, name, status): cases of suites nested to any depth. Status: fail before error before skipped
+    before pass. Cases don't nest, so each is cut out of the report and read by itself."""
+    mark = "array<struct<_VALUE:string,_message:string>>"
+    plain = F.regexp_replace(F.regexp_replace(_body(column), r"(?s)<!\[CDATA\[.*?\]\]>", "x"), r"(?s)<!--.*?-->", "")
+    cases = reports.select(key, F.explode(F.regexp_extract_all(plain, F.lit(_CASE), F.lit(0))).alias("x"))
+    out = cases.select(key, F.from_xml("x", f"_classname string, _name string, failure {mark}, error {mark}, skipped {mark}").alias("c"))
     status = F.when(F.col("c.failure").isNotNull(), "fail").when(F.col("c.error").isNotNull(), "error").when(F.col("c.skipped").isNotNull(), "skipped").otherwise("pass")
     return out.select(key, F.coalesce("c._classname", F.lit("")).alias("class"), F.coalesce("c._name", F.lit("")).alias("name"), status.alias("status"))
 
@@ -115,6 +109,7 @@ MUTANTS = "tool string, file string, line int, description string, killed boolea
 
 def go_mutants(outputs: DataFrame, key: str = "path", column: str = "text") -> DataFrame:
     """Lines `PASS "file.n" with checksum ...` are surviving mutants, FAIL ones are killed."""
+    # Fixed value: the tool's output format.
     pattern = r"^\s*(PASS|FAIL)\s+\"?([^\"]+?)\.\d+\"?\s+with checksum"
     rows = numbered_lines(outputs, key, column).filter(F.col("value").rlike(pattern))
     verdict, file = F.regexp_extract("value", pattern, 1), F.regexp_extract("value", pattern, 2)
@@ -123,6 +118,7 @@ def go_mutants(outputs: DataFrame, key: str = "path", column: str = "text") -> D
 
 def go_mutation_summary(outputs: DataFrame, key: str = "path", column: str = "text") -> DataFrame:
     """(key, survived, killed, total) of the line `(n passed, m failed, ... total is t)`; outputs without it are left out."""
+    # Fixed value: the tool's output format.
     pattern = r"\((\d+) passed, (\d+) failed,.*total is (\d+)\)"
     got = outputs.filter(F.col(column).rlike(pattern))
     return got.select(key, *(F.regexp_extract(column, pattern, i).cast("int").alias(n) for i, n in ((1, "survived"), (2, "killed"), (3, "total"))))
