@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .storage import shared_dir
+from .storage import shared_dir, stamp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,13 +119,16 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(*(f"{e} AS {c}" for c, e in NOTES.items()))
 
 
-#: Graph tables written so far, by the session's application and the driver's folder.
-_STORES: dict[tuple[str, str, str], str] = {}
+#: Graph tables written so far, by the session's application, the driver's folder and the stamps of its tables.
+_STORES: dict[tuple, str] = {}
+#: The driver's tables that a graph is made of.
+_GRAPH = ("nation", "region", "supplier", "customer", "part", "orders", "lineitem")
 
 
 def _stored(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
-    """A graph table from the store: built from the driver's tables on first use in a session, then read."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A graph table from the store: built from the driver's tables on first use in a session and whenever these
+    have changed, else read."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, *(stamp(spark, f"{sf_dir}/{t}.parquet") for t in _GRAPH))
     if key in _STORES:
         try:
             return spark.read.parquet(_STORES[key])

@@ -144,8 +144,11 @@ def export_records(notes: DataFrame, author: str) -> DataFrame:
 
 
 def chunk_digest(records: DataFrame) -> DataFrame:
-    """One row (digest): equal for equal records in any order; a chunk is written only if it differs."""
-    return records.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(F.to_json(F.struct(*sorted(records.columns))), 256))), "\n"), 256).alias("digest"))
+    """One row (digest): equal for equal records in any order; a chunk is written only if it differs. Sums of hashes,
+    so that no task holds all records."""
+    whole = F.to_json(F.struct(*sorted(records.columns)))
+    part = [F.coalesce(F.sum(F.xxhash64(F.sha2(whole, 256), F.lit(k)).cast("decimal(38,0)")), F.lit(0)).cast("string") for k in range(4)]
+    return records.agg(F.sha2(F.concat_ws(" ", F.count("*").cast("string"), *part), 256).alias("digest"))
 
 
 def write_chunk(records: DataFrame, folder: str, author: str) -> bool:
@@ -166,8 +169,11 @@ def write_chunk(records: DataFrame, folder: str, author: str) -> bool:
     temporary = hadoop.Path(f"{folder}/.{slug}.tmp")
     doc.coalesce(1).write.mode("overwrite").option("compression", "gzip").json(str(temporary))
     part = next(x.getPath() for x in fs.listStatus(temporary) if x.getPath().getName().startswith("part-"))
-    fs.delete(target, False)
-    fs.rename(part, target)
+    # One step that puts the new file in the old one's place: whoever reads meanwhile has one or the other.
+    kind = hadoop.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    hadoop.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(part, target, options)
     fs.delete(temporary, True)
     return True
 

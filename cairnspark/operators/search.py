@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from .notes import live
 
 #: Constants of the ranking function (Robertson and Zaragoza 2009).
@@ -32,6 +33,11 @@ def build_index(notes: DataFrame) -> DataFrame:
     return words.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
+def note_lengths(notes: DataFrame) -> DataFrame:
+    """(id, length): the number of words of live notes that have any."""
+    return live(notes).select("id", F.size(terms(F.concat_ws(" ", "title", "content", "topic_key"))).alias("length")).filter("length > 0")
+
+
 def index_drifted(index: DataFrame, notes: DataFrame) -> DataFrame:
     """One row (drifted): whether index and live notes name different numbers of notes."""
     n = index.agg(F.count_distinct("id").alias("a")).join(live(notes).filter(F.size(terms(F.concat_ws(" ", "title", "content", "topic_key"))) > 0).agg(F.count_distinct("id").alias("b")))
@@ -39,11 +45,12 @@ def index_drifted(index: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def ranked_search(notes: DataFrame, index: DataFrame, query: str, note_type: str = "", limit: int = 20) -> DataFrame:
-    """(id, score) of live notes with any of the query's terms, best first, newer of equals first."""
+    """(id, score) of live notes with any of the query's terms, best first, newer of equals first. The index is read
+    for the rows of the query's terms alone; number and mean length of notes come from the notes."""
     spark = notes.sparkSession
-    stats = index.select("id", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    stats = note_lengths(notes).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     asked = spark.createDataFrame([(t,) for t in dict.fromkeys(query.lower().split())], "term string")
-    found = index.join(F.broadcast(asked), "term")  # the words of one query
+    found = materialize(index.join(F.broadcast(asked), "term"), "hits")  # the words of one query
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))

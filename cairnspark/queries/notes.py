@@ -8,6 +8,7 @@ from ..adaptors import NOTES_SQL, notes, table
 from ..functions import paths, text
 from ..operators import notes as ops
 from ..operators import search
+from ..storage import materialize
 
 N = f"WITH {NOTES_SQL} "
 LIVE = N + ", live AS (SELECT * FROM notes WHERE deleted_at IS NULL) "
@@ -139,7 +140,7 @@ def _search_total(spark, sf):
 
 def _ranked(spark, sf):
     n = notes(spark, sf)
-    return search.ranked_search(n, search.build_index(n), "onthe tion edand thing", limit=0).withColumn("score", F.round("score", 6))
+    return search.ranked_search(n, materialize(search.build_index(n), "note-index"), "onthe tion edand thing", limit=0).withColumn("score", F.round("score", 6))
 
 
 _BM25 = LIVE + r""", words AS (SELECT id, unnest(list_filter(string_split_regex(lower(concat_ws(' ', title, content, topic_key)), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS term FROM live),

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints"
-
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """The folder in spark.checkpoint.dir. Where it is unset, a local session, whose driver and executors are one
+    process, gets a folder of its own; a cluster must name one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.gettempdir()}/cairnspark-{spark.sparkContext.applicationId}"
+    return folder.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -19,3 +25,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and time of change of a file or folder: unequal stamps mean that its rows may be others."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime()
