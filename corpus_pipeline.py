@@ -5,61 +5,72 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last re
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cairnspark.llm import decontam, langid, packing, simhash, toxicity
-from cairnspark.llm.common import crc_mod, materialize, read
+from cairnspark.llm.common import broadcast_below, crc_mod, fresh, materialize, read, set_aside
 
 #: Languages below this confidence are not believed.
 LEAST_CONFIDENCE = 0.5
 
 
-def _kept(judged: DataFrame, docs: DataFrame, added: Iterable[str], condition: Column) -> DataFrame:
-    """Rows of judged that the condition holds for, with the columns of docs by their own names."""
-    own = [F.col(f"input_{c}" if c in added else c).alias(c) for c in docs.columns]
-    return judged.filter(condition).select(*own)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the conditional random field does not find toxic. It learns from the labels of the
-    four folds of five that op5 learns from."""
+    four folds of five that op5 learns from. Null and empty texts are not toxic; repeated rows all stay or go; without
+    labels of both classes nothing is rejected. An empty table stays empty; columns of any name are carried along."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
-    return _kept(toxicity.score(docs, model), docs, ("score", "predicted", "spans"), F.col("predicted") == 0)
+    docs, own = set_aside(docs, ("score", "predicted", "spans"))
+    return toxicity.score(docs, model).filter("predicted = 0").select(own)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages: those without letters or of low confidence go."""
+    """Documents in one of the learned languages: those without letters (null and empty texts too) or of low
+    confidence go. Of equally likely languages the first by name is taken; repeated rows all stay or go. An empty
+    table stays empty; columns of any name are carried along."""
     model = langid.train(docs, crc_mod("doc_id", 3) != 1)
-    judged = langid.identify(docs, model)
-    return _kept(judged, docs, ("lang_pred", "score"), (F.col("lang_pred") != langid.NO_LANG) & (F.col("score") >= LEAST_CONFIDENCE))
+    docs, own = set_aside(docs, ("lang_pred", "score"))
+    return langid.identify(docs, model).filter((F.col("lang_pred") != langid.NO_LANG) & (F.col("score") >= LEAST_CONFIDENCE)).select(own)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are similar to 0.8 or more in words by five: the one of the
-    least doc_id. Rows of one doc_id are one document. Of rows without doc_id one of each text stays, if no
-    row with doc_id has that text."""
-    groups = simhash.similar_documents(docs)
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id").select(docs.columns).dropDuplicates(["doc_id"])
+    least doc_id. Null and empty texts are one group. Rows of one doc_id are one document: of several that stay, the
+    one of the least text (null first; then of the least other columns, in their order) does. Of rows without doc_id
+    one of each text stays, if no row with doc_id has that text. An empty table stays empty."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    groups = materialize(simhash.similar_documents(docs), "near-groups")
+    named = groups.filter("doc_id is not null")
+    stays = named.filter("doc_id = component_id").groupBy("doc_id").count()
+    goes = materialize(named.select("doc_id").distinct().join(stays, "doc_id", "left_anti"), "near-goes")
+    kept = docs.filter("doc_id is not null").join(broadcast_below(goes, simhash.BROADCAST_ENDS), "doc_id", "left_anti").select(own)
+    again = materialize(stays.filter("count > 1").select("doc_id"), "near-again")
+    if not again.isEmpty():
+        order = Window.partitionBy("doc_id").orderBy("text", *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))
+        n = fresh(docs.columns, "n")[0]
+        once = kept.join(again, "doc_id", "left_semi").withColumn(n, F.row_number().over(order)).filter(F.col(n) == 1).select(own)
+        kept = kept.join(again, "doc_id", "left_anti").select(own).unionByName(once)
     nameless = docs.filter("doc_id is null")
     if nameless.isEmpty():
         return kept
+    h, m = fresh(docs.columns, "h", "m")
     text = F.coalesce(F.col("text"), F.lit(""))
-    named = docs.filter("doc_id is not null").select(F.xxhash64(text).alias("_h"), F.md5(text).alias("_m"))
-    own = nameless.withColumns({"_h": F.xxhash64(text), "_m": F.md5(text)}).dropDuplicates(["_h", "_m"])
-    return kept.unionByName(own.join(named, ["_h", "_m"], "left_anti").select(docs.columns))
+    named = docs.filter("doc_id is not null").select(F.xxhash64(text).alias(h), F.md5(text).alias(m))
+    alone = nameless.withColumns({h: F.xxhash64(text), m: F.md5(text)}).dropDuplicates([h, m])
+    return kept.unionByName(alone.join(named, [h, m], "left_anti").select(own))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. Null and empty texts hold none, null and empty items are in
+    nothing; repeated rows all stay or go. An empty table stays empty; columns of any name are carried along."""
     return decontam.drop_leaking(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
+    """Where each piece of each document goes: one row a piece. Null and empty texts are pieces of one token (the
+    end mark), a text over the largest length is cut into several, repeated rows are packed each. An empty table gives
+    no rows; other columns are not read."""
     return packing.pack_documents(docs)
 
 
