@@ -175,6 +175,76 @@ proprietary | no part of this (?:publication|work|document|book) may be reproduc
 commercial | (?:commercial|end[- ]user) licen[sc]e agreement | agreement
 noncommercial | for non-?commercial (?:use|purposes) only | commercial
 warranty-disclaimer | without warrant(?:y|ies) (?:of any kind|or conditions of any kind) | without warrant
+mit | the software is provided "as is", without warranty of any kind, express or implied | warranty
+mit | to deal in the software without restriction, including without limitation the rights to use | restriction
+mit | shall the authors or copyright holders be liable for any claim | liable
+isc | the software is provided "as is" and the author disclaims all warranties | disclaims
+bsd | in no event shall the (?:copyright (?:holder|owner)s?|regents|author) or contributors be liable | contributors
+bsd-2-clause | the views and conclusions contained in the software and documentation are those of the | conclusions
+bsd-3-clause-clear | no express or implied licenses to any party's patent rights are granted by this | patent
+gpl | without even the implied warranty of merchantability or fitness for a particular purpose\\.? see | merchantability
+lgpl | without even the implied warranty of merchantability or fitness for a particular purpose\\.? see | merchantability
+gpl | everyone is permitted to copy and distribute verbatim copies of this license document | verbatim
+gpl-2.0-only | under the terms of version 2 of the gnu general public license | general
+gpl-3.0-only | under the terms of version 3 of the gnu general public license | general
+gpl-with-classpath-exception | linking this library statically or dynamically with other modules | statically
+gpl-with-autoconf-exception | if you distribute this file as part of a program that contains a configuration script | configuration
+gpl-with-gcc-exception | gcc runtime library exception | runtime
+agpl | remote network interaction; use with the gnu general public license | interaction
+agpl-3.0-or-later | gnu affero general public license as published by the free software foundation, either version | affero
+gfdl | modify this document under the terms of the gnu free documentation license | documentation
+apache | see the license for the specific language governing permissions and limitations | governing
+apache-1.1 | the end-user documentation included with the redistribution, if any, must include | end-user
+mpl-2.0 | a copy of the mpl was not distributed with this file | mpl
+mpl-2.0-no-copyleft-exception | this source code form is "incompatible with secondary licenses" | incompatible
+epl-2.0 | secondary licenses when the conditions for such availability set forth in the eclipse public | availability
+cddl | subject to the terms of the common development and distribution license | distribution
+cddl | when distributing covered code, include this cddl header notice in each file | covered
+cpl-1.0 | the accompanying program is provided under the terms of this common public license | accompanying
+artistic | the intent of this document is to state the conditions under which a package | conditions
+artistic-2.0 | this license establishes the terms under which a given free software package may be | establishes
+bsl-1.0 | distributed under the boost software license, version 1\\.0 | boost
+zlib | the origin of this software must not be misrepresented | misrepresented
+libpng | this copy of the libpng notices is provided for your convenience | libpng
+x11 | to promote the sale, use or other dealings in this software without prior written authorization | dealings
+ncsa | developed by: .{1,120}? university of illinois | illinois
+unlicense | anyone is free to copy, modify, publish, use, compile, sell, or distribute this software | compile
+wtfpl | verbatim or modified copies of this license document, and changing it is allowed | changing
+beerware | this stuff is worth it, you can buy me a beer | beer
+cc0-1.0 | the person who associated a work with this deed has dedicated the work to | dedicated
+cc-by | you must give appropriate credit, provide a link to the license, and indicate if | appropriate
+cc-by-sa | if you remix, transform, or build upon the material, you must distribute your contributions | remix
+cc-by-nc | you may not use the material for commercial purposes | commercial
+cc-by-nd | if you remix, transform, or build upon the material, you may not distribute the | remix
+public-domain | (?:hereby )?(?:waives?|disclaims?) all copyright interest in | interest
+public-domain | no copyright (?:is )?claimed | claimed
+ofl-1.1 | the font software is provided "as is", without warranty of any kind, express or | font
+python-2.0 | python software foundation license version 2 | python
+postgresql | for any purpose, without fee, and without a written agreement is hereby granted | agreement
+php-3.01 | the name "php" must not be used to endorse or promote products derived from | derived
+w3c | this work is being provided by the copyright holders under the following license | following
+vim | there are no restrictions on distributing unmodified copies of vim | unmodified
+ruby | you may make and give away verbatim copies of the source form of the | verbatim
+ms-pl | this license governs use of the accompanying software\\. if you use the software, you | governs
+eupl | licensed under the eupl | eupl
+odbl-1.0 | made available under the open database license | database
+sspl-1.0 | server side public license as published by | server
+busl-1.1 | create derivative works, redistribute, and make non-production use of the licensed work | non-production
+elastic-2.0 | you may not provide the software to third parties as a hosted or managed | hosted
+commons-clause | the license does not grant to you, the right to sell the software | sell
+json | the software shall be used for good, not evil | evil
+proprietary | for internal use only | internal
+proprietary | do not (?:copy|distribute|redistribute|reproduce) without (?:prior )?(?:written )?(?:permission|consent) | without
+proprietary | no (?:licen[sc]e|rights?),? express or implied,? .{0,40}? granted | granted
+proprietary | subject to the terms of (?:your|the) (?:licen[sc]e|subscription) agreement | agreement
+proprietary | trade secrets? (?:and confidential information )?of | trade
+commercial | purchase a (?:commercial )?licen[sc]e | purchase
+commercial | (?:evaluation|trial) (?:copy|version|period) only | only
+noncommercial | (?:personal|educational|academic|research),? (?:and )?non-?commercial use | commercial
+noncommercial | not (?:to be )?(?:used )?for commercial use | commercial
+no-derivatives | no derivative works (?:are )?(?:permitted|allowed) | derivative
+attribution-required | attribution (?:is )?required | attribution
+dual-license | (?:dual|tri)-licen[sc]ed under | licen
 copyright | copyright (?:\\(c\\)|©)? ?\\d{4} | copyright
 """
 
