@@ -14,6 +14,9 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pages row by its URL: (page_id, host, path, rule, verdict). Null URLs and those without :// have an empty
+    host and path and are allowed; null pages give no links. Of equally long rules an allow wins. Repeated rows are judged
+    alike and stay; URLs and pages of any length are read whole; no pages, no rows. Other columns are not read."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     rules = spark.createDataFrame(URL_RULES, "rule_host string, rule_path string, action string")
     judged = url_filter.judge_urls(pages.select("page_id", "url"), rules, url_filter.alias_edges(pages))
@@ -21,10 +24,17 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every documents row: (doc_id, fingerprint, component_id). Null and empty texts have fingerprint zero and are
+    linked like any other. Repeated rows stay; of a component the least doc_id that isn't null is the name. Texts of any
+    length are read whole; no documents, no rows. Other columns are not read."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), radius=4, width=4)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every documents row: (doc_id, held_out, lang_pred, score). Null and empty texts and those without letters are
+    und, score 0; a null doc_id counts as an empty text for the fold; of equally likely languages the first by name is
+    taken. Repeated rows stay and are judged alike; texts are read whole; without learnable rows all are und; no
+    documents, no rows. Other columns are not read."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = crc_mod("doc_id", 3) == 1
     model = langid.train(docs, ~held)
@@ -32,10 +42,17 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a piece of each documents row. Null and empty texts are one token (the end mark); a text over the
+    largest length is cut into pieces. Repeated rows are packed each; of equally full bins the first opened takes a
+    piece; no documents, no rows. Other columns are not read."""
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every documents row: (doc_id, held_out, score, predicted, spans). Null and empty texts are scored as texts
+    without words; of several labels of an id the largest counts; a null doc_id counts as an empty text for the fold.
+    Repeated rows stay and are scored alike; texts are read whole; without labels of both classes all scores are 0; no
+    documents, no rows. Other columns are not read."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held = crc_mod("doc_id", 5) == 0
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), ~held)
@@ -43,6 +60,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every documents row with its shard and slot under the law rows: counts of shards at most one apart. A null text
+    has size 1 and the checksum of nothing; null ids are keys like others; repeated rows are placed each, and which of
+    equal rows has which slot is open. No documents, no rows. Other columns are not read."""
     docs = read(spark, sf_dir, "documents")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     rows = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
@@ -51,19 +71,30 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pages row: (page_id, url, text, n_chars). Null and empty pages have an empty text; pages are read whole;
+    repeated rows stay and are read alike; no pages, no rows. Other columns are not read."""
     return html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, vec_id, score) for rows whose vec_id is divisible by 100, against all rows. Vectors that are
+    null, empty or hold null or non-finite components, and null ids, take no part; ties go to the smaller id; repeated
+    rows are candidates each, equal query rows count once; no vectors, no rows. Other columns are not read."""
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vector_search.search(vectors, vectors.filter("vec_id % 100 = 0"), k=10, scale=1024)
 
 
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word, n_words) of every documents row that holds an item. Null and empty
+    texts and items hold and are nothing; of equally similar windows the first is named; repeated rows and items each
+    give theirs; texts are read whole; no documents or items, no rows. Other columns are not read."""
     return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every documents row with its words, base phrases, labels and score. Null and empty texts have no words, no
+    labels and score 0; of overlapping detections the surer, then the longer, then the earlier is kept; repeated rows
+    stay and are scanned alike; texts are read whole; no documents, no rows. Other columns are not read."""
     return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
