@@ -2,7 +2,9 @@
 
 import random
 
-from cairnspark.llm import decontam, licenses, simhash
+import numpy as np
+
+from cairnspark.llm import decontam, html_text, licenses, simhash, toxicity, url_filter
 
 
 def samples(tree):
@@ -95,3 +97,184 @@ def test_a_nameless_text_does_not_part_its_neighbours(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(docs).collect() if x["doc_id"] is not None}
     assert got == {d: d - d % 2 for d in range(40)}
+
+
+def test_similarities_do_not_depend_on_the_number_of_passes(spark, monkeypatch):
+    # Items share passages, so shingles have unequal weights; documents hold items with a changed word.
+    r = random.Random(11)
+    common = [[f"c{k}w{i}" for i in range(14)] for k in range(3)]
+    items = [[f"i{k}w{i}" for i in range(20)] + common[k % 3] + [f"j{k}w{i}" for i in range(20)] for k in range(30)]
+    docs = []
+    for k, w in enumerate(items):
+        w = list(w)
+        w[r.choice((3, 27, 50))] = "changed"
+        docs.append((k, " ".join(["before"] * 5 + w + ["after"] * 5)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(99, "one"), (100, None)], "item_id long, text string")
+    found = []
+    for chars in (10**6, 3000):
+        monkeypatch.setattr(decontam.passes, "__defaults__", ("item_id", "text", chars))
+        found.append(sorted(map(tuple, decontam.find_leaks(docs, bench).collect())))
+    assert len(list(decontam.passes(bench))) > 1
+    assert found[0] == found[1] and len(found[0]) > 20
+    assert len({round(x[2], 3) for x in found[0]}) > 1
+
+
+def held_out_page(r, container):
+    """A page of another make than the training pages, and its main text: boilerplate of 1 to 100 words of every kind."""
+    number = iter(range(10**6))
+    say = lambda what, n: " ".join(f"{what}{next(number)}" for _ in range(n))
+    n = lambda: r.choice((1, 2, 4, 7, 11, 16, 25, 28, 30, 33, 36, 47, 70, 100))
+    around = [
+        lambda: f'<nav class="site-nav"><a href="/">{say("b", 1)}</a> {say("b", n())}</nav>', lambda: f'<header id="masthead"><p class="tagline">{say("b", n())}</p></header>', lambda: f"<footer><div><p>{say('b', n())}</p></div></footer>",
+        lambda: f'<aside class="rail"><h3>{say("b", 2)}</h3><p>{say("b", n())}</p></aside>', lambda: f'<div id="cookie-consent-banner"><p>{say("b", n())}</p><button>{say("b", 1)}</button></div>', lambda: f'<div class="advert wide">{say("b", n())}</div>',
+        lambda: f'<div class="right sidebar-wrapper"><ul><li><a href=/q>{say("b", 3)}</a></li></ul><p>{say("b", n())}</p></div>', lambda: f'<section class="comment-list"><article class="comment"><p>{say("b", n())}</p></article></section>', lambda: f'<div class="newsletter-signup"><form><label>{say("b", n())}</label></form></div>',
+    ]
+    want = []
+
+    def main(tag, what="m"):
+        want.append(say(what, n()))
+        return f"<{tag}>{want[-1]}</{tag.split()[0]}>"
+
+    head = "".join(x() for x in r.sample(around, 4))
+    body = main("h1") + main("p")
+    inside = [lambda: f'<div class="ad-slot">{say("b", n())}</div>', lambda: f"<aside>{say('b', n())}</aside>", lambda: f'<ul class="social-links"><li><a href=/s>{say("b", 2)}</a></li></ul>']
+    for k in range(6):
+        body += main(r.choice(("p", "p", "h2", 'div class="social-history"', 'section id="related-work"', "blockquote"))) + (r.choice(inside)() if k % 3 == 1 else "")
+    return f"<html><head><title>t</title></head><body>{head}{container.format(body)}{''.join(x() for x in r.sample(around, 4))}</body></html>", "\n".join(want)
+
+
+def test_held_out_pages_are_read_without_a_fault():
+    r = random.Random(5)
+    for container in ("<article>{}</article>", "<main><article>{}</article></main>", '<div class="post-content">{}</div>', '<div role="main">{}</div>'):
+        for _ in range(50):
+            page, want = held_out_page(r, container)
+            assert html_text.main_text(page) == want
+
+
+def test_boilerplate_of_any_length_goes_and_plain_pages_stay():
+    article = f"<article><h1>T</h1><p>{'main ' * 30}</p><p>x</p></article>"
+    for n in range(1, 101):
+        t = " ".join(["bp"] * n)
+        for b in ("<footer>{}</footer>", "<aside><p>{}</p></aside>", "<nav>{}</nav>", '<div class="ad">{}</div>', '<div class="cookie-notice"><p>{}</p></div>', "<p>{}</p>"):
+            assert "bp" not in html_text.main_text(f"<body>{article}{b.format(t)}</body>") + html_text.main_text(f"<body>{b.format(t)}{article}</body>")
+        assert html_text.main_text(f"<body>{f'<p>{t}</p>' * 3}</body>") == "\n".join([t] * 3)
+
+
+def test_elements_closed_in_themselves_swallow_nothing():
+    assert html_text.main_text('<article><p>one two <svg class="i"/> three</p><p>four</p></article>') == "one two three\nfour"
+    assert html_text.main_text("<article><p>a <math/> b</p><math><mi>x</mi></math><p>c</p></article>") == "a b\nc"
+
+
+def test_links_of_pages_are_read_as_they_stand(spark):
+    rows = [
+        ("http://shop.net/a/b", '<a href="/x"></a><link rel=canonical href="/login?next=https://bad.org/b/x">', {"shop.net/login"}),
+        ("http://s.net/a/b?q", '<link rel="alternate canonical" href="../c/./d.html"><link data-href="/no" rel=canonical href=e>', {"s.net/c/d.html", "s.net/a/e"}),
+        ("http://s.net/p", "<link rel=canonical href='HTTPS://Big.ORG/x&#47;y&amp;z&#x3A;1'><link rel='canonical' href='?page=2'><link rel=stylesheet href=/css>", {"big.org/x/y&z:1"}),
+        ("http://s.net/q", "<meta http-equiv='Refresh' content=\"5; URL='//t.net/r'\"><META HTTP-EQUIV=refresh content='0;url=u'><meta name=refresh content='0; url=/no'>", {"t.net/r", "s.net/u"}),
+        ("http://s.net/r", "<!-- <link rel=canonical href=/no> --><script>'<link rel=canonical href=/no>'</script><link rel=canonical href='mailto:x@y.z'><link rel=canonical href=''>", set()),
+        ("http://s.net", '<link href="file name" rel="canonical">', {"s.net/file name"}),
+        (None, "<link rel=canonical href=/x>", set()),
+        ("http://s.net/z", None, set()),
+    ]
+    df = spark.createDataFrame([(u, h) for u, h, _ in rows], "url string, html string")
+    got = {}
+    for r in url_filter.alias_edges(df).collect():
+        got.setdefault(r["a"], set()).add(r["b"])
+    assert got == {u.split("?")[0].removeprefix("http://"): want for u, _, want in rows if want}
+
+
+def test_judged_pages_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "http://a.net/x", "n", "s", "v", '<link rel=canonical href="http://bad.org/b/">')], "page_id long, url string, node string, spread string, verdict string, html string")
+    rules = spark.createDataFrame([("bad.org", "/b/", "block")], "rule_host string, rule_path string, action string")
+    r = url_filter.judge_urls(df, rules, url_filter.alias_edges(df)).collect()[0]
+    assert (r["node"], r["spread"], r["input_verdict"], r["verdict"]) == ("n", "s", "v", "block")
+
+
+def test_long_chains_have_the_messages_of_one_walk(monkeypatch):
+    r = np.random.default_rng(1)
+    e, first, step = r.normal(size=9000) * 3 - 2, np.array([0, 17, 18, 5001]), np.array([-3.0, -0.5, 0.4])
+    e[5000] = -30
+    by_segments = toxicity.messages(e, first, step, -0.7)
+    monkeypatch.setattr(toxicity, "SEGMENT", 10**9)
+    for a, b in zip(by_segments, toxicity.messages(e, first, step, -0.7)):
+        assert np.allclose(a, b)
+
+
+def test_suppression_is_that_of_comparing_all_with_all():
+    r = random.Random(4)
+    s = licenses.Scanner()
+    parts = ["under the mit license", "licensed under the apache license, version 2.0", "all rights reserved", "spdx-license-identifier: gpl-2.0", "the gnu general public license version 3", "copyright 2001", "free software foundation, inc", "word"]
+    for _ in range(30):
+        low = " ".join(r.choice(parts) for _ in range(40)).encode()
+        live = {n for _, numbers in s.automaton.iter(low.decode("latin-1")) for n in numbers}
+        found = sorted(((m.start(), m.end(), x) for n in live for x in (s.rules[n],) for m in x.pattern.finditer(low)), key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].number))
+        kept = []
+        for a, z, rule in found:
+            if not any(x <= a and z <= y for x, y, _ in kept):
+                kept.append((a, z, rule))
+        assert s.detections(low) == sorted(kept, key=lambda x: (x[0], x[1], x[2].number))
+
+
+def test_many_notices_in_one_text_are_scanned_in_little_time():
+    import time
+
+    low = b"licensed under the apache license, version 2.0. copyright 2001 all rights reserved\n" * 20_000
+    began = time.perf_counter()
+    assert len(licenses.Scanner().detections(low)) >= 60_000
+    assert time.perf_counter() - began < 30
+
+
+def test_similar_sets_are_those_of_all_pairs():
+    r = np.random.default_rng(3)
+    for left in (0, 23):
+        base = [r.integers(0, 2**63, 60).astype(np.uint64) for _ in range(5)]
+        sets = []
+        for _ in range(60):
+            x = base[r.integers(5)].copy()
+            k = r.integers(0, 16)
+            x[r.choice(60, k, replace=False)] = r.integers(0, 2**63, k).astype(np.uint64)
+            sets.append(np.unique(x[: r.integers(40, 61)]))
+        a, b = simhash.similar_sets(sets, left)
+        want = {(i, j) for i in range(60) for j in range(i + 1, 60) if len(both := np.intersect1d(sets[i], sets[j])) * 9 >= 4 * (len(sets[i]) + len(sets[j])) and (not left or i < left <= j)}
+        assert set(zip(a.tolist(), b.tolist())) == want and len(want) > 10
+
+
+def test_large_components_are_compared_in_parts(spark):
+    # Near copies of one text, so that one component of candidates has more texts than a part; not all are similar.
+    r = random.Random(2)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(90):
+        w = list(base)
+        for at in r.sample(range(60), r.randrange(3)):
+            w[at] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    bags = [{tuple(t.split()[i : i + 5]) for i in range(56)} for t in texts]
+    label = list(range(90))
+    for _ in range(90):
+        for i in range(90):
+            for j in range(i):
+                if 9 * len(bags[i] & bags[j]) >= 4 * (len(bags[i]) + len(bags[j])):
+                    label[i] = label[j] = min(label[i], label[j])
+    docs = spark.createDataFrame([*enumerate(texts), (5, texts[5]), (5, texts[5])], "doc_id long, text string")
+    for rows in (2000, 20):
+        got = simhash.similar_documents(docs, part_rows=rows).collect()
+        assert len(got) == 92 and {x["doc_id"]: x["component_id"] for x in got} == dict(enumerate(label))
+    assert len(set(label)) > 3
+
+
+def test_short_texts_lose_no_link(spark):
+    r = random.Random(8)
+    texts = []
+    for k in range(150):
+        w = [f"g{k}w{i}" for i in range(r.choice((5, 8, 12, 20, 44, 48, 53)))]
+        texts += [" ".join(w), " ".join([*w, "more"]), " ".join(w[1:]), " ".join(w * 2)]
+    bags = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    close = lambda i, j: 9 * len(bags[i] & bags[j]) >= 4 * (len(bags[i]) + len(bags[j]))
+    links = [(i, j) for k in range(0, 600, 4) for i in range(k, k + 4) for j in range(k, i) if close(i, j)]
+    label = list(range(600))
+    for i, j in links * 4:
+        label[i] = label[j] = min(label[i], label[j])
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(label)) and len(links) > 200
