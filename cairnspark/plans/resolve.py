@@ -57,6 +57,12 @@ def _best(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return candidates.withColumn("top", F.min("rule").over(w)).filter("rule = top").withColumn("n", F.count("*").over(w)).drop("top")
 
 
+def _of_few(named: DataFrame) -> DataFrame:
+    """Rows whose name AMBIGUOUS rows have at most: more candidates are none, so frequent names aren't joined."""
+    many = named.groupBy("name").agg(F.count("*").alias("k")).filter(F.col("k") > AMBIGUOUS).select("name")
+    return named.join(many, "name", "left_anti")
+
+
 def resolve_classes(nodes: DataFrame, files: DataFrame, refs: DataFrame) -> DataFrame:
     """(from_id, to_id, kind, confidence) of extends and implements references.
 
@@ -78,7 +84,7 @@ def resolve_classes(nodes: DataFrame, files: DataFrame, refs: DataFrame) -> Data
         plain.filter("package <> ''").withColumn("fqn", F.concat("package", F.lit("."), "name")).join(fqn, "fqn").select(*key, "to_id", F.lit(2).alias("rule")),
         explicit.groupBy(*key).agg(F.min(F.coalesce("to_id", F.concat(F.lit("external::"), "i"))).alias("to_id")).select(*key, "to_id", F.lit(3).alias("rule")),
         imports.filter("i like '%.*'").withColumn("fqn", F.concat(F.regexp_replace("i", r"\*$", ""), "name")).join(fqn, "fqn").select(*key, "to_id", F.lit(4).alias("rule")).distinct(),
-        plain.join(classes.select("name", F.col("id").alias("to_id")), "name").select(*key, "to_id", F.lit(5).alias("rule")),
+        plain.join(_of_few(classes.select("name", F.col("id").alias("to_id"))), "name").select(*key, "to_id", F.lit(5).alias("rule")),
     ]
     all_ = rules[0]
     for x in rules[1:]:
@@ -106,8 +112,13 @@ def resolve_calls(nodes: DataFrame, files: DataFrame, refs: DataFrame, inheritan
     named = imports.join(_by_fqn(classes).select(F.col("fqn").alias("i"), F.col("path").alias("at")), "i").select("path", "at")
     own = files.select("path", F.col("path").alias("at"))
     sees = own.union(package).union(wild).union(named).distinct()
-    visible = r.join(m, "name").join(sees, ["path", "at"], "left_semi").select(*key, "to_id", F.lit(1).alias("rule"))
-    any_ = r.join(m, "name").select(*key, "to_id", F.lit(2).alias("rule"))
+    # Names of few methods are joined by name; those of many only with what the file sees.
+    few = _of_few(m.select("name", "to_id", "at"))
+    many = m.join(few.select("name").distinct(), "name", "left_anti").select("name", "to_id", "at")
+    near = r.join(few, "name").join(sees, ["path", "at"], "left_semi").select(*key, "to_id")
+    far = r.join(many.select("name").distinct(), "name", "left_semi").join(sees, "path").join(many, ["name", "at"]).select(*key, "to_id")
+    visible = near.union(far).withColumn("rule", F.lit(1))
+    any_ = r.join(few, "name").select(*key, "to_id", F.lit(2).alias("rule"))
     got = _best(inherited.unionByName(visible).unionByName(any_), key).filter(f"rule = 0 or n <= {AMBIGUOUS}")
     confidence = F.when(F.col("rule") == 0, "medium").when(F.col("n") > 1, "low").when(F.col("rule") == 1, "high").otherwise("medium")
     return _edge(got, "from_id", "to_id", "calls", confidence).filter("from_id <> to_id").distinct()

@@ -21,7 +21,7 @@ from ..sources import logs as log_files
 from ..storage import shared_dir
 from .graph import _GAPS, TARGET, G, _graph, _reach
 
-_ID = F.expr("cast(substr(id, 5) as bigint)")
+_ID_SQL = "cast(substr(id, 5) as bigint)"  # no Column: modules are imported before there is a session
 _K = "CAST(substr(id, 5) AS BIGINT)"
 
 
@@ -363,7 +363,7 @@ _CHUNK_FILES = f"WITH {NOTES_SQL}, a(a) AS (VALUES ('a1'), ('A 2!')) SELECT a AS
 
 def _legacy(s, d):
     folder = _folder(s, "legacy")
-    rows = notes(s, d).agg(F.to_json(F.collect_list(F.struct("id", F.col("topic_key").alias("topic"), F.col("content").alias("content"), F.when(_ID % 2 == 0, F.col("source")).alias("source")))).alias("value"))
+    rows = notes(s, d).agg(F.to_json(F.collect_list(F.struct("id", F.col("topic_key").alias("topic"), F.col("content").alias("content"), F.when(F.expr(_ID_SQL) % 2 == 0, F.col("source")).alias("source")))).alias("value"))
     rows.coalesce(1).write.text(folder)
     return chunks.read_legacy(s, folder).select("id", "topic", F.md5("content").alias("m"), "source")
 
@@ -395,13 +395,13 @@ _FOLDED = "SELECT topic_key, max_by(c, doc_id) AS content, CAST(1 + count(*) FIL
 
 def _keyless(s, d):
     n = notes(s, d)
-    more = ops.append_keyless(n, n.filter(_ID % 5 == 0).drop("id").withColumn("topic_key", F.lit("")))
+    more = ops.append_keyless(n, n.filter(F.expr(_ID_SQL) % 5 == 0).drop("id").withColumn("topic_key", F.lit("")))
     return more.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_if(F.col("topic_key") == '').alias("keyless"))
 
 
 def _drift(s, d):
     n = notes(s, d)
-    return search.index_drifted(search.build_index(n), n).select(F.lit("whole").alias("index"), "drifted").union(search.index_drifted(search.build_index(n.filter(_ID > 9)), n).select(F.lit("part"), "drifted"))
+    return search.index_drifted(search.build_index(n), n).select(F.lit("whole").alias("index"), "drifted").union(search.index_drifted(search.build_index(n.filter(F.expr(_ID_SQL) > 9)), n).select(F.lit("part"), "drifted"))
 
 
 def _pieces(s, d):
