@@ -19,6 +19,8 @@ from .common import text_slices, unit_hash, with_fields
 
 #: Rows of a language that are learned from, at most about (a Bernoulli sample by a hash of the id).
 TRAIN_PER_LANG = 800
+#: Languages that are learned, at most: those of most rows.
+MOST_LANGS = 200
 BUCKETS = 1 << 14
 NO_LANG = "und"
 _codes: np.ndarray | None = None
@@ -130,7 +132,8 @@ def fit(langs: list[str], idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarr
 
 
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_PER_LANG) -> Model:
-    """Learn from rows where `usable` holds and text and language are not null. per_lang bounds the sample."""
+    """Learn from rows where `usable` holds and text and language are not null. per_lang bounds the sample, MOST_LANGS
+    the languages. Of repeated rows each may be in the sample."""
     rows = docs.filter(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +155,7 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     for r in rows.select("t").mapInArrow(frequencies, "bucket bigint, df bigint").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
         df[r["bucket"]] = r["df"]
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     langs = sorted(sizes)
     u = unit_hash("id", "langid")
     share = F.lit(0.0)
