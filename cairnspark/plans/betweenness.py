@@ -40,6 +40,10 @@ def _from_source(n: int, begin: np.ndarray, to: np.ndarray, s: int) -> np.ndarra
     return delta
 
 
+#: Decimals in which scores are compared: sums of fractions in another order differ beyond them.
+DIGITS = 6
+
+
 def bridge_scores(edges: DataFrame, samples: int = SAMPLES, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """(id, score) of every end of a call edge: directed, not normalised, ends not counted; sources are the
     first `samples` nodes in the order of their ids. Parallel edges count once."""
@@ -93,7 +97,7 @@ def bridge_scores(edges: DataFrame, samples: int = SAMPLES, broadcast_edges: int
 def chokepoints(edges: DataFrame, nodes: DataFrame, samples: int = SAMPLES, top_percent: float = TOP_PERCENT) -> DataFrame:
     """(id, score, is_chokepoint): positive scores, and whether they reach that at place floor(n * (1 - top%))
     of all positive scores in ascending order."""
-    scores = materialize(bridge_scores(edges, samples).filter("score > 0"), "bridge")
+    scores = materialize(bridge_scores(edges, samples).withColumn("score", F.round("score", DIGITS)).filter("score > 0"), "bridge")
     n = scores.count()
     if not n:
         return scores.withColumn("is_chokepoint", F.lit(False))
@@ -104,6 +108,7 @@ def chokepoints(edges: DataFrame, nodes: DataFrame, samples: int = SAMPLES, top_
 
 
 def top_bridges(edges: DataFrame, n: int = 10, samples: int = SAMPLES) -> DataFrame:
-    return bridge_scores(edges, samples).filter("score > 0").orderBy(F.desc("score"), "id").limit(n)
+    """(id, score) of the n highest positive scores, ties to the lesser id."""
+    return bridge_scores(edges, samples).withColumn("score", F.round("score", DIGITS)).filter("score > 0").orderBy(F.desc("score"), "id").limit(n)
 
 

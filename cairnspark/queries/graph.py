@@ -59,6 +59,23 @@ _DOMAIN = ", dom AS (SELECT n.id, CASE WHEN n.kind = 'external' THEN 'external'
 _CROSS = _DOMAIN + ", x AS (SELECT e.*, a.d AS fd, b.d AS td FROM dep e JOIN dom a ON a.id = e.from_id JOIN dom b ON b.id = e.to_id WHERE a.d <> b.d AND a.d <> 'external' AND b.d <> 'external'), sh AS (SELECT fd, td, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY fd) AS BIGINT) AS o FROM x GROUP BY fd, td)"
 
 
+def _trimmed(levels: int) -> str:
+    """Edges between nodes that both have edges in and out, trimmed so many times: what falls away is in no cycle."""
+    out = ", c0 AS (SELECT DISTINCT from_id AS a, to_id AS b FROM dep WHERE from_id <> to_id)"
+    for k in range(levels):
+        out += f", c{k + 1} AS (SELECT a, b FROM c{k} WHERE a IN (SELECT b FROM c{k}) AND b IN (SELECT a FROM c{k}))"
+    return out + f", c AS (SELECT a, b FROM c{levels})"
+
+
+_MUTUAL = G + _trimmed(8) + ", reach(a, b) AS (SELECT a, b FROM c UNION SELECT r.a, c.b FROM reach r JOIN c ON c.a = r.b), mutual AS (SELECT x.a AS id, least(x.a, min(x.b)) AS component FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY x.a), ids AS (SELECT from_id AS id FROM dep UNION SELECT to_id FROM dep), scc AS (SELECT i.id, coalesce(m.component, i.id) AS component FROM ids i LEFT JOIN mutual m ON m.id = i.id)"
+#: Shortest paths are counted from the first hundred nodes and from all that these reach.
+_BETWEEN = G + """, c AS (SELECT DISTINCT from_id, to_id FROM edges WHERE kind = 'calls'), ids AS (SELECT from_id AS id FROM c UNION SELECT to_id FROM c), src AS (SELECT id FROM ids ORDER BY id LIMIT 100),
+near(id) AS (SELECT id FROM src UNION SELECT c.to_id FROM near JOIN c ON c.from_id = near.id),
+walk(s, v, d) AS (SELECT id, id, 0 FROM near UNION SELECT w.s, c.to_id, w.d + 1 FROM walk w JOIN c ON c.from_id = w.v WHERE w.d < 110), dist AS (SELECT s, v, min(d) AS d FROM walk GROUP BY s, v),
+paths(s, v, d) AS (SELECT id, id, 0 FROM near UNION ALL SELECT p.s, x.v, x.d FROM paths p JOIN c ON c.from_id = p.v JOIN dist x ON x.s = p.s AND x.v = c.to_id AND x.d = p.d + 1), sig AS (SELECT s, v, d, count(*) AS n FROM paths GROUP BY s, v, d),
+score AS (SELECT i.id, coalesce(q.score, 0) AS score FROM ids i LEFT JOIN (SELECT a.v AS id, sum(a.n * b.n / t.n) AS score FROM src JOIN sig a ON a.s = src.id JOIN sig b ON b.s = a.v JOIN sig t ON t.s = a.s AND t.v = b.v AND t.d = a.d + b.d WHERE a.v <> a.s AND b.v <> a.v GROUP BY a.v) q ON q.id = i.id)"""
+
+
 def _closure(s, d):
     e = graph_edges(s, d)
     return closures.ancestors(e, table(s, d, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id")))
@@ -167,8 +184,6 @@ def _resolved_calls(s, d):
 _CODE = "WITH c AS (SELECT s_suppkey AS k, 'src/s' || CAST(s_suppkey AS STRING) || '.java' AS path, 'S' || CAST(s_suppkey % 40 AS STRING) AS name, 'm' || CAST(s_suppkey % 30 AS STRING) AS m, 'p' || CAST(s_suppkey % 7 AS STRING) AS pkg, 'p' || CAST(s_suppkey * 3 % 7 AS STRING) AS imp, 'S' || CAST((s_suppkey + 1) % 40 AS STRING) AS up, 'm' || CAST((s_suppkey + 5) % 30 AS STRING) AS callee FROM supplier) "
 
 
-# The recursive SQL of strong components and betweenness does not end in useful time on the whole graph, so those
-# queries have none: tests/test_whole.py holds them against plain Python over all edges.
 QUERIES = {
     "impact": (lambda s, d: _impact(s, d).select("node_id", "depth"), _reach(TARGET, "to_id", "from_id") + "SELECT id AS node_id, CAST(depth AS INT) AS depth FROM hits"),
     "impact_down": (lambda s, d: _impact(s, d, 2, "down", "order:7").select("node_id", "depth"), _reach("order:7", "from_id", "to_id") + "SELECT id AS node_id, CAST(depth AS INT) AS depth FROM hits"),
@@ -201,12 +216,12 @@ QUERIES = {
         lambda s, d: gj.domain_shares(graph_edges(s, d), gj.node_domains(graph_nodes(s, d), graph_files(s, d))).withColumn("share", F.round("share", 6)),
         G + _CROSS + " SELECT fd AS from_domain, td AS to_domain, n, o AS out, round(n / o, 6) AS share FROM sh",
     ),
-    "strong_components": (lambda s, d: components.strong_components(graph_edges(s, d)), None),
-    "cycles": (lambda s, d: components.cycles(graph_edges(s, d)).select("component", "size"), None),
-    "cyclic_core": (lambda s, d: components.core_of(graph_edges(s, d), TARGET), None),
-    "betweenness": (lambda s, d: betweenness.bridge_scores(graph_edges(s, d)).withColumn("score", F.round("score", 4)), None),
-    "top_bridges": (lambda s, d: betweenness.top_bridges(graph_edges(s, d), 10).withColumn("score", F.round("score", 4)), None),
-    "chokepoints": (lambda s, d: betweenness.chokepoints(graph_edges(s, d), graph_nodes(s, d)).select("id", "is_chokepoint"), None),
+    "strong_components": (lambda s, d: components.strong_components(graph_edges(s, d)), _MUTUAL + " SELECT id, component FROM scc"),
+    "cycles": (lambda s, d: components.cycles(graph_edges(s, d)).select("component", "size"), _MUTUAL + " SELECT component, count(*) AS size FROM scc GROUP BY 1 HAVING count(*) > 1"),
+    "cyclic_core": (lambda s, d: components.core_of(graph_edges(s, d), TARGET), _MUTUAL + f" SELECT id, component FROM scc WHERE component = (SELECT component FROM scc WHERE id = '{TARGET}') AND (SELECT count(*) FROM scc WHERE component = (SELECT component FROM scc WHERE id = '{TARGET}')) > 1"),
+    "betweenness": (lambda s, d: betweenness.bridge_scores(graph_edges(s, d)).withColumn("score", F.round("score", 4)), _BETWEEN + " SELECT id, round(CAST(score AS DOUBLE), 4) AS score FROM score"),
+    "top_bridges": (lambda s, d: betweenness.top_bridges(graph_edges(s, d), 10).withColumn("score", F.round("score", 4)), _BETWEEN + " SELECT id, round(CAST(score AS DOUBLE), 4) AS score FROM score WHERE score > 0 ORDER BY round(score, 6) DESC, id LIMIT 10"),
+    "chokepoints": (lambda s, d: betweenness.chokepoints(graph_edges(s, d), graph_nodes(s, d)).select("id", "is_chokepoint"), _BETWEEN + ", pos AS (SELECT id, round(score, 6) AS score FROM score WHERE score > 0), ord AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS k, count(*) OVER () AS n FROM pos), cut AS (SELECT score AS least FROM ord WHERE k = greatest(0, least(n - 1, CAST(floor(n * 0.95) AS BIGINT)))) SELECT id, score >= least AS is_chokepoint FROM pos, cut"),
     "ancestors": (_closure, _UP + "SELECT source, id, CAST(min(depth) AS INT) AS depth FROM anc GROUP BY 1, 2"),
     "members": (lambda s, d: closures.members(graph_edges(s, d), graph_nodes(s, d).filter("kind = 'file'").select("id")), G + "SELECT DISTINCT from_id AS source, to_id AS id, 1 AS depth FROM edges WHERE kind = 'contains'"),
     "traits_of_types": (
