@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, langid, licenses, packing, sharding, simhash, toxicity, url_filter, vector_search
+from . import decontam, html_text, langid, licenses, packing, prefix_trie, sharding, simhash, toxicity, url_filter, vector_search, warc, whitening
 from .common import crc_mod, read
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -98,8 +98,35 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, component, n, deviation, whitened, explained, identity_error) of every embeddings row and component up
+    to 16. Vectors that are null, empty or hold null or non-finite components take no part; repeated rows and null ids
+    get their results each, repeated vectors count once in the fit; components beyond 2^61 in size are cut to that;
+    vectors of each length are whitened among themselves; directions without variance are no components; no vectors, no
+    rows. Other columns are not read."""
+    out = whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scale=64, most=16)
+    return out.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) as read back from archives of every pages row.
+    Null and empty pages have an empty payload; null ids come last among equal payloads; of repeated rows of one id one
+    is the response; pages are stored whole; no pages, no records. Other columns are not read."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    archives = warc.write_archives(pages, warc.archive_folder(spark))
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a node of the trie of rebuilt conversations: (conv_id, depth, parent_conv_id, n_convs, n_children,
+    n_leaves, saved_tokens, ends_sha256). Null roles and texts are empty; null turns come first, equal ones go by role
+    and text; repeated rows are turns each; rows without a conversation take no part; texts are read whole; no
+    conversations, no nodes. Other columns are not read."""
+    return prefix_trie.build_trie(*prefix_trie.share_heads(prefix_trie.order_turns(read(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_langid, op4_packing, op5_toxicity, op6_sharding, op7_html, op8_topk, op9_decontam, op10_licenses)}
+    return {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_langid, op4_packing, op5_toxicity, op6_sharding, op7_html, op8_topk, op9_decontam, op10_licenses, op11_whitening, op12_warc, op13_prefix_trie)}
 
 
 _HOST = r"translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -148,5 +175,46 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+OP12_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url NULLS FIRST) AS k,
+  first_value(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url NULLS FIRST) AS f FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND k > 1 THEN f END AS refers_to FROM n
+"""
+
+#: Prefixes are lists of whole turns here; crc32 is computed bit by bit.
+OP13_SQL = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, c - c % 100 AS lender, xor(list_reduce(list_transform(range(1, len(CAST(c AS VARCHAR)) + 1), lambda k: CAST(ord(substr(CAST(c AS VARCHAR), k, 1)) AS BIGINT)),
+    lambda a, x: list_reduce(range(8), lambda r, b: xor(r >> 1, (r & 1) * 3988292384), xor(a, x)), 4294967295), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM turns)),
+parts AS (
+  SELECT c, 0 AS own, i, role, text FROM convs JOIN turns ON conv_id = lender AND i <= h
+  UNION ALL SELECT c, 1, i, role, text FROM convs JOIN turns ON conv_id = c AND i > h),
+rebuilt AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY own, i) AS depth FROM parts),
+prefixes AS (
+  SELECT c, depth, length(text) AS chars, list([role, text]) OVER (PARTITION BY c ORDER BY depth) AS p FROM rebuilt
+  UNION ALL SELECT c, 0, 0, [] FROM convs),
+nodes AS (SELECT p, min(c) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(chars) AS chars FROM prefixes GROUP BY p),
+children AS (SELECT x.conv_id, x.depth, y.conv_id AS child, y.depth AS child_depth FROM nodes y JOIN nodes x ON x.p = y.p[:-2] AND y.depth > 0),
+n_children AS (SELECT conv_id, depth, count(*) AS n FROM children GROUP BY ALL),
+below AS (
+  SELECT x.conv_id, x.depth, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves, sum((y.n_convs - 1) * y.chars) AS saved
+  FROM prefixes q JOIN nodes x ON x.p = q.p JOIN prefixes r ON r.c = q.c AND r.depth >= q.depth JOIN nodes y ON y.p = r.p AND y.conv_id = r.c
+  LEFT JOIN n_children k ON k.conv_id = y.conv_id AND k.depth = y.depth GROUP BY ALL),
+lengths AS (SELECT c, max(depth) AS depth FROM prefixes GROUP BY c),
+ends AS (SELECT p, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM lengths JOIN prefixes USING (c, depth) GROUP BY p)
+SELECT n.conv_id, n.depth, f.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, b.n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN below b ON b.conv_id = n.conv_id AND b.depth = n.depth LEFT JOIN n_children k ON k.conv_id = n.conv_id AND k.depth = n.depth
+LEFT JOIN children f ON f.child = n.conv_id AND f.child_depth = n.depth LEFT JOIN ends e ON e.p = n.p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op8_topk": OP8_SQL}
+    return {"op1_url_filter": OP1_SQL, "op8_topk": OP8_SQL, "op12_warc": OP12_SQL, "op13_prefix_trie": OP13_SQL}
