@@ -14,7 +14,6 @@ import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -29,7 +28,7 @@ from .common import materialize, shared_dir, text_slices
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 #: Payloads from this size on are stored once.
 LEAST_SHARED = 100
-#: Payload bytes of an archive, about; records are dealt to archives by a hash.
+#: Payload bytes after which a task begins another archive.
 ARCHIVE_BYTES = 64 << 20
 #: A dictionary's size, and the bound on the bytes of the first records that it is built from.
 DICTIONARY_BYTES, SAMPLE_BYTES, SAMPLE_RECORD = 64 << 10, 8 << 20, 64 << 10
@@ -181,24 +180,26 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     the archives that count: (path, records, dictionary_bytes, archive_bytes)."""
     rows, payloads = plan_records(pages, page_id, url, html)
     large = F.col("payload").isNull() & (F.col("record_type") == "response")  # one a digest
-    whole = rows.filter(large).drop("payload").join(payloads, "payload_digest").unionByName(rows.filter(~large))
-    held = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0) + 512
-    n = max(1, -(-(rows.agg(F.sum(held)).first()[0] or 0) // archive_bytes))
+    # Payloads are written where the shuffle by their digest leaves them: they don't travel again.
+    stored = rows.filter(large).drop("payload").hint("merge").join(payloads, "payload_digest").select(*Record._fields)
+    small = rows.filter(~large).repartition("row").select(*Record._fields)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def records() -> Iterator[bytes]:
-            for b in batches:
-                for part in text_slices([b], "payload"):
-                    for r in zip(*(part.column(f).to_pylist() for f in Record._fields)):
-                        yield encode(Record(*r[:-1], r[-1] or b""), date)
-
-        found = records()
-        if (first := next(found, None)) is not None:
-            path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.warc.zst"
-            told = write_archive(path, chain([first], found))
+        rest = (r for b in batches for part in text_slices([b], "payload") for r in zip(*(part.column(f).to_pylist() for f in Record._fields)))
+
+        def share(r: tuple | None) -> Iterator[bytes]:
+            nonlocal held
+            while r is not None:
+                held += len(r[-1] or b"")
+                yield encode(Record(*r[:-1], r[-1] or b""), date)
+                r = next(rest, None) if held < archive_bytes else None
+
+        while (first := next(rest, None)) is not None:
+            held, path = 0, f"{folder.rstrip('/')}/{uuid.uuid4().hex}.warc.zst"
+            told = write_archive(path, share(first))
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (path, *told)], ["path", "records", "dictionary_bytes", "archive_bytes"])
 
-    return materialize(whole.repartition(n, "row").select(*Record._fields).mapInArrow(write, MANIFEST), "warc-manifest")
+    return materialize(stored.unionByName(small).mapInArrow(write, MANIFEST), "warc-manifest")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
