@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,9 +10,8 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 
 SAMPLES, TOP_PERCENT = 100, 5.0
-#: Call graphs of at most so many edges are sent to the tasks, which take a source each; larger ones are
-#: searched level by level with joins, all sources at once.
-BROADCAST_EDGES = 1_000_000
+#: Up to so many edges, of those that the sources reach, are sent to each task; more are searched level by level.
+TASK_EDGES = 1_000_000
 
 
 def _from_source(n: int, begin: np.ndarray, to: np.ndarray, s: int) -> np.ndarray:
@@ -44,54 +41,87 @@ def _from_source(n: int, begin: np.ndarray, to: np.ndarray, s: int) -> np.ndarra
 DIGITS = 6
 
 
-def bridge_scores(edges: DataFrame, samples: int = SAMPLES, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
-    """(id, score) of every end of a call edge: directed, not normalised, ends not counted; sources are the
-    first `samples` nodes in the order of their ids. Parallel edges count once."""
-    spark = edges.sparkSession
-    calls = materialize(edges.filter("kind = 'calls'").select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).distinct(), "calls")
-    ids = calls.select(F.col("a").alias("id")).union(calls.select("b")).distinct()
-    sources = ids.orderBy("id").limit(samples)
-    if calls.count() <= broadcast_edges:
-        table = calls.toArrow()
-        names, ends = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("a", "b")]) if table.num_rows else np.empty(0, object), return_inverse=True)
-        a, b = ends[: table.num_rows], ends[table.num_rows :]
+def _reachable(calls: DataFrame, sources: DataFrame) -> tuple[DataFrame, int]:
+    """The edges that the sources may reach, and their number: edges of nodes that are no source and that no edge
+    leads to fall away, round by round, while that takes a tenth of the edges. What is left holds every path from a
+    source."""
+    n = calls.count()
+    while True:
+        entered = sources.select(F.col("id").alias("a")).union(calls.select(F.col("b").alias("a"))).distinct()
+        kept = materialize(calls.join(entered, "a", "left_semi"), "reachable-calls")
+        m = kept.count()
+        if m > 0.9 * n:
+            return kept, m
+        calls, n = kept, m
+
+
+def _by_tasks(calls: DataFrame, names: list[str], tasks: int) -> DataFrame:
+    """(id, score) where each task has all edges, a bounded table, and takes its share of the sources."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ends = [table.column(c).to_numpy() for c in ("a", "b")]
+        ids, at = np.unique(np.concatenate(ends), return_inverse=True)
+        a, b = at[: table.num_rows], at[table.num_rows :]
         order = np.argsort(a, kind="stable")
-        shared = spark.sparkContext.broadcast((np.searchsorted(a[order], np.arange(len(names) + 1)), b[order]))
-        number = spark.createDataFrame([(i,) for i in range(min(samples, len(names)))], "s int")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            begin, to = shared.value
-            total = np.zeros(len(begin) - 1)
-            for batch in batches:
-                for s in batch.column("s").to_pylist():
-                    total += _from_source(len(total), begin, to, s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int64)), pa.array(total)], names=["n", "score"])
-
-        parts = number.repartition(min(samples, spark.sparkContext.defaultParallelism)).mapInArrow(run, "n bigint, score double")
-        named = spark.createDataFrame(pa.table({"n": np.arange(len(names), dtype=np.int64), "id": pa.array(names, pa.string())}))
-        return named.join(parts.groupBy("n").agg(F.sum("score").alias("score")), "n", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    # sigma: (s, id, d, n) shortest paths of each source, forward by levels; delta backward.
-    level = sources.select(F.col("id").alias("s"), "id").withColumns({"d": F.lit(0), "n": F.lit(1.0)})
-    levels = [materialize(level, "sigma")]
-    seen = levels[0].select("s", "id")
+        begin, to = np.searchsorted(a[order], np.arange(len(ids) + 1)), b[order]
+        total = np.zeros(len(ids))
+        for s in names[int(key[0].as_py()) :: tasks]:
+            i = int(np.searchsorted(ids, s))
+            if i < len(ids) and ids[i] == s:
+                total += _from_source(len(ids), begin, to, i)
+        return pa.table({"id": pa.array(ids, pa.string()), "score": total})
+
+    dealt = calls.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    return dealt.groupBy("task").applyInArrow(run, "id string, score double").groupBy("id").agg(F.sum("score").alias("score"))
+
+
+def _by_levels(calls: DataFrame, names: list[str]) -> DataFrame:
+    """(id, score) by joins, level by level, for all sources at once: a node of a level is one row, which has the
+    number of shortest paths from each source as a column (none: 0), so a level sends one row an edge, not one a source
+    and edge."""
+    spark, k = calls.sparkSession, range(len(names))
+    start = spark.createDataFrame([(x, *(float(i == j) for j in k)) for i, x in enumerate(names)], ", ".join(["id string", *(f"n{i} double" for i in k)]))
+    any_path = F.greatest(*(F.col(f"n{i}") for i in k), F.lit(0.0)) > 0
+    levels, seen = [materialize(start, "level")], None
     while True:
         last = levels[-1]
-        new = last.join(calls, F.col("id") == F.col("a")).groupBy("s", F.col("b").alias("id")).agg(F.sum("n").alias("n")).join(seen, ["s", "id"], "left_anti")
-        new = materialize(new.select("s", "id", F.lit(len(levels)).alias("d"), "n"), "sigma")
+        # seen: of each node the sources that have met it, as 1.
+        met = last.select("id", *(F.signum(f"n{i}").alias(f"m{i}") for i in k))
+        seen = met if seen is None else seen.unionByName(met)
+        seen = materialize(seen.groupBy("id").agg(*(F.max(f"m{i}").alias(f"m{i}") for i in k)), "level-seen")
+        stepped = last.join(calls, F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in k))
+        new = stepped.join(seen, "id", "left").select("id", *(F.when(F.coalesce(f"m{i}", F.lit(0.0)) == 0, F.col(f"n{i}")).otherwise(0.0).alias(f"n{i}") for i in k)).filter(any_path)
+        new = materialize(new, "level")
         if new.isEmpty():
             break
         levels.append(new)
-        seen = seen.unionByName(new.select("s", "id"))
-    delta = materialize(levels[-1].select("s", "id", F.lit(0.0).alias("delta")), "delta")
-    all_ = delta if len(levels) > 1 else None
-    for d in range(len(levels) - 2, 0, -1):
-        below = levels[d + 1].join(delta, ["s", "id"]).select("s", F.col("id").alias("b"), (F.lit(1.0) + F.col("delta")).alias("x"), F.col("n").alias("m"))
-        up = levels[d].join(calls, F.col("id") == F.col("a"), "left").join(below, ["s", "b"], "left")
-        delta = materialize(up.groupBy("s", "id").agg(F.coalesce(F.sum(F.col("n") / F.col("m") * F.col("x")), F.lit(0.0)).alias("delta")), "delta")
-        all_ = all_.unionByName(delta)
-    if all_ is None:
-        return ids.withColumn("score", F.lit(0.0))
-    return ids.join(all_.groupBy("id").agg(F.sum("delta").alias("score")), "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    total, delta = None, None
+    for level in reversed(levels[1:]):  # the sources themselves don't count
+        if delta is None:
+            delta = level.select("id", *(F.lit(0.0).alias(f"d{i}") for i in k))
+        else:
+            below = deeper.join(delta, "id").select(F.col("id").alias("b"), *(F.when(F.col(f"n{i}") > 0, (1 + F.col(f"d{i}")) / F.col(f"n{i}")).otherwise(0.0).alias(f"x{i}") for i in k))
+            up = below.join(calls, "b").groupBy(F.col("a").alias("id")).agg(*(F.sum(f"x{i}").alias(f"x{i}") for i in k))
+            delta = level.join(up, "id", "left").select("id", *((F.col(f"n{i}") * F.coalesce(f"x{i}", F.lit(0.0))).alias(f"d{i}") for i in k))
+        delta, deeper = materialize(delta, "level-delta"), level
+        one = delta.select("id", sum((F.col(f"d{i}") for i in k), F.lit(0.0)).alias("score"))
+        total = one if total is None else total.unionByName(one)
+    if total is None:
+        return spark.createDataFrame([], "id string, score double")
+    return total.groupBy("id").agg(F.sum("score").alias("score"))
+
+
+def bridge_scores(edges: DataFrame, samples: int = SAMPLES, task_edges: int = TASK_EDGES) -> DataFrame:
+    """(id, score) of every end of a call edge: directed, not normalised, ends not counted; sources are the
+    first `samples` nodes in the order of their ids. Parallel edges count once. Edges that no source reaches fall away
+    first; of what is left, up to task_edges go to the tasks, which take a source each."""
+    calls = materialize(edges.filter("kind = 'calls'").select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).distinct(), "calls")
+    ids = calls.select(F.col("a").alias("id")).union(calls.select("b")).distinct()
+    names = [r["id"] for r in ids.orderBy("id").limit(samples).collect()]
+    near, n = _reachable(calls, edges.sparkSession.createDataFrame([(x,) for x in names], "id string"))
+    tasks = max(1, min(len(names), edges.sparkSession.sparkContext.defaultParallelism))
+    scores = _by_tasks(near, names, tasks) if n <= task_edges else _by_levels(near, names)
+    return ids.join(scores, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def chokepoints(edges: DataFrame, nodes: DataFrame, samples: int = SAMPLES, top_percent: float = TOP_PERCENT) -> DataFrame:

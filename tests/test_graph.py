@@ -79,13 +79,44 @@ def test_components_are_mutual_reachability(spark, local):
     assert got == mutual(edges)
 
 
+def brandes(edges, samples):
+    """Dependencies by the text-book algorithm, one source at a time."""
+    below = {}
+    for a, b in set(edges):
+        below.setdefault(a, []).append(b)
+    ids_ = sorted({x for e in edges for x in e})
+    score = dict.fromkeys(ids_, 0.0)
+    for s in ids_[:samples]:
+        dist, paths, order, delta = {s: 0}, {s: 1}, [s], {}
+        for v in order:
+            for w in below.get(v, ()):
+                if w not in dist:
+                    dist[w], paths[w] = dist[v] + 1, 0
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] += paths[v]
+        for v in reversed(order):
+            delta[v] = sum(paths[v] / paths[w] * (1 + delta[w]) for w in below.get(v, ()) if dist[w] == dist[v] + 1)
+            score[v] += delta[v] if v != s else 0
+    return {k: round(v, 6) for k, v in score.items()}
+
+
+@pytest.mark.parametrize("task_edges", [1_000_000, 0])
+def test_betweenness_equals_brandes_on_random_graphs(spark, task_edges):
+    r = random.Random(8)
+    calls = [(f"n{r.randrange(70):02}", f"n{r.randrange(70):02}") for _ in range(160)] + [(f"n{i:02}", f"z{i}") for i in range(9)] + [(f"z{i}", f"z{i + 1}") for i in range(6)]
+    _, e = graph(spark, {}, [(a, b, "calls") for a, b in calls])
+    got = {k: round(v, 6) for k, v in pairs(betweenness.bridge_scores(e, 7, task_edges), "id", "score")}
+    assert got == brandes(calls, 7) and sum(v > 0 for v in got.values()) > 20
+
+
 def test_betweenness_of_a_path_and_of_both_ways(spark):
     _, e = graph(spark, {}, [("A", "B", "calls"), ("B", "C", "calls"), ("A", "C", "imports")])
     assert dict(pairs(betweenness.bridge_scores(e), "id", "score")) == {"A": 0.0, "B": 1.0, "C": 0.0}
     r = random.Random(3)
     _, e = graph(spark, {}, [(f"n{r.randrange(9)}", f"n{r.randrange(9)}", "calls") for _ in range(20)])
     a = {k: round(v, 6) for k, v in pairs(betweenness.bridge_scores(e, 5), "id", "score")}
-    b = {k: round(v, 6) for k, v in pairs(betweenness.bridge_scores(e, 5, broadcast_edges=0), "id", "score")}
+    b = {k: round(v, 6) for k, v in pairs(betweenness.bridge_scores(e, 5, task_edges=0), "id", "score")}
     assert a == b and any(a.values())
 
 
@@ -144,6 +175,20 @@ def test_parts_are_clustered_as_the_whole(spark):
     assert [got[i] for i in range(30)] == whole
 
 
+@pytest.mark.parametrize("seed, names", [(1, int), (2, lambda i: f"n{i:03}")])
+def test_large_parts_go_in_blocks_with_the_sequential_result(spark, seed, names):
+    r = random.Random(seed)
+    n = 60
+    # Groups of ten with many inner edges and a part of its own that fits a task.
+    drawn = [(a, b, 1 + r.randrange(9)) for a in range(n) for b in range(a) if r.random() < (0.5 if a // 10 == b // 10 else 0.03)] + [(n + i, n + i + 1, 2) for i in range(4)]
+    want = louvain.communities(n + 5, drawn)
+    kind = "long" if names is int else "string"
+    e = spark.createDataFrame([(names(a), names(b), w) for a, b, w in drawn], f"a {kind}, b {kind}, weight long")
+    nodes = spark.createDataFrame([(names(i),) for i in range(n + 5)], f"id {kind}")
+    got = dict(pairs(louvain.louvain(nodes, e, block_edges=110), "id", "community"))
+    assert [got[names(i)] for i in range(n + 5)] == [names(c) for c in want] and 3 < len(set(want)) < 20
+
+
 def test_resolution_rules(spark):
     n, _ = graph(
         spark,
