@@ -10,6 +10,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, tuple[Query, str | None]]:
-    from . import graph, logs, notes, reports, stores, text
+    from . import graph, logs, notes, reports, stores, streams, text
 
-    return {name: q for module in (logs, notes, graph, text, reports, stores) for name, q in module.QUERIES.items()}
+    return {name: q for module in (logs, notes, graph, text, reports, stores, streams) for name, q in module.QUERIES.items()}

@@ -29,17 +29,41 @@ def windowed_usage(entries: DataFrame, window: str = "1 hour", late: str = "10 m
     return timed.groupBy(F.window("timestamp", window), "provider").agg(F.count("*").alias("calls"), F.sum("cost_usd").alias("cost_usd"))
 
 
-def append_log(entries: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Append a stream of entries to a log folder as JSON lines."""
-    return entries.writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").start()
+def append_log(entries: DataFrame, folder: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Append a stream of entries to a log folder as JSON lines, each batch in a folder by its number. A batch that is
+    run again replaces its own folder, so what is read there holds every entry once, whoever reads it.
 
+    once: take what there is and end."""
 
-def refresh_stream(changed: DataFrame, refresh: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Call refresh with each batch of changed files (path, ...), once a path: the incremental graph build."""
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").json(f"{folder}/batch={number}")
+
+    return _started(entries, batch, checkpoint, once)
+
+
+def refresh_stream(changed: DataFrame, refresh: Callable[[DataFrame], None], checkpoint: str, ledger: str, once: bool = False) -> StreamingQuery:
+    """Call refresh with each batch of changed files (path, ...), once a path: the incremental graph build.
+
+    ledger: a folder with an entry for each batch that is through. A batch with an entry is passed over when it comes
+    again, as after the loss of a query between its work and its commit. Without an entry it is refreshed again, so
+    refresh must replace what it wrote (as the build does, by path).
+    """
+    spark = changed.sparkSession
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
     def batch(rows: DataFrame, number: int) -> None:
-        once = rows.dropDuplicates(["path"])
-        if not once.isEmpty():
-            refresh(once)
+        entry = path_of(f"{ledger}/batch={number}/_SUCCESS")
+        if entry.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(entry):
+            return
+        once_each = rows.dropDuplicates(["path"])
+        n = once_each.count()
+        if n:
+            refresh(once_each)
+        spark.range(1).select(F.lit(n).alias("files")).coalesce(1).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+
+    return _started(changed, batch, checkpoint, once)
+
 
-    return changed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+def _started(rows: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
+    writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
