@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..adaptors import LOG, LOG_SQL, NOTES_SQL, graph_edges, graph_files, graph_nodes, log, notes, table
 from ..functions import paths, text
 from ..operators import coverage as cov
+from ..operators import graph_store
 from ..operators import graph_joins as gj
 from ..operators import graph_tables as gt
 from ..operators import logs
@@ -120,6 +121,56 @@ def _replaced_files(s, d):
     return n2.groupBy("kind").agg(F.count("*").alias("n")).withColumn("what", F.lit("nodes")).unionByName(e2.groupBy("kind").agg(F.count("*").alias("n")).withColumn("what", F.lit("edges"))).unionByName(r2.agg(F.lit("refs").alias("kind"), F.count("*").alias("n"), F.lit("refs").alias("what"))).unionByName(n2.filter("name = 'later'").agg(F.lit("later").alias("kind"), F.count("*").alias("n"), F.lit("names").alias("what")))
 
 
+def _stored_graph(s, d, change):
+    """Number and names of nodes and edges by kind, after a change of a stored graph."""
+    store = graph_store.create(graph_store.GraphStore(s, _folder(s, "graph"), 16), *_graph(s, d))
+    change(s, store)
+    n, e = (graph_store.table(store, x) for x in ("nodes", "edges"))
+    count = lambda df, what, name: df.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length(name)).alias("letters")).withColumn("what", F.lit(what))
+    return count(n, "nodes", "name").unionByName(count(e, "edges", "to_id")).unionByName(count(graph_store.table(store, "edges_in"), "edges_in", "from_id"))
+
+
+def _brand_parsed_anew(s, store):
+    """Of one brand's parts those of even size stay, under other names."""
+    own = graph_store.table(store, "nodes").drop("part").filter("path = 'm/Brand#11'")
+    new = own.filter("kind = 'file' or line % 2 = 0").withColumns({"name": F.concat(F.lit("new "), "id"), "ord": F.col("line").cast("long")})
+    contains = new.filter("kind = 'function'").select(F.col("path").alias("from_id"), F.col("id").alias("to_id"), F.lit("contains").alias("kind"), F.lit("exact").alias("confidence"), "ord")
+    refs = graph_store.table(store, "refs").drop("part").limit(0)
+    graph_store.replace_files(store, s.createDataFrame([("m/Brand#11",)], "path string"), new, refs, contains)
+
+
+def _nation_deleted(s, store):
+    graph_store.delete_files(store, s.createDataFrame([("r0/n0",), ("r1/n1",)], "path string"))
+
+
+def _knowledge_replaced(s, store):
+    n, e = (graph_store.table(store, x).drop("part") for x in ("nodes", "edges"))
+    nodes = n.filter("kind = 'skill' and name < 'B'").withColumn("name", F.lit("renamed"))
+    graph_store.put_changed(store, *gt.replace_knowledge(n, e, nodes, e.filter("kind = 'documents' and from_id < 'skill::B'")))
+
+
+_IN_STORE = G + """, {changed}
+SELECT 'nodes' AS what, kind, count(*) AS n, CAST(sum(length(name)) AS BIGINT) AS letters FROM n2 GROUP BY 2
+UNION ALL SELECT 'edges', kind, count(*), CAST(sum(length(to_id)) AS BIGINT) FROM e2 GROUP BY 2 UNION ALL SELECT 'edges_in', kind, count(*), CAST(sum(length(from_id)) AS BIGINT) FROM e2 GROUP BY 2"""
+_REPLACED_IN_STORE = _IN_STORE.format(changed="""stays AS (SELECT id FROM nodes WHERE path = 'm/Brand#11' AND (kind = 'file' OR line % 2 = 0)),
+n2 AS (SELECT kind, CASE WHEN path = 'm/Brand#11' THEN 'new ' || id ELSE name END AS name FROM nodes WHERE path <> 'm/Brand#11' OR id IN (SELECT id FROM stays)),
+e2 AS (SELECT * FROM edges WHERE kind <> 'contains' OR from_id <> 'm/Brand#11' OR to_id IN (SELECT id FROM stays))""")
+_DELETED_IN_STORE = _IN_STORE.format(changed="""gone AS (SELECT id FROM nodes WHERE path IN ('r0/n0', 'r1/n1')), n2 AS (SELECT kind, name FROM nodes WHERE id NOT IN (SELECT id FROM gone)),
+e2 AS (SELECT * FROM edges WHERE from_id NOT IN (SELECT id FROM gone) AND to_id NOT IN (SELECT id FROM gone))""")
+_KNOWN_IN_STORE = _IN_STORE.format(changed="""n2 AS (SELECT kind, CASE WHEN kind = 'skill' THEN 'renamed' ELSE name END AS name FROM nodes WHERE kind <> 'skill' OR name < 'B'),
+e2 AS (SELECT * FROM edges WHERE kind <> 'documents' OR from_id < 'skill::B')""")
+
+
+def _looked_up(s, d):
+    """Callers of every part, by edges in buckets of their target."""
+    n, e = _graph(s, d)
+    up = graph_store.save_lookup(e, "up", 16)
+    return gj.callers(n, up, n.filter("id like 'part:%'").select("id")).groupBy("target").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
+_LOOKED_UP = G + "SELECT to_id AS target, count(DISTINCT from_id) AS n, min(from_id) AS first FROM edges WHERE kind = 'calls' AND to_id LIKE 'part:%' AND from_id IN (SELECT id FROM nodes) AND to_id IN (SELECT id FROM nodes) GROUP BY 1"
+
+
 # Targets, closures, tests.
 
 TARGETS = ["part:3", "Supplier#000000001", "Supplier#000000009", "supplier#00000000", "nothing of it", "Brand#11", "BRAND#1", "INDIA", "order12"]
@@ -494,6 +545,10 @@ def _transcripts(s, d):
 _TRANSCRIPT = "SELECT conv_id AS session, kind, count(*) AS n, count(*) FILTER (kind = 'tool_result') AS errors, min(CASE kind WHEN 'tool_use' THEN 't' || CAST(turn AS STRING) WHEN 'tool_result' THEN 't' || CAST(turn - 1 AS STRING) END) AS first FROM conversations, (VALUES ('text'), ('tool_use'), ('tool_result')) k(kind) WHERE kind = 'text' OR (turn % 2 = 0) = (kind = 'tool_use') GROUP BY 1, 2"
 
 QUERIES = {
+    "store_replace": (lambda s, d: _stored_graph(s, d, _brand_parsed_anew), _REPLACED_IN_STORE),
+    "store_delete": (lambda s, d: _stored_graph(s, d, _nation_deleted), _DELETED_IN_STORE),
+    "store_knowledge": (lambda s, d: _stored_graph(s, d, _knowledge_replaced), _KNOWN_IN_STORE),
+    "bucket_lookup": (_looked_up, _LOOKED_UP),
     "scan_nodes": (lambda s, d: tables.ordered_nodes(graph_nodes(s, d)).select("id", "kind", "name", "path"), G + "SELECT id, kind, name, path FROM nodes"),
     "scan_edges": (lambda s, d: tables.ordered_edges(tables.dependency_edges(graph_edges(s, d))).select("from_id", "to_id", "kind"), G + "SELECT from_id, to_id, kind FROM dep"),
     "scan_files": (_decoded, "SELECT n_name AS path, CAST(CASE WHEN n_nationkey % 3 > 0 THEN 2 ELSE 0 END AS INT) AS n, CASE WHEN n_nationkey % 3 > 0 THEN 'a.' || n_name || ' b.*' ELSE '' END AS imports FROM nation"),
