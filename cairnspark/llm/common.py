@@ -80,6 +80,13 @@ def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, list[Colu
     return df.withColumnsRenamed(new), [F.col(f"`{new.get(c, c)}`").alias(c) for c in df.columns]
 
 
+def kept_apart(df: DataFrame, names: Iterable[str], but: str = "") -> DataFrame:
+    """df with its columns of those names (in any case of letters), all but one, called input_<name>."""
+    clash = [c for c in df.columns if c != but and c.lower() in {n.lower() for n in names}]
+    new = fresh([*df.columns, *names], *(f"input_{c}" for c in clash))
+    return df.withColumnsRenamed(dict(zip(clash, new)))
+
+
 def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
     """A copy of a schema with more fields at its end."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
@@ -90,9 +97,9 @@ def crc_mod(col: str, m: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % m
 
 
-def unit_hash(col: str, salt: str) -> Column:
+def unit_hash(col: str | Column, salt: str) -> Column:
     """A number in [0, 1) that depends on the value and the salt alone."""
-    return F.pmod(F.xxhash64(F.col(col), F.lit(salt)), F.lit(1 << 40)) / float(1 << 40)
+    return F.pmod(F.xxhash64(F.col(col) if isinstance(col, str) else col, F.lit(salt)), F.lit(1 << 40)) / float(1 << 40)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_slices, with_fields
+from .common import fresh, kept_apart, text_slices, with_fields
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"  # comment
     r"|<(?:svg|math|iframe|object|template|select|textarea|noscript)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"  # closed in itself
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|svg|math|iframe|object|head)\b[^>]*>.*?(?:</(?P=raw)\s*>|(?=<body\b)|\Z)"
+    r"|<(?P<raw>script|style|title|noscript|template|textarea|select|svg|math|iframe|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*(?:>|\Z)"  # declarations, processing instructions, odd closing tags
     r"|<[a-zA-Z][^>]*(?:>|\Z)"  # a tag with an open quote, or cut off by the end
@@ -73,8 +73,9 @@ def _kind(token: str) -> int:
     return -1 if words[k] in _HINT_BOILER else int(words[k] in _HINT_MAIN)
 
 
-def _marks(name: str, attrs: str, in_main: int) -> tuple[int, int, int | None]:
-    """Of an element: main (2 by kind, 1 by name), boilerplate by kind or name, label in a training page."""
+def _marks(name: str, attrs: str, in_main: int, labelled: bool) -> tuple[int, int, int | None]:
+    """Of an element: main (2 by kind, 1 by name), boilerplate by kind or name, label in a training page (data-y means
+    nothing elsewhere)."""
     main, boiler, label = 2 * (name in _MAIN), int(name in _BOILER), None
     if name == "header" and in_main:  # an article's own header holds its title
         boiler = 0
@@ -89,7 +90,7 @@ def _marks(name: str, attrs: str, in_main: int) -> tuple[int, int, int | None]:
                 main = max(main, 2 * (value.lower() in ("main", "article")))
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 boiler = 1
-            elif key == "data-y":
+            elif key == "data-y" and labelled:
                 label = int(value)
         if -1 in kinds:
             boiler = 1
@@ -98,8 +99,12 @@ def _marks(name: str, attrs: str, in_main: int) -> tuple[int, int, int | None]:
     return main, boiler, label
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks of a page. White space in a block is one space; character references are decoded once."""
+#: Share of the words of all named containers that articles need to stand above the others.
+ARTICLE_SHARE = 0.2
+
+
+def blocks(page: str, labelled: bool = False) -> list[Block]:
+    """Text blocks of a page, with labels if it is a training page. White space in a block is one space; character references are decoded once."""
     out: list[Block] = []
     stack: list[tuple[str, int, int, int | None]] = [("", 0, 0, None)]
     para: tuple[int, int, int | None] = (0, 0, None)  # of the paragraph or heading that is open
@@ -142,15 +147,19 @@ def blocks(page: str) -> list[Block]:
                             del stack[i:]
                             break
             elif name in _CONTAINER:
-                main, boiler, label = _marks(name, m["attrs"], up[1])
+                main, boiler, label = _marks(name, m["attrs"], up[1], labelled)
                 inherited = 0 if name == "main" and not boiler else up[2]  # the main element lies in no sidebar
                 stack.append((name, max(main, up[1]), max(boiler, inherited), label if label is not None else up[3]))
             elif m["attrs"] and name != "html":
-                para = _marks(name, m["attrs"], up[1])
+                para = _marks(name, m["attrs"], up[1], labelled)
                 if name == "body":
                     stack[0], para = ("", 0, 0, para[2]), (0, 0, None)
     flush()
-    most = max((b.features[6] for b in out if not b.features[8]), default=0)
+    held = [0, 0, 0]  # words by kind of container
+    for b in out:
+        if not b.features[8]:
+            held[b.features[6]] += b.text.count(" ") + 1
+    most = 2 if held[2] and held[2] >= ARTICLE_SHARE * (held[1] + held[2]) else 1 if held[1] else 2 * bool(held[2])
     for i, b in enumerate(out):
         if i:
             b.features[2:4] = out[i - 1].features[:2]
@@ -229,6 +238,8 @@ def made_pages() -> list[str]:
             first = f"<h1 data-y=1>{fill('{t}', at % 3 - at)}</h1>" if at % 2 else ""
             body = [f"{first}<p data-y=1>{fill('{t}', -at + 3 + at % 7)}</p>", *body[1:], f"<p data-y=1>{fill('{t}', -at + 3 + (at + 3) % 7)}</p>"]
         else:
+            # What an article links to is of it, however long: here whole paragraphs and most of one.
+            body += [f"<p data-y=1>{fill('{t}', 2)} <a href=/x>{fill('{t}', at)}</a></p>", f"<p data-y=1><a href=/y>{fill('{t}', at + 1)}</a></p>", f"<p data-y=1>{fill('{links}', at)}</p>"]
             body.insert(1 + at, f"<div data-y=0>{fill('<div class=share-links>{links}</div>', at)}</div>")
         inner = "".join(body[:5]) + f"<div data-y=0>{within[at % len(within)]}</div>" + "".join(body[5:9]) + f"<div data-y=0>{within[(at + 1) % len(within)]}</div>" + "".join(body[9:])
         # Short lines, of at most three words, stand beside links where no container tells what is main.
@@ -279,7 +290,7 @@ class Tree:
 
 def train(pages: Iterable[str] | None = None) -> Tree:
     """pages: labelled, by default TRAINING and the made pages."""
-    rows = [b for p in ([*TRAINING, *made_pages()] if pages is None else pages) for b in blocks(p)]
+    rows = [b for p in ([*TRAINING, *made_pages()] if pages is None else pages) for b in blocks(p, labelled=True)]
     return Tree(np.array([b.features for b in rows], float), np.array([b.label or 0 for b in rows], float))
 
 
@@ -300,7 +311,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     Null and empty pages have an empty text. Whole pages are read, whatever their length; rows are not
     dropped or joined. A column named text or n_chars is renamed input_<name>.
     """
-    pages = pages.withColumnsRenamed({c: f"input_{c}" for c in ("text", "n_chars") if c in pages.columns and c != html_col})
+    pages = kept_apart(pages, ("text", "n_chars"), html_col)
     keep = [c for c in pages.columns if c != html_col]
     markup = fresh(keep, "markup")[0]
     schema = with_fields(pages.select(*(F.col(f"`{c}`") for c in keep)).schema, "text string, n_chars long")

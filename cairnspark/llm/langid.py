@@ -15,12 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, unit_hash, with_fields
+from .common import kept_apart, text_slices, unit_hash, with_fields
 
-#: Rows of a language that are learned from, at most about (a Bernoulli sample by a hash of the id).
-TRAIN_PER_LANG = 800
-#: Languages that are learned, at most: those of most rows.
-MOST_LANGS = 200
+#: Rows that are learned from, about: of a language, and of all, in equal shares (a Bernoulli sample by a hash of id
+#: and text). Every language is learned; of each, so many rows are drawn at least.
+TRAIN_PER_LANG, TRAIN_ROWS, LEAST_ROWS = 800, 160_000, 40
 BUCKETS = 1 << 14
 NO_LANG = "und"
 _codes: np.ndarray | None = None
@@ -132,8 +131,9 @@ def fit(langs: list[str], idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarr
 
 
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_PER_LANG) -> Model:
-    """Learn from rows where `usable` holds and text and language are not null. per_lang bounds the sample, MOST_LANGS
-    the languages. Of repeated rows each may be in the sample."""
+    """Learn from rows where `usable` holds and text and language are not null. per_lang bounds the sample of a
+    language; where languages are many, they share TRAIN_ROWS, but none is left out (the weights, BUCKETS numbers a
+    language, are on the driver). Repeated rows are in the sample together or not at all."""
     rows = docs.filter(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,14 +155,13 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     for r in rows.select("t").mapInArrow(frequencies, "bucket bigint, df bigint").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
         df[r["bucket"]] = r["df"]
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     langs = sorted(sizes)
-    u = unit_hash("id", "langid")
-    share = F.lit(0.0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, min(1.0, per_lang / sizes[lang])).otherwise(share)
-    sample = rows.withColumn("u", u).filter(F.col("u") < share).select("t", "lang", "u").mapInArrow(grams, "lang string, u double, at array<int>, n array<int>")
-    got = sample.orderBy("u").limit(2 * per_lang * max(1, len(langs))).toArrow()
+    per_lang = min(per_lang, max(LEAST_ROWS, TRAIN_ROWS // max(1, len(langs))))
+    shares = docs.sparkSession.createDataFrame([(x, min(1.0, per_lang / n)) for x, n in sizes.items()], "lang string, share double")
+    drawn = rows.withColumn("u", unit_hash(F.xxhash64("id", "t"), "langid")).join(F.broadcast(shares), "lang").filter("u < share")
+    sample = drawn.select("t", "lang", "u").mapInArrow(grams, "lang string, u double, at array<int>, n array<int>")
+    got = sample.orderBy("u", "lang").limit(2 * per_lang * max(1, len(langs))).toArrow()
     index = {x: i for i, x in enumerate(langs)}
     cols = [got.column(c) for c in ("at", "n")]
     return fit(langs, idf, [(np.asarray(a.values, np.int64), np.asarray(c.values, np.int64), index[y]) for a, c, y in zip(*cols, got.column("lang").to_pylist())])
@@ -172,7 +171,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """docs' columns with lang_pred and score of every whole text. Null texts and texts without letters:
     `und`, score 0. A column of docs with one of those names is renamed input_<name>."""
     spark = docs.sparkSession
-    docs = docs.withColumnsRenamed({c: f"input_{c}" for c in ("lang_pred", "score") if c in docs.columns})
+    docs = kept_apart(docs, ("lang_pred", "score"), text_col)
     schema = with_fields(docs.schema, "lang_pred string, score double")
     shared = spark.sparkContext.broadcast(model)  # buckets x languages numbers
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, raw_texts, text_slices, with_fields
+from .common import fresh, kept_apart, raw_texts, text_slices, with_fields
 
 #: Phrases that are counted wherever their words stand consecutively, and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -383,7 +383,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     surest detection. Columns of docs with those names are renamed input_<name>.
     """
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
-    docs = docs.withColumnsRenamed({c: f"input_{c}" for c in names if c in docs.columns and c != text_col})
+    docs = kept_apart(docs, names, text_col)
     keep = [c for c in docs.columns if c != text_col]
     own, whole_text = [F.col(f"`{c}`") for c in keep], fresh([*keep, *names], "whole_text")[0]
     kinds = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<label:string,start:long,end:long,rule:int,priority:int>>"

@@ -138,8 +138,7 @@ OP1_SQL = rf"""
 WITH RECURSIVE rules(h, p, a) AS (VALUES {_RULE_ROWS}),
 parsed AS (SELECT page_id, html, coalesce({_HOST.format("url")}, '') AS host, coalesce({_PATH.format("url")}, '') AS path FROM pages),
 tags AS (
-  SELECT host, path, unnest(list_transform(list_filter(string_split(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>|<textarea\b.*?</textarea\s*>', ' ', 'g'), '<'),
-    lambda x: contains(x, '>') AND regexp_matches(x, '^(?i:link|meta)\s')), lambda x: string_split(x, '>')[1])) AS tag
+  SELECT host, path, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>|<textarea\b.*?</textarea\s*>', ' ', 'g'), '(?is)<((?:link|meta)\s(?:[^>"'']|"[^"]*"|''[^'']*'')*)>', 1)) AS tag
   FROM parsed WHERE host <> '' AND html IS NOT NULL),
 attrs AS (
   SELECT host, path, lower(tag[1:4]) AS kind, {_ATTR.format("rel")} AS rel, {_ATTR.format("href")} AS href, {_ATTR.format("http-equiv")} AS equiv, {_ATTR.format("content")} AS content FROM tags),
@@ -153,7 +152,7 @@ whole AS (
 edges AS (SELECT DISTINCT a, b FROM (SELECT a, {_HOST.format("u")} || {_PATH.format("u")} AS b FROM whole WHERE {_HOST.format("u")} <> '') WHERE a <> b),
 ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(n, m) AS (SELECT a, a FROM ways UNION SELECT r.n, e.b FROM reach r JOIN ways e ON r.m = e.a),
-keys AS (SELECT host, path, host || path AS node FROM parsed UNION SELECT regexp_extract(a, '^([^/]*)', 1), regexp_extract(a, '^[^/]*(.*)$', 1), a FROM ways),
+keys AS (SELECT host, path, host || path AS node FROM parsed UNION SELECT regexp_extract(a, '^([^/]*)', 1), substr(a, length(regexp_extract(a, '^([^/]*)', 1)) + 1), a FROM ways),
 fit AS (
   SELECT k.node, r.h || r.p AS rule, r.a, row_number() OVER (PARTITION BY k.node ORDER BY length(r.h || r.p) DESC, r.a <> 'allow', r.h || r.p) AS n
   FROM (SELECT DISTINCT * FROM keys) k JOIN rules r ON (k.host = r.h OR ends_with(k.host, '.' || r.h)) AND starts_with(k.path, r.p)),

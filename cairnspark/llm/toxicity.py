@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, text_slices, unit_hash, with_fields
+from .common import kept_apart, raw_texts, text_slices, unit_hash, with_fields
 
 #: Labelled rows of a class that are learned from, and the longest text among them, at most.
 TRAIN_PER_CLASS, TRAIN_CHARS = 800, 50_000
@@ -316,7 +316,7 @@ def score(docs: DataFrame, chain: Chain | None, text_col: str = "text") -> DataF
     Null and empty texts are scored as texts without words. Without a model all scores are 0. A column of
     docs with one of those names is renamed input_<name>.
     """
-    docs = docs.withColumnsRenamed({c: f"input_{c}" for c in ("score", "predicted", "spans") if c in docs.columns})
+    docs = kept_apart(docs, ("score", "predicted", "spans"), text_col)
     schema = with_fields(docs.schema, f"score double, predicted int, spans {SPANS}")
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # weights of BUCKETS features
 

@@ -14,9 +14,13 @@ from .components import connected_components
 
 #: A rule table of at most so many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_RULES = 100_000
-#: What holds no tags of the page: comments and the texts of scripts, styles, titles and text areas.
-_NO_TAGS = r"(?is)<!--.*?-->|<(script|style|title|textarea)\b.*?</\1\s*>"
-_TAGS = r"(?is)<((?:link|meta)\s[^>]*)>"
+# Elements whose content holds no tags of the page.
+_RAW = ("script", "style", "title", "textarea")
+#: Pieces of a page (each from a < to the next) that count where no tag is open, and tags that are open at their end.
+_COUNTS = r"(?i)^(?:!--|/?(?:script|style|title|textarea)[\s/>]|(?:link|meta)\s)"
+_OPEN = r"(?s)^[a-zA-Z](?!(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=(?!\s*+[\"']))*+>)"
+#: A tag's inside up to the > that ends it: a quoted value, which may hold one, follows an equals sign.
+_INSIDE = r"(?s)^(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=(?!\s*+[\"']))*+"
 _ABSOLUTE, _SCHEME = r"(?i)^[a-z][a-z0-9+.-]*://", r"(?i)^[a-z][a-z0-9+.-]*:"
 
 
@@ -59,6 +63,61 @@ def _without_dots(path: Column) -> Column:
     return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(F.when(last, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")).otherwise(path)
 
 
+def _link_tags(html: Column) -> Column:
+    """The link and meta tags of a page, as an array of their insides.
+
+    The page is cut at each < and its pieces are gone through once, with what is open: an element without tags, a
+    comment, or a tag (a quoted value may hold a <, so a tag may go over several pieces; what is kept of it are the
+    numbers of its first and last piece). The work grows with the page's length, whatever is left open in it.
+    """
+    every = F.filter(F.transform(F.split(html, "<"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["i"] > 0)
+    # Most pages leave no tag open, and most of their pieces change nothing.
+    few = F.filter(every, lambda p: p["x"].rlike(_COUNTS) | p["x"].contains("-->") | p["x"].rlike(_OPEN))
+    pieces = F.transform(
+        F.when(F.exists(few, lambda p: p["x"].rlike(_OPEN)), every).otherwise(few),
+        lambda p: F.struct(
+            p["i"].alias("i"),
+            F.lower(F.regexp_extract(p["x"], r"^([a-zA-Z][a-zA-Z0-9:-]*)", 1)).alias("name"),
+            F.lower(F.regexp_extract(p["x"], r"^/([a-zA-Z]+)[\s/>]", 1)).alias("closes"),
+            p["x"].startswith("!--").alias("opens_comment"),
+            p["x"].contains("-->").alias("ends_comment"),
+            p["x"].alias("x"),
+            F.regexp_extract(p["x"], _INSIDE, 0).alias("inside"),
+        ),
+    )
+    # A < within a quoted value: the piece goes on in the quote, or closes it.
+    state = F.struct(F.lit("").alias("raw"), F.lit("").alias("tag"), F.lit("").alias("quote"), F.lit(0).alias("first"), F.array().cast("array<struct<a:int,z:int,tag:string>>").alias("found"))
+
+    def opened(inside: Column, x: Column) -> Column:
+        """The quote that a piece leaves open behind the inside of its tag; empty if the tag ends, a space if it is
+        open without a quote."""
+        rest = F.substring(x, F.length(inside) + 1, F.length(x))
+        return F.when(rest.startswith(">"), "").otherwise(F.coalesce(F.nullif(F.regexp_extract(rest, r"^=\s*+([\"'])", 1), F.lit("")), F.lit(" ")))
+
+    def step(s: Column, p: Column) -> Column:
+        new = lambda raw, tag, quote, first, found: F.struct(raw.alias("raw"), tag.alias("tag"), quote.alias("quote"), first.alias("first"), found.alias("found"))
+        none = F.lit("")
+
+        def after(name: Column, quote: Column, first: Column) -> Column:
+            """Of a tag of which another piece has been read."""
+            wanted = name.isin("link", "meta")
+            ended = new(F.when(name.isin(*_RAW), name).otherwise(none), none, none, F.lit(0), F.when(wanted, F.concat(s["found"], F.array(F.struct(first.alias("a"), p["i"].alias("z"), F.when(first == p["i"], p["inside"]).alias("tag"))))).otherwise(s["found"]))
+            return F.when(quote == "", ended).otherwise(new(none, name, quote, first, s["found"]))
+
+        going = F.when(s["quote"] == " ", p["x"]).otherwise(F.concat(F.lit("="), s["quote"], F.lit("<"), p["x"]))
+        raw = F.when(s["raw"] == "!--", F.when(p["ends_comment"], none).otherwise(s["raw"])).otherwise(F.when(p["closes"] == s["raw"], none).otherwise(s["raw"]))
+        return (
+            F.when(s["raw"] != "", new(raw, none, none, F.lit(0), s["found"]))
+            .when(s["tag"] != "", after(s["tag"], opened(F.regexp_extract(going, _INSIDE, 0), going), s["first"]))
+            .when(p["opens_comment"], new(F.when(p["ends_comment"], none).otherwise("!--"), none, none, F.lit(0), s["found"]))
+            .when(p["name"] == "", s)
+            .otherwise(after(p["name"], opened(p["inside"], p["x"]), p["i"]))
+        )
+
+    found = F.aggregate(pieces, state, step, lambda s: s["found"])
+    return F.transform(found, lambda t: F.when(t["tag"].isNotNull(), t["tag"]).otherwise(F.regexp_extract(F.array_join(F.slice(F.split(html, "<"), t["a"] + 1, t["z"] - t["a"] + 1), "<"), _INSIDE, 0)))
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): host+path of a page and of the target of each of its canonical links (rel may name other relations
     too) and refresh redirects.
@@ -67,8 +126,9 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     fragment of the page itself; other schemes are no targets. Null pages and URLs, and targets without a host, give
     no edge. base elements are not followed.
     """
-    here = pages.select(F.regexp_replace(F.col(html), _NO_TAGS, " ").alias("h"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path")).filter("host <> '' and h is not null")
-    tag = here.select("host", "path", F.explode(F.regexp_extract_all("h", F.lit(_TAGS), F.lit(1))).alias("tag"))
+    here = pages.select(F.col(html).alias("h"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path")).filter("host <> '' and h is not null")
+    here = here.filter(F.col("h").rlike("(?i)canonical|refresh"))  # without either word there is no link
+    tag = here.select("host", "path", F.explode(_link_tags(F.col("h"))).alias("tag"))
     relations = F.split(F.lower(F.trim(_attribute(F.col("tag"), "rel"))), r"\s+")
     canonical = F.col("tag").rlike(r"(?i)^link\s") & F.array_contains(relations, "canonical")
     refresh = F.col("tag").rlike(r"(?i)^meta\s") & (F.lower(F.trim(_attribute(F.col("tag"), "http-equiv"))) == "refresh")
@@ -125,7 +185,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = Non
         edges = materialize(edges.select("a", "b").distinct(), "url-links")
         ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
         # Targets of links need not be pages; rules are matched for them too.
-        cut = ends.select(F.regexp_extract("node", "^([^/]*)", 1).alias("host"), F.regexp_extract("node", "^[^/]*(.*)$", 1).alias("path"))
+        cut = ends.select(F.regexp_extract("node", "^([^/]*)", 1).alias("host"), F.regexp_extract("node", "(?s)^[^/]*(.*)$", 1).alias("path"))
         blocked = match_rules(cut, rules).filter("action = 'block'").select(F.concat("host", "path").alias("node"))
         cc = materialize(connected_components(edges), "url-components")
         bad = materialize(cc.join(blocked, "node").select("component").distinct(), "url-blocked").hint("merge")
