@@ -1,8 +1,10 @@
-"""Benchmark decontamination by weighted similarity of item-sized windows.
+"""Benchmark decontamination by SimHash fingerprints of item-sized windows.
 
-Words of a document that begin a shingle of some item are found by hash, with the items that have it. Of each
-item whose shingles there weigh enough, the similarity of every window as long as the item (in words) is taken
-from running sums; those that may reach SIMILARITY are decided exactly. No window is left to chance.
+Words of a document that begin a shingle of some item are found by hash, with the items that have it; where the
+shingles of an item weigh enough for it, every window as long as the item gets a fingerprint, from running sums of its
+shingles' votes. Pairs of windows and items within RADIUS are found by multi-index Hamming blocks, without loss, and
+decided by their exact weighted similarity. What may be lost is a window of little more than SIMILARITY whose
+fingerprint lies beyond the radius.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 from .common import materialize, raw_texts, text_slices, with_fields
 
 WIDTH, SIMILARITY = 5, 0.8
+#: Bits of a fingerprint and the radius. Bags of 0.8 weighted similarity have a cosine of about 0.89, so a bit differs
+#: by a chance of 0.15, and of 64 bits more than 18 by about 0.001.
+BITS, RADIUS = 64, 18
 #: Characters of benchmark text that one pass over the documents takes; a larger benchmark takes more passes.
 PASS_CHARS = 8_000_000
 _CLASS = bytes(i if i >= 0x80 or 0x61 <= i <= 0x7A or 0x30 <= i <= 0x39 else i + 32 if 0x41 <= i <= 0x5A else 32 for i in range(256))
@@ -70,6 +75,43 @@ def _roll(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _votes(words: list[bytes], k: int, weight: np.ndarray) -> np.ndarray:
+    """Of each shingle of k words its vote on each bit: the root of its weight, as a whole number, for or against. The
+    cosine of two sums of such votes is that of weighted bags."""
+    h = _roll(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), k)  # the same in every process
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
+    return (2 * bits - 1) * np.rint(np.sqrt(weight) * 65536).astype(np.int64)[:, None]
+
+
+def _packed(sums: np.ndarray) -> np.ndarray:
+    """Fingerprints: a bit is set where the votes for it outweigh those against."""
+    return np.packbits(sums > 0, axis=1).view(np.uint64).ravel() if len(sums) else np.empty(0, np.uint64)
+
+
+def near(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of fingerprints within the radius, as places in a and b, and their distance.
+
+    The bits are cut into radius + 1 blocks; a pair within the radius agrees in one block at least, so pairs that
+    agree in a block, found by sorting, are all that need a look."""
+    found = []
+    cuts = [BITS * j // (radius + 1) for j in range(radius + 2)]
+    for low, high in zip(cuts, cuts[1:]):
+        mask = np.uint64((1 << (high - low)) - 1)
+        x, y = (a >> np.uint64(low)) & mask, (b >> np.uint64(low)) & mask
+        order = np.argsort(y, kind="stable")
+        first, last = np.searchsorted(y[order], x), np.searchsorted(y[order], x, "right")
+        m = last - first
+        left = np.repeat(np.arange(len(a)), m)
+        right = order[np.repeat(first - np.cumsum(m) + m, m) + np.arange(m.sum())]
+        d = np.bitwise_count(a[left] ^ b[right])
+        close = d <= radius
+        found.append(np.stack([left[close], right[close], d[close].astype(np.int64)]))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+    return pairs[0], pairs[1], pairs[2]
+
+
 @dataclass
 class Items:
     """The items of a pass, indexed. weight: of each shingle, the rarer among all items of the benchmark the larger.
@@ -110,6 +152,12 @@ class Items:
             table = np.zeros(1 << 20, bool)
             table[h >> np.uint64(44)] = True
             self.known[k] = (h, table, weight, np.searchsorted(pairs[0], np.arange(len(h) + 1)), pairs[1], times)
+        #: By length in words: the items and their fingerprints.
+        self.prints: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted(set(lengths.tolist())):
+            own = np.flatnonzero(lengths == n)
+            votes = [_votes(self.words[i], min(WIDTH, n), np.array([self.weight[x] for x in self.bags[i]])).sum(axis=0) for i in own]
+            self.prints[n] = own, _packed(np.stack(votes))
 
     def scan(self, docs: list[list[bytes]]) -> Iterator[tuple[int, list[tuple[int, float, int, int]]]]:
         """For each document with leaks its index and (item, similarity, first word, words) of the best
@@ -145,43 +193,42 @@ class Items:
 
     def _windows(self, words: list[bytes], k: int, at: np.ndarray, number: np.ndarray, offset: int, best: dict[int, tuple[float, int, int]]) -> None:
         """Windows of some words whose known shingles of k words, by number, begin at the places `at`."""
-        _, _, weight, begin, items, times = self.known[k]
+        _, _, weight, begin, items, _ = self.known[k]
         m = begin[number + 1] - begin[number]
         row = np.repeat(begin[number] - np.cumsum(m) + m, m) + np.arange(m.sum())  # rows of (hash, item) at each place
-        place, heavy = np.repeat(at, m), np.repeat(weight[number], m)
         own, which = np.unique(items[row], return_inverse=True)
-        enough = np.bincount(which, heavy, len(own)) >= SIMILARITY * self.total[own] - 1e-6
-        order = np.argsort(which, kind="stable")
-        cuts = np.searchsorted(which[order], np.arange(len(own) + 1))
-        sums: np.ndarray | None = None
-        for j in np.flatnonzero(enough).tolist():
-            i, mine = int(own[j]), order[cuts[j] : cuts[j + 1]]
-            n = len(self.words[i])
+        enough = np.bincount(which, np.repeat(weight[number], m), len(own)) >= SIMILARITY * self.total[own] - 1e-6
+        # A window as long as an item may reach SIMILARITY only where the item's shingles weigh enough: other lengths
+        # need no fingerprints here.
+        lengths = sorted({len(self.words[i]) for i in own[enough].tolist()} - set(range(len(words) + 1, self.longest + 1)))
+        if not lengths:
+            return
+        each = np.full(len(words) - k + 1, self.other)
+        each[at] = weight[number]
+        sums = np.concatenate((np.zeros((1, BITS), np.int64), np.cumsum(_votes(words, k, each), axis=0)))
+        for n in lengths:
             span, count = n - k + 1, len(words) - n + 1
-            if count <= 0:
-                continue
-            # What a window has in common with the item changes where a known shingle enters or leaves it.
-            p, w = place[mine], heavy[mine]
-            held: Counter[int] = Counter()
-            change = np.zeros(count + 1)
-            events = sorted([(max(0, x - span + 1), 1, r, t, v) for x, r, t, v in zip(p.tolist(), row[mine].tolist(), times[row[mine]].tolist(), w.tolist())] + [(x + 1, 0, r, t, v) for x, r, t, v in zip(p.tolist(), row[mine].tolist(), times[row[mine]].tolist(), w.tolist())])
-            for s, enters, r, t, v in events:
-                if s >= count:
-                    break
-                if enters:
-                    change[s] += v * (held[r] < t)
-                    held[r] += 1
-                else:
-                    held[r] -= 1
-                    change[s] -= v * (held[r] < t)
-            both = np.cumsum(change[:count])
-            if sums is None:
-                each = np.full(len(words) - k + 1, self.other)
-                each[at] = weight[number]
-                sums = np.concatenate(([0.0], np.cumsum(each)))
-            all_ = sums[span : span + count] - sums[:count] + self.total[i] - both
-            for s in np.flatnonzero(both >= SIMILARITY * all_ - 1e-6).tolist():
-                sim = similarity(shingles(words[s : s + n], k), self.bags[i], self.weight, self.other)
+            prints = _packed(sums[span : span + count] - sums[:count])
+            number_of, prints_of = self.prints[n]
+            window, item, distance = near(prints, prints_of)
+            exact: dict[int, dict[int, float]] = {}
+
+            def similar(i: int, s: int, n: int = n, exact: dict[int, dict[int, float]] = exact) -> float:
+                if s not in (own := exact.setdefault(i, {})):
+                    own[s] = similarity(shingles(words[s : s + n], k), self.bags[i], self.weight, self.other)
+                return own[s]
+
+            for d, s, i in sorted(zip(distance.tolist(), window.tolist(), number_of[item].tolist())):
+                if not d or 1.0 not in exact.get(i, {}).values():  # equal bags have equal fingerprints
+                    similar(i, s)
+            for i in exact:
+                sim, s = max((x, -s) for s, x in exact[i].items())
+                s = -s
+                # The windows beside the best one may be better, and their fingerprints beyond the radius.
+                for step in (-1, 1):
+                    while 0 <= s + step < count and (similar(i, s + step), -step) > (sim, 0):
+                        s += step
+                        sim = similar(i, s)
                 if sim >= SIMILARITY and (i not in best or (sim, -s - offset) > (best[i][0], -best[i][1])):
                     best[i] = (sim, s + offset, n)
 

@@ -103,8 +103,8 @@ def _marks(name: str, attrs: str, in_main: int, labelled: bool) -> tuple[int, in
 ARTICLE_SHARE = 0.2
 
 
-def blocks(page: str, labelled: bool = False) -> list[Block]:
-    """Text blocks of a page, with labels if it is a training page. White space in a block is one space; character references are decoded once."""
+def blocks(page: str, labelled: bool = True) -> list[Block]:
+    """Text blocks of a page, with the labels that a training page has. White space in a block is one space; character references are decoded once."""
     out: list[Block] = []
     stack: list[tuple[str, int, int, int | None]] = [("", 0, 0, None)]
     para: tuple[int, int, int | None] = (0, 0, None)  # of the paragraph or heading that is open
@@ -290,7 +290,7 @@ class Tree:
 
 def train(pages: Iterable[str] | None = None) -> Tree:
     """pages: labelled, by default TRAINING and the made pages."""
-    rows = [b for p in ([*TRAINING, *made_pages()] if pages is None else pages) for b in blocks(p, labelled=True)]
+    rows = [b for p in ([*TRAINING, *made_pages()] if pages is None else pages) for b in blocks(p)]
     return Tree(np.array([b.features for b in rows], float), np.array([b.label or 0 for b in rows], float))
 
 
@@ -302,7 +302,7 @@ def main_text(page: str | None, tree: Tree | None = None) -> str:
     global _tree
     if tree is None:
         tree = _tree = _tree or train()
-    return "\n".join(b.text for b in blocks(page or "") if tree.keeps(b.features))
+    return "\n".join(b.text for b in blocks(page or "", labelled=False) if tree.keeps(b.features))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
