@@ -5,7 +5,7 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,31 +34,31 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return langid.identify(docs, model).filter((F.col("lang_pred") != langid.NO_LANG) & (F.col("score") >= LEAST_CONFIDENCE)).select(own)
 
 
+def _document_key(docs: DataFrame) -> Column:
+    """A text for each row that orders as doc_id does: its digits, of one length; of rows without one a digest."""
+    number = F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
+    known = F.concat(F.lit("d"), F.lpad(number.cast("string"), 21, "0")) if docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long") else F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    return F.coalesce(known, F.concat(F.lit("n"), F.md5(F.coalesce("text", F.lit("")))))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are similar to 0.8 or more in words by five: the one of the
     least doc_id. Null and empty texts are one group. Rows of one doc_id are one document: of several that stay, the
-    one of the least text (null first; then of the least other columns, in their order) does. Of rows without doc_id
-    one of each text stays, if no row with doc_id has that text. An empty table stays empty."""
+    one of the least text (null first; then of the least other columns, in their order) does. Rows without doc_id have
+    an id of their own, the digest of their text, after all others. An empty table stays empty."""
     own = [F.col(f"`{c}`") for c in docs.columns]
-    groups = materialize(simhash.similar_documents(docs), "near-groups")
-    named = groups.filter("doc_id is not null")
-    stays = named.filter("doc_id = component_id").groupBy("doc_id").count()
-    goes = materialize(named.select("doc_id").distinct().join(stays, "doc_id", "left_anti"), "near-goes")
-    kept = docs.filter("doc_id is not null").join(broadcast_below(goes, simhash.BROADCAST_ENDS), "doc_id", "left_anti").select(own)
-    again = materialize(stays.filter("count > 1").select("doc_id"), "near-again")
-    if not again.isEmpty():
-        order = Window.partitionBy("doc_id").orderBy("text", *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))
-        n = fresh(docs.columns, "n")[0]
-        once = kept.join(again, "doc_id", "left_semi").withColumn(n, F.row_number().over(order)).filter(F.col(n) == 1).select(own)
-        kept = kept.join(again, "doc_id", "left_anti").select(own).unionByName(once)
-    nameless = docs.filter("doc_id is null")
-    if nameless.isEmpty():
-        return kept
-    h, m = fresh(docs.columns, "h", "m")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    named = docs.filter("doc_id is not null").select(F.xxhash64(text).alias(h), F.md5(text).alias(m))
-    alone = nameless.withColumns({h: F.xxhash64(text), m: F.md5(text)}).dropDuplicates([h, m])
-    return kept.unionByName(alone.join(named, [h, m], "left_anti").select(own))
+    key, n = fresh(docs.columns, "key", "n")
+    keyed = docs.withColumn(key, _document_key(docs))
+    groups = materialize(simhash.similar_documents(keyed, key), "near-groups")
+    stays = groups.filter("doc_id = component_id").groupBy("doc_id").count().withColumnRenamed("doc_id", key)
+    goes = materialize(groups.select(F.col("doc_id").alias(key)).distinct().join(stays, key, "left_anti"), "near-goes")
+    kept = keyed.join(broadcast_below(goes, simhash.BROADCAST_ENDS), key, "left_anti")
+    again = materialize(stays.filter("count > 1").select(key), "near-again")
+    if again.isEmpty():
+        return kept.select(own)
+    order = Window.partitionBy(key).orderBy("text", *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))
+    once = kept.join(again, key, "left_semi").withColumn(n, F.row_number().over(order)).filter(F.col(n) == 1)
+    return kept.join(again, key, "left_anti").select(own).unionByName(once.select(own))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
