@@ -64,3 +64,25 @@ def test_rows_without_ids_and_repeated_rows(spark):
 
 def test_words_are_cut_alike_in_any_case():
     assert decontam.words_of("ÉTÉ d'Été-9".encode()) == decontam.words_of("été D'ÉTÉ 9".encode())
+
+
+def test_near_copies_without_ids_are_linked_like_others(spark):
+    r = random.Random(2)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    copies = [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in (20, 90, 150)]
+    other = " ".join(f"v{r.randrange(10**6)}" for _ in range(200))
+    kept = lambda rows: sorted(((x["doc_id"] or 0), x["text"]) for x in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long"), "").collect())
+    assert kept([(-5, copies[0]), (None, copies[1]), (None, copies[2]), (10, other), (9, copies[1])]) == [(-5, copies[0]), (10, other)]
+    nameless = kept([(None, x) for x in (*copies, other)])
+    assert len(nameless) == 2 and nameless[1 if nameless[0][1] in copies else 0][1] == other
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert not stage(spark, docs, folder).count(), name
+    assert not corpus_pipeline.run(spark, folder).count()
