@@ -18,54 +18,98 @@ def steps(edges: DataFrame, direction: str = "up") -> DataFrame:
     return dep.select(F.col(near).alias("at"), F.col(far).alias("peer"), "kind", "confidence", "from_id", "to_id")
 
 
+_KEY = ["p", "from_id", "to_id", "kind"]
+
+
+def _placed(level: DataFrame) -> DataFrame:
+    """A level's rows in breadth-first order, written with their places (at): numbers that rise along the order of
+    source and ord. The order is a range partitioning, so no task has to sort all of a source's rows."""
+    order = ["source", *(F.col(f"ord.{c}") for c in _KEY)]
+    n = int(level.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(level.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "impact-order")
+
+
+def _first_rows(placed: DataFrame, room: DataFrame) -> DataFrame:
+    """Of each source in room (source, room) its first so many rows, numbered by the rows of earlier partitions."""
+    part = F.shiftright("at", 33).alias("part")
+    parts = placed.groupBy("source", part).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bound = parts.withColumn("before", before).join(room, "source").select("source", "part", (F.col("first") - F.col("before") + F.col("room")).alias("until"))
+    return placed.withColumn("part", part).join(bound, ["source", "part"]).filter(F.col("at") < F.col("until")).drop("part", "until")
+
+
 def impact(nodes: DataFrame, edges: DataFrame, sources: DataFrame, depth: int = 2, direction: str = "up", cap: int | None = CAP) -> DataFrame:
     """(source, node_id, depth, via, confidence, ord) of all nodes within `depth` steps of each source (id).
 
     A source also starts from its file, if that is a node. Each node counts once, by the first edge in
-    breadth-first order: the order of its parent, then of the edge (from, to, kind). ord is that order as
-    an array of texts. Unknown peers are passed over; starts are not reported. cap: so many nodes a source, the first
-    in breadth-first order, by default those of the tools (None: all); see truncated.
+    breadth-first order: the order of its parent, then of the edge (from, to, kind). ord is that order within a source
+    and depth: the parent's place and the edge. Unknown peers are passed over; starts are not reported. cap: so many
+    nodes a source, the first in breadth-first order, by default those of the tools (None: all); see truncated. A
+    source that has them goes no further.
     """
     walk = steps(edges, direction)
     known = nodes.select(F.col("id").alias("node_id"))
-    start = sources.select(F.col("id").alias("source"), F.col("id").alias("node_id")).distinct().withColumn("ord", F.array(F.lit("0")))
-    own_file = start.join(nodes.select(F.col("id").alias("node_id"), "path"), "node_id").filter("path <> '' and path <> node_id").select("source", F.col("path").alias("node_id")).join(known, "node_id", "left_semi").withColumn("ord", F.array(F.lit("1")))
+    start = sources.select(F.col("id").alias("source"), F.col("id").alias("node_id")).distinct().withColumn("p", F.lit(0).cast("long"))
+    own_file = start.join(nodes.select(F.col("id").alias("node_id"), "path"), "node_id").filter("path <> '' and path <> node_id").select("source", F.col("path").alias("node_id")).join(known, "node_id", "left_semi").withColumn("p", F.lit(1).cast("long"))
     frontier = start.unionByName(own_file)
-    seen, hits = frontier.select("source", "node_id"), None
+    seen, hits, held = frontier.select("source", "node_id"), None, None
     for d in range(1, depth + 1):
-        next_ = frontier.join(walk, F.col("node_id") == F.col("at")).select("source", F.col("peer").alias("node_id"), F.struct("ord", "from_id", "to_id", "kind", "confidence").alias("k"))
+        next_ = frontier.join(walk, F.col("node_id") == F.col("at")).select("source", F.col("peer").alias("node_id"), F.struct(*_KEY, "confidence").alias("k"))
         first = next_.groupBy("source", "node_id").agg(F.min("k").alias("k")).join(seen, ["source", "node_id"], "left_anti").join(known, "node_id", "left_semi")
-        new = first.select("source", "node_id", F.lit(d).alias("depth"), F.col("k.kind").alias("via"), F.col("k.confidence").alias("confidence"), F.concat("k.ord", F.array(F.concat_ws("\x01", "k.from_id", "k.to_id", "k.kind"))).alias("ord"))
-        if d < depth:
-            new = materialize(new, "impact")
-            if new.isEmpty():
-                break
-        hits = new if hits is None else hits.unionByName(new)
-        frontier, seen = new.select("source", "node_id", "ord"), seen.unionByName(new.select("source", "node_id"))
+        new = first.select("source", "node_id", F.lit(d).alias("depth"), F.col("k.kind").alias("via"), F.col("k.confidence").alias("confidence"), F.struct(*(F.col(f"k.{c}") for c in _KEY)).alias("ord"))
+        if d == depth and not cap:
+            hits = new if hits is None else hits.unionByName(new)
+            break
+        new = _placed(new) if d < depth else materialize(new, "impact")
+        goes_on = new
+        if cap:
+            counted = new.groupBy("source").agg(F.count("*").alias("m"))
+            counted = counted.withColumn("before", F.lit(0)) if held is None else counted.join(held, "source", "left").na.fill(0, ["before"])
+            room = materialize(counted.select("source", (F.lit(cap) - F.col("before")).alias("room"), (F.col("before") + F.col("m")).alias("before")), "impact-room")
+            full = room.filter(F.col("before") >= cap)
+            over = full.filter(F.col("before") > cap).select("source", "room")
+            if not over.isEmpty():
+                placed = new.join(over, "source", "left_semi")
+                cut = _first_rows(placed if d < depth else _placed(placed), over)
+                new = new.join(over, "source", "left_anti").unionByName(cut.select(*[c for c in cut.columns if c in new.columns]))
+            goes_on = goes_on.join(full, "source", "left_anti")
+            held = room.select("source", "before") if held is None else held.join(room, "source", "left_anti").unionByName(room.select("source", "before"))
+        found = new.select("source", "node_id", "depth", "via", "confidence", "ord")
+        hits = found if hits is None else hits.unionByName(found)
+        if d == depth or goes_on.isEmpty():
+            break
+        frontier, seen = goes_on.select("source", "node_id", F.col("at").alias("p")), seen.unionByName(goes_on.select("source", "node_id"))
     if hits is None:
-        hits = start.limit(0).select("source", "node_id", F.lit(0).alias("depth"), F.lit("").alias("via"), F.lit("").alias("confidence"), "ord")
-    if cap:
-        hits = hits.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("depth", "ord"))).filter(F.col("n") <= cap).drop("n")
+        edge = F.struct(F.lit(0).cast("long").alias("p"), *(F.lit("").alias(c) for c in _KEY[1:]))
+        hits = start.limit(0).select("source", "node_id", F.lit(0).alias("depth"), F.lit("").alias("via"), F.lit("").alias("confidence"), edge.alias("ord"))
     return hits
 
 
 def reached(nodes: DataFrame, edges: DataFrame, sources: DataFrame, depth: int = 2, direction: str = "up", cap: int | None = CAP) -> DataFrame:
     """(source, n): how many nodes impact gives each source that reaches any. No order is needed for a number, so
-    the walk carries pairs (source, node) only."""
+    the walk carries pairs (source, node) only, and a source that has reached the cap walks no further."""
     walk = steps(edges, direction).select("at", "peer").distinct()
     known = nodes.select(F.col("id").alias("node_id"))
     start = sources.select(F.col("id").alias("source"), F.col("id").alias("node_id")).distinct()
     own_file = start.join(nodes.select(F.col("id").alias("node_id"), "path"), "node_id").filter("path <> '' and path <> node_id").select("source", F.col("path").alias("node_id")).join(known, "node_id", "left_semi")
-    start = frontier = start.unionByName(own_file)
-    seen = start
+    seen = frontier = start.unionByName(own_file)
+    counts = None
     for d in range(1, depth + 1):
-        new = frontier.join(walk, F.col("node_id") == F.col("at")).select("source", F.col("peer").alias("node_id")).distinct().join(known, "node_id", "left_semi").join(seen, ["source", "node_id"], "left_anti").select("source", "node_id")
+        # Neighbours of a node are the same whoever comes to it: those that are nodes, once.
+        new = frontier.join(walk, F.col("node_id") == F.col("at")).select("source", F.col("peer").alias("node_id")).distinct().join(seen, ["source", "node_id"], "left_anti").join(known, "node_id", "left_semi").select("source", "node_id")
         new = materialize(new, "reached")
-        if d < depth and new.isEmpty():
+        one = new.groupBy("source").agg(F.count("*").alias("n"))
+        counts = materialize((one if counts is None else counts.unionByName(one)).groupBy("source").agg(F.sum("n").alias("n")), "reached-n")
+        if d == depth:
+            break
+        open_ = counts.filter(F.col("n") < cap).select("source") if cap else counts.select("source")
+        frontier = new.join(open_, "source", "left_semi")
+        if frontier.isEmpty():
             break
-        frontier, seen = new, seen.unionByName(new)
-    n = seen.groupBy("source").agg(F.count("*").alias("all")).join(start.groupBy("source").agg(F.count("*").alias("own")), "source").select("source", (F.col("all") - F.col("own")).alias("n")).filter("n > 0")
-    return n.withColumn("n", F.least("n", F.lit(cap).cast("long"))) if cap else n
+        seen = seen.unionByName(frontier)
+    if counts is None:
+        return start.limit(0).select("source", F.lit(0).cast("long").alias("n"))
+    return counts.withColumn("n", F.least("n", F.lit(cap).cast("long"))) if cap else counts
 
 
 def truncated(uncapped: DataFrame, cap: int = CAP) -> DataFrame:
