@@ -1,19 +1,38 @@
-"""Call trees. The walk is depth-first with one visited set for the whole tree, so it is done by one task per
-entry over that entry's bounded neighbourhood, which the plan gathers first."""
+"""Call trees: depth-first walks with one visited set a tree, for many entries at once.
+
+A node's label is its path in the tree, the ids from the entry down; depth-first order is the order of labels. A node
+belongs to its least label, so labels are found in rounds: a node offers its callees its label with theirs behind, those
+that have a lesser one already are visited, of the others the first `fan_out` get the offer, and a callee takes the
+least offer. An offer is greater than the label that it extends, so from the least label on, each round settles more,
+and when a round changes nothing the labels are those of the walk, one after the other.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.paths import directory
+from ..storage import materialize
 from .closures import own_methods
-from .impact import impact
+from .order import numbered, placed
 
 HOPS = "entry string, hop int, parent_hop int, depth int, id string, crosses boolean, dispatch string, truncated boolean"
 
 
+def _calls(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, callee) of calls to known nodes, and (callee, dispatch) of the methods of interfaces: the implementers'
+    methods of that name, comma-joined."""
+    pairs = edges.filter("kind = 'calls'").select(F.col("from_id").alias("id"), F.col("to_id").alias("callee")).distinct().join(nodes.select(F.col("id").alias("callee")), "callee", "left_semi")
+    methods = own_methods(nodes, edges)
+    implemented = edges.filter("kind = 'implements'").select(F.col("to_id").alias("owner"), F.col("from_id").alias("impl")).distinct()
+    abstract = methods.join(implemented.select("owner").distinct(), "owner")
+    concrete = implemented.join(methods.select(F.col("owner").alias("impl"), F.col("method").alias("m"), "simple"), "impl").groupBy("owner", "impl", "simple").agg(F.min("m").alias("m"))
+    dispatch = abstract.join(concrete, ["owner", "simple"], "left").groupBy(F.col("method").alias("callee")).agg(F.array_join(F.array_sort(F.collect_set("m")), ",").alias("dispatch"))
+    return pairs, dispatch
+
+
 def call_trees(nodes: DataFrame, edges: DataFrame, entries: DataFrame, depth: int = 5, fan_out: int = 10) -> DataFrame:
     """(entry, hop, parent_hop, depth, id, crosses, dispatch, truncated): hops of each entry's (id) tree in
     order; hop 0 is the entry.
@@ -22,46 +41,39 @@ def call_trees(nodes: DataFrame, edges: DataFrame, entries: DataFrame, depth: in
     caller's. A method of an interface is not followed; dispatch lists the implementers' methods of its name.
     fan_out: followed callees of a node (0: all); truncated: the tree left some out.
     """
-    calls = edges.filter("kind = 'calls'")
-    reach = impact(nodes, calls, entries, depth, "down", cap=None).select(F.col("source").alias("entry"), F.col("node_id").alias("id"))
-    inside = reach.union(entries.select(F.col("id").alias("entry"), "id")).distinct()
-    pairs = calls.select(F.col("from_id").alias("id"), F.col("to_id").alias("callee")).distinct().join(nodes.select(F.col("id").alias("callee")), "callee", "left_semi")
-    methods = own_methods(nodes, edges)
-    implemented = edges.filter("kind = 'implements'").select(F.col("to_id").alias("owner"), F.col("from_id").alias("impl")).distinct()
-    abstract = methods.join(implemented.select("owner").distinct(), "owner")
-    concrete = implemented.join(methods.select(F.col("owner").alias("impl"), F.col("method").alias("m"), "simple"), "impl").groupBy("owner", "impl", "simple").agg(F.min("m").alias("m"))
-    dispatch = abstract.join(concrete, ["owner", "simple"], "left").groupBy(F.col("method").alias("callee")).agg(F.array_join(F.array_sort(F.collect_set("m")), ",").alias("dispatch"))
-    folder = nodes.select("id", directory(F.coalesce("path", F.lit(""))).alias("dir"))
-    steps = inside.join(pairs, "id").join(folder, "id").join(folder.select(F.col("id").alias("callee"), F.col("dir").alias("d")), "callee").join(dispatch, "callee", "left")
-    steps = steps.select("entry", "id", "callee", (F.col("dir") != F.col("d")).alias("crosses"), "dispatch")
-    roots = entries.select(F.col("id").alias("entry"), F.lit(None).cast("string").alias("id"), F.col("id").alias("callee"), F.lit(False).alias("crosses"), F.lit(None).cast("string").alias("dispatch"))
-
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        entry = g["entry"].iloc[0]
-        below: dict[str, list] = {}
-        for r in g[g["id"].notna()].sort_values("callee").itertuples():
-            below.setdefault(r.id, []).append((r.callee, bool(r.crosses), r.dispatch if isinstance(r.dispatch, str) else None))
-        rows, seen, cut = [[entry, 0, -1, 0, entry, False, "", False]], {entry}, False
+    pairs, dispatch = (materialize(x, "flow-calls") for x in _calls(nodes, edges))
+    # leaf: a method of an interface. An entry is followed even if it is one.
+    steps = materialize(pairs.join(dispatch.select("callee", F.lit(True).alias("leaf")), "callee", "left").select("id", "callee", F.coalesce("leaf", F.lit(False)).alias("leaf")), "flow-steps")
+    roots = materialize(entries.select(F.col("id").alias("entry"), "id", F.array("id").alias("label"), F.lit(False).alias("leaf")).distinct(), "flow-labels")
+    labels = roots
 
-        def follow(caller: str, hop: int, d: int) -> None:
-            nonlocal cut
-            taken = 0
-            for callee, crosses, disp in below.get(caller, ()):
-                if callee in seen:
-                    continue
-                if fan_out and taken >= fan_out:
-                    cut = True
-                    return
-                taken += 1
-                seen.add(callee)
-                rows.append([entry, len(rows), hop, d, callee, crosses, disp or "", False])
-                if disp is None and d < depth:
-                    follow(callee, len(rows) - 1, d + 1)
+    def offers(labels: DataFrame) -> DataFrame:
+        """(entry, callee, leaf, offer, k): what each node that is followed offers to callees that aren't visited
+        before, by number."""
+        open_ = labels.filter(~F.col("leaf") & (F.size("label") <= depth)).select("entry", "id", "label")
+        have = labels.select("entry", F.col("id").alias("callee"), F.col("label").alias("own"))
+        made = open_.join(steps, "id").withColumn("offer", F.concat("label", F.array("callee"))).join(have, ["entry", "callee"], "left")
+        free = made.filter(F.col("own").isNull() | (F.col("own") >= F.col("offer")))
+        # A node's callees stand side by side: as many as it has.
+        return free.withColumn("k", F.row_number().over(Window.partitionBy("entry", "id").orderBy("callee")))
 
-        if depth > 0:
-            follow(entry, 0, 1)
-        out = pd.DataFrame(rows, columns=["entry", "hop", "parent_hop", "depth", "id", "crosses", "dispatch", "truncated"])
-        out["truncated"] = cut
-        return out
-
-    return steps.unionByName(roots).groupBy("entry").applyInPandas(walk, HOPS)
+    while True:
+        made = offers(labels)
+        taken = made.filter(F.col("k") <= fan_out) if fan_out else made
+        least = taken.groupBy("entry", F.col("callee").alias("id")).agg(F.min("offer").alias("label"), F.first("leaf").alias("leaf"))
+        now = materialize(least.join(roots.select("entry", "id"), ["entry", "id"], "left_anti").unionByName(roots), "flow-labels")
+        changed = not now.join(labels, ["entry", "id", "label"], "left_anti").isEmpty() or now.count() != labels.count()
+        labels = now
+        if not changed:
+            break
+    cut = offers(labels).filter(F.col("k") > fan_out).select("entry").distinct().withColumn("cut", F.lit(True)) if fan_out else roots.select("entry", F.lit(True).alias("cut")).limit(0)
+    hops = materialize(numbered(placed(labels.select("entry", "id", "label"), ["entry", "label"], "flow-order"), ["entry"]).select("entry", "id", "label", F.col("n").cast("int").alias("hop")), "flow-hops")
+    folder = nodes.select("id", directory(F.coalesce("path", F.lit(""))).alias("dir"))
+    above = hops.select("entry", F.col("id").alias("caller"), F.col("hop").alias("parent_hop")).join(folder.select(F.col("id").alias("caller"), F.col("dir").alias("caller_dir")), "caller", "left")
+    told = hops.withColumn("caller", F.when(F.size("label") > 1, F.element_at("label", F.greatest(F.size("label") - 1, F.lit(1)))))
+    out = told.join(above, ["entry", "caller"], "left").join(folder, "id", "left").join(dispatch.withColumnRenamed("callee", "id"), "id", "left").join(cut, "entry", "left")
+    root = F.size("label") == 1
+    return out.select(
+        "entry", "hop", F.when(root, -1).otherwise(F.col("parent_hop")).alias("parent_hop"), (F.size("label") - 1).alias("depth"), "id",
+        F.coalesce(~root & (F.col("dir") != F.col("caller_dir")), F.lit(False)).alias("crosses"), F.when(root, "").otherwise(F.coalesce("dispatch", F.lit(""))).alias("dispatch"), F.coalesce("cut", F.lit(False)).alias("truncated"),
+    )

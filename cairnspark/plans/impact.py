@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import materialize
+from .order import numbered, placed
 
 CAP = 5000
 
@@ -22,20 +23,8 @@ _KEY = ["p", "from_id", "to_id", "kind"]
 
 
 def _placed(level: DataFrame) -> DataFrame:
-    """A level's rows in breadth-first order, written with their places (at): numbers that rise along the order of
-    source and ord. The order is a range partitioning, so no task has to sort all of a source's rows."""
-    order = ["source", *(F.col(f"ord.{c}") for c in _KEY)]
-    n = int(level.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(level.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "impact-order")
-
-
-def _first_rows(placed: DataFrame, room: DataFrame) -> DataFrame:
-    """Of each source in room (source, room) its first so many rows, numbered by the rows of earlier partitions."""
-    part = F.shiftright("at", 33).alias("part")
-    parts = placed.groupBy("source", part).agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bound = parts.withColumn("before", before).join(room, "source").select("source", "part", (F.col("first") - F.col("before") + F.col("room")).alias("until"))
-    return placed.withColumn("part", part).join(bound, ["source", "part"]).filter(F.col("at") < F.col("until")).drop("part", "until")
+    """A level's rows in breadth-first order, with their places."""
+    return placed(level, ["source", *(F.col(f"ord.{c}") for c in _KEY)], "impact-order")
 
 
 def impact(nodes: DataFrame, edges: DataFrame, sources: DataFrame, depth: int = 2, direction: str = "up", cap: int | None = CAP) -> DataFrame:
@@ -69,8 +58,8 @@ def impact(nodes: DataFrame, edges: DataFrame, sources: DataFrame, depth: int =
             full = room.filter(F.col("before") >= cap)
             over = full.filter(F.col("before") > cap).select("source", "room")
             if not over.isEmpty():
-                placed = new.join(over, "source", "left_semi")
-                cut = _first_rows(placed if d < depth else _placed(placed), over)
+                own = new.join(over, "source", "left_semi")
+                cut = numbered(own if d < depth else _placed(own), ["source"]).join(over, "source").filter("n < room")
                 new = new.join(over, "source", "left_anti").unionByName(cut.select(*[c for c in cut.columns if c in new.columns]))
             goes_on = goes_on.join(full, "source", "left_anti")
             held = room.select("source", "before") if held is None else held.join(room, "source", "left_anti").unionByName(room.select("source", "before"))

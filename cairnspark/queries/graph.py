@@ -110,8 +110,22 @@ SELECT c.id, coalesce(fan_in, 0) AS fan_in, least(coalesce(blast, 0), 5000) AS b
 
 
 def _trees(s, d):
+    """Trees of two steps from every function, of at most three callees a node."""
     n, e = _graph(s, d)
-    return flow.call_trees(n, e, n.filter("id in ('part:1', 'part:2', 'part:3', 'supplier:5')").select("id"))
+    return flow.call_trees(n, e, n.filter("kind = 'function'").select("id"), 2, 3)
+
+
+#: The walk of an entry as a fold over its callees: those that it follows, each with what it follows in turn.
+_TREES = G + """, c AS (SELECT DISTINCT from_id, to_id FROM edges WHERE kind = 'calls' AND to_id IN (SELECT id FROM nodes)), l AS (SELECT from_id, list(to_id ORDER BY to_id) AS callees FROM c GROUP BY 1),
+two AS (SELECT c.from_id AS entry, list({'id': c.to_id, 'next': coalesce(l.callees, [])} ORDER BY c.to_id) AS xs FROM c LEFT JOIN l ON l.from_id = c.to_id GROUP BY 1),
+walk AS (SELECT n.id AS entry, list_reduce(coalesce(xs, []), lambda s, x: CASE WHEN s.stop OR list_contains(s.seen, x.id) THEN s WHEN s.taken >= 3 THEN {'seen': s.seen, 'hops': s.hops, 'taken': s.taken, 'stop': true, 'cut': true}
+  ELSE {'seen': s.seen || [x.id] || list_filter(x.next, lambda y: y <> x.id AND NOT list_contains(s.seen, y))[:3],
+    'hops': s.hops || [{'p': 0, 'd': 1, 'id': x.id}] || list_transform(list_filter(x.next, lambda y: y <> x.id AND NOT list_contains(s.seen, y))[:3], lambda y: {'p': CAST(len(s.hops) AS INT), 'd': 2, 'id': y}),
+    'taken': s.taken + 1, 'stop': false, 'cut': s.cut OR len(list_filter(x.next, lambda y: y <> x.id AND NOT list_contains(s.seen, y))) > 3} END,
+  {'seen': [n.id], 'hops': [{'p': -1, 'd': 0, 'id': n.id}], 'taken': 0, 'stop': false, 'cut': false}) AS s FROM nodes n LEFT JOIN two ON two.entry = n.id WHERE n.kind = 'function'),
+hops AS (SELECT entry, s.cut AS truncated, CAST(unnest(range(len(s.hops))) AS INT) AS hop, unnest(s.hops) AS h FROM walk)
+SELECT entry, hop, h.p AS parent_hop, h.d AS depth, h.id AS id, coalesce(h.p >= 0 AND regexp_replace(b.path, '/[^/]*$', '') <> regexp_replace(a.path, '/[^/]*$', ''), false) AS crosses, '' AS dispatch, truncated
+FROM hops LEFT JOIN nodes a ON a.id = h.id LEFT JOIN (SELECT entry AS e, hop AS k, h.id AS caller FROM hops) u ON u.e = entry AND u.k = h.p LEFT JOIN nodes b ON b.id = u.caller"""
 
 
 def _structure(s, d):
@@ -237,7 +251,7 @@ QUERIES = {
         G + "SELECT n.id AS target, CASE count(t.name) WHEN 0 THEN 'none' WHEN 1 THEN 'single' ELSE 'per-concern' END AS grouping, coalesce(string_agg(t.name, ', ' ORDER BY t.name), '') AS siblings FROM nodes n LEFT JOIN edges e ON e.kind = 'tested_by' AND e.from_id = n.id LEFT JOIN nodes t ON t.id = e.to_id WHERE starts_with(n.id, 'supplier:') GROUP BY n.id",
     ),
     "untested_gaps": (_gap_rows, _GAPS),
-    "call_trees": (_trees, None),
+    "call_trees": (_trees, _TREES),
     "callers": (lambda s, d: gj.callers(*_graph(s, d), table(s, d, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id"))), G + "SELECT DISTINCT to_id AS target, from_id AS id FROM edges WHERE kind = 'calls' AND starts_with(to_id, 'supplier:') AND from_id IN (SELECT id FROM nodes) AND to_id IN (SELECT 'supplier:' || CAST(s_suppkey AS STRING) FROM supplier)"),
     "callees": (lambda s, d: gj.callees(*_graph(s, d), table(s, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"))), G + "SELECT DISTINCT from_id AS source, to_id AS id FROM edges WHERE kind = 'calls' AND starts_with(from_id, 'part:') AND to_id IN (SELECT id FROM nodes) AND from_id IN (SELECT 'part:' || CAST(p_partkey AS STRING) FROM part)"),
     "fan_in": (lambda s, d: gj.fan_in(graph_edges(s, d)), G + "SELECT to_id AS id, count(DISTINCT from_id) AS fan_in FROM edges WHERE kind = 'calls' GROUP BY 1"),

@@ -224,3 +224,41 @@ def test_file_changes(spark):
     known = spark.createDataFrame([("same", 1, 1, "x"), ("touched", 1, 1, "x"), ("edited", 1, 1, "x"), ("gone", 1, 1, "x")], kind)
     now = spark.createDataFrame([("same", 1, 1, "y"), ("touched", 1, 2, "x"), ("edited", 2, 2, "z"), ("new", 1, 1, "n")], kind)
     assert dict(pairs(graph_tables.changes(known, now), "path", "action")) == {"same": "unchanged", "touched": "unchanged", "edited": "parse", "gone": "deleted", "new": "parse"}
+
+
+def walked(below, leaf, entry, depth, fan_out):
+    """A depth-first walk, one call after the other."""
+    rows, seen, cut = [(0, -1, 0, entry)], {entry}, False
+
+    def follow(caller, hop, d):
+        nonlocal cut
+        taken = 0
+        for callee in sorted(below.get(caller, ())):
+            if callee in seen:
+                continue
+            if fan_out and taken >= fan_out:
+                cut = True
+                return
+            taken += 1
+            seen.add(callee)
+            rows.append((len(rows), hop, d, callee))
+            if callee not in leaf and d < depth:
+                follow(callee, len(rows) - 1, d + 1)
+
+    if depth:
+        follow(entry, 0, 1)
+    return {(entry, *r, cut) for r in rows}
+
+
+@pytest.mark.parametrize("depth, fan_out", [(4, 2), (6, 0), (1, 1)])
+def test_trees_of_all_entries_equal_walks(spark, depth, fan_out):
+    r = random.Random(depth)
+    names = [f"n{i:02}" for i in range(26)]
+    calls = {(r.choice(names), r.choice(names)) for _ in range(70)}
+    nodes = {x: {"path": f"d{i % 3}/{x}"} for i, x in enumerate(names)} | {"I": CLASS, "K": CLASS} | {x: {"name": f"I.{x}"} for x in names[:3]}
+    n, e = graph(spark, nodes, [(a, b, "calls") for a, b in calls] + [("K", "I", "implements"), *(("I", x, "contains") for x in names[:3]), ("n05", "gone", "calls")])
+    got = {(x.entry, x.hop, x.parent_hop, x.depth, x.id, x.truncated) for x in flow.call_trees(n, e, ids(spark, *names), depth, fan_out).collect()}
+    below = {}
+    for a, b in calls:
+        below.setdefault(a, set()).add(b)
+    assert got == set().union(*(walked(below, set(names[:3]), x, depth, fan_out) for x in names))
