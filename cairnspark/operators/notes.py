@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import author_slug, parse_time, sync_id, type_of_topic
 from ..model import RELATION_TYPES, invalid
+from ..storage import materialize
 
 KEY = ["topic_key", "scope", "project"]
 
@@ -76,31 +78,41 @@ def invalid_saves(incoming: DataFrame) -> DataFrame:
 
 def fold_saves(saves: DataFrame, order: str = "ord") -> DataFrame:
     """One row a key of a batch that saves keys repeatedly: as if saved one by one into an empty store.
-    (topic_key, scope, project, title, content, type, source, author, revision, saved_at)."""
-    cols = ["title", "content", "type", "source", "author"]
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable")
-        cur = g.iloc[0].to_dict() | {"revision": 1}
-        for _, r in g.iloc[1:].iterrows():
-            cur["saved_at"] = r["saved_at"]
-            if r["content"] == cur["content"]:
-                continue
-            cur |= {"title": r["title"], "content": r["content"], "revision": cur["revision"] + 1}
-            cur |= {c: r[c] for c in ("type", "source", "author") if r[c]}
-        return pd.DataFrame([cur])[[*KEY, *cols, "revision", "saved_at"]]
-
-    kind = saves.schema["saved_at"].dataType.simpleString()
-    schema = ", ".join(f"{c} string" for c in [*KEY, *cols]) + f", revision int, saved_at {kind}"
-    return with_defaults(saves).groupBy(*KEY).applyInPandas(fold, schema)
+    (topic_key, scope, project, title, content, type, source, author, revision, saved_at). A save of the same content
+    as the one before only moves saved_at; saves of one place in the order go by title and content."""
+    cols = ["type", "source", "author"]
+    w = Window.partitionBy(*KEY).orderBy(order, "title", "content")
+    n = F.row_number().over(w)
+    ranked = with_defaults(saves).withColumns({"_n": n, "_kept": (n == 1) | ~F.col("content").eqNullSafe(F.lag("content").over(w))})
+    # Of saves that count: the last one's title and content, and of the other fields the last that was given.
+    at = F.when(F.col("_kept"), F.col("_n"))
+    given = {c: F.max_by(c, F.when(F.col("_kept") & ((F.col("_n") == 1) | (F.coalesce(c, F.lit("")) != "")), F.col("_n"))).alias(c) for c in cols}
+    return ranked.groupBy(*KEY).agg(*(F.max_by(c, at).alias(c) for c in ("title", "content")), *given.values(), F.count_if("_kept").cast("int").alias("revision"), F.max_by("saved_at", "_n").alias("saved_at"))
 
 
 def append_keyless(notes: DataFrame, rows: DataFrame) -> DataFrame:
-    """notes and new rows without a key, each with an id of its own."""
-    new = rows.withColumn("id", F.coalesce("id", F.expr("uuid()"))) if "id" in rows.columns else rows.withColumn("id", F.expr("uuid()"))
+    """notes and new rows without a key, each with an id of its own. The new rows are written with their ids, so that
+    they are the same whenever they are read."""
+    own = F.expr("uuid()")
+    new = materialize(rows.withColumn("id", F.coalesce("id", own) if "id" in rows.columns else own), "keyless")
     return notes.unionByName(new, allowMissingColumns=True)
 
 
+def import_legacy(notes: DataFrame, metadata: DataFrame, legacy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(notes, metadata) after the notes of the older store (see sources.chunks.read_legacy) have been taken over, which
+    is done once: metadata (key, value) says whether it has been. They have no key, revision 1 and an id of their own
+    where they had none."""
+    if not metadata.filter("key = 'migrated_from_json' and coalesce(value, '') <> ''").isEmpty():
+        return notes, metadata
+    at = F.col("created_at").cast(notes.schema["created_at"].dataType)
+    random = lambda: F.concat(F.lit("obs-"), F.substring(F.sha2(F.expr("uuid()"), 256), 1, 16))
+    fields = {"id": F.when(F.col("id") != "", F.col("id")), "title": F.col("topic"), "content": F.col("content"), "source": F.col("source"), "created_at": at, "updated_at": at, "scope": F.lit("project"), "revision": F.lit(1), "sync_id": random(), "imported": F.lit(False)}
+    blank = {c: F.lit("") for c in ("topic_key", "project", "type", "author")}
+    new = legacy.select(*((fields | blank)[c].cast(notes.schema[c].dataType).alias(c) for c in notes.columns if c in fields | blank))
+    done = metadata.filter("key <> 'migrated_from_json'").unionByName(metadata.sparkSession.createDataFrame([("migrated_from_json", "true")], "key string, value string"))
+    return append_keyless(notes, new), done
+
+
 def delete(notes: DataFrame, keys: DataFrame, at: Column) -> DataFrame:
     """notes with the live ones of the keys marked deleted; asking again changes nothing."""
     hit = notes.join(keys.select(*KEY).distinct().withColumn("hit", F.lit(True)), KEY, "left")
@@ -151,13 +163,26 @@ def chunk_digest(records: DataFrame) -> DataFrame:
     return records.agg(F.sha2(F.concat_ws(" ", F.count("*").cast("string"), *part), 256).alias("digest"))
 
 
+def _chunk_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records, a line each, as the lines of one JSON document."""
+    before = '{"observations":['
+    for b in batches:
+        values = b.column("value").to_pylist()
+        if values:
+            yield pa.RecordBatch.from_arrays([pa.array([before + values[0], *("," + v for v in values[1:])])], ["value"])
+            before = ","
+    yield pa.RecordBatch.from_arrays([pa.array(["]}" if before == "," else before + "]}"])], ["value"])
+
+
 def write_chunk(records: DataFrame, folder: str, author: str) -> bool:
     """Write an author's chunk as one gzip JSON document unless the folder has an equal one. True: written."""
     spark = records.sparkSession
     slug = records.sparkSession.range(1).select(author_slug(F.lit(author)).alias("s")).first()["s"]
     path = f"{folder}/chunk-{slug}.jsonl.gz"
     texts = records.select(*(F.col(c).cast("int" if c == "revision" else "string").alias(c) for c in records.columns))
-    doc = texts.agg(F.array_sort(F.collect_list(F.struct("sync_id", *[c for c in texts.columns if c != "sync_id"]))).alias("observations"))
+    # A chunk is one file, so one task writes it: line by line in the order of the ids, none held.
+    lines = texts.select("sync_id", F.to_json(F.struct(*texts.columns)).alias("value")).repartition(1).sortWithinPartitions("sync_id", "value").select("value")
+    doc = lines.mapInArrow(_chunk_lines, "value string")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     target = hadoop.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -167,7 +192,7 @@ def write_chunk(records: DataFrame, folder: str, author: str) -> bool:
         if chunk_digest(read_chunk(spark, path).select(texts.columns)).first() == chunk_digest(texts).first():
             return False
     temporary = hadoop.Path(f"{folder}/.{slug}.tmp")
-    doc.coalesce(1).write.mode("overwrite").option("compression", "gzip").json(str(temporary))
+    doc.write.mode("overwrite").option("compression", "gzip").text(str(temporary))
     part = next(x.getPath() for x in fs.listStatus(temporary) if x.getPath().getName().startswith("part-"))
     # One step that puts the new file in the old one's place: whoever reads meanwhile has one or the other.
     kind = hadoop.Options.Rename
@@ -301,7 +326,7 @@ def start_sessions(sessions: DataFrame, notes: DataFrame, projects: DataFrame, a
 
 def last_summary(sessions: DataFrame) -> DataFrame:
     """(project, summary) of the session that ended last."""
-    return sessions.filter("ended_at is not null").groupBy("project").agg(F.max_by("summary", "ended_at").alias("summary"))
+    return sessions.filter("ended_at is not null").groupBy("project").agg(F.max_by("summary", F.struct("ended_at", "id")).alias("summary"))
 
 
 def session_list(sessions: DataFrame, project: str, n: int = 10) -> DataFrame:

@@ -115,6 +115,16 @@ def _sessions(spark, sf):
 _SESSIONS = ", sessions AS (SELECT 's' || CAST(i AS STRING) AS id, 'p' || CAST(i % 4 AS STRING) AS project, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (i * 37) AS started_at, CASE WHEN i < 16 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (i * 37 + 30) END AS ended_at, 'did ' || CAST(i AS STRING) AS summary FROM range(20) r(i))"
 
 
+def _order_sessions(spark, sf):
+    """An order as a session of an hour, open ones not ended."""
+    o = table(spark, sf, "orders").withColumn("t", F.col("o_orderdate").cast("timestamp_ntz"))
+    end = F.when(F.col("o_orderstatus") != "O", F.col("t") + F.expr("interval 1 hour"))
+    return o.select(F.concat(F.lit("s"), "o_orderkey").alias("id"), F.concat(F.lit("p"), F.col("o_custkey") % 10).alias("project"), F.col("t").alias("started_at"), end.alias("ended_at"), F.concat(F.lit("did "), "o_orderkey").alias("summary"))
+
+
+_ORDER_SESSIONS = "WITH sessions AS (SELECT 's' || CAST(o_orderkey AS STRING) AS id, 'p' || CAST(o_custkey % 10 AS STRING) AS project, CAST(o_orderdate AS TIMESTAMP) AS started_at, CASE WHEN o_orderstatus <> 'O' THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 HOUR END AS ended_at, 'did ' || CAST(o_orderkey AS STRING) AS summary FROM orders)"
+
+
 def _end(spark, sf):
     projects = spark.createDataFrame([("p1",), ("p2",)], "project string")
     return ops.end_sessions(_sessions(spark, sf), notes(spark, sf), projects, F.lit("2024-01-01 13:00:00").cast("timestamp_ntz")).select("id", "project", F.col("ended_at").isNull().alias("open"), "summary")
@@ -221,8 +231,8 @@ SELECT relation_type, count(*) AS n FROM (SELECT from_id, to_id, relation_type F
     ),
     "session_summaries": (_summaries, N + _SESSIONS + ", " + _SUMMARY.format(until="14:00:00") + " SELECT id, coalesce(text, '(no observations recorded)') AS summary FROM sessions LEFT JOIN said ON sid = id"),
     "session_end": (_end, N + _SESSIONS + ", " + _SUMMARY.format(until="13:00:00") + " SELECT id, project, ended_at IS NULL AND project NOT IN ('p1', 'p2') AS open, CASE WHEN ended_at IS NULL AND project IN ('p1', 'p2') THEN coalesce(text, '(no observations recorded)') ELSE summary END AS summary FROM sessions LEFT JOIN said ON sid = id"),
-    "session_list": (lambda s, d: ops.session_list(_sessions(s, d), "p1", 3).select("id", "summary"), "WITH x AS (SELECT 1)" + _SESSIONS + " SELECT id, summary FROM sessions WHERE project = 'p1' ORDER BY started_at DESC, id DESC LIMIT 3"),
-    "session_last": (lambda s, d: ops.last_summary(_sessions(s, d)), "WITH x AS (SELECT 1)" + _SESSIONS + " SELECT project, max_by(summary, ended_at) AS summary FROM sessions WHERE ended_at IS NOT NULL GROUP BY 1"),
+    "session_list": (lambda s, d: ops.session_list(_order_sessions(s, d), "p1", 30).select("id", "summary"), _ORDER_SESSIONS + " SELECT id, summary FROM sessions WHERE project = 'p1' ORDER BY started_at DESC, id DESC LIMIT 30"),
+    "session_last": (lambda s, d: ops.last_summary(_order_sessions(s, d)), _ORDER_SESSIONS + " SELECT project, summary FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ended_at DESC, id DESC) AS k FROM sessions WHERE ended_at IS NOT NULL) q WHERE k = 1"),
     "note_search": (_search, LIVE + "SELECT id, topic_key FROM live WHERE type = 'decision' AND (contains(lower(title), 'tion') OR contains(lower(content), 'tion') OR contains(lower(topic_key), 'tion')) ORDER BY updated_at DESC, id DESC LIMIT 25"),
     "note_search_total": (_search_total, LIVE + "SELECT count(*) AS total FROM live WHERE type = 'decision' AND (contains(lower(title), 'tion') OR contains(lower(content), 'tion') OR contains(lower(topic_key), 'tion'))"),
     "note_search_ranked": (_ranked, _BM25),

@@ -319,7 +319,118 @@ _MATCH_TESTS = ["OrderServiceWhenEmpty", "OrderServiceX", "OrderServicer", "Orde
 
 
 def _prefixes(s, d):
-    return gj.longest_prefix_class(s.createDataFrame([(t,) for t in _MATCH_TESTS], "base string"), s.createDataFrame([("Order",), ("OrderService",), ("OrderServiceX",)], "name string"))
+    """Names of parts as names of tests, and the first one to three words of every other part as classes."""
+    p = table(s, d, "part").select("p_partkey", F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")).alias("base"), F.split(F.initcap("p_name"), " ").alias("w"))
+    classes = p.filter("p_partkey % 2 = 0").select(F.array_join(F.slice("w", 1, (F.col("p_partkey") % 3 + 1).cast("int")), "").alias("name"))
+    return gj.longest_prefix_class(p.select(F.concat("base", F.lit("Test")).alias("base")), classes)
+
+
+_PREFIXES = """WITH p AS (SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])) AS w FROM part), b AS (SELECT DISTINCT array_to_string(w, '') || 'Test' AS base FROM p),
+c AS (SELECT DISTINCT array_to_string(w[1:p_partkey % 3 + 1], '') AS name FROM p WHERE p_partkey % 2 = 0)
+SELECT base, name FROM (SELECT base, name, row_number() OVER (PARTITION BY base ORDER BY length(name) DESC) AS k FROM b JOIN c ON starts_with(base, name) AND regexp_matches(base[length(name) + 1], '[A-Z]')) q WHERE k = 1"""
+
+
+def _refs(s, d):
+    """Calls as references by name, in order."""
+    e = graph_edges(s, d).filter("kind = 'calls'")
+    return tables.ordered_refs(e.select("from_id", "kind", F.col("to_id").alias("name"), F.length("to_id").alias("line"), F.lit("").alias("recv")))
+
+
+def _domain_paths(s, d):
+    n, e = _graph(s, d)
+    out = None
+    for r in ("AFRICA", "ASIA", "EUROPE"):
+        one = gj.domain_files(n, e, r).select(F.lit(r).alias("domain"), "path")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _overview(s, d):
+    """Brands as domains of their parts, as many as fit 400 bytes."""
+    from ..plans import domains as dm
+
+    p = table(s, d, "part").select(F.col("p_brand").alias("name"), F.concat(F.lit("made by "), "p_type").alias("description"), F.concat(F.lit("p/"), F.col("p_name")).alias("path")).groupBy("name", "path").agg(F.min("description").alias("description"))
+    one = p.groupBy("name").agg(F.min("description").alias("description"))
+    pairs = s.createDataFrame([("Brand#11", "Brand#12")], "from_domain string, to_domain string")
+    return dm.overview(p.select("name", "path").join(one, "name"), pairs, 400)
+
+
+_OVERVIEW = """WITH p AS (SELECT DISTINCT p_brand AS name, 'p/' || p_name AS path FROM part), o AS (SELECT p_brand AS name, min('made by ' || p_type) AS description FROM part GROUP BY 1),
+k AS (SELECT name, path, row_number() OVER (PARTITION BY name ORDER BY length(path), path) AS n FROM p), r AS (SELECT o.name, description, string_agg(path, ', ' ORDER BY n) AS key_files FROM k JOIN o USING (name) WHERE n <= 3 GROUP BY 1, 2),
+z AS (SELECT *, sum(strlen(name) + strlen(description) + strlen(key_files) + 20) OVER (ORDER BY name) AS run, row_number() OVER (ORDER BY name) AS n FROM r)
+SELECT name, description, key_files FROM z WHERE run + 23 <= 400 OR n = 1"""
+
+
+def _legacy_once(s, d):
+    """Notes of the older store taken over twice; only the first time counts."""
+    known = notes(s, d).select("id", "topic_key", "scope", "project", "title", "content", "type", "source", "revision", "created_at", "updated_at", "author", "sync_id", "imported", "deleted_at")
+    old = table(s, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("old-"), "o_orderkey")).otherwise("").alias("id"), F.col("o_orderpriority").alias("topic"), F.col("o_orderstatus").alias("content"), F.lit("json").alias("source"), F.lit("2020-01-02 03:04:05").alias("created_at"))
+    meta = s.createDataFrame([("version", "1")], "key string, value string")
+    n, meta = ops.import_legacy(known, meta, old)
+    n, meta = ops.import_legacy(n, meta, old)
+    return n.groupBy("source", "scope", "revision", F.col("topic_key").isNull().alias("keyless")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).join(meta.filter("key = 'migrated_from_json'").select(F.col("value").alias("migrated")))
+
+
+_LEGACY_ONCE = f"""WITH {NOTES_SQL}, n AS (SELECT source, scope, revision, id FROM notes UNION ALL SELECT 'json', 'project', 1, CASE WHEN o_orderkey % 2 = 0 THEN 'old-' ELSE 'new-' END || CAST(o_orderkey AS STRING) FROM orders)
+SELECT source, scope, revision, false AS keyless, count(*) AS n, count(DISTINCT id) AS ids, 'true' AS migrated FROM n GROUP BY 1, 2, 3"""
+
+
+def _write_each(rows: DataFrame, folder: str) -> None:
+    """Each row (name, text) as a file of the folder, written by the tasks."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def run(batches):
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        for b in batches:
+            for name, text in zip(b.column("name").to_pylist(), b.column("text").to_pylist()):
+                with system.open_output_stream(f"{root}/{name}", compression=None) as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    rows.select("name", "text").mapInArrow(run, "n long").collect()
+
+
+def _found_reports(s, d):
+    """A report a brand, those of some brands a second time: of what changed since the first ones, the newest of each
+    name, and their cases."""
+    import time
+
+    root = _folder(s, "found")
+    p = table(s, d, "part").select(F.concat(F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit(".xml")).alias("name"), F.concat(F.lit('<testcase classname="P" name="'), "p_partkey", F.when(F.col("p_size") % 5 == 0, '"><failure/></testcase>').otherwise('"/>')).alias("case"), "p_size")
+    report = lambda df: df.groupBy("name").agg(F.concat(F.lit("<testsuite>"), F.array_join(F.array_sort(F.collect_list("case")), ""), F.lit("</testsuite>")).alias("text"))
+    _write_each(report(p.filter("p_size < 10")), f"{root}/old")
+    time.sleep(0.1)
+    since = time.time()
+    time.sleep(0.1)
+    _write_each(report(p.filter("p_size >= 10")), f"{root}/one")
+    time.sleep(0.1)
+    _write_each(report(p.filter("p_size >= 30 and name < 'Brand-3'")), f"{root}/two")
+    fresh = reports.newest_by_name(reports.fresh_reports(s, f"{root}/*/*.xml", since, 0.0))
+    cases = reports.junit(fresh.select(F.substring_index("path", "/", -1).alias("path"), "text"))
+    return cases.groupBy("path", "status").agg(F.count("*").alias("n"))
+
+
+_FOUND = """SELECT replace(p_brand, '#', '-') || '.xml' AS path, CASE WHEN p_size % 5 = 0 THEN 'fail' ELSE 'pass' END AS status, count(*) AS n FROM part WHERE p_size >= CASE WHEN p_brand < 'Brand#3' THEN 30 ELSE 10 END GROUP BY 1, 2"""
+
+
+def _covered_gaps(s, d):
+    """Gaps with a profile of most brands' files, lines of each third covered, and weights of some functions."""
+    n, e = _graph(s, d)
+    brands = table(s, d, "part").select("p_brand").distinct().filter("p_brand < 'Brand#5'")
+    profile = brands.select(F.concat(F.lit("m/"), "p_brand").alias("file"), F.explode(F.sequence(F.lit(1), F.lit(60))).alias("line")).withColumn("covered", F.col("line") % 3 == 0)
+    weights = table(s, d, "part").filter("p_partkey % 7 = 0").select(F.concat(F.lit("part:"), "p_partkey").alias("id"), (F.col("p_size") / 10.0).cast("double").alias("weight"))
+    out = gaps.untested_gaps(n, e, profile=profile, criticality=weights)
+    return out.withColumns({"covered": F.round("covered", 6), "score": F.round("score", 4)})
+
+
+_COVERED = _GAPS[: _GAPS.index("cand AS (")] + f"""prof AS (SELECT 'm/' || p_brand AS file, k AS pos, k % 3 = 0 AS hit FROM (SELECT DISTINCT p_brand FROM part WHERE p_brand < 'Brand#5') b, range(1, 61) r(k)),
+ratio AS (SELECT n.id, avg(CAST(hit AS DOUBLE)) AS ratio FROM nodes n JOIN prof ON file = n.path AND pos BETWEEN line AND end_line WHERE n.kind = 'function' GROUP BY 1),
+cand AS (SELECT nodes.id, path, end_line - line + 1 AS span, ratio FROM nodes LEFT JOIN ratio USING (id) WHERE kind = 'function' AND exported AND line <> 0 AND end_line - line + 1 >= 4 AND (end_line - line + 1 > 4 OR nodes.id IN (SELECT from_id FROM edges WHERE kind = 'calls')) AND (ratio < 1 OR (ratio IS NULL AND nodes.id NOT IN (SELECT id FROM t)))),
+seed AS (""" + _GAPS[_GAPS.index("seed AS (") + 9 : _GAPS.index("SELECT c.id, coalesce(fan_in, 0)")] + """SELECT c.id, coalesce(fan_in, 0) AS fan_in, least(coalesce(blast, 0), 5000) AS blast, span, round(coalesce(ratio, -1), 6) AS covered,
+  round((1 - coalesce(ratio, 0)) * (coalesce(fan_in, 0) + 1) * least(coalesce(blast, 0), 5000) * CASE WHEN p_partkey % 7 = 0 THEN CAST(p_size AS DOUBLE) / 10 ELSE 1 END * (1 + least(greatest(span, 0), 60) / 60.0::DOUBLE), 4) AS score
+FROM cand c LEFT JOIN blast ON s = c.id LEFT JOIN fan ON to_id = c.id LEFT JOIN part ON 'part:' || CAST(p_partkey AS STRING) = c.id"""
 
 
 def _externals(s, d):
@@ -363,11 +474,11 @@ def _core(s, d):
     """Regions that trade with each other: of customers' and suppliers' nations."""
     l, o, c, n = (table(s, d, t) for t in ("lineitem", "orders", "customer", "nation"))  # noqa: E741
     su = table(s, d, "supplier")
-    e = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(su, F.col("l_suppkey") == F.col("s_suppkey")).filter("c_nationkey <= s_nationkey + 1 and s_nationkey < 12").select(F.concat(F.lit("n"), "c_nationkey").alias("from_domain"), F.concat(F.lit("n"), "s_nationkey").alias("to_domain")).filter("from_domain <> to_domain").distinct()
+    e = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(su, F.col("l_suppkey") == F.col("s_suppkey")).select(F.concat(F.lit("n"), "c_nationkey").alias("from_domain"), F.concat(F.lit("n"), "s_nationkey").alias("to_domain")).filter("from_domain <> to_domain").distinct()
     return components.largest_core(e)
 
 
-_CORE = """WITH RECURSIVE e AS (SELECT DISTINCT 'n' || CAST(c_nationkey AS STRING) AS a, 'n' || CAST(s_nationkey AS STRING) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <= s_nationkey + 1 AND s_nationkey < 12 AND c_nationkey <> s_nationkey),
+_CORE = """WITH RECURSIVE e AS (SELECT DISTINCT 'n' || CAST(c_nationkey AS STRING) AS a, 'n' || CAST(s_nationkey AS STRING) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), m AS (SELECT x.a AS id, least(x.a, min(x.b)) AS c FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a), z AS (SELECT c, count(*) AS n FROM m GROUP BY 1 HAVING count(*) > 1)
 SELECT id FROM m WHERE c = (SELECT c FROM z ORDER BY n DESC, c LIMIT 1)"""
 
@@ -457,12 +568,12 @@ def _drift(s, d):
 
 def _pieces(s, d):
     """Small functions of texts."""
-    t = table(s, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("t"), F.col("source").alias("src"))
+    t = table(s, d, "documents").select("doc_id", F.col("text").alias("t"), F.col("source").alias("src"))
     return t.select("doc_id", F.md5(text.search_terms(F.concat(F.col("src"), F.lit(' "a" b')))).alias("terms"), text.truncate_bytes(F.col("t"), 21).alias("cut"), text.quantise(F.col("doc_id") / 7919).alias("weight"), text.strip_test_suffix(_one_of(["ATest", "Tests", "BIT", "Cs", "XTestsIT"], "doc_id")).alias("bare"), text.parse_time(_one_of(["2024-02-03 04:05:06", "bad", ""], "doc_id"), F.lit("2000-01-01 00:00:00").cast("timestamp")).cast("string").alias("at"))
 
 
 _PIECES = """SELECT doc_id, md5('"' || source || '" OR \"""a""\" OR "b"') AS terms, (SELECT max(left(t, k)) FROM range(0, 22) x(k) WHERE strlen(left(t, k)) <= 21) AS cut, CAST(round(doc_id / 7919 * 10000) AS INT) AS weight,
-  ['A', NULL, 'B', NULL, 'XTests'][doc_id % 5 + 1] AS bare, ['2024-02-03 04:05:06', '2000-01-01 00:00:00', '2000-01-01 00:00:00'][doc_id % 3 + 1] AS at FROM (SELECT *, substr(text, 1, 60) AS t FROM documents)"""
+  ['A', NULL, 'B', NULL, 'XTests'][doc_id % 5 + 1] AS bare, ['2024-02-03 04:05:06', '2000-01-01 00:00:00', '2000-01-01 00:00:00'][doc_id % 3 + 1] AS at FROM (SELECT *, text AS t FROM documents)"""
 
 
 def _state(s, d):
@@ -612,7 +723,13 @@ k AS (SELECT *, row_number() OVER (PARTITION BY concept, id ORDER BY name) AS k
         _fragments,
         "SELECT 'op::' || CAST(c_custkey AS STRING) AS from_id, 'f::' || n_name AS to_id, 'spreads' AS kind, 'exact' AS confidence FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT 'f::' || n_name, 't::' || r_name, 'on_type', 'exact' FROM nation JOIN region ON n_regionkey = r_regionkey",
     ),
-    "longest_prefix_classes": (_prefixes, "SELECT * FROM (VALUES ('OrderServiceWhenEmpty', 'OrderService'), ('OrderServiceX', 'OrderService'), ('OrderServicer', 'Order'), ('OrderServiceXY', 'OrderServiceX')) x(base, name)"),
+    "longest_prefix_classes": (_prefixes, _PREFIXES),
+    "scan_refs": (_refs, G + "SELECT from_id, kind, to_id AS name, CAST(length(to_id) AS INT) AS line, '' AS recv FROM edges WHERE kind = 'calls'"),
+    "domain_paths": (_domain_paths, G + "SELECT DISTINCT n.name AS domain, e.to_id AS path FROM nodes n JOIN edges e ON e.from_id = n.id AND e.kind = 'documents' WHERE n.kind = 'skill' AND n.name IN ('AFRICA', 'ASIA', 'EUROPE')"),
+    "overview": (_overview, _OVERVIEW),
+    "legacy_once": (_legacy_once, _LEGACY_ONCE),
+    "found_reports": (_found_reports, _FOUND),
+    "covered_gaps": (_covered_gaps, _COVERED),
     "external_stubs": (_externals, "SELECT 'external::lib.p' || CAST(s_suppkey % 5 AS STRING) || '.Base' AS id, 'external' AS kind, 'lib.p' || CAST(s_suppkey % 5 AS STRING) || '.Base' AS name, count(*) AS n FROM supplier GROUP BY 1, 2, 3"),
     "test_paths": (_test_paths, _TEST_SQL),
     "logger_calls": (

@@ -16,6 +16,10 @@ def ordered_edges(edges: DataFrame) -> DataFrame:
     return edges.orderBy("from_id", "to_id", "kind")
 
 
+def ordered_refs(refs: DataFrame) -> DataFrame:
+    return refs.orderBy("from_id", "line", "kind", "name", "recv")
+
+
 def dependency_edges(edges: DataFrame) -> DataFrame:
     return edges.filter(~F.col("kind").isin(*STRUCTURAL))
 
