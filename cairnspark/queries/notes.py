@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..adaptors import NOTES_SQL, notes, table
 from ..functions import paths, text
 from ..operators import notes as ops
-from ..operators import search
-from ..storage import materialize
+from ..operators import search, search_store
+from ..storage import materialize, shared_dir
 
 N = f"WITH {NOTES_SQL} "
 LIVE = N + ", live AS (SELECT * FROM notes WHERE deleted_at IS NULL) "
@@ -165,7 +167,18 @@ def _pending(spark, sf):
     return ops.pending_foreign(n, approvals, "a1").select("id", "revision")
 
 
+def _kept_up(spark, sf):
+    """A stored index: a fifth of the notes comes later, a tenth changes, a tenth is deleted, and segments are merged."""
+    n, k = notes(spark, sf), F.expr("cast(substr(id, 5) as bigint)")
+    store = search_store.create(search_store.SearchStore(spark, f"{shared_dir(spark)}/search-{uuid.uuid4().hex}", 8), n.filter(k % 5 != 4))
+    search_store.save(store, n.filter(k % 5 == 4), most_segments=2)
+    search_store.save(store, n.filter(k % 10 == 1).withColumn("content", F.concat(F.lit("onthe thing "), "title")), most_segments=2)
+    search_store.save(store, n.filter(k % 10 == 2).withColumn("deleted_at", F.lit("2024-05-01").cast("timestamp_ntz")), most_segments=2)
+    return search_store.ranked(store, "onthe tion edand thing", limit=0).withColumn("score", F.round("score", 6))
+
+
 QUERIES = {
+    "index_upkeep": (_kept_up, _BM25.replace("FROM live)", "FROM (SELECT id, title, topic_key, CASE WHEN CAST(substr(id, 5) AS BIGINT) % 10 = 1 THEN 'onthe thing ' || title ELSE content END AS content FROM live WHERE CAST(substr(id, 5) AS BIGINT) % 10 <> 2) v)", 1)),
     "notes_live_count": (lambda s, d: ops.live(notes(s, d)).agg(F.count("*").alias("n")), N + "SELECT count(*) AS n FROM notes WHERE deleted_at IS NULL"),
     "notes_recent": (lambda s, d: ops.recent(notes(s, d), 25).select("id", "topic_key"), LIVE + "SELECT id, topic_key FROM live ORDER BY updated_at DESC, id DESC LIMIT 25"),
     "notes_by_id": (lambda s, d: ops.by_id(notes(s, d), _relations(s, d).select(F.col("to_id").alias("id"))).select("id", "topic_key"), N + _RELATIONS + "SELECT id, topic_key FROM notes WHERE deleted_at IS NULL AND id IN (SELECT to_id FROM relations)"),
