@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..adaptors import log, table
+from ..adaptors import LOG_SQL, log, table
 from ..model import LOG
+from ..sources import line_source
 from ..sources import logs as log_files
-from ..storage import shared_dir
+from ..storage import materialize, shared_dir
 from ..streaming import logs as streams
 from ..streaming import state
 
@@ -107,7 +108,44 @@ def _refreshed(s, d):
     return s.read.parquet(out).groupBy("path").agg(F.count("*").alias("times"))
 
 
+def _followed(s, d):
+    """The log in four files that are written to their half, read by a stream, written on, and read on from there."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    folder, out, checkpoint = _folder(s, "grown"), _folder(s, "grown-out"), _folder(s, "stream-state")
+    rows = _timed_log(s, d).select(F.to_json(F.struct("event", "provider", "duration_ms")).alias("value"), (F.monotonically_increasing_id() % 4).alias("file"), F.when(F.rand(5) < 0.5, 0).otherwise(1).alias("half"))
+    rows = rows.repartition(4, "file").sortWithinPartitions("file", "half")
+
+    def write(half: int):
+        def run(batches):
+            system, root = fs.FileSystem.from_uri(folder)
+            system.create_dir(root, recursive=True)
+            texts: dict[int, list[str]] = {}
+            for b in batches:
+                for f, t, h in zip(*(b.column(c).to_pylist() for c in ("file", "value", "half"))):
+                    if h <= half:
+                        texts.setdefault(f, []).append(t)
+            for f, lines in texts.items():
+                with system.open_output_stream(f"{root}/log-{f}.jsonl", compression=None) as o:
+                    o.write(("\n".join(lines) + "\n").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([len(texts)])], ["n"])
+
+        return run
+
+    rows = materialize(rows, "grown-rows").repartition(4, "file").sortWithinPartitions("file", "half", "value")
+    for half in (0, 1):
+        rows.mapInArrow(write(half), "n long").collect()
+        lines = line_source.read_lines(s, folder, stream=True, suffix=".jsonl")
+        put = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        line_source.log_entries(lines).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(out).groupBy("event", "provider").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("duration_ms"), F.count_distinct("file").alias("files"))
+
+
+_FOLLOWED = f"WITH {LOG_SQL} SELECT event, provider, count(*) AS n, CAST(sum(duration_ms) AS BIGINT) AS duration_ms, 4 AS files FROM log GROUP BY 1, 2"
+
 QUERIES = {
+    "log_followed": (_followed, _FOLLOWED),
     "session_stream": (_session_rows, _SESSIONS),
     "alert_stream": (_alert_rows, _ALERTS),
     "usage_windows": (_windows, _WINDOWS),
