@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, kept_apart, raw_texts, text_slices, with_fields
+from .license_texts import SENTENCES
 
 #: Phrases that are counted wherever their words stand consecutively, and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -306,7 +307,7 @@ def rules() -> list[Rule]:
         rows.append((label, TAG, rf"spdx-license-identifier: ?{tag}(?:-only|-or-later)?", ("spdx-license",)))
         rows.append((label, TAG, rf"license[\"']?[:=] ?[\"']{tag}[\"']", (label,)))
         rows.append((label, TAG, rf"(?:opensource\.org/licenses?|spdx\.org/licenses|choosealicense\.com/licenses)/{tag}(?:\.html|\.php)?", (label,)))
-    for line in PHRASES.strip().splitlines():
+    for line in (PHRASES.strip() + "\n" + SENTENCES.strip()).splitlines():
         label, pattern, key = (x.strip() for x in line.split(" | "))
         rows.append((label, PHRASE, pattern, (key,)))
     out = []
