@@ -139,10 +139,10 @@ def _followed(s, d):
         lines = line_source.read_lines(s, folder, stream=True, suffix=".jsonl")
         put = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")
         line_source.log_entries(lines).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return s.read.parquet(out).groupBy("event", "provider").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("duration_ms"), F.count_distinct("file").alias("files"))
+    return s.read.parquet(out).groupBy("event", "provider").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("duration_ms"))
 
 
-_FOLLOWED = f"WITH {LOG_SQL} SELECT event, provider, count(*) AS n, CAST(sum(duration_ms) AS BIGINT) AS duration_ms, 4 AS files FROM log GROUP BY 1, 2"
+_FOLLOWED = f"WITH {LOG_SQL} SELECT event, provider, count(*) AS n, CAST(sum(duration_ms) AS BIGINT) AS duration_ms FROM log GROUP BY 1, 2"
 
 QUERIES = {
     "log_followed": (_followed, _FOLLOWED),
