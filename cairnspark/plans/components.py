@@ -60,16 +60,34 @@ def _decompose(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[np.array(label, np.int64) - n] if n else nodes
 
 
-def _spread(pairs: DataFrame, start: DataFrame, limit: int = 10_000) -> DataFrame:
-    """(id, color): the least start that reaches each node over pairs (a, b); start: (id, color)."""
-    best = start
-    for _ in range(limit):
+#: Rounds of single steps before chains are jumped over.
+STEPS = 12
+
+
+def _spread(pairs: DataFrame, start: DataFrame) -> DataFrame:
+    """(id, color): the least start that reaches each node over pairs (a, b); start: (id, color).
+
+    A round is a step. If the colors haven't settled after some rounds, nodes with one edge in get a jump along these:
+    to the node behind the chain so far, with the least start within it. Jumps double each round, so a chain of any
+    length takes as many rounds as its length has binary digits.
+    """
+    best, jumps, n = start, None, 0
+    while True:
         pushed = best.join(pairs, F.col("id") == F.col("a")).select(F.col("b").alias("id"), "color")
+        if n >= STEPS:
+            if jumps is None:
+                single = pairs.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("n"), F.min("a").alias("p")).filter("n = 1")
+                jumps = single.join(start, "id", "left").select("id", "p", F.col("color").alias("m"))
+            else:
+                far = jumps.select(F.col("id").alias("p"), F.col("p").alias("q"), F.col("m").alias("mq"))
+                jumps = jumps.join(far, "p", "left").select("id", F.coalesce("q", "p").alias("p"), F.least("m", "mq").alias("m"))  # least passes over nulls
+            jumps = materialize(jumps, "scc-jumps")
+            met = jumps.join(best.select(F.col("id").alias("p"), "color"), "p", "left").select("id", F.least("m", "color").alias("color")).filter("color is not null")
+            pushed = pushed.unionByName(met)
         new = materialize(best.unionByName(pushed).groupBy("id").agg(F.min("color").alias("color")), "scc-color")
         if new.join(best, ["id", "color"], "left_anti").isEmpty():
             return new
-        best = new
-    raise RuntimeError("the coloring does not settle")
+        best, n = new, n + 1
 
 
 def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:

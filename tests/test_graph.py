@@ -262,3 +262,15 @@ def test_trees_of_all_entries_equal_walks(spark, depth, fan_out):
     for a, b in calls:
         below.setdefault(a, set()).add(b)
     assert got == set().union(*(walked(below, set(names[:3]), x, depth, fan_out) for x in names))
+
+
+def test_colors_jump_over_long_chains(spark):
+    n = 700
+    names = [f"c{(i * 577) % n:03}" for i in range(n)]
+    ring = [(a, b) for a, b in zip(names, names[1:] + names[:1])]
+    e = spark.createDataFrame([*ring, ("x", names[5]), (names[7], "y"), ("a0", "x")], "a string, b string")
+    start = spark.createDataFrame([(x, x) for x in [*names, "x", "y", "a0"]], "id string, color string")
+    got = dict(map(tuple, components._spread(e, start).collect()))
+    assert got == dict.fromkeys([*names, "x", "y", "a0"], "a0")
+    alone = dict(map(tuple, components._spread(spark.createDataFrame(ring, "a string, b string"), start.filter("id = 'c100'")).collect()))
+    assert alone == dict.fromkeys(names, "c100")
