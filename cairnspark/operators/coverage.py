@@ -21,14 +21,25 @@ def coverage_gate(profile: DataFrame, least: float) -> DataFrame:
     return overall(profile).withColumn("passed", F.col("ratio") >= least)
 
 
+def _endings(path: Column) -> Column:
+    """A path and what is left of it without its first segments, one after the other."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
 def match_paths(paths: DataFrame, keys: DataFrame) -> DataFrame:
     """(path, file): for each path the equal report file, or else the longest one that is a suffix of it, or
-    of which it is, at a segment's start; the lesser of equally long ones. Joined on the base name."""
-    base = lambda c: F.substring_index(c, "/", -1)
-    a, b = paths.select("path", base("path").alias("base")).distinct(), keys.select("file", base("file").alias("base")).distinct()
-    fits = (F.col("path") == F.col("file")) | F.col("path").endswith(F.concat(F.lit("/"), "file")) | F.col("file").endswith(F.concat(F.lit("/"), "path"))
-    best = F.min(F.struct((F.col("path") != F.col("file")).alias("x"), (-F.length("file")).alias("n"), F.col("file").alias("file"))).alias("b")
-    return a.join(b, "base").filter(fits).groupBy("path").agg(best).select("path", "b.file")
+    of which it is, at a segment's start; the lesser of equally long ones.
+
+    Endings meet by equality: those of a path the files that are one, and a path the endings of files, of which each
+    names its best file alone. So paths and files of one frequent base name don't meet each other.
+    """
+    a, b = paths.select("path").distinct(), keys.select("file").distinct()
+    order = lambda path: F.struct((path != F.col("file")).alias("x"), (-F.length("file")).alias("n"), F.col("file").alias("file"))
+    shorter = a.select("path", F.explode(_endings(F.col("path"))).alias("file")).join(b, "file").groupBy("path").agg(F.min(order(F.col("path"))).alias("b"))
+    ending = b.select("file", F.explode(_endings(F.col("file"))).alias("path")).groupBy("path").agg(F.min(order(F.col("path"))).alias("b"))
+    both = shorter.unionByName(ending.join(a, "path", "left_semi"))
+    return both.groupBy("path").agg(F.min("b").alias("b")).select("path", "b.file")
 
 
 def symbol_coverage(symbols: DataFrame, profile: DataFrame) -> DataFrame:
@@ -54,12 +65,10 @@ def mutation_gate(scores: DataFrame, threshold: float, skipped: Column | None =
 
 def cases_of_files(cases: DataFrame, files: DataFrame) -> DataFrame:
     """(file, class, name, status): cases whose class, dots as slashes, ends the file's path without its
-    extension at a segment's start. Joined on the last segment."""
+    extension at a segment's start. Joined on what the path ends in."""
     stem = F.regexp_replace("file", r"\.[^./]*$", "")
-    a = files.select("file", stem.alias("stem"), F.substring_index(stem, "/", -1).alias("leaf")).distinct()
-    path = F.replace("class", F.lit("."), F.lit("/"))
-    b = cases.select("class", "name", "status", path.alias("cp"), F.substring_index(path, "/", -1).alias("leaf"))
-    return a.join(b, "leaf").filter((F.col("stem") == F.col("cp")) | F.col("stem").endswith(F.concat(F.lit("/"), "cp"))).select("file", "class", "name", "status")
+    a = files.select("file", F.explode(_endings(stem)).alias("cp")).distinct()
+    return a.join(cases.select("class", "name", "status", F.replace("class", F.lit("."), F.lit("/")).alias("cp")), "cp").select("file", "class", "name", "status")
 
 
 def red_gate(cases: DataFrame, new_files: DataFrame, suite_passed: bool) -> DataFrame:
