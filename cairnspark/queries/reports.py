@@ -11,6 +11,11 @@ from ..operators import logs
 from ..sources import files, reports
 
 
+def _batch(key: str, keys: int):
+    """Reports are written in batches of so many keys that follow each other: a text doesn't grow with the table."""
+    return F.floor(F.col(key) / keys).alias("batch")
+
+
 def _lines(s, d):
     """Line items as coverage lines: a part is a file."""
     return table(s, d, "lineitem").select(F.concat(F.lit("src/p"), F.col("l_partkey").cast("string"), F.lit(".go")).alias("file"), F.col("l_linenumber").alias("line"), (F.col("l_returnflag") != "N").alias("covered"))
