@@ -32,7 +32,7 @@ def _symbols(s, d):
 def _go(s, d):
     p = table(s, d, "part")
     row = F.concat(F.lit("example.org/m/"), "p_brand", F.lit(".go:"), F.col("p_size").cast("string"), F.lit(".2,"), (F.col("p_size") + F.col("p_partkey") % 5).cast("string"), F.lit(".9 3 "), (F.col("p_partkey") % 3).cast("string"))
-    texts = p.groupBy(F.col("p_brand").alias("path")).agg(F.concat(F.lit("mode: set\n"), F.array_join(F.collect_list(row), "\n")).alias("text"))
+    texts = p.groupBy(F.col("p_brand").alias("path"), _batch("p_partkey", 50_000)).agg(F.concat(F.lit("mode: set\n"), F.array_join(F.collect_list(row), "\n")).alias("text"))
     return cov.merge(reports.go_profile(texts, "example.org/m")).groupBy("file").agg(F.count("*").alias("known"), F.count_if("covered").alias("covered"))
 
 
@@ -41,7 +41,7 @@ _GO = "WITH l AS (SELECT p_brand || '.go' AS file, unnest(range(p_size, CAST(p_s
 
 def _xml_lines(s, d, line):
     p = table(s, d, "part")
-    return p.groupBy("p_brand").agg(F.array_join(F.collect_list(F.format_string(line, "p_size", (F.col("p_partkey") % 3).cast("int"))), "").alias("rows"))
+    return p.groupBy("p_brand", _batch("p_partkey", 50_000)).agg(F.array_join(F.collect_list(F.format_string(line, "p_size", (F.col("p_partkey") % 3).cast("int"))), "").alias("rows"))
 
 
 def _cobertura(s, d):
@@ -58,7 +58,7 @@ def _istanbul(s, d):
     p = table(s, d, "part")
     span = F.format_string('"%d":{"start":{"line":%d},"end":{"line":%d}}', "p_partkey", "p_size", (F.col("p_size") + F.col("p_partkey") % 2).cast("int"))
     hit = F.format_string('"%d":%d', "p_partkey", (F.col("p_partkey") % 3).cast("int"))
-    g = p.groupBy("p_brand").agg(F.array_join(F.collect_list(span), ",").alias("m"), F.array_join(F.collect_list(hit), ",").alias("h"))
+    g = p.groupBy("p_brand", _batch("p_partkey", 50_000)).agg(F.array_join(F.collect_list(span), ",").alias("m"), F.array_join(F.collect_list(hit), ",").alias("h"))
     t = g.select(F.col("p_brand").alias("path"), F.concat(F.lit('{"/repo/'), "p_brand", F.lit('.ts":{"path":"/repo/'), "p_brand", F.lit('.ts","statementMap":{'), "m", F.lit('},"s":{'), "h", F.lit("}}}")).alias("text"))
     return reports.istanbul(t, "/repo").groupBy("file").agg(F.count("*").alias("known"), F.count_if("covered").alias("covered"))
 
@@ -75,7 +75,7 @@ def _formats(s, d):
 def _cases(s, d):
     """Orders as test cases: the status by the order's."""
     o = table(s, d, "orders")
-    return o.select(F.concat(F.lit("org.x.T"), (F.col("o_custkey") % 50).cast("string")).alias("class"), F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("name"), F.when(F.col("o_orderkey") % 11 == 0, "fail").when(F.col("o_orderkey") % 13 == 0, "error").when(F.col("o_orderkey") % 17 == 0, "skipped").otherwise("pass").alias("status"))
+    return o.select(F.concat(F.lit("org.x.T"), (F.col("o_custkey") % 50).cast("string")).alias("class"), F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("name"), F.when(F.col("o_orderkey") % 11 == 0, "fail").when(F.col("o_orderkey") % 13 == 0, "error").when(F.col("o_orderkey") % 17 == 0, "skipped").otherwise("pass").alias("status"), F.col("o_orderkey").alias("key"))
 
 
 _STATUS = "CASE WHEN o_orderkey % 11 = 0 THEN 'fail' WHEN o_orderkey % 13 = 0 THEN 'error' WHEN o_orderkey % 17 = 0 THEN 'skipped' ELSE 'pass' END"
@@ -85,7 +85,7 @@ def _junit(s, d):
     c = _cases(s, d)
     mark = F.when(F.col("status") == "fail", "<failure/>").when(F.col("status") == "error", '<error message="m">trace</error>').when(F.col("status") == "skipped", "<skipped/>").otherwise("")
     one = F.concat(F.lit('<testcase classname="'), "class", F.lit('" name="'), "name", F.lit('">'), mark, F.lit("</testcase>"))
-    t = c.groupBy(F.col("class").alias("path")).agg(F.array_join(F.collect_list(one), "").alias("rows"))
+    t = c.groupBy(F.col("class").alias("path"), _batch("key", 100_000)).agg(F.array_join(F.collect_list(one), "").alias("rows"))
     body = F.concat(F.lit("<testsuite name='a'><testsuite name='b'>"), "rows", F.lit("</testsuite></testsuite>"))
     whole = F.when(F.col("path") < "org.x.T3", F.concat(F.lit("<?xml version='1.0'?><testsuites>"), body, F.lit("</testsuites>"))).otherwise(body)
     return reports.junit(t.select("path", whole.alias("text"))).groupBy("class", "status").agg(F.count("*").alias("n"))
@@ -99,14 +99,14 @@ def _mutants(s, d):
 def _go_mutants(s, d):
     l = table(s, d, "lineitem")  # noqa: E741
     row = F.concat(F.when(F.col("l_quantity") > 20, "FAIL").otherwise("PASS"), F.lit(' "src/p'), F.col("l_partkey").cast("string"), F.lit(".go."), F.col("l_linenumber").cast("string"), F.lit('" with checksum abc'))
-    t = l.groupBy((F.col("l_suppkey") % 9).cast("string").alias("path")).agg(F.array_join(F.collect_list(row), "\n").alias("text"))
+    t = l.groupBy((F.col("l_suppkey") % 9).cast("string").alias("path"), _batch("l_orderkey", 5_000)).agg(F.array_join(F.collect_list(row), "\n").alias("text"))
     return cov.mutation_score(reports.go_mutants(t), "path").withColumn("score", F.round("score", 6))
 
 
 def _ts_mutants(s, d):
     l = table(s, d, "lineitem")  # noqa: E741
     row = F.format_string('{"mutatorName":"M","status":"%s","location":{"start":{"line":%d}}}', F.when(F.col("l_quantity") > 20, "Killed").when(F.col("l_quantity") > 15, "Timeout").otherwise("NoCoverage"), "l_linenumber")
-    t = l.groupBy((F.col("l_suppkey") % 9).cast("string").alias("path")).agg(F.array_join(F.collect_list(row), ",").alias("m")).select("path", F.concat(F.lit('{"files":{"a.ts":{"mutants":['), "m", F.lit("]}}}")).alias("text"))
+    t = l.groupBy((F.col("l_suppkey") % 9).cast("string").alias("path"), _batch("l_orderkey", 5_000)).agg(F.array_join(F.collect_list(row), ",").alias("m")).select("path", F.concat(F.lit('{"files":{"a.ts":{"mutants":['), "m", F.lit("]}}}")).alias("text"))
     return cov.mutation_score(reports.typescript_mutants(t), "path").withColumn("score", F.round("score", 6))
 
 

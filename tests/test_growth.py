@@ -35,7 +35,7 @@ def _longest(monkeypatch, names):
     return seen
 
 
-@pytest.mark.parametrize(("name", "readers"), [("mutation_engines", ["python_mutants", "java_mutants"])])
+@pytest.mark.parametrize(("name", "readers"), [("mutation_engines", ["python_mutants", "java_mutants"]), ("read_typescript_mutants", ["typescript_mutants"]), ("read_go_mutants", ["go_mutants"])])
 def test_a_tools_reports_are_no_one_text(spark, many_orders, monkeypatch, name, readers):
     longest = _longest(monkeypatch, readers)
     got = QUERIES[name][0](spark, many_orders).collect()
