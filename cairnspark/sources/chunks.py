@@ -26,6 +26,6 @@ def parse_chunks(texts: DataFrame, column: str = "text") -> DataFrame:
 
 
 def read_legacy(spark: SparkSession, path: str) -> DataFrame:
-    """Notes of the older store: a JSON array of objects."""
+    """Notes of the older store: a JSON array of objects, or a folder of such files. A task holds the array of a file."""
     kind = "id string, topic string, content string, source string, created_at string"
     return zero_values(spark.read.schema(kind).option("multiLine", True).json(path))

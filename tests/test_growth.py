@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnspark.queries import all_queries
-from cairnspark.sources import reports
+from cairnspark.sources import chunks, reports
 
 QUERIES = all_queries()
 
@@ -41,3 +41,13 @@ def test_a_tools_reports_are_no_one_text(spark, many_orders, monkeypatch, name,
     got = QUERIES[name][0](spark, many_orders).collect()
     assert {r["total"] for r in got} == {40_000}
     assert len(longest) == len(readers) and max(longest) < 1_000_000
+
+
+def test_the_older_store_is_no_one_text(spark, tmp_path, monkeypatch):
+    n = 2_000
+    pq.write_table(pa.table({"doc_id": pa.array(range(n), pa.int64()), "text": ["x" * 1000] * n, "source": ["s"] * n}), tmp_path / "documents.parquet")
+    largest = []
+    own = chunks.read_legacy
+    monkeypatch.setattr(chunks, "read_legacy", lambda s, folder: largest.append(s.read.format("binaryFile").load(folder).agg(F.max("length")).first()[0]) or own(s, folder))
+    assert QUERIES["legacy_notes"][0](spark, str(tmp_path)).count() == n
+    assert largest[0] < 700_000
