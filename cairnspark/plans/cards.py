@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,30 +108,38 @@ def context_within(parts: DataFrame, budget: int) -> DataFrame:
     """(target, kind, ord, text) of what fits a byte budget: the body always, then call sites (those too long are
     passed over), callees (up to the first too long) and skills (the last one cut). parts: (target, kind,
     ord, text) with kinds body, call_site, callee, skill."""
-    order = {"body": 0, "call_site": 1, "callee": 2, "skill": 3}
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.assign(_k=g["kind"].map(order)).sort_values(["_k", "ord"])
-        used, rows, closed = 0, [], False
-        for r in g.itertuples():
-            n = len(r.text.encode())
-            if r.kind == "body":
-                text = r.text
-            elif r.kind == "call_site":
-                if used >= budget or used + n > budget:
-                    continue
-                text = r.text
-            elif r.kind == "callee":
-                if closed or used + n > budget:
-                    closed = True
-                    continue
-                text = r.text
-            else:
-                if used >= budget:
-                    continue
-                text = r.text.encode()[: budget - used].decode(errors="ignore")
-            used += len(text.encode())
-            rows.append((r.target, r.kind, r.ord, text))
-        return pd.DataFrame(rows, columns=["target", "kind", "ord", "text"])
-
-    return parts.groupBy("target").applyInPandas(run, "target string, kind string, ord int, text string")
+    rank = F.when(F.col("kind") == "body", 0).when(F.col("kind") == "call_site", 1).when(F.col("kind") == "callee", 2).otherwise(3)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Targets follow each other in a task, one behind the other in batches, and a target's parts are in order; what is
+        # known of the last target goes on into the next batch.
+        at, used, closed = object(), 0, False
+        for b in batches:
+            keep, texts = [], []
+            for i, (target, kind, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("target", "kind", "text")))):
+                if target != at:
+                    at, used, closed = target, 0, False
+                data = text.encode()
+                n = len(data)
+                if kind == "call_site":
+                    if used >= budget or used + n > budget:
+                        continue
+                elif kind == "callee":
+                    if closed or used + n > budget:
+                        closed = True
+                        continue
+                elif kind != "body":
+                    if used >= budget:
+                        continue
+                    if n > budget - used:
+                        text = data[: budget - used].decode(errors="ignore")
+                        n = len(text.encode())
+                used += n
+                keep.append(i)
+                texts.append(text)
+            left = b.select(["target", "kind", "ord"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*left.columns, pa.array(texts, pa.string())], ["target", "kind", "ord", "text"])
+
+    rows = parts.select("target", "kind", F.col("ord").cast("int").alias("ord"), "text", rank.alias("k"))
+    dealt = rows.repartition("target").sortWithinPartitions("target", "k", "ord", "text")
+    return dealt.select("target", "kind", "ord", "text").mapInArrow(run, "target string, kind string, ord int, text string")

@@ -51,3 +51,17 @@ def test_the_older_store_is_no_one_text(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(chunks, "read_legacy", lambda s, folder: largest.append(s.read.format("binaryFile").load(folder).agg(F.max("length")).first()[0]) or own(s, folder))
     assert QUERIES["legacy_notes"][0](spark, str(tmp_path)).count() == n
     assert largest[0] < 700_000
+
+
+def test_budgets_go_on_over_batches(spark, monkeypatch):
+    from cairnspark.plans import cards
+
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandas", None, raising=False)  # no call of Python a target
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rows = [(t, kind, o, text) for t in "pqr" for kind, o, text in [("skill", 1, "ü" * 9), ("skill", 0, "k"), ("callee", 2, "c"), ("callee", 1, "c" * 50), ("callee", 0, "cc"), ("call_site", 1, "s" * 4), ("call_site", 0, "s" * 40), ("body", 0, "b" * 5)]]
+        got = cards.context_within(spark.createDataFrame(rows, "target string, kind string, ord int, text string"), 20).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [("body", 0, "bbbbb"), ("call_site", 1, "ssss"), ("callee", 0, "cc"), ("skill", 0, "k"), ("skill", 1, "üüüü")]
+    assert sorted(map(tuple, got)) == sorted((t, *x) for t in "pqr" for x in want)
