@@ -65,3 +65,31 @@ def test_budgets_go_on_over_batches(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = [("body", 0, "bbbbb"), ("call_site", 1, "ssss"), ("callee", 0, "cc"), ("skill", 0, "k"), ("skill", 1, "üüüü")]
     assert sorted(map(tuple, got)) == sorted((t, *x) for t in "pqr" for x in want)
+
+
+def _code(spark, seed, n=60):
+    """Files of few packages, some with classes of a second file entry, and names that recur."""
+    import random
+
+    rng = random.Random(seed)
+    files = [(f"f{i}", "java", rng.choice(["", "p", "q", "r"]), [f"{rng.choice('pqr')}.{rng.choice(['*', 'C1', 'C2'])}" for _ in range(rng.randrange(4))]) for i in range(n)]
+    files += [(f"f{i}", "java", rng.choice("pq"), []) for i in range(0, n, 9)]
+    nodes = [(f"f{i}::C{i % 4}", "class", f"C{i % 4}", f"f{i}") for i in range(n) if i % 5] + [(f"f{i}::C{i % 4}.m{k}", "function", f"C{i % 4}.m{k}", f"f{i}") for i in range(n) for k in {rng.randrange(12) for _ in range(2)}]
+    refs = [(f"f{i}::C{i % 4}.m{rng.randrange(12)}", "calls", f"m{rng.randrange(14)}", 1, "") for i in range(n) for _ in range(3)]
+    return spark.createDataFrame(nodes, "id string, kind string, name string, path string"), spark.createDataFrame(files, "path string, language string, package string, imports array<string>"), spark.createDataFrame(refs, "from_id string, kind string, name string, line int, recv string"), nodes, files, refs
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_imports_are_made_once_each(spark, seed):
+    from cairnspark.plans import resolve
+
+    nodes, files, _, n, f, _ = _code(spark, seed)
+    out = resolve.import_edges(nodes, files)
+    assert not out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")  # edges are moved by no shuffle
+    classes = {(i, name, path, pk) for i, kind, name, path in n if kind == "class" for fp, _, pk, _ in f if fp == path}
+    full = {}
+    for i, name, path, pk in classes:
+        fqn = f"{pk}.{name}" if pk else name
+        full[fqn] = min(full.get(fqn, (i, path)), (i, path))
+    want = {(path, to) for path, _, _, imports in f for x in imports for to in ({c[2] for c in classes if c[3] == x[:-2]} if x.endswith(".*") else {full[x][1]} if x in full else ()) if to != path}
+    assert sorted((r["from_id"], r["to_id"]) for r in out.collect()) == sorted(want)
