@@ -93,3 +93,31 @@ def test_imports_are_made_once_each(spark, seed):
         full[fqn] = min(full.get(fqn, (i, path)), (i, path))
     want = {(path, to) for path, _, _, imports in f for x in imports for to in ({c[2] for c in classes if c[3] == x[:-2]} if x.endswith(".*") else {full[x][1]} if x in full else ()) if to != path}
     assert sorted((r["from_id"], r["to_id"]) for r in out.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_calls_in_crowded_packages(spark, seed):
+    from cairnspark.plans import resolve
+
+    nodes, files, refs, n, f, r = _code(spark, seed)
+    plan = (out := resolve.resolve_calls(nodes, files, refs, spark.createDataFrame([], "from_id string, to_id string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan.split("Join")[-1] or "row_number" in plan  # of a name in a package no more than decide
+    classes = {(i, name, path, pk) for i, kind, name, path in n if kind == "class" for fp, _, pk, _ in f if fp == path}
+    full = {}
+    for i, name, path, pk in classes:
+        fqn = f"{pk}.{name}" if pk else name
+        full[fqn] = min(full.get(fqn, (i, path)), (i, path))
+    sees = {}
+    for path, _, pk, imports in f:
+        s = sees.setdefault(path, {path})
+        s |= {c[2] for c in classes if c[3] == pk}
+        for x in imports:
+            s |= {c[2] for c in classes if c[3] == x[:-2]} if x.endswith(".*") else {full[x][1]} if x in full else set()
+    want = set()
+    for from_id, _, name, _, _ in r:
+        every = {i for i, kind, long, _ in n if kind == "function" and long.split(".")[-1] == name}
+        near = {i for i in every if i.split("::")[0] in sees[from_id.split("::")[0]]}
+        hits = near or every
+        if len(hits) <= resolve.AMBIGUOUS:
+            want |= {(from_id, to, "low" if len(hits) > 1 else "high" if near else "medium") for to in hits if to != from_id}
+    assert sorted((x["from_id"], x["to_id"], x["confidence"]) for x in out.collect()) == sorted(want)
