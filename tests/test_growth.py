@@ -121,3 +121,18 @@ def test_calls_in_crowded_packages(spark, seed):
         if len(hits) <= resolve.AMBIGUOUS:
             want |= {(from_id, to, "low" if len(hits) > 1 else "high" if near else "medium") for to in hits if to != from_id}
     assert sorted((x["from_id"], x["to_id"], x["confidence"]) for x in out.collect()) == sorted(want)
+
+
+def test_notes_are_not_sent_to_every_part(spark):
+    import random
+
+    from cairnspark.plans import note_clusters
+
+    rng = random.Random(5)
+    sets = {f"n{i}": {f"t{rng.randrange(60)}" for _ in range(rng.randrange(1, 30))} for i in range(150)}
+    tokens = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "id string, token string")
+    out = note_clusters.similar_notes(tokens, 0.25, 10)
+    leaves = out._jdf.queryExecution().optimizedPlan().collectLeaves().mkString(" ")
+    assert "note-sets" not in leaves and " s#" not in leaves and "[s#" not in leaves  # sets don't pass a shuffle on their way to pairs
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert {(r["a"], r["b"]): round(r["similarity"], 9) for r in out.collect()} == {k: round(v, 9) for k, v in want.items() if v >= 0.25}
