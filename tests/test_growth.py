@@ -136,3 +136,14 @@ def test_notes_are_not_sent_to_every_part(spark):
     assert "note-sets" not in leaves and " s#" not in leaves and "[s#" not in leaves  # sets don't pass a shuffle on their way to pairs
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
     assert {(r["a"], r["b"]): round(r["similarity"], 9) for r in out.collect()} == {k: round(v, 9) for k, v in want.items() if v >= 0.25}
+
+
+def test_a_closure_sorts_out_its_pairs_once(spark, monkeypatch):
+    from cairnspark.plans import closures
+
+    written = []
+    own = closures.materialize
+    monkeypatch.setattr(closures, "materialize", lambda df, name: written.append(name) or own(df, name))
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c")], "a string, b string")
+    got = closures.closure(pairs, spark.createDataFrame([("a",)], "id string")).collect()
+    assert sorted(map(tuple, got)) == [("a", "b", 1), ("a", "c", 2)] and written.count("closure-pairs") == 1
