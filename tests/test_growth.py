@@ -147,3 +147,27 @@ def test_a_closure_sorts_out_its_pairs_once(spark, monkeypatch):
     pairs = spark.createDataFrame([("a", "b"), ("b", "c")], "a string, b string")
     got = closures.closure(pairs, spark.createDataFrame([("a",)], "id string")).collect()
     assert sorted(map(tuple, got)) == [("a", "b", 1), ("a", "c", 2)] and written.count("closure-pairs") == 1
+
+
+@pytest.mark.parametrize(("seed", "depth", "fan_out"), [(1, 2, 3), (2, 3, 2)])
+def test_small_trees_are_walked_from_short_lists(spark, monkeypatch, seed, depth, fan_out):
+    """As by labels, with hubs, cycles, parallel edges, methods of interfaces and callees that nobody knows."""
+    import random
+
+    from cairnspark.plans import flow
+
+    rng = random.Random(seed)
+    ids = [f"n{i:02}" for i in range(40)]
+    nodes = spark.createDataFrame([(i, "function", "T.run", f"d{k % 4}/f") for k, i in enumerate(ids)] + [(f"t{k}", "class", f"T{k}", "d/f") for k in range(3)], "id string, kind string, name string, path string")
+    calls = [(rng.choice(ids), rng.choice(ids), "calls", c) for _ in range(150) for c in rng.sample(["high", "low"], rng.randrange(1, 3))] + [("n00", i, "calls", "high") for i in ids] + [(i, "n00", "calls", "low") for i in ids[::3]] + [("n01", "gone", "calls", "low")]
+    owned = [(f"t{k % 3}", i, "contains", "exact") for k, i in enumerate(ids[1::4])] + [("t1", "t0", "implements", "high"), ("t2", "t0", "implements", "high")]
+    edges = spark.createDataFrame(calls + owned, "from_id string, to_id string, kind string, confidence string")
+    entries = nodes.filter("kind = 'function'").select("id").union(spark.createDataFrame([("n01",), ("unknown",)], "id string"))
+    lists, own = [], flow.materialize
+    monkeypatch.setattr(flow, "materialize", lambda df, name: lists.append((name, out := own(df, name))) or out)
+    got = sorted(map(tuple, flow.call_trees(nodes, edges, entries, depth, fan_out).collect()))
+    longest = [df.agg(F.max(F.size("callees"))).first()[0] for name, df in lists if name == "flow-lists"]
+    assert longest and longest[0] <= sum(fan_out**k for k in range(depth + 1)) + 1
+    monkeypatch.setattr(flow, "TREE_NODES", 0)
+    assert got == sorted(map(tuple, flow.call_trees(nodes, edges, entries, depth, fan_out).collect()))
+    assert any(r[6] for r in got) and any(r[5] for r in got) and any(r[7] for r in got)
