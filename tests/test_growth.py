@@ -171,3 +171,12 @@ def test_small_trees_are_walked_from_short_lists(spark, monkeypatch, seed, depth
     monkeypatch.setattr(flow, "TREE_NODES", 0)
     assert got == sorted(map(tuple, flow.call_trees(nodes, edges, entries, depth, fan_out).collect()))
     assert any(r[6] for r in got) and any(r[5] for r in got) and any(r[7] for r in got)
+
+
+def test_coupling_is_joined_once_for_communities(spark, sf, monkeypatch):
+    from cairnspark.plans import louvain
+
+    given = []
+    monkeypatch.setattr(louvain, "louvain", lambda files, w: given.append(w) or files)
+    QUERIES["file_communities"][0](spark, sf)
+    assert "Join" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
