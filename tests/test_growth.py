@@ -180,3 +180,24 @@ def test_coupling_is_joined_once_for_communities(spark, sf, monkeypatch):
     monkeypatch.setattr(louvain, "louvain", lambda files, w: given.append(w) or files)
     QUERIES["file_communities"][0](spark, sf)
     assert "Join" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("cap", [None, 4])
+def test_reach_ends_where_nothing_leads_on(spark, monkeypatch, cap):
+    import random
+
+    from cairnspark.plans import impact
+
+    rng = random.Random(7)
+    ids = [f"n{i:02}" for i in range(30)]
+    nodes = spark.createDataFrame([(i, rng.choice([*ids, ""])) for i in ids], "id string, path string")
+    edges = spark.createDataFrame([(rng.choice([*ids, "gone"]), rng.choice(ids), "calls", "high") for _ in range(50)], "from_id string, to_id string, kind string, confidence string")
+    for depth in (1, 3):
+        want = {r["source"]: r["count"] for r in impact.impact(nodes, edges, nodes.select("id"), depth, cap=cap).groupBy("source").count().collect()}
+        assert {r["source"]: r["n"] for r in impact.reached(nodes, edges, nodes.select("id"), depth, cap=cap).collect()} == want
+    written, own = [], impact.materialize
+    monkeypatch.setattr(impact, "materialize", lambda df, name: written.append(name) or own(df, name))
+    flat = spark.createDataFrame([("b", "a", "calls", "high"), ("c", "a", "calls", "high")], "from_id string, to_id string, kind string, confidence string")
+    three = spark.createDataFrame([(x, "") for x in "abc"], "id string, path string")
+    got = impact.reached(three, flat, three.filter("id = 'a'").select("id"), 3, cap=cap)
+    assert [tuple(r) for r in got.collect()] == [("a", 2)] and written.count("reached") == 1
