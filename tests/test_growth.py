@@ -201,3 +201,16 @@ def test_reach_ends_where_nothing_leads_on(spark, monkeypatch, cap):
     three = spark.createDataFrame([(x, "") for x in "abc"], "id string, path string")
     got = impact.reached(three, flat, three.filter("id = 'a'").select("id"), 3, cap=cap)
     assert [tuple(r) for r in got.collect()] == [("a", 2)] and written.count("reached") == 1
+
+
+def test_context_makes_the_parts_that_are_asked_for(spark, sf, monkeypatch):
+    from cairnspark.plans import betweenness, components, impact
+
+    def never(*args, **kwargs):
+        raise AssertionError("not asked for")
+
+    monkeypatch.setattr(components, "core_of", never)
+    monkeypatch.setattr(betweenness, "chokepoints", never)
+    assert {r["part"] for r in QUERIES["context"][0](spark, sf).collect()} == {"hits", "skills", "tests"}
+    with pytest.raises(AssertionError, match="not asked for"):
+        impact.context(*(spark.createDataFrame([], x) for x in ("id string, kind string, path string", "from_id string, to_id string, kind string, confidence string")), "x")
