@@ -43,13 +43,19 @@ def _folder(store: GraphStore, table: str) -> str:
     return f"{store.root}/{table}"
 
 
+def _dealt(rows: DataFrame, order: str) -> DataFrame:
+    """Rows by partition, sorted. A partition of many rows, as of a path that many nodes have, is several tasks' and
+    several files'; small ones share a task."""
+    return rows.hint("rebalance", F.col("part")).sortWithinPartitions("part", order)
+
+
 def create(store: GraphStore, nodes: DataFrame, edges: DataFrame, refs: DataFrame | None = None, files: DataFrame | None = None) -> GraphStore:
     """Write the tables, replacing what is there. Absent ones are empty."""
     spark = store.spark
     tables = {"nodes": nodes, "edges": edges, "edges_in": edges, "refs": spark.createDataFrame([], REFS) if refs is None else refs, "files": spark.createDataFrame([], FILES) if files is None else files}
     for name, df in tables.items():
         order = _KEYS[name]
-        df.select("*", _part(store, name)).repartition("part").sortWithinPartitions("part", order).write.mode("overwrite").partitionBy("part").parquet(_folder(store, name))
+        _dealt(df.select("*", _part(store, name)), order).write.mode("overwrite").partitionBy("part").parquet(_folder(store, name))
     return store
 
 
@@ -85,7 +91,7 @@ def _put(store: GraphStore, name: str, parts: list[int], rows: DataFrame) -> lis
     if stray := set(left) - set(parts):
         raise ValueError(f"rows of partitions {sorted(stray)} of {name} are out of place")
     if left:
-        out.repartition("part").sortWithinPartitions("part", _KEYS[name]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(folder)
+        _dealt(out, _KEYS[name]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(folder)
     context = store.spark.sparkContext
     for p in set(parts) - set(left):
         at = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/part={p}")

@@ -214,3 +214,30 @@ def test_context_makes_the_parts_that_are_asked_for(spark, sf, monkeypatch):
     assert {r["part"] for r in QUERIES["context"][0](spark, sf).collect()} == {"hits", "skills", "tests"}
     with pytest.raises(AssertionError, match="not asked for"):
         impact.context(*(spark.createDataFrame([], x) for x in ("id string, kind string, path string", "from_id string, to_id string, kind string, confidence string")), "x")
+
+
+@pytest.fixture
+def small_partitions(spark):
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k in conf:
+        spark.conf.unset(k)
+
+
+def _most_files(spark, folder, pattern):
+    """The largest number of files in a folder of a table's partition."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}/*.parquet")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    parents = [x.getPath().getParent().toString() for x in found]
+    return max(map(parents.count, parents))
+
+
+def test_a_crowded_partition_of_a_store_is_no_one_task(spark, tmp_path, small_partitions):
+    from cairnspark.operators import graph_store
+
+    nodes = spark.range(0, 20_000, 1, 8).select(F.concat(F.lit("n"), F.md5(F.col("id").cast("string"))).alias("id"), F.lit("function").alias("kind"), F.lit("n").alias("name"), F.lit("one/path").alias("path"))
+    edges = spark.createDataFrame([("a", "b", "calls", "high")], "from_id string, to_id string, kind string, confidence string")
+    store = graph_store.create(graph_store.GraphStore(spark, f"file://{tmp_path}", 4), nodes, edges)
+    assert _most_files(spark, store.root, "nodes/part=*") > 1 and graph_store.table(store, "nodes").count() == 20_000
