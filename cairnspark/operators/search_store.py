@@ -64,7 +64,8 @@ def _write(store: SearchStore, g: int, s: int, postings: DataFrame, notes: DataF
     """Write a segment; its mark comes last, so a segment that was cut off is not there."""
     at = lambda t: f"{store.root}/gen={g}/{t}/segment={s}"
     bucket = F.pmod(F.xxhash64("term"), F.lit(store.buckets)).cast("int")
-    postings.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
+    # A bucket of many postings is several tasks' and several files'.
+    postings.withColumn("bucket", bucket).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
     notes.write.mode("overwrite").parquet(at("notes"))
     gone.write.mode("overwrite").parquet(at("gone"))
     _mark(store, f"gen={g}", "done", f"segment={s}")

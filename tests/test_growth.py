@@ -241,3 +241,12 @@ def test_a_crowded_partition_of_a_store_is_no_one_task(spark, tmp_path, small_pa
     edges = spark.createDataFrame([("a", "b", "calls", "high")], "from_id string, to_id string, kind string, confidence string")
     store = graph_store.create(graph_store.GraphStore(spark, f"file://{tmp_path}", 4), nodes, edges)
     assert _most_files(spark, store.root, "nodes/part=*") > 1 and graph_store.table(store, "nodes").count() == 20_000
+
+
+def test_a_crowded_bucket_of_an_index_is_no_one_task(spark, tmp_path, small_partitions):
+    from cairnspark.operators import search_store
+
+    notes = spark.range(0, 4_000, 1, 8).select(F.col("id").cast("string").alias("id"), F.concat_ws(" ", *(F.md5((F.col("id") * 7 + k).cast("string")) for k in range(5))).alias("content"), F.lit("t").alias("title"), F.lit("k").alias("topic_key"), F.lit("").alias("type"), F.current_timestamp().alias("updated_at"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    store = search_store.create(search_store.SearchStore(spark, f"file://{tmp_path}", 1), notes)
+    assert _most_files(spark, store.root, "gen=0/postings/segment=0/bucket=*") > 1
+    assert search_store.postings_of(store, ["t"]).count() == 4_000
