@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -174,31 +175,53 @@ def _chunk_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(["]}" if before == "," else before + "]}"])], ["value"])
 
 
-def write_chunk(records: DataFrame, folder: str, author: str) -> bool:
-    """Write an author's chunk as one gzip JSON document unless the folder has an equal one. True: written."""
+#: Bytes of records, as JSON, that a file of a chunk has about.
+CHUNK_BYTES = 32 << 20
+
+
+def write_chunk(records: DataFrame, folder: str, author: str, part_bytes: int = CHUNK_BYTES) -> bool:
+    """Write an author's chunk as gzip JSON documents unless the folder has an equal one. True: written.
+
+    A chunk of up to part_bytes is one file, chunk-<author>.jsonl.gz. A larger one is the power of two of files that
+    makes them so small, the others chunk-<author>.<n>.jsonl.gz, each a whole document: no task has more than a file. A
+    record's file goes by its sync id, so one that stays is in a file at all times while files are replaced one by one.
+    """
+    from ..sources.chunks import read_chunk
+
     spark = records.sparkSession
     slug = records.sparkSession.range(1).select(author_slug(F.lit(author)).alias("s")).first()["s"]
-    path = f"{folder}/chunk-{slug}.jsonl.gz"
     texts = records.select(*(F.col(c).cast("int" if c == "revision" else "string").alias(c) for c in records.columns))
-    # A chunk is one file, so one task writes it: line by line in the order of the ids, none held.
-    lines = texts.select("sync_id", F.to_json(F.struct(*texts.columns)).alias("value")).repartition(1).sortWithinPartitions("sync_id", "value").select("value")
-    doc = lines.mapInArrow(_chunk_lines, "value string")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        from ..sources.chunks import read_chunk
-
-        if chunk_digest(read_chunk(spark, path).select(texts.columns)).first() == chunk_digest(texts).first():
-            return False
+    root = hadoop.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # No slug has a dot, so these are files of this author alone.
+    own = re.compile(rf"chunk-{slug}(\.\d+)?\.jsonl\.gz")
+    there = [x.getPath() for x in (fs.listStatus(root) if fs.exists(root) else []) if own.fullmatch(x.getPath().getName())]
+    if there and chunk_digest(read_chunk(spark, *map(str, there)).select(texts.columns)).first() == chunk_digest(texts).first():
+        return False
+    lines = texts.select("sync_id", F.to_json(F.struct(*texts.columns)).alias("value"))
+    size = lines.agg(F.sum(F.octet_length("value").cast("long"))).first()[0] or 0
+    parts = 1 << max(0, -(-size // part_bytes) - 1).bit_length()
+    # Records without an id, which say nothing of where they were, are spread by their text.
+    key = F.xxhash64(F.coalesce(F.nullif("sync_id", F.lit("")), "value"))
+    dealt = lines.repartitionById(parts, F.pmod(key, F.lit(parts)).cast("int")).sortWithinPartitions("sync_id", "value").select("value")
     temporary = hadoop.Path(f"{folder}/.{slug}.tmp")
-    doc.write.mode("overwrite").option("compression", "gzip").text(str(temporary))
-    part = next(x.getPath() for x in fs.listStatus(temporary) if x.getPath().getName().startswith("part-"))
-    # One step that puts the new file in the old one's place: whoever reads meanwhile has one or the other.
+    dealt.mapInArrow(_chunk_lines, "value string").write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", 0).text(str(temporary))
+    made = sorted((x.getPath() for x in fs.listStatus(temporary) if x.getPath().getName().startswith("part-")), key=lambda x: x.getName())
+    # One step that puts a new file in the old one's place: whoever reads meanwhile has one or the other. The last
+    # comes first: records that leave a file when there are more files are in their new one by then.
     kind = hadoop.Options.Rename
     options = spark.sparkContext._gateway.new_array(kind, 1)
     options[0] = kind.OVERWRITE
-    hadoop.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(part, target, options)
+    put = []
+    for part in reversed(made):
+        n = int(part.getName().split("-")[1])
+        target = hadoop.Path(root, f"chunk-{slug}.{n}.jsonl.gz" if n else f"chunk-{slug}.jsonl.gz")
+        hadoop.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(part, fs.makeQualified(target), options)
+        put.append(target.getName())
+    for old in there:
+        if old.getName() not in put:
+            fs.delete(old, False)
     fs.delete(temporary, True)
     return True
 

@@ -1,4 +1,4 @@
-"""Shared note chunks: one JSON document of observations a file."""
+"""Shared note chunks: one JSON document of observations a file, and of an author one file or, if large, several."""
 
 from __future__ import annotations
 
@@ -15,8 +15,8 @@ def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return read_chunk(spark, f"{folder}/chunk-*.jsonl.gz").orderBy("sync_id")
 
 
-def read_chunk(spark: SparkSession, path: str) -> DataFrame:
-    docs = spark.read.schema(_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_chunk(spark: SparkSession, *paths: str) -> DataFrame:
+    docs = spark.read.schema(_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(list(paths))
     return zero_values(docs.select(F.inline("observations")))
 
 

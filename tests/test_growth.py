@@ -53,6 +53,25 @@ def test_the_older_store_is_no_one_text(spark, tmp_path, monkeypatch):
     assert largest[0] < 700_000
 
 
+def test_a_large_chunk_is_several_files(spark, tmp_path):
+    from cairnspark.operators import notes
+
+    folder = f"file://{tmp_path}"
+    rows = lambda n, r=1: spark.range(n).select(F.concat(F.lit("obs-"), "id").alias("sync_id"), F.repeat(F.lit("x"), 1000).alias("content"), F.lit(r).alias("revision"))
+    files = lambda: sorted(p.name for p in tmp_path.glob("chunk-*"))
+    read = lambda: sorted((r["sync_id"], r["revision"]) for r in chunks.read_chunks(spark, folder).select("sync_id", "revision").collect())
+    assert notes.write_chunk(rows(3), folder, "a-1", 100_000) and notes.write_chunk(rows(400), folder, "a", 100_000)
+    assert files() == ["chunk-a-1.jsonl.gz", *(f"chunk-a.{k}.jsonl.gz" for k in range(1, 8)), "chunk-a.jsonl.gz"]
+    assert max(spark.read.text(str(p)).agg(F.sum(F.length("value"))).first()[0] for p in tmp_path.glob("chunk-a*.gz")) < 120_000
+    assert read() == sorted([(f"obs-{i}", 1) for i in range(3)] + [(f"obs-{i}", 1) for i in range(400)])
+    assert not notes.write_chunk(rows(400), folder, "a", 100_000)
+    assert notes.write_chunk(rows(150, 2), folder, "a", 100_000)
+    assert files() == ["chunk-a-1.jsonl.gz", "chunk-a.1.jsonl.gz", "chunk-a.jsonl.gz"]
+    assert read() == sorted([(f"obs-{i}", 1) for i in range(3)] + [(f"obs-{i}", 2) for i in range(150)])
+    assert notes.write_chunk(rows(0), folder, "a", 100_000) and files() == ["chunk-a-1.jsonl.gz", "chunk-a.jsonl.gz"]
+    assert len(read()) == 3 and not notes.write_chunk(rows(0), folder, "a")
+
+
 def test_budgets_go_on_over_batches(spark, monkeypatch):
     from cairnspark.plans import cards
 
