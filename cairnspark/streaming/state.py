@@ -7,9 +7,11 @@ again gives the same rows. A project is a key.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Notes that a composed summary names.
 NAMED = 10
+#: Rows of sessions that are given back at a time.
+STEPS = 10_000
 NOTHING = "(no observations recorded)"
 SESSIONS = "project string, id string, started_at timestamp, ended_at timestamp, summary string"
 SHOWN = "project string, run long, rule_id string, evidence long, message string"
@@ -32,12 +36,17 @@ def _rows(frames: Iterable[pd.DataFrame], *order: str) -> list:
     return list(pd.concat(frames).sort_values(list(order), kind="stable").itertuples(index=False)) if frames else []
 
 
+def _told(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["project", "id", "started_at", "ended_at", "summary"]).astype({"started_at": "datetime64[us]", "ended_at": "datetime64[us]"})
+
+
 def session_id(project: str, at: datetime, number: int) -> str:
     return "session-" + hashlib.sha256(f"{project}\0{at.isoformat(sep=' ')}\0{number}".encode()).hexdigest()[:12]
 
 
 class _Sessions(StatefulProcessor):
-    """At most one open session a project, with its newest notes."""
+    """At most one open session a project, with its newest notes. The state store is asked once a batch, not once a row:
+    a batch's rows are sorted as columns, and Python takes a step a start or end, with the newest notes before it."""
 
     def __init__(self, longest: timedelta | None) -> None:
         self.longest = longest
@@ -47,47 +56,83 @@ class _Sessions(StatefulProcessor):
         self.open = handle.getValueState("open", "id string, started_at timestamp")
         self.notes = handle.getListState("notes", "at timestamp, note string, label string")
 
+    def _load(self) -> None:
+        self.session = tuple(self.open.get()) if self.open.exists() else None
+        self.newest = [(n[0], n[1], n[2]) for n in self.notes.get()] if self.notes.exists() else []
+
+    def _save(self) -> None:
+        if self.session is None:
+            self.open.clear()
+        else:
+            self.open.update(self.session)
+        if self.newest:
+            self.notes.put(self.newest)
+        else:
+            self.notes.clear()
+
     def _end(self, project: str, at: datetime, summary: str) -> tuple:
-        name, started = self.open.get()
-        newest = sorted(((n[0], n[1], n[2]) for n in self.notes.get()), reverse=True) if self.notes.exists() else []
-        said = [label for when, _, label in newest if when <= at][:NAMED]
-        self.open.clear()
-        self.notes.clear()
+        name, started = self.session
+        said = [label for when, _, label in sorted(self.newest, reverse=True) if when <= at][:NAMED]
+        self.session, self.newest = None, []
         return project, name, started, at, summary or (f"{len(said)} observation(s): {'; '.join(said)}" if said else NOTHING)
 
     def _expired(self, project: str, now: datetime) -> list[tuple]:
-        if self.longest is None or not self.open.exists():
+        if self.longest is None or self.session is None:
             return []
-        until = self.open.get()[1] + self.longest
+        until = self.session[1] + self.longest
         return [self._end(project, until, "")] if until <= now else []
 
-    def _add(self, at: datetime, note: str, label: str) -> None:
-        """Only the newest notes can be named; the others are let go."""
-        held = [(n[0], n[1], n[2]) for n in self.notes.get()] if self.notes.exists() else []
-        self.notes.put(sorted([*held, (at, note, label)], reverse=True)[:NAMED])
+    def _add(self, times: np.ndarray, ords: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> None:
+        """Notes in the order of their times. Only the newest can be named; the others are let go."""
+        if len(rows) > NAMED:
+            rows = rows[np.searchsorted(times[rows], times[rows[-NAMED]]) :]
+        found = [(at, str(int(o)), label) for at, o, label in zip(times[rows].tolist(), ords[rows], labels[rows])]
+        self.newest = sorted([*self.newest, *found], reverse=True)[:NAMED]
+
+    def _steps(self, project: str, df: pd.DataFrame) -> Iterator[tuple]:
+        """What a batch's rows, in order, say of sessions."""
+        times, ords = df["at"].to_numpy().astype("datetime64[us]"), df["ord"].to_numpy()
+        actions, texts = df["action"].to_numpy(dtype=object), df["text"].to_numpy(dtype=object)
+        bounds = np.flatnonzero((actions == "start") | (actions == "end"))
+        notes = np.flatnonzero((actions == "note") & (df["text"].fillna("") != "").to_numpy())
+        began = 0
+        for i, at in zip([*bounds.tolist(), len(df)], [*times[bounds].tolist(), None]):
+            if self.session is not None:
+                last = i
+                if self.longest is not None:
+                    last = began + int(np.searchsorted(times[began:i], np.datetime64(self.session[1] + self.longest, "us")))
+                self._add(times, ords, texts, notes[np.searchsorted(notes, began) : np.searchsorted(notes, last)])
+                if last < i:
+                    yield from self._expired(project, times[last].item())
+            if at is None:
+                break
+            began = i + 1
+            yield from self._expired(project, at)
+            if actions[i] == "start":
+                if self.session is not None:
+                    yield self._end(project, at, "")
+                self.session = session_id(project, at, int(ords[i])), at
+                yield project, self.session[0], at, None, ""
+            elif self.session is not None:
+                yield self._end(project, at, texts[i] or "")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        project, out = key[0], []
-        for r in _rows(rows, "at", "ord"):
-            at = r.at.to_pydatetime()
-            out += self._expired(project, at)
-            if r.action == "start":
-                if self.open.exists():
-                    out.append(self._end(project, at, ""))
-                name = session_id(project, at, int(r.ord))
-                self.open.update((name, at))
-                if self.longest is not None:
-                    self.handle.registerTimer(int((at + self.longest).timestamp() * 1000))
-                out.append((project, name, at, None, ""))
-            elif r.action == "end" and self.open.exists():
-                out.append(self._end(project, at, r.text or ""))
-            elif r.action == "note" and self.open.exists() and r.text:
-                self._add(at, str(r.ord), r.text)
-        yield pd.DataFrame(out, columns=["project", "id", "started_at", "ended_at", "summary"]).astype({"started_at": "datetime64[us]", "ended_at": "datetime64[us]"})
+        self._load()
+        before = self.session
+        df = pd.concat([x[["at", "ord", "action", "text"]] for x in rows]).sort_values(["at", "ord"], kind="stable")
+        steps = self._steps(key[0], df)
+        while some := list(itertools.islice(steps, STEPS)):
+            yield _told(some)
+        if self.longest is not None and self.session is not None and self.session != before:
+            self.handle.registerTimer(int((self.session[1] + self.longest).timestamp() * 1000))
+        self._save()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._load()
         out = self._expired(key[0], datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000))
-        yield pd.DataFrame(out, columns=["project", "id", "started_at", "ended_at", "summary"]).astype({"started_at": "datetime64[us]", "ended_at": "datetime64[us]"})
+        if out:
+            self._save()
+        yield _told(out)
 
     def close(self) -> None:
         pass

@@ -48,6 +48,50 @@ def test_sessions_go_on_after_a_restart(spark, actions):
     assert told(in_two_runs([df.filter(early), df.filter(~early)], state.session_stream)) == by_hand(actions)
 
 
+def test_sessions_ask_the_state_store_once_a_batch(spark, monkeypatch):
+    import pandas as pd
+
+    class Held:
+        """A state variable that counts how often it is asked."""
+
+        def __init__(self):
+            self.value, self.asked = None, 0
+
+        def exists(self):
+            self.asked += 1
+            return self.value is not None
+
+        def get(self):
+            self.asked += 1
+            return iter(self.value) if isinstance(self.value, list) else self.value
+
+        def update(self, value):
+            self.asked, self.value = self.asked + 1, value
+
+        put = update
+
+        def clear(self):
+            self.update(None)
+
+    r = random.Random(8)
+    rows = [("p", at(i // 40), i, r.choice(["start", "end", *["note"] * 30]), r.choice([f"n{i}", f"n{i}", None])) for i in range(3000)]
+    sessions, out = state._Sessions(None), []
+    sessions.handle, sessions.open, sessions.notes = None, Held(), Held()
+    batches = 3
+    for k in range(batches):
+        part = rows[k * 1000 : (k + 1) * 1000]
+        r.shuffle(part)
+        halves = [pd.DataFrame(part[i::2], columns=["project", "at", "ord", "action", "text"]) for i in range(2)]
+        out += [tuple(x) for df in sessions.handleInputRows(("p",), iter(halves), None) for x in df.itertuples(index=False)]
+    last = {}
+    for p, name, began, ended, summary in out:
+        if name not in last or not pd.isna(ended):
+            last[name] = (p, began.to_pydatetime(), None if pd.isna(ended) else ended.to_pydatetime(), summary)
+    got = sorted(last.values(), key=str)
+    assert got == by_hand(rows)
+    assert sessions.open.asked + sessions.notes.asked <= 6 * batches
+
+
 def test_sessions_that_nobody_ends_end_by_a_timer(spark):
     rows = [("a", at(0), 1, "start", None), ("a", at(5), 2, "note", "x"), ("b", at(200), 3, "start", None), ("a", at(300), 4, "note", "late"), ("c", at(400), 5, "start", None)]
     parts = [spark.createDataFrame(rows[:2], ACTIONS), spark.createDataFrame(rows[2:], ACTIONS)]
