@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import materialize
 from .closures import closure
 
 MAX_BYTES, MAX_LINES, MAX_IMPLEMENTERS = 1024, 30, 6
@@ -49,11 +50,18 @@ def anchors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def landmarks(nodes: DataFrame, edges: DataFrame, concepts: DataFrame, most: int = 10) -> DataFrame:
     """(concept, id, name, path, fan_in, entry): the topmost nodes of each concept with most edges in; entry: used
     from outside it. concepts: (name, path)."""
-    top = anchors(nodes, edges)
+    top = materialize(anchors(nodes, edges), "anchors")
     of = nodes.join(concepts.select(F.col("name").alias("concept"), "path"), "path").select("id", "concept")
-    use = edges.filter(F.col("kind").isin("calls", "extends", "implements")).join(top.select(F.col("id").alias("from_id"), F.col("anchor").alias("f")), "from_id").join(top.select(F.col("id").alias("to_id"), F.col("anchor").alias("t")), "to_id").filter("f <> t")
-    use = use.join(of.select(F.col("id").alias("f"), F.col("concept").alias("fc")), "f", "left").join(of.select(F.col("id").alias("t"), F.col("concept").alias("tc")), "t", "left")
-    into = use.groupBy(F.col("t").alias("id")).agg(F.count("*").alias("fan_in"), F.bool_or(F.col("tc").isNotNull() & ~F.col("fc").eqNullSafe(F.col("tc"))).alias("entry"))
+    # What the concepts of a using node say of any other: whether they are all one, and how many. Anchors are few where
+    # most edges lead to few files, so edges meet their nodes' ids alone and are summed by anchor before they meet more.
+    spread = of.groupBy("id").agg(F.count("*").alias("m"), F.bool_or(F.col("concept").isNull()).alias("none"), F.min("concept").alias("lo"), F.max("concept").alias("hi"))
+    near = top.join(spread.withColumnRenamed("id", "anchor"), "anchor", "left").select(F.col("id").alias("from_id"), F.col("anchor").alias("f"), F.coalesce("m", F.lit(1)).alias("m"), F.coalesce("none", F.lit(True)).alias("none"), "lo", "hi")
+    use = edges.filter(F.col("kind").isin("calls", "extends", "implements")).select("from_id", "to_id").join(near, "from_id").join(top.select(F.col("id").alias("to_id"), F.col("anchor").alias("t")), "to_id").filter("f <> t")
+    # Numbers are summed by hash; least and greatest texts would have all edges sorted, so they are taken of the sums.
+    used = use.groupBy(F.col("t").alias("id"), "none", "lo", "hi").agg(F.sum("m").alias("n"))
+    # A concept is left if a user has none, or the least or greatest of the users' is another.
+    outside = F.col("none") | (F.col("lo") != F.col("concept")) | (F.col("hi") != F.col("concept"))
+    into = used.join(of, "id", "left").groupBy("id").agg(F.sum("n").alias("fan_in"), F.bool_or(F.col("concept").isNotNull() & F.coalesce(outside, F.lit(False))).alias("entry"))
     own = nodes.join(top.filter("id = anchor").select("id"), "id", "left_semi").join(of, "id").join(into, "id", "left")
     w = Window.partitionBy("concept").orderBy(F.desc(F.coalesce("fan_in", F.lit(0))), "name", "id")
     return own.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("concept", "id", "name", "path", F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("entry", F.lit(False)).alias("entry"), "rank")

@@ -269,3 +269,47 @@ def test_a_crowded_bucket_of_an_index_is_no_one_task(spark, tmp_path, small_part
     store = search_store.create(search_store.SearchStore(spark, f"file://{tmp_path}", 1), notes)
     assert _most_files(spark, store.root, "gen=0/postings/segment=0/bucket=*") > 1
     assert search_store.postings_of(store, ["t"]).count() == 4_000
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_landmarks_meet_their_concepts_once_an_anchor(spark, seed):
+    import random
+
+    from cairnspark.plans import cards
+
+    rng = random.Random(seed)
+    paths = ["p", "q", "r", "s"]
+    owner = {f"f{i}": rng.choice(paths) for i in range(40)}
+    nodes = [(x, x, x) for x in paths[:3]] + [(i, f"n{rng.randrange(9)}", p if rng.random() < 0.8 else "elsewhere") for i, p in owner.items()]
+    contains = [(p, i, "contains") for i, p in owner.items() if int(i[1:]) % 4]
+    calls = [(a, b, rng.choice(["calls", "extends"])) for a, b in {(rng.choice([*owner, "x1", "x2"]), rng.choice([*owner, "x1"])) for _ in range(150)}]
+    concepts = [("A", "p"), ("B", "p"), ("B", "q"), (None, "q"), ("C", "r")]
+    n = spark.createDataFrame(nodes, "id string, name string, path string")
+    e = spark.createDataFrame(contains + calls, "from_id string, to_id string, kind string")
+    out = cards.landmarks(n, e, spark.createDataFrame(concepts, "name string, path string"), 3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, x in enumerate(plan) if "Aggregate [t#" in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    below = [x for x in plan[at + 1 :]]
+    below = below[: next((i for i, x in enumerate(below) if depth(x) <= depth(plan[at])), len(below))]
+    assert sum(x.lstrip(" :+-").startswith("Join ") and ("from_id" in x or "to_id" in x) for x in below) == 2
+    assert not any(x.lstrip(" :+-").startswith("Join ") and "(t#" in x for x in below)
+
+    top = {c: a for a, c, _ in contains}
+    of = {}
+    for i, _, path in nodes:
+        of.setdefault(i, []).extend(c for c, p in concepts if p == path)
+    fan, entry = {}, {}
+    for a, b, _ in calls:
+        f, t = top.get(a, a), top.get(b, b)
+        if f != t:
+            for fc in of.get(f) or [None]:
+                for tc in of.get(t) or [None]:
+                    fan[t] = fan.get(t, 0) + 1
+                    entry[t] = entry.get(t, False) or (tc is not None and fc != tc)
+    want = []
+    for concept in {c for c, _ in concepts}:
+        own = sorted((-fan.get(i, 0), name, i) for i, name, _ in nodes if i not in top for c in of[i] if c == concept)
+        want += [(concept, i, -k, entry.get(i, False), rank + 1) for rank, (k, _, i) in enumerate(own[:3])]
+    got = [(r["concept"], r["id"], r["fan_in"], r["entry"], r["rank"]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
