@@ -313,3 +313,27 @@ def test_landmarks_meet_their_concepts_once_an_anchor(spark, seed):
         want += [(concept, i, -k, entry.get(i, False), rank + 1) for rank, (k, _, i) in enumerate(own[:3])]
     got = [(r["concept"], r["id"], r["fan_in"], r["entry"], r["rank"]) for r in out.collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_surprises_are_sought_within_the_radius(spark, monkeypatch):
+    import random
+
+    from cairnspark.plans import impact
+
+    rng, written, own = random.Random(4), [], impact.materialize
+    monkeypatch.setattr(impact, "materialize", lambda df, name: written.append((name, out := own(df, name))) or out)
+    ids = [f"n{i}" for i in range(120)]
+    path = {x: rng.choice(["a/x", "a/y", "b/x", "c/d", "e/f"]) for x in ids}
+    edges = [(a, b, k) for a in ids for b in rng.sample(ids, 12) for k in rng.sample(["calls", "extends", "contains"], 2)]
+    hits = [("n0", x) for x in ids[1:9]] + [("n7", x) for x in ids[5:20]]
+    files = spark.createDataFrame([], "path string, package string")
+    n = spark.createDataFrame([(x, "function", path[x]) for x in ids], "id string, kind string, path string")
+    out = impact.surprises(n, spark.createDataFrame(edges, "from_id string, to_id string, kind string"), files, spark.createDataFrame(hits, "source string, node_id string"), 2, 0.24, 5)
+    got = [(r["source"], r["from_id"], r["to_id"], r["from_domain"], r["to_domain"], round(r["score"], 9)) for r in out.collect()]
+    cross = [(a, b, path[a], path[b]) for a, b, k in edges if k != "contains" and path[a] != path[b]]
+    share = lambda f, t: sum(x[2:] == (f, t) for x in cross) / sum(x[2] == f for x in cross)
+    seldom = {p: 1 - share(*p) for p in {x[2:] for x in cross} if share(*p) < 0.24}
+    within = {s: {s} | {x for t, x in hits if t == s} for s, _ in hits}
+    want = {(s, a, b, f, t, round(seldom[f, t], 9)) for s, w in within.items() for a, b, f, t in cross if a in w and b in w and (f, t) in seldom}
+    assert want and sorted(got) == sorted(want)
+    assert max(df.count() for _, df in written) < len(cross) / 4
