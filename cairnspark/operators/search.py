@@ -28,14 +28,12 @@ def terms(text: Column) -> Column:
 
 
 def build_index(notes: DataFrame) -> DataFrame:
-    """(term, id, tf, length): the inverted index of live notes. Long texts are exploded and counted map-side."""
+    """(term, id, tf, length): the inverted index of live notes. Long texts are exploded and counted map-side. Where it
+    is not stored, whoever filters it by term has only these terms' rows counted and moved."""
     words = live(notes).select("id", terms(F.concat_ws(" ", "title", "content", "topic_key")).alias("w"))
-    return words.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-
-
-def note_lengths(notes: DataFrame) -> DataFrame:
-    """(id, length): the number of words of live notes that have any."""
-    return live(notes).select("id", F.size(terms(F.concat_ws(" ", "title", "content", "topic_key"))).alias("length")).filter("length > 0")
+    # Outer, as an inner one is preceded by a filter on the array's size, which splits each text once more.
+    each = words.select("id", F.size("w").alias("length"), F.explode_outer("w").alias("term")).filter("term is not null")
+    return each.groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
 
 
 def index_drifted(index: DataFrame, notes: DataFrame) -> DataFrame:
@@ -47,10 +45,10 @@ def index_drifted(index: DataFrame, notes: DataFrame) -> DataFrame:
 def ranked_search(notes: DataFrame, index: DataFrame, query: str, note_type: str = "", limit: int = 20) -> DataFrame:
     """(id, score) of live notes with any of the query's terms, best first, newer of equals first. The index is read
     for the rows of the query's terms alone; number and mean length of notes come from the notes."""
-    spark = notes.sparkSession
-    stats = note_lengths(notes).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    asked = spark.createDataFrame([(t,) for t in dict.fromkeys(query.lower().split())], "term string")
-    found = materialize(index.join(F.broadcast(asked), "term"), "hits")  # the words of one query
+    # No filter on the length, which would count a text's words twice; without words it adds nothing to the sum.
+    lengths = live(notes).select(F.size(terms(F.concat_ws(" ", "title", "content", "topic_key"))).alias("length"))
+    stats = lengths.agg(F.count_if(F.col("length") > 0).alias("n"), F.sum("length").alias("words")).select("n", F.try_divide("words", "n").alias("mean"))
+    found = materialize(index.filter(F.col("term").isin(query.lower().split())), "hits")  # the words of one query
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))

@@ -337,3 +337,19 @@ def test_surprises_are_sought_within_the_radius(spark, monkeypatch):
     want = {(s, a, b, f, t, round(seldom[f, t], 9)) for s, w in within.items() for a, b, f, t in cross if a in w and b in w and (f, t) in seldom}
     assert want and sorted(got) == sorted(want)
     assert max(df.count() for _, df in written) < len(cross) / 4
+
+
+def test_a_search_counts_the_terms_it_asks_for(spark, tmp_path, monkeypatch):
+    from cairnspark.operators import search
+    from cairnspark.queries import notes
+
+    written = []
+    for at in (search, notes):
+        own = at.materialize
+        monkeypatch.setattr(at, "materialize", lambda df, name, own=own: written.append((name, out := own(df, name), df)) or out)
+    texts = [f"{'thing ' * (i % 4)}w{i} w{i + 1} .. tion" if i % 3 else "" for i in range(300)]
+    pq.write_table(pa.table({"doc_id": pa.array(range(300), pa.int64()), "text": texts, "source": ["s"] * 300}), tmp_path / "documents.parquet")
+    assert QUERIES["note_search_ranked"][0](spark, str(tmp_path)).count() == sum(bool(i % 3 and i % 11) for i in range(300))
+    assert [name for name, _, _ in written] == ["hits"] and {r["term"] for r in written[0][1].collect()} == {"thing", "tion"}
+    plan = written[0][2]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("IN (onthe,tion,edand,thing)") < plan.index("Generate") and plan.count("split(") == 1
