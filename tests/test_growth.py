@@ -353,3 +353,18 @@ def test_a_search_counts_the_terms_it_asks_for(spark, tmp_path, monkeypatch):
     assert [name for name, _, _ in written] == ["hits"] and {r["term"] for r in written[0][1].collect()} == {"thing", "tion"}
     plan = written[0][2]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("IN (onthe,tion,edand,thing)") < plan.index("Generate") and plan.count("split(") == 1
+
+
+def test_betweenness_writes_the_edges_that_are_reached(spark, monkeypatch):
+    from cairnspark.plans import betweenness
+
+    written, own = [], betweenness.materialize
+    monkeypatch.setattr(betweenness, "materialize", lambda df, name: written.append(out := own(df, name)) or out)
+    far = [(f"x{i}", f"y{i % 7}") for i in range(500)] + [(f"y{i}", f"z{j}") for i in range(7) for j in range(3)]
+    near = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "y1"), ("d", "d")]
+    e = spark.createDataFrame([(f, t, "calls") for f, t in 3 * (far + near)] + [("a", "q", "extends")], "from_id string, to_id string, kind string")
+    scores = {r["id"]: r["score"] for r in betweenness.bridge_scores(e, 1).collect()}
+    assert {k: v for k, v in scores.items() if v} == {"b": 2.5, "c": 2.5, "d": 4.0, "y1": 3.0}
+    assert scores.keys() == {x for pair in far + near for x in pair}
+    assert max(df.count() for df in written if df.columns == ["a", "b"]) <= 3 * (len(near) + 7 * 3)
+    assert not betweenness.bridge_scores(e.filter("kind = 'none'")).count()
