@@ -164,3 +164,18 @@ def test_graphs_are_clustered_apart_as_alone(spark):
     got = {tuple(x) for x in louvain.louvain(nodes(edges), edges, by="g").collect()}
     alone = [edges.filter(F.col("g") == g).drop("g") for g in range(4)]
     assert got == {tuple(x) for e in alone for x in louvain.louvain(nodes(e), e).collect()}
+
+
+def test_surprises_are_sought_in_the_whole_radius(spark, sf, monkeypatch):
+    # 5,200 nodes call the target; the last of them, in a domain that leads elsewhere, is beyond the blast radius' cap.
+    from cairnspark.queries import graph
+
+    near = [(f"f{i:04}", "function", "b/x/f") for i in range(5200)]
+    far = [(f"o{i}", "function", "c/x/f") for i in range(5)]
+    nodes = spark.createDataFrame([("supplier:1", "class", "a/x/f"), ("z", "function", "z/x/f"), *near, *far], "id string, kind string, path string")
+    calls = [(f, "supplier:1") for f, *_ in [*near, ("z",)]] + [("z", o) for o, *_ in far]
+    edges = spark.createDataFrame([(a, b, "calls", "high") for a, b in calls], "from_id string, to_id string, kind string, confidence string")
+    monkeypatch.setattr(graph, "_graph", lambda s, d: (nodes, edges))
+    got = [tuple(r) for r in QUERIES["surprising_edges"][0](spark, sf).collect()]
+    assert got == [("z", "supplier:1", "z/x", "a/x", round(1 - 1 / 6, 6))]
+    assert "5000" in QUERIES["impact"][1] and "5000" not in QUERIES["surprising_edges"][1]
