@@ -368,3 +368,41 @@ def test_betweenness_writes_the_edges_that_are_reached(spark, monkeypatch):
     assert scores.keys() == {x for pair in far + near for x in pair}
     assert max(df.count() for df in written if df.columns == ["a", "b"]) <= 3 * (len(near) + 7 * 3)
     assert not betweenness.bridge_scores(e.filter("kind = 'none'")).count()
+
+
+@pytest.mark.parametrize(("wide", "visit"), [(64, 10**6), (3, 10**6), (64, 0)])
+def test_a_large_part_is_read_once_a_pass(spark, monkeypatch, wide, visit):
+    """With weights whose products pass 64 bits, nodes of few and of many edges, two large parts and a small one; parts of
+    too many nodes go in blocks."""
+    import random
+
+    from cairnspark.plans import louvain
+
+    written, own = [], louvain.materialize
+    monkeypatch.setattr(louvain, "materialize", lambda df, name: written.append(name) or own(df, name))
+    monkeypatch.setattr(louvain, "WIDE", wide)
+    monkeypatch.setattr(louvain, "VISIT_NODES", visit)
+    monkeypatch.setattr(louvain, "FILE_ENDS", 200)
+    rng, n = random.Random(3), 80
+    drawn = [(a, b, rng.randrange(1, 10**11)) for a in range(n) for b in range(a) if rng.random() < (0.5 if a // 10 == b // 10 else 0.04 if a // 40 == b // 40 else 0)] + [(n + i, n + i + 1, 2) for i in range(4)]
+    want, name = louvain.communities(n + 5, drawn), lambda i: f"n{i:02}"
+    edges = spark.createDataFrame([(name(a), name(b), w) for a, b, w in drawn], "a string, b string, weight long")
+    nodes = spark.createDataFrame([(name(i),) for i in range(n + 5)], "id string")
+    got = {r["id"]: r["community"] for r in louvain.louvain(nodes, edges, block_edges=60).collect()}
+    assert [got[name(i)] for i in range(n + 5)] == [name(c) for c in want] and 3 < len(set(want)) < 30
+    if visit:  # no table is written for a block of a pass
+        assert not {"louvain-own", "louvain-out", "louvain-home"} & set(written) and written.count("louvain-moved") <= 3
+
+
+def test_a_forest_connects_what_its_pairs_do(spark):
+    import random
+
+    from cairnspark.plans import louvain
+
+    rng = random.Random(2)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] * 40
+    all_ = spark.createDataFrame(pairs, "a long, b long").repartition(4)
+    some = louvain.forest(all_)
+    assert some.count() < 4 * 60 and some.exceptAll(all_).isEmpty()
+    got, want = ({tuple(r) for r in louvain.connected(x).filter("id <> part").collect()} for x in (some, all_))
+    assert got == want
