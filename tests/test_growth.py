@@ -406,3 +406,19 @@ def test_a_forest_connects_what_its_pairs_do(spark):
     assert some.count() < 4 * 60 and some.exceptAll(all_).isEmpty()
     got, want = ({tuple(r) for r in louvain.connected(x).filter("id <> part").collect()} for x in (some, all_))
     assert got == want
+
+
+def test_notes_are_clustered_by_numbers(spark, monkeypatch):
+    from cairnspark.adaptors import notes
+    from cairnspark.plans import note_clusters
+
+    given, own = [], note_clusters.louvain
+    monkeypatch.setattr(note_clusters, "louvain", lambda nodes, edges: given.append((nodes, edges)) or own(nodes, edges))
+    texts = [" ".join(f"g{'abc'[i % 3]}{chr(97 + k)}word" for k in range(20)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    monkeypatch.setattr("cairnspark.adaptors.table", lambda s, d, name: docs)
+    groups, members = note_clusters.note_clusters(notes(spark, ""), 3)
+    assert {t for _, t in given[0][0].dtypes + given[0][1].dtypes} == {"bigint", "int"}  # ids and keys stay behind
+    alive = [i for i in range(60) if i % 11 and not (i % 8 == 5 and i % 3)]
+    assert sorted(r["size"] for r in groups.collect()) == sorted(sum(i % 3 == g for i in alive) for g in range(3))
+    assert {r["id"] for r in members.collect()} == {f"doc-{i}" for i in alive}
