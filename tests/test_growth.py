@@ -422,3 +422,24 @@ def test_notes_are_clustered_by_numbers(spark, monkeypatch):
     alive = [i for i in range(60) if i % 11 and not (i % 8 == 5 and i % 3)]
     assert sorted(r["size"] for r in groups.collect()) == sorted(sum(i % 3 == g for i in alive) for g in range(3))
     assert {r["id"] for r in members.collect()} == {f"doc-{i}" for i in alive}
+
+
+def test_known_lists_move_once_a_round(spark, monkeypatch):
+    from cairnspark.plans import flow
+
+    plans, own = [], flow.materialize
+    monkeypatch.setattr(flow, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or own(df, name))
+    ids = [f"n{i:02}" for i in range(30)]
+    nodes = spark.createDataFrame([(i, "function", "run", "d/f") for i in ids], "id string, kind string, name string, path string")
+    # All entries go on to a second round; the walk of n00 and n01, whose callees call each other, to a third.
+    calls = {(a, ids[(k + d) % 30]) for k, a in enumerate(ids) for d in (5, 11)} | {("n00", x) for x in ids[1:9]} | {("n01", "n00")}
+    edges = spark.createDataFrame([(a, b, "calls") for a, b in calls], "from_id string, to_id string, kind string")
+    got = sorted(map(tuple, flow.call_trees(nodes, edges, nodes.select("id"), 2, 3).collect()))
+    walks = [p for name, p in plans if name == "flow-walked"]
+    assert "Aggregate" not in walks[0] and "Aggregate" in walks[1]
+    assert "LeftSemi" not in walks[1] and any(name == "flow-wanted" for name, _ in plans)
+    monkeypatch.setattr(flow, "TREE_NODES", 0)
+    assert got == sorted(map(tuple, flow.call_trees(nodes, edges, nodes.select("id"), 2, 3).collect()))
+    monkeypatch.setattr(flow, "TREE_NODES", 200)
+    monkeypatch.setattr(flow, "MOST", 0)
+    assert got == sorted(map(tuple, flow.call_trees(nodes, edges, nodes.select("id"), 2, 3).collect()))
