@@ -9,6 +9,7 @@ from ..functions.paths import is_test_path
 from ..functions.text import complexity
 from ..operators.coverage import symbol_coverage
 from ..operators.graph_joins import fan_in, not_trivial
+from ..storage import materialize
 from .impact import reached
 
 
@@ -18,11 +19,12 @@ def test_code(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.filter((F.col("kind") == "test") | F.coalesce(is_test_path(F.col("path")), F.lit(False))).select("id").union(inside).distinct()
 
 
-def tested(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id): nodes with a test of their own or of their parent, or called by test code."""
+def tested(nodes: DataFrame, edges: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """(id): nodes with a test of their own or of their parent, or called by test code. calls: the edges of which calls
+    are asked, if not of all."""
     own = edges.filter("kind = 'tested_by'").select(F.col("from_id").alias("id"))
     parent = edges.filter("kind = 'contains'").join(own.withColumnRenamed("id", "from_id").distinct(), "from_id", "left_semi").select(F.col("to_id").alias("id"))
-    called = edges.filter("kind = 'calls'").join(test_code(nodes, edges).withColumnRenamed("id", "from_id"), "from_id", "left_semi").select(F.col("to_id").alias("id"))
+    called = (edges if calls is None else calls).filter("kind = 'calls'").join(test_code(nodes, edges).withColumnRenamed("id", "from_id"), "from_id", "left_semi").select(F.col("to_id").alias("id"))
     return own.union(parent).union(called).distinct()
 
 
@@ -38,7 +40,11 @@ def untested_gaps(nodes: DataFrame, edges: DataFrame, min_lines: int = 4, depth:
     c = not_trivial(c, edges).join(test_code(nodes, edges), "id", "left_anti")
     if within is not None:
         c = c.join(within.select("path").distinct(), "path", "left_semi")
-    has = tested(nodes, edges).withColumn("tested", F.lit(True))
+    # Few calls lead to them: what is asked of callers is asked of these calls alone.
+    c = materialize(c, "gap-candidates")
+    calls = edges.filter("kind = 'calls'").join(c.select(F.col("id").alias("to_id")), "to_id", "left_semi").select("from_id", "to_id", "kind")
+    calls = materialize(calls.distinct(), "gap-calls")
+    has = tested(nodes, edges, calls).withColumn("tested", F.lit(True))
     c = c.join(has, "id", "left").select("id", "path", "line", "end_line", "span", F.coalesce("tested", F.lit(False)).alias("tested"))
     if profile is not None:
         c = c.join(symbol_coverage(c.select("id", "path", "line", "end_line"), profile), "id", "left")
@@ -46,7 +52,7 @@ def untested_gaps(nodes: DataFrame, edges: DataFrame, min_lines: int = 4, depth:
     else:
         c = c.filter("not tested").withColumn("ratio", F.lit(None).cast("double"))
     blast = reached(nodes, edges, c.select("id"), depth).select(F.col("source").alias("id"), F.col("n").alias("blast"))
-    j = c.join(fan_in(edges), "id", "left").join(blast, "id", "left")
+    j = c.join(fan_in(calls), "id", "left").join(blast, "id", "left")
     weight = F.lit(1.0)
     if criticality is not None:
         j, weight = j.join(criticality.select("id", "weight"), "id", "left"), F.coalesce("weight", F.lit(1.0))

@@ -443,3 +443,21 @@ def test_known_lists_move_once_a_round(spark, monkeypatch):
     monkeypatch.setattr(flow, "TREE_NODES", 200)
     monkeypatch.setattr(flow, "MOST", 0)
     assert got == sorted(map(tuple, flow.call_trees(nodes, edges, nodes.select("id"), 2, 3).collect()))
+
+
+def test_gaps_ask_callers_of_candidates_alone(spark, monkeypatch):
+    from cairnspark.plans import gaps, impact
+
+    written = []
+    for at in (gaps, impact):
+        monkeypatch.setattr(at, "materialize", lambda df, name, own=at.materialize: written.append((name, out := own(df, name), df._jdf.queryExecution().optimizedPlan().toString())) or out, raising=False)
+    kinds = {"a": ("function", True), "b": ("function", True), "c": ("function", True), "hidden": ("function", False), "t": ("test", False), "u": ("function", False)}
+    nodes = spark.createDataFrame([(i, k, i, f"p/{i}", 1, 9, "go", x) for i, (k, x) in kinds.items()], "id string, kind string, name string, path string, line int, end_line int, language string, exported boolean")
+    calls = [("u", "a", "high"), ("u", "a", "low"), ("hidden", "a", "low"), ("t", "b", "high"), ("u", "hidden", "high"), ("t", "hidden", "high"), ("t", "u", "low")]
+    edges = spark.createDataFrame([(a, b, "calls", c) for a, b, c in calls], "from_id string, to_id string, kind string, confidence string")
+    got = {r["id"]: (r["fan_in"], r["blast"]) for r in gaps.untested_gaps(nodes, edges).collect()}
+    assert got == {"a": (2, 3), "c": (0, 0)}
+    assert sorted((r["from_id"], r["to_id"]) for name, df, _ in written if name == "gap-calls" for r in df.collect()) == [("hidden", "a"), ("t", "b"), ("u", "a")]
+    # Edges are made different where they have met their peers.
+    walk = next(plan for name, _, plan in written if name == "reached-walk")
+    assert walk.startswith("Aggregate [at#")
